@@ -110,6 +110,18 @@ def _live(n: int) -> str:
     return f"case when h{n}.line_no > greatest({shallower}) then h{n}.heading end"
 
 
+def dedupe(table: str, rank_column: str, k: int) -> str:
+    """Greedy removal of overlapping chunks in rank order, as a list fold."""
+    row = "{'key': key, 'version_no': version_no, 'ordinal': ordinal, 'char_start': char_start, 'char_end': char_end, 'score': score}"
+    return f"""
+        select request_id, rank, x.key as key, x.version_no as version_no, x.ordinal as ordinal, x.char_start as char_start, x.char_end as char_end, x.score as score from (
+            select request_id, unnest(kept) as x, generate_subscripts(kept, 1) as rank from (
+                select request_id, list_reduce(list([{row}] order by {rank_column}), lambda acc, x: case when len(acc) >= {k} or len(list_filter(acc,
+                    lambda y: y.key = x[1].key and y.version_no = x[1].version_no and y.char_start < x[1].char_end and x[1].char_start < y.char_end)) > 0
+                    then acc else list_concat(acc, x) end) as kept
+                from {table} group by request_id))"""
+
+
 DEFINITIONS: dict[str, str] = {
     "principal": principal_rows(False),
     "principal_all": principal_rows(True),
@@ -253,22 +265,101 @@ DEFINITIONS: dict[str, str] = {
             select tenant_id, key, version_no, ordinal, section_path, char_start, content from packed_chunk where (key, ordinal) not in (select key, ordinal from fitting)
             union all
             select c.tenant_id, c.key, c.version_no, c.ordinal, c.section_path, f.begins, f.piece from fitting f join packed_chunk c using (key, ordinal) where f.piece is not null)""",
-    # requests and retrieval
+    # evaluation cases and requests
+    "case_draw": f"""
+        select *, parts[({h('line', 'key')} % greatest(len(parts), 1) + 1)::INT] as drawn, parts[({h('ask', 'key')} % greatest(len(parts), 1) + 1)::INT] as other_drawn
+        from (select m.*, 'case-' || substr(key, 5, 7) as case_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)),
+            lambda x: {strip('x')}), lambda x: len(x) > 0) as parts from manifest m)""",
+    "case_text": f"""
+        select *, coalesce(drawn, '') as quote, coalesce(other_drawn, '') as other, {one_of('who', 'case_id', *QUERY_PRINCIPALS)} as subject,
+            case {h('kind', 'key')} % 3 when 0 then coalesce(drawn, '') when 1 then coalesce(other_drawn, '') || ' ' || coalesce(drawn, '') else coalesce(other_drawn, '') end as query,
+            case when {h('asof', 'key')} % 2 = 0 then timestamp '{AS_OF}' end as as_of, case when {h('reg', 'key')} % 5 = 0 then 'US' end as asked_region
+        from case_draw""",
+    "case_decided": f"""
+        select c.*, p.subject as principal, p.region as p_region, {authorized('p', 'v')} is true as allowed, {in_scope(f"coalesce(c.as_of, timestamp '{AS_OF}')", "coalesce(c.asked_region, p.region)", 'v')} is true as applies,
+            v.version_no, case when c.quote = '' then 0 else len(string_split(t.text, c.quote)) - 1 end as found
+        from case_text c join principal p using (subject) join current_version v on v.key = c.key join doc_text t on t.key = c.key""",
+    "eval_case": f"""
+        select case_id, case when s < 2 then 'dev' when s < 9 then 'test' else 'holdout' end as split, query, principal, answerable, key, version_no, quote,
+            case when answerable then [quote] else []::VARCHAR[] end as expected_facts, not answerable as must_abstain,
+            case when not allowed then [key] else []::VARCHAR[] end as unauthorized_documents,
+            ['doc-' || lpad((doc_id + 1)::VARCHAR, 7, '0')] as hard_negative_documents,
+            case when allowed and not applies then [key] else []::VARCHAR[] end as out_of_scope_documents, as_of, asked_region as region,
+            [(['lookup', 'paraphrase', 'multi'])[({h('tag', 'key')} % 3 + 1)::INT], case when not allowed then 'authorization-negative' when not applies then 'scope' else 'plain' end] as tags, doc_id
+        from (select *, {h('split', 'key')} % 10 as s, allowed and applies and status = 'active' and len(quote) >= 10 and found = 1 as answerable from case_decided)""",
     "request": f"""
         select request_id, {one_of('who', 'request_id', *QUERY_PRINCIPALS)} as subject, query, timestamp '{AS_OF}' as as_of, null::VARCHAR as region
-        from (select 'req-' || lpad(item_id::VARCHAR, 6, '0') as request_id, text as query from benchmark)""",
-    "scoped_request": """
-        select r.request_id, r.subject, r.query, r.as_of, coalesce(r.region, p.region) as region, p.tenant_id, p.department, p.projects, p.clearance_rank
+        from (select 'req-' || lpad(item_id::VARCHAR, 6, '0') as request_id, text as query from benchmark)
+        union all select case_id, principal, query, as_of, region from eval_case""",
+    "scoped_request": f"""
+        select r.request_id, r.subject, r.query, coalesce(r.as_of, timestamp '{AS_OF}') as as_of, coalesce(r.region, p.region) as region, p.tenant_id, p.department, p.projects, p.clearance_rank
         from request r join principal p using (subject)""",
     "candidate": """
         select c.*, v.title, v.classification, v.classification_rank, v.allowed_departments, v.required_projects, v.applies_to_regions, v.valid_from, v.valid_to, v.format
         from chunk c join active_version v on c.tenant_id = v.tenant_id and c.key = v.key and c.version_no = v.version_no""",
+    "allowed_pair": f"""
+        select r.request_id, v.key from scoped_request r join active_version v on {authorized('r', 'v')} and {in_scope('r.as_of', 'r.region', 'v')}""",
     "chunk_term": f"""
-        select tenant_id, key, version_no, ordinal, unnest(t) as term, generate_subscripts(t, 1) - 1 as pos
+        select tenant_id, key, version_no, ordinal, char_start, char_end, unnest(t) as term, generate_subscripts(t, 1) - 1 as pos, len(t) as n_terms
         from (select *, {terms("section_path || chr(10) || content")} as t from candidate)""",
     "posting": """
-        select tenant_id, key, version_no, ordinal, term, count(*)::BIGINT as tf from chunk_term group by all""",
+        select key, version_no, ordinal, char_start, char_end, term, n_terms, count(*)::BIGINT as tf from chunk_term group by all""",
     "request_term": f"select request_id, unnest({terms('query')}) as term from scoped_request",
+    "sparse_score": """
+        select request_id, key, version_no, ordinal, char_start, char_end, sum(tf)::BIGINT as matched
+        from (select distinct request_id, term from request_term) q join posting using (term) join allowed_pair using (request_id, key) group by all""",
+    "sparse_hit": """
+        select * exclude (matched), matched * 0.1::DOUBLE as score, row_number() over (partition by request_id order by matched desc, key, version_no, ordinal) as rank
+        from sparse_score qualify rank <= 50""",
+    "chunk_size": f"select key, ordinal, len({terms("section_path || chr(10) || content")}) as n_terms from candidate",
+    "request_size": "select request_id, count(*) as n, sum(n_terms) / count(*) as average from allowed_pair join chunk_size using (key) group by request_id",
+    "asked_term": "select request_id, term, count(*) as asked from request_term group by all",
+    "term_frequency": "select request_id, term, count(*) as df from asked_term join posting using (term) join allowed_pair using (request_id, key) group by all",
+    "bm25_score": """
+        select request_id, key, version_no, ordinal, char_start, char_end,
+            round(sum(asked * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_terms / average))), 9) as score
+        from asked_term join term_frequency using (request_id, term) join request_size using (request_id) join posting using (term) join allowed_pair using (request_id, key)
+        group by all""",
+    "bm25_hit": """
+        select *, row_number() over (partition by request_id order by score desc, key, version_no, ordinal) as rank from bm25_score where score > 0 qualify rank <= 10""",
+    "chunk_bucket": f"""
+        select key, version_no, ordinal, char_start, char_end, ('0x' || substr(md5(w), 1, 8))::BIGINT % 384 as bucket, count(*) as cnt
+        from (select *, unnest({plain_words("section_path || chr(10) || content")}) as w from candidate) group by all""",
+    "chunk_length": "select key, ordinal, sqrt(sum(cnt * cnt)) as length from chunk_bucket group by all",
+    "request_bucket": f"""
+        select request_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 384 as bucket, count(*) as q_cnt
+        from (select request_id, unnest({plain_words('query')}) as w from scoped_request) group by all""",
+    "request_length": "select request_id, sqrt(sum(q_cnt * q_cnt)) as q_length from request_bucket group by all",
+    "dot": """
+        select request_id, key, version_no, ordinal, char_start, char_end, sum(cnt * q_cnt) as dot
+        from request_bucket join chunk_bucket using (bucket) join allowed_pair using (request_id, key) group by all""",
+    "dense_pair": """
+        select a.request_id, k.key, k.version_no, k.ordinal, k.char_start, k.char_end,
+            round(coalesce(d.dot, 0) / (l.length * r.q_length), 9) as score
+        from allowed_pair a join candidate k using (key) join request_length r using (request_id) join chunk_length l on l.key = k.key and l.ordinal = k.ordinal
+        left join dot d on d.request_id = a.request_id and d.key = k.key and d.ordinal = k.ordinal""",
+    "dense_hit": """
+        select *, row_number() over (partition by request_id order by score desc, key, version_no, ordinal) as rank from dense_pair qualify rank <= 50""",
+    "fused": """
+        select *, row_number() over (partition by request_id order by score desc, key, version_no, char_start) as fused_rank from (
+            select request_id, key, version_no, ordinal, coalesce(s.char_start, d.char_start) as char_start, coalesce(s.char_end, d.char_end) as char_end,
+                s.rank as sparse_rank, d.rank as dense_rank, round(coalesce(1.0::DOUBLE / (60 + s.rank), 0) + coalesce(1.0::DOUBLE / (60 + d.rank), 0), 9) as score
+            from sparse_hit s full join dense_hit d using (request_id, key, version_no, ordinal))""",
+    "pool": dedupe("fused", "fused_rank", 20),
+    "reranked": f"""
+        select p.*, row_number() over (partition by request_id order by rerank_score desc, fused_rank) as rank from (
+            select p.request_id, p.key, p.version_no, p.ordinal, p.char_start, p.char_end, p.rank as fused_rank,
+                round(case when len(q) = 0 then 0 else len(list_intersect(q, {plain_words('k.content')})) / len(q) end, 9) as rerank_score
+            from pool p join candidate k on k.key = p.key and k.ordinal = p.ordinal
+            join (select request_id, list_distinct({plain_words('query')}) as q from scoped_request) r on r.request_id = p.request_id) p""",
+    "sparse_top": dedupe("sparse_hit", "rank", 10),
+    "dense_top": dedupe("dense_hit", "rank", 10),
+    "hybrid_top": dedupe("fused", "fused_rank", 10),
+    "result": """
+        select request_id, 'sparse-only' as strategy, rank, key, version_no, ordinal, char_start, char_end, score from sparse_top
+        union all select request_id, 'dense-only', rank, key, version_no, ordinal, char_start, char_end, score from dense_top
+        union all select request_id, 'hybrid-rrf', rank, key, version_no, ordinal, char_start, char_end, score from hybrid_top
+        union all select request_id, 'hybrid-rrf-rerank', rank, key, version_no, ordinal, char_start, char_end, rerank_score from reranked where rank <= 10""",
 }
 _RECURSIVE = {"cutting", "packing", "fitting"}
 

@@ -128,3 +128,79 @@ def benchmark_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_timestamp(F.lit(AS_OF)).alias("as_of"),
         F.lit(None).cast("string").alias("region"),
     )
+
+
+def cases(manifest: DataFrame, principal: DataFrame) -> DataFrame:
+    """One evaluation case per document: a drawn sentence is the evidence, a drawn principal asks. A case is answerable when the principal
+    may read the document, it is active and in scope, and the sentence occurs exactly once in it."""
+    from permlens.functions import labels as L
+    from permlens.functions import text as T
+
+    case_id = F.concat(F.lit("case-"), F.substring("key", 5, 7))
+    parts = F.filter(
+        F.transform(F.split(F.regexp_replace("text", r"([.!?])\s+", "$1\n"), "\n"), T.strip), lambda s: F.length(s) > 0
+    )
+    pick = lambda salt: F.try_element_at(
+        F.col("parts"), (draw(salt, F.col("key")) % F.greatest(F.size("parts"), F.lit(1))).cast("int") + 1
+    )
+    asked = (
+        manifest.withColumn("case_id", case_id)
+        .withColumn("subject", one_of("who", F.col("case_id"), *QUERY_PRINCIPALS))
+        .withColumn("parts", parts)
+        .withColumn("quote", F.coalesce(pick("line"), F.lit("")))
+        .withColumn("other", F.coalesce(pick("ask"), F.lit("")))
+        .withColumn("kind", draw("kind", F.col("key")) % 3)
+        .withColumn(
+            "query",
+            F.when(F.col("kind") == 0, F.col("quote"))
+            .when(F.col("kind") == 1, F.concat_ws(" ", F.col("other"), F.col("quote")))
+            .otherwise(F.col("other")),
+        )
+        .withColumn("as_of", F.when(draw("asof", F.col("key")) % 2 == 0, F.to_timestamp(F.lit(AS_OF))))
+        .withColumn("region", F.when(draw("reg", F.col("key")) % 5 == 0, F.lit("US")))
+        .withColumn("normal", T.normalize(F.col("content")))
+        .withColumn(
+            "found", F.when(F.col("quote") == "", 0).otherwise(F.size(F.split(F.col("normal"), F.concat(F.lit(r"\Q"), "quote", F.lit(r"\E")), -1)) - 1)
+        )
+    )
+    labelled = asked.select(
+        "*",
+        L.clearance_rank(F.coalesce(F.col("classification"), F.lit("public"))).alias("classification_rank"),
+        *[F.coalesce(F.col(c), F.expr(NO_LABELS)).alias(f"{c}_") for c in ("allowed_departments", "required_projects", "applies_to_regions")],
+    ).drop("allowed_departments", "required_projects", "applies_to_regions")
+    labelled = labelled.withColumnsRenamed({f"{c}_": c for c in ("allowed_departments", "required_projects", "applies_to_regions")})
+    joined = labelled.alias("d").join(F.broadcast(principal.alias("p")), "subject")
+    decided = joined.select(
+        *[F.col(c) for c in ("case_id", "subject", "doc_id", "query", "quote", "found", "as_of", "status")],
+        F.col("d.key").alias("key"),
+        F.col("d.region").alias("region"),
+        F.when(F.size("history") > 0, 2).otherwise(1).alias("version_no"),
+        L.authorized("p", "d").alias("allowed"),
+        L.in_scope(F.coalesce(F.col("as_of"), F.to_timestamp(F.lit(AS_OF))), F.coalesce("d.region", "p.region"), "d").alias("applies"),
+    )
+    quoted = (F.length("quote") >= 10) & (F.col("found") == 1)
+    answerable = F.col("allowed") & F.col("applies") & (F.col("status") == "active") & quoted
+    empty = F.expr(NO_LABELS)
+    draw_split = draw("split", F.col("key")) % 10
+    evidence = F.struct(F.col("key").alias("document"), F.col("version_no").alias("version"), F.col("quote"))
+    tags = F.array(
+        F.element_at(F.array(F.lit("lookup"), F.lit("paraphrase"), F.lit("multi")), (draw("tag", F.col("key")) % 3).cast("int") + 1),
+        F.when(~F.col("allowed"), "authorization-negative").when(~F.col("applies"), "scope").otherwise("plain"),
+    )
+    return decided.select(
+        "case_id",
+        F.when(draw_split < 2, "dev").when(draw_split < 9, "test").otherwise("holdout").alias("split"),
+        "query",
+        F.col("subject").alias("principal"),
+        F.when(answerable, F.array(evidence)).otherwise(F.array().cast("array<struct<document:string,version:int,quote:string>>")).alias("evidence"),
+        F.when(answerable, F.array("quote")).otherwise(empty).alias("expected_facts"),
+        (~answerable).alias("must_abstain"),
+        F.when(~F.col("allowed"), F.array("key")).otherwise(empty).alias("unauthorized_documents"),
+        F.array(F.concat(F.lit("doc-"), F.lpad((F.col("doc_id") + 1).cast("string"), 7, "0"))).alias("hard_negative_documents"),
+        F.when(F.col("allowed") & ~F.col("applies"), F.array("key")).otherwise(empty).alias("out_of_scope_documents"),
+        "as_of",
+        "region",
+        tags.alias("tags"),
+        "doc_id",
+        "quote",
+    )
