@@ -139,7 +139,7 @@ def f4(c: Corpus) -> DataFrame:
 
 def f5(c: Corpus) -> DataFrame:
     passages = c.results.where("strategy = 'hybrid-rrf'").join(c.candidates.select(*CHUNK, "word_count"), CHUNK)
-    return longs(fusion.fit_query(c.scoped, passages, limit=240), "longest", "kept_words")
+    return longs(fusion.fit_query(c.scoped, passages), "longest", "kept_words")
 
 
 def f6(c: Corpus) -> DataFrame:
@@ -262,9 +262,9 @@ SQL = {
         "select request_id, key, version_no::BIGINT as version_no, ordinal::BIGINT as ordinal, round(rerank_score, 6) as rerank_score from reranked"
     ),
     "f5_rerank_query_fit": sql(
-        f"""select request_id, longest, case when fits then len(w) else 240 - 3 - longest end::BIGINT as kept_words, case when fits then query else array_to_string(w[1:(237 - longest)], ' ') end as fitted,
-            not fits as truncated
-        from (select request_id, query, longest, regexp_extract_all(query, '\\S+') as w, {words('query')} <= 237 - longest as fits
+        f"""select request_id, longest, case when fits then len(w) else room end::BIGINT as kept_words, case when fits then query else array_to_string(w[1:room], ' ') end as fitted,
+            not fits as truncated, not fits and room < 1 as refused
+        from (select request_id, query, longest, regexp_extract_all(query, '\\S+') as w, {words('query')} <= greatest(509 - longest, 0) as fits, greatest(509 - longest, 0) as room
             from scoped_request join (select t.request_id, max(k.word_count) as longest from hybrid_top t join candidate k using (key, ordinal) group by all) using (request_id))"""
     ),
     "f6_degraded_fallback": sql(

@@ -70,15 +70,15 @@ def rerank(pool: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def fit_query(requests: DataFrame, passages: DataFrame, limit: int = MODEL_LIMIT) -> DataFrame:
-    """Queries cut to the words that fit beside the longest passage; passages are never cut."""
+    """Queries cut to the words that fit beside the longest passage; passages are never cut, and one that leaves no room refuses the query."""
     longest = passages.groupBy("request_id").agg(F.max("word_count").alias("longest"))
     words = F.regexp_extract_all(F.col("query"), F.lit(r"(\S+)"), 1)
-    room = F.lit(limit - PAIR_TOKENS) - F.col("longest")
+    room = F.greatest(F.lit(limit - PAIR_TOKENS) - F.col("longest"), F.lit(0))
     fits = T.word_count(F.col("query")) <= room
     return requests.join(longest, "request_id").select(
         "request_id", "longest", F.when(fits, F.size(words)).otherwise(room).alias("kept_words"),
         F.when(fits, F.col("query")).otherwise(F.array_join(F.slice(words, F.lit(1), room), " ")).alias("fitted"),
-        (~fits).alias("truncated"),
+        (~fits).alias("truncated"), (~fits & (room < 1)).alias("refused"),
     )
 
 
