@@ -93,7 +93,7 @@ SQL = {
         f"""select c.key, count(*) filter (substr(t.text, c.char_start::BIGINT + 1, (c.char_end - c.char_start)::BIGINT) <> c.content) as text_differs,
             count(*) filter ({strip('c.content')} <> c.content) as outer_space, count(*) filter (c.ordinal <> c.n) as ordinal_gaps, count(*) filter (len(c.content) > 2000) as too_long,
             coalesce(sum(len(list_filter(string_split(c.gap, chr(10)), lambda x: {strip('x')} <> '' and not regexp_matches(x, '{HEADING}')))), 0)::BIGINT as lines_left_out
-        from (select k.*, row_number() over w - 1 as n, substr(d.text, lag(k.char_end) over w + 1, k.char_start - lag(k.char_end) over w) as gap
+        from (select k.*, row_number() over w - 1 as n, substr(d.text, lag(k.char_end) over w + 1, greatest(k.char_start - lag(k.char_end) over w, 0)) as gap
             from chunk k join doc_text d using (key) window w as (partition by k.key order by k.ordinal)) c join doc_text t using (key) group by c.key"""
     ),
 }
