@@ -284,7 +284,7 @@ DEFINITIONS: dict[str, str] = {
             case when answerable then [quote] else []::VARCHAR[] end as expected_facts, not answerable as must_abstain,
             case when not allowed then [key] else []::VARCHAR[] end as unauthorized_documents,
             ['doc-' || lpad((doc_id + 1)::VARCHAR, 7, '0')] as hard_negative_documents,
-            case when allowed and not applies then [key] else []::VARCHAR[] end as out_of_scope_documents, as_of, asked_region as region,
+            case when allowed and not applies then [key] when {h('oos', 'key')} % 10 = 0 then ['doc-' || lpad((doc_id + 1)::VARCHAR, 7, '0')] else []::VARCHAR[] end as out_of_scope_documents, as_of, asked_region as region,
             [(['lookup', 'paraphrase', 'multi'])[({h('tag', 'key')} % 3 + 1)::INT], case when not allowed then 'authorization-negative' when not applies then 'scope' else 'plain' end] as tags, doc_id
         from (select *, {h('split', 'key')} % 10 as s, allowed and applies and status = 'active' and len(quote) >= 10 and found = 1 as answerable from case_decided)""",
     "request": f"""

@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from permlens.functions.hashing import draw
-from permlens.operators import access, chunking, dense, keyword
+from permlens.functions import labels
+from permlens.operators import access, chunking, dense, keyword, metrics
+from permlens.operators.fusion import STRATEGIES
 from permlens.plans import search
 from permlens.session import written
 from permlens.sources import tables
 
+RUN_STRATEGIES = [*STRATEGIES, "bm25-reference"]
+
 _WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -137,3 +141,59 @@ class Corpus:
     @property
     def results(self) -> DataFrame:
         return self._once("result", lambda: search.all_strategies(self.scoped, self.candidates, self.sparse, self.dense, 10))
+
+    @property
+    def run_results(self) -> DataFrame:
+        """What an evaluation run scores: the four strategies and the BM25 reference."""
+        shape = ["request_id", "strategy", "rank", *access.CHUNK, *keyword.PLACE, "score"]
+        reference = self.bm25.withColumn("strategy", F.lit("bm25-reference")).select(*shape)
+        return self.results.select(*shape).unionByName(reference)
+
+    @property
+    def listed_visibility(self) -> DataFrame:
+        """Hand-kept visibility lists: the derived ones, but for drawn omissions and drawn additions of hidden documents."""
+
+        def build() -> DataFrame:
+            pair = F.concat_ws(":", "principal", "document")
+            kept = self.derived_visibility.where(draw("lost", pair) % 50 > 0)
+            p, d = self.principals.alias("p"), self.current.alias("d")
+            hidden = p.join(d, (F.col("p.tenant_id") == F.col("d.tenant_id")) & ~labels.label_rule("p", "d")).select(
+                F.col("subject").alias("principal"), F.col("key").alias("document")
+            )
+            return kept.unionByName(hidden.where(draw("extra", pair) % 50 == 0))
+
+        return self._once("listed", build)
+
+    @property
+    def derived_visibility(self) -> DataFrame:
+        return access.visibility_by_tokens(self.current, self.principals).select(F.col("subject").alias("principal"), F.col("key").alias("document"))
+
+    @property
+    def labelled_current(self) -> DataFrame:
+        """The version each label was written for: the current one, but for drawn documents the one before."""
+        behind = (draw("behind", F.col("key")) % 30 == 0).cast("int")
+        return self.current.withColumn("version_no", F.col("version_no") - behind)
+
+    @property
+    def reviewed(self) -> DataFrame:
+        return self.given("labels").select(F.concat(F.lit("case-"), F.lpad(F.col("doc_id").cast("string"), 7, "0")).alias("case_id"))
+
+    @property
+    def spans(self) -> DataFrame:
+        return self._once("span", lambda: metrics.evidence_spans(self.cases, self.current))
+
+    @property
+    def records(self) -> DataFrame:
+        return self._once("record", lambda: self.records_of(self.run_results))
+
+    def records_of(self, results: DataFrame) -> DataFrame:
+        return metrics.case_records(
+            results, self.cases, self.spans, self.listed_visibility, self.labelled_current, self.reviewed, F.array(*[F.lit(s) for s in RUN_STRATEGIES])
+        )
+
+    @property
+    def later_records(self) -> DataFrame:
+        """A second run of the same cases that lost its first result for drawn requests and drew no results at all for others."""
+        asked = F.col("request_id")
+        kept = self.run_results.where(~((draw("run2", asked) % 4 == 0) & (F.col("rank") == 1)))
+        return self._once("later_record", lambda: self.records_of(kept).where(draw("gone", F.col("case_id")) % 40 > 0))

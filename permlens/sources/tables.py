@@ -197,7 +197,10 @@ def cases(manifest: DataFrame, principal: DataFrame) -> DataFrame:
         (~answerable).alias("must_abstain"),
         F.when(~F.col("allowed"), F.array("key")).otherwise(empty).alias("unauthorized_documents"),
         F.array(F.concat(F.lit("doc-"), F.lpad((F.col("doc_id") + 1).cast("string"), 7, "0"))).alias("hard_negative_documents"),
-        F.when(F.col("allowed") & ~F.col("applies"), F.array("key")).otherwise(empty).alias("out_of_scope_documents"),
+        F.when(F.col("allowed") & ~F.col("applies"), F.array("key"))
+        .when(draw("oos", F.col("key")) % 10 == 0, F.array(F.concat(F.lit("doc-"), F.lpad((F.col("doc_id") + 1).cast("string"), 7, "0"))))
+        .otherwise(empty)
+        .alias("out_of_scope_documents"),
         "as_of",
         "region",
         tags.alias("tags"),
