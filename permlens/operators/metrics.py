@@ -205,6 +205,7 @@ def field_differences(before: DataFrame, after: DataFrame, key: str) -> DataFram
 
 def dataset_profile(cases: DataFrame, bands: DataFrame, reviewed: DataFrame) -> DataFrame:
     """Cases by split, principal, tag, overlap band, review and negative, as (dimension, value, cases)."""
+    fact = lambda name, value: F.struct(F.lit(name).alias("dimension"), value.alias("value"))
     facts = (
         cases.join(bands.select("case_id", "band"), "case_id", "left")
         .join(reviewed.select("case_id").distinct().withColumn("r", F.lit(True)), "case_id", "left")
@@ -212,13 +213,13 @@ def dataset_profile(cases: DataFrame, bands: DataFrame, reviewed: DataFrame) ->
             F.explode(
                 F.concat(
                     F.array(
-                        F.struct(F.lit("split").alias("dimension"), F.col("split").alias("value")),
-                        F.struct(F.lit("principal"), F.col("principal")),
-                        F.struct(F.lit("overlap"), F.coalesce("band", F.lit("none"))),
-                        F.struct(F.lit("reviewed"), F.when(F.col("r"), "yes").otherwise("no")),
-                        F.struct(F.lit("negative"), F.when(F.size("unauthorized_documents") > 0, "yes").otherwise("no")),
+                        fact("split", F.col("split")),
+                        fact("principal", F.col("principal")),
+                        fact("overlap", F.coalesce("band", F.lit("none"))),
+                        fact("reviewed", F.when(F.col("r"), "yes").otherwise("no")),
+                        fact("negative", F.when(F.size("unauthorized_documents") > 0, "yes").otherwise("no")),
                     ),
-                    F.transform("tags", lambda t: F.struct(F.lit("tag").alias("dimension"), t.alias("value"))),
+                    F.transform("tags", lambda t: fact("tag", t)),
                 )
             ).alias("f")
         )
