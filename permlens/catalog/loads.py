@@ -53,7 +53,7 @@ def l9(c: Corpus) -> DataFrame:
     after = totals.where("not (size = 2000 and workers = 16)").select(
         "size", "workers", F.lit("after").alias("label"), (F.col("size") * 437 + F.col("n") * 874).alias("bytes"), (F.col("size") + F.col("n") * 2).alias("rows")
     )
-    stages = rows.where("degraded[0] is not null").groupBy(*group).agg(F.max("latency_ms").alias("stage_max_ms"))
+    stages = rows.where(F.size("degraded") > 0).groupBy(*group).agg(F.max("latency_ms").alias("stage_max_ms"))
     return loads.scale_summary(runs, before.unionByName(after), stages)
 
 

@@ -251,7 +251,7 @@ SQL = {
         union all select 'overlap', coalesce(band, 'none'), count(*) from eval_case left join band using (case_id) group by all
         union all select 'reviewed', case when doc_id in (select doc_id from labels) then 'yes' else 'no' end, count(*) from eval_case group by all
         union all select 'negative', case when len(unauthorized_documents) > 0 then 'yes' else 'no' end, count(*) from eval_case group by all
-        union all select 'tag', unnest(tags) as t, count(*) from eval_case group by all"""
+        union all select 'tag', t, count(*) from (select unnest(tags) as t from eval_case) group by all"""
     ),
     "e22_select_attempt": sql(
         """select case_id as "case", strategy, count(*) as attempts, min(n) filter (stops) as selected, min(n) filter (stops) is null as invalid, coalesce(min(n) filter (stops), count(*)) - 1 as repeats

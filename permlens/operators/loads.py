@@ -23,8 +23,8 @@ def status_name():
 def histogram(df: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
     """value:count pairs per group as one sorted text, from counted values."""
     counted = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
-    pair = F.concat_ws(":", F.col(value), F.col("_n").cast("string"))
-    return counted.groupBy(*group).agg(F.array_join(F.array_sort(F.collect_list(pair)), ",").alias(out))
+    pairs = F.array_sort(F.collect_list(F.struct(value, "_n")))
+    return counted.groupBy(*group).agg(F.array_join(F.transform(pairs, lambda x: F.concat_ws(":", x[value], x["_n"].cast("string"))), ",").alias(out))
 
 
 def load_summary(requests: DataFrame, percentiles: DataFrame) -> DataFrame:

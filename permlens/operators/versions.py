@@ -96,6 +96,16 @@ def apply_versions(state: DataFrame, planned: DataFrame) -> DataFrame:
     )
 
 
+def next_state(state: DataFrame, planned: DataFrame) -> DataFrame:
+    """apply_versions with the content and metadata the next submissions are compared with."""
+    newest = planned.where(F.col("version_no").isNotNull()).groupBy(*DOCUMENT).agg(
+        *[F.max_by(c, "version_no").alias(f"new_{c}") for c in ("sha", "format", "metadata")]
+    )
+    held = state.select(*DOCUMENT, "sha", "format", "metadata").join(newest, DOCUMENT, "full")
+    content = held.select(*DOCUMENT, *[F.coalesce(f"new_{c}", c).alias(c) for c in ("sha", "format", "metadata")])
+    return apply_versions(state.drop("sha", "format", "metadata"), planned).join(content, DOCUMENT)
+
+
 def final_status(events: DataFrame) -> DataFrame:
     """Status after ordered (key, at, action) events. Deleting holds until the document is ingested again. Ingestions cut the events into
     epochs, of which only the last with a status event decides."""
