@@ -14,6 +14,7 @@ from permlens.operators.metrics import nearest_rank
 from permlens.plans import search
 from permlens.plans.corpus import Corpus
 
+DIMENSION, PLANES, BANDS = 64, 32, 4
 HIT = ["request_id", "key", "version_no", "ordinal", "char_start", "char_end", "rank"]
 
 
@@ -26,7 +27,7 @@ def hit_rows(df: DataFrame, *more: str) -> DataFrame:
 
 
 def scored(df: DataFrame, *more: str) -> DataFrame:
-    return hit_rows(df.withColumn("score", F.round("score", 6)), "score", *more)
+    return hit_rows(df.withColumn("score", F.round("score", 9)), "score", *more)
 
 
 def x1(c: Corpus) -> DataFrame:
@@ -94,8 +95,8 @@ def d3(c: Corpus) -> DataFrame:
 
 def d5(c: Corpus) -> DataFrame:
     asked, stored = c.requests_with_given_vectors(), c.given_vectors()
-    first = dense.near_candidates(asked, stored, 64, 16, 4, 10, True).withColumn("filter", F.lit("before"))
-    after = dense.near_candidates(asked, stored, 64, 16, 4, 10, False).withColumn("filter", F.lit("after"))
+    first = dense.near_candidates(asked, stored, DIMENSION, PLANES, BANDS, 10, True).withColumn("filter", F.lit("before"))
+    after = dense.near_candidates(asked, stored, DIMENSION, PLANES, BANDS, 10, False).withColumn("filter", F.lit("after"))
     return scored(first.unionByName(after), "filter")
 
 
@@ -129,11 +130,11 @@ def pool(c: Corpus) -> DataFrame:
 def f3(c: Corpus) -> DataFrame:
     rows = pool(c)
     reranked = fusion.rerank(rows, search.overlap_scores(rows, c.scoped, c.candidates))
-    return longs(hit_rows(reranked.withColumn("rerank_score", F.round("rerank_score", 6)), "rerank_score", "fused_rank"), "fused_rank")
+    return longs(hit_rows(reranked.withColumn("rerank_score", F.round("rerank_score", 9)), "rerank_score", "fused_rank"), "fused_rank")
 
 
 def f4(c: Corpus) -> DataFrame:
-    rows = search.overlap_scores(pool(c), c.scoped, c.candidates).withColumn("rerank_score", F.round("rerank_score", 6))
+    rows = search.overlap_scores(pool(c), c.scoped, c.candidates).withColumn("rerank_score", F.round("rerank_score", 9))
     return longs(rows.select("request_id", "key", "version_no", "ordinal", "rerank_score"), "version_no", "ordinal")
 
 
@@ -202,6 +203,23 @@ VECTOR_SQL = {
             left join (select request_id, min(score) - 1e-6 as threshold from given_exact group by all) t using (request_id) group by all) using (request_id)""",
 }
 
+_WIDTH = PLANES // BANDS
+VECTOR_SQL |= {
+    "plane": f"select p, list(case when {h('plane', "(p || ':' || d)")} % 2 = 0 then 1.0::DOUBLE else -1.0::DOUBLE end order by d) as signs from (select unnest(range({PLANES})) as p), (select unnest(range({DIMENSION})) as d) group by p",
+    "vector_band": f"""
+        select distinct vec_id, b, substr(bits, (b * {_WIDTH} + 1)::BIGINT, {_WIDTH}) as side from (
+            select vec_id, string_agg(case when list_dot_product(embedding::DOUBLE[], signs) >= 0 then '1' else '0' end, '' order by p) as bits from embeddings join plane on true group by vec_id), (select unnest(range({BANDS})) as b)""",
+    "near_vector": "select distinct q.vec_id as q_id, v.vec_id as v_id from vector_band q join vector_band v using (b, side)",
+    "near_pair": f"""
+        select r.request_id, k.key, k.version_no, k.ordinal, k.char_start, k.char_end, round(list_cosine_similarity(qe.embedding::DOUBLE[], ve.embedding::DOUBLE[]), 9) as score, a.key is not null as allowed
+        from scoped_request r, (select total from vector_count) n join near_vector m on m.q_id = {h('qvec', 'r.request_id')} % n.total
+        join (select *, {h('vec', "(key || ':' || ordinal)")} % (select total from vector_count) as v_id from candidate) k on k.v_id = m.v_id
+        join embeddings qe on qe.vec_id = m.q_id join embeddings ve on ve.vec_id = m.v_id left join allowed_pair a on a.request_id = r.request_id and a.key = k.key""",
+    "near_ranked": """
+        select *, 'before' as "filter", row_number() over (partition by request_id order by score desc, key, version_no, ordinal) as rank from near_pair where allowed qualify rank <= 10
+        union all select * from (select *, 'after', row_number() over (partition by request_id order by score desc, key, version_no, ordinal) as rank from near_pair qualify rank <= 10) where allowed""",
+}
+
 _RECALL = """count(*) as searches, round(case when sum(expected) > 0 then sum(found) / sum(expected) else 1 end, 6) as recall,
     round(case when sum(expected) > 0 then sum(near) / sum(expected) else 1 end, 6) as distance_recall,
     count(*) filter (returned < expected) as fewer_results, count(*) filter (expected > 0 and returned = 0) as empty"""
@@ -218,8 +236,8 @@ SQL = {
             sum(positions)::BIGINT as positions, max(n_terms)::BIGINT as n_terms
         from (select key, version_no, ordinal, term, count(*) as tf, min(pos) as first, sum(pos) as positions, max(n_terms) as n_terms from chunk_term group by all) group by all"""
     ),
-    "x3_sparse_topk": sql(f"select {_HIT}, round(score, 6) as score from sparse_hit"),
-    "x4_bm25_topk": sql(f"select {_HIT}, round(score, 6) as score from bm25_hit"),
+    "x3_sparse_topk": sql(f"select {_HIT}, round(score, 9) as score from sparse_hit"),
+    "x4_bm25_topk": sql(f"select {_HIT}, round(score, 9) as score from bm25_hit"),
     "x5_keyword_ranking_check": sql(
         f"""select 'sparse-only' as strategy, request_id, coalesce(len(want), 0)::BIGINT as expected_n, coalesce(len(got), 0)::BIGINT as actual_n
         from (select request_id, list({{'r': rank, 'k': key, 'v': version_no, 's': char_start, 'e': char_end}} order by rank) as got from sparse_top group by all) a
@@ -232,7 +250,7 @@ SQL = {
         from (select case_id, case when len(q) = 0 then 0 else len(list_intersect(q, e)) / len(q) end as overlap
             from (select case_id, list_distinct({terms('query')}) as q, list_distinct({terms('quote')}) as e from eval_case where answerable))"""
     ),
-    "d1_dense_exact_topk": sql(f"select {_HIT}, round(score, 6) as score from given_exact", **VECTOR_SQL),
+    "d1_dense_exact_topk": sql(f"select {_HIT}, round(score, 9) as score from given_exact", **VECTOR_SQL),
     "d2_validate_vectors": f"""
         select vec_id, case when d = 0 then 'wrong length' when d = 1 then 'not finite' when d = 2 then 'all zero' end as problem
         from (select vec_id, {h('fault', 'vec_id')} % 10 as d from embeddings) where d < 3""",
@@ -240,10 +258,11 @@ SQL = {
         """select key, version_no::BIGINT as version_no, ordinal, count(*) as buckets, sum(cnt)::BIGINT as words, sum(bucket * cnt)::BIGINT as weighted from chunk_bucket group by all"""
     ),
     "d4_dense_sparse_dot_topk": sql(
-        f"""select {_HIT}, round(score, 6) as score from (select *, row_number() over (partition by request_id order by score desc, key, version_no, ordinal) as rank
+        f"""select {_HIT}, round(score, 9) as score from (select *, row_number() over (partition by request_id order by score desc, key, version_no, ordinal) as rank
             from (select d.* exclude (dot), round(dot / (length * q_length), 9) as score from dot d join chunk_length using (key, ordinal) join request_length using (request_id))
             qualify rank <= 50)"""
     ),
+    "d5_ann_candidates": sql(f'select {_HIT}, "filter", score from near_ranked', **VECTOR_SQL),
     "d6_ann_recall": sql(f"select coalesce(subject, 'all') as subject, {_RECALL} from one_search group by rollup(subject)", **VECTOR_SQL),
     "d7_score_spread_p50": sql(
         """select spread as spread_p50 from (select spread, row_number() over (order by spread) as n, count(*) over () as total
@@ -254,12 +273,12 @@ SQL = {
         f"select request_id, 'other' as profile_id, 'dense_index_mismatch' as reason from scoped_request where {h('prof', 'request_id')} % 20 = 0"
     ),
     "f1_rrf_fuse": sql(
-        f"select {_HIT.replace('rank::BIGINT as rank', 'fused_rank::BIGINT as rank')}, round(score, 6) as score, sparse_rank::BIGINT as sparse_rank, dense_rank::BIGINT as dense_rank from fused"
+        f"select {_HIT.replace('rank::BIGINT as rank', 'fused_rank::BIGINT as rank')}, round(score, 9) as score, sparse_rank::BIGINT as sparse_rank, dense_rank::BIGINT as dense_rank from fused"
     ),
-    "f2_dedupe_overlaps_topk": sql(f"select {_HIT}, round(score, 6) as score from sparse_top"),
-    "f3_rerank_head": sql(f"select {_HIT}, round(rerank_score, 6) as rerank_score, fused_rank::BIGINT as fused_rank from reranked"),
+    "f2_dedupe_overlaps_topk": sql(f"select {_HIT}, round(score, 9) as score from sparse_top"),
+    "f3_rerank_head": sql(f"select {_HIT}, round(rerank_score, 9) as rerank_score, fused_rank::BIGINT as fused_rank from reranked"),
     "f4_word_overlap_score": sql(
-        "select request_id, key, version_no::BIGINT as version_no, ordinal::BIGINT as ordinal, round(rerank_score, 6) as rerank_score from reranked"
+        "select request_id, key, version_no::BIGINT as version_no, ordinal::BIGINT as ordinal, round(rerank_score, 9) as rerank_score from reranked"
     ),
     "f5_rerank_query_fit": sql(
         f"""select request_id, longest, case when fits then len(w) else room end::BIGINT as kept_words, case when fits then query else array_to_string(w[1:room], ' ') end as fitted,
@@ -278,6 +297,6 @@ SQL = {
         f"""select strategy, k::BIGINT as k, substr(sha256({PLAN_SQL}), 1, 16) as plan_hash, count(*) as requests
         from (select unnest({_STRATEGIES}) as strategy, ([5, 10, 80])[({h('k', 'request_id')} % 3 + 1)::INT] as k from scoped_request) group by all"""
     ),
-    "f8_search_all_strategies": sql(f"select {_HIT}, strategy, round(score, 6) as score from result"),
+    "f8_search_all_strategies": sql(f"select {_HIT}, strategy, round(score, 9) as score from result"),
 }
 __all__ = ["QUERIES", "SQL", "one_of", "plain_words"]

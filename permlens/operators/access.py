@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from permlens.functions import labels as L
+from permlens.operators.numbering import running_total
+from permlens.operators.spread import spread_join
 from permlens.session import broadcast_if_small
 
 CHUNK = ["tenant_id", "key", "version_no", "ordinal"]
@@ -19,7 +21,7 @@ def manifest_versions(manifests: DataFrame) -> DataFrame:
     fields = ["content", "format", "classification", "allowed_departments", "required_projects", "applies_to_regions", "valid_from", "valid_to"]
     current = F.struct(*fields)
     none = F.expr("cast(array() as array<string>)")
-    listed = F.coalesce(F.col(f"v.classification"), F.lit("public"))
+    listed = F.coalesce(F.col("v.classification"), F.lit("public"))
     return (
         manifests.select("tenant_id", "key", "title", "status", F.posexplode(F.concat("history", F.array(current))).alias("pos", "v"))
         .select(
@@ -50,15 +52,27 @@ def active_versions(versions: DataFrame) -> DataFrame:
     return latest_versions(versions.where(F.col("status") == "active"))
 
 
-def visible_versions(versions: DataFrame, principals: DataFrame) -> DataFrame:
-    """Every admissible (principal, version) pair. Joined on the tenant with the rest of the rule in the join condition; versions stay
-    where they are as long as the principals are counted to be few."""
-    p, v = principals.alias("p"), versions.alias("v")
-    return p_side(p).join(v, L.authorized("p", "v")).select("p.subject", *[F.col(f"v.{c}") for c in versions.columns])
+def label_key(columns: list[str]) -> Column:
+    return F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+
 
+def grants(principals: DataFrame, versions: DataFrame) -> DataFrame:
+    """(subject, label key) pairs that the rule admits. It is applied to the distinct rights and the distinct label combinations, which
+    are few, and never to principals or documents."""
+    combination = ["tenant_id", *LABELS]
+    labels = versions.select(*combination).distinct().withColumn("label_key", label_key(combination))
+    holders = principals.select("subject", *PRINCIPAL).withColumn("rights_key", label_key(PRINCIPAL))
+    rights = holders.dropDuplicates(["rights_key"]).drop("subject")
+    admitted_pairs = rights.alias("p").join(labels.alias("v"), L.authorized("p", "v")).select("p.rights_key", "v.label_key")
+    return holders.select("subject", "rights_key").join(admitted_pairs, "rights_key").drop("rights_key")
 
-def p_side(principals: DataFrame) -> DataFrame:
-    return broadcast_if_small(principals).alias("p")
+
+def visible_versions(versions: DataFrame, principals: DataFrame) -> DataFrame:
+    """Every admissible (principal, version) pair, by joining versions to the grants of their label combination."""
+    labelled = versions.withColumn("label_key", label_key(["tenant_id", *LABELS]))
+    identity = [c for c in CHUNK if c in versions.columns] or LABELS
+    met = spread_join(grants(principals, versions), labelled, ["label_key"], identity)
+    return met.select("w.subject", *[F.col(f"i.{c}") for c in versions.columns])
 
 
 def scoped_requests(requests: DataFrame, principals: DataFrame, run_time) -> DataFrame:
@@ -74,7 +88,7 @@ def scoped_requests(requests: DataFrame, principals: DataFrame, run_time) -> Dat
     )
 
 
-def admitted(request: str, document: str):
+def admitted(request: str, document: str) -> Column:
     """The join condition of every candidate query: authorized and in scope."""
     return L.authorized(request, document) & L.in_scope(F.col(f"{request}.as_of"), F.col(f"{request}.region"), document)
 
@@ -89,22 +103,23 @@ def read_decisions(reads: DataFrame, visible: DataFrame, titles: DataFrame) -> D
 
 
 def listing_pages(visible_chunks: DataFrame, page_size: int) -> DataFrame:
-    """Everything a principal may read, in key order, with page numbers and the cursor the next page continues after. Page sizes come from
-    a per-document count, so no window holds more than one principal's documents, and chunks are numbered within their document."""
-    per_document = visible_chunks.groupBy("subject", "key", "version_no").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("subject").orderBy("key", "version_no").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_document.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    """Everything a principal may read, in key order, with page numbers and the cursor the next page continues after. Chunks are counted
+    per document and numbered within it; the documents of a principal are placed by distributed running totals, so a principal who reads
+    everything is not one task's work."""
+    document = ["subject", "key", "version_no"]
+    per_document = visible_chunks.groupBy(*document).agg(F.count(F.lit(1)).alias("n"))
+    starts = running_total(per_document, ["subject"], ["key", "version_no"], F.col("n"), "upto").withColumn("first", F.col("upto") - F.col("n"))
     totals = per_document.groupBy("subject").agg(F.sum("n").alias("total"))
     place = F.col("first") + F.col("nth")
-    nth = Window.partitionBy("subject", "key", "version_no").orderBy("ordinal")
+    nth = Window.partitionBy(*document).orderBy("ordinal")
     return (
         visible_chunks.withColumn("nth", F.row_number().over(nth))
-        .join(starts.drop("n"), ["subject", "key", "version_no"])
+        .join(starts.drop("n", "upto"), document)
         .join(broadcast_if_small(totals), "subject")
         .withColumn("page", F.floor((place - 1) / page_size).cast("bigint") + 1)
         .withColumn("ends_page", (place % page_size == 0) & (place < F.col("total")))
         .withColumn("next_cursor", F.when(F.col("ends_page"), F.concat_ws("|", "key", "version_no", "ordinal")))
-        .select("subject", "key", "version_no", "ordinal", "page", "next_cursor")
+        .select(*document, "ordinal", "page", "next_cursor")
     )
 
 
@@ -142,7 +157,7 @@ def visibility_difference(listed: DataFrame, derived: DataFrame) -> DataFrame:
     return a.join(b, ["principal", "document"], "full").select("principal", "document", problem.alias("problem")).where("problem is not null")
 
 
-def needs_all_projects(principal: str, document: str):
+def needs_all_projects(principal: str, document: str) -> Column:
     """The stricter rule of the generated corpus: every required project, and administrators read nothing."""
     p, d = (lambda n: F.col(f"{principal}.{n}")), (lambda n: F.col(f"{document}.{n}"))
     department = (F.size(d("allowed_departments")) == 0) | F.coalesce(F.array_contains(d("allowed_departments"), p("department")), F.lit(False))

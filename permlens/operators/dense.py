@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from permlens.functions import text as T
 from permlens.operators.access import CHUNK, LABELS, PRINCIPAL, SCOPE, admitted
 from permlens.operators.keyword import PLACE, TIES, matches, scope_key, top
+from permlens.operators.spread import spread_join
 from permlens.session import broadcast_if_small
 
 BUCKETS = 384
@@ -162,8 +164,6 @@ def plane_bits(vector: Column, dimension: int, planes: int) -> Column:
 
 
 def _sign(plane: int, dimension: int) -> bool:
-    import hashlib
-
     return int(hashlib.md5(f"plane:{plane}:{dimension}".encode()).hexdigest()[:8], 16) % 2 == 0
 
 
@@ -173,19 +173,15 @@ def near_candidates(requests: DataFrame, vectors: DataFrame, dimension: int, pla
     width = planes // bands
     band = lambda bits: F.array(*[F.concat(F.lit(f"{b}:"), F.substring(bits, b * width + 1, width)) for b in range(bands)])
     cut_up = lambda df: df.withColumn("band", F.explode(band(plane_bits(F.col("vector"), dimension, planes))))
-    asked = cut_up(requests).withColumnRenamed("vector", "q_vector")
     allowed = admitted("w", "i")
-    met = F.col("w.band") == F.col("i.band")
-    pairs = broadcast_if_small(asked).alias("w").join(cut_up(vectors).alias("i"), (met & allowed) if filter_first else met)
+    pairs = spread_join(cut_up(requests), cut_up(vectors), ["band"], CHUNK, allowed if filter_first else None)
     product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     size = lambda a: F.sqrt(product(a, a))
-    found = (
-        pairs.select("w.request_id", *[F.col(f"i.{c}") for c in [*CHUNK, *PLACE]], "w.q_vector", F.col("i.vector").alias("vector"), allowed.alias("allowed"))
-        .dropDuplicates(["request_id", *CHUNK])
-        .withColumn("score", F.round(product(F.col("q_vector"), F.col("vector")) / (size(F.col("q_vector")) * size(F.col("vector"))), 9))
-        .drop("q_vector", "vector")
-    )
-    return top(found, ["request_id"], [F.desc("score"), *TIES], n).where("allowed").drop("allowed")
+    score = F.round(product(F.col("w.vector"), F.col("i.vector")) / (size(F.col("w.vector")) * size(F.col("i.vector"))), 9)
+    place = [*CHUNK, *PLACE]
+    found = pairs.select("w.request_id", *[F.col(f"i.{c}") for c in place], allowed.alias("allowed"), score.alias("score"))
+    once = found.groupBy("request_id", *place).agg(F.max("score").alias("score"), F.max("allowed").alias("allowed"))
+    return top(once, ["request_id"], [F.desc("score"), *TIES], n).where("allowed").drop("allowed")
 
 
 def ann_recall(exact: DataFrame, candidate: DataFrame, searches: DataFrame, k: int) -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from permlens.functions import text as T
 from permlens.operators.access import CHUNK, LABELS, PRINCIPAL, SCOPE, admitted
+from permlens.operators.spread import spread_join
 from permlens.session import is_small
 
-HOT_TERM_SALTS = 16
 PLACE = ["char_start", "char_end"]
 TIES = ["key", "version_no", "ordinal"]
 
@@ -47,21 +47,10 @@ def wanted_terms(requests: DataFrame) -> DataFrame:
 
 
 def matches(wanted: DataFrame, index: DataFrame, on: list[str]) -> DataFrame:
-    """Index rows met by wanted rows, authorized and in scope. Few wanted rows are broadcast; many are shuffled, with every index key
-    spread over salts so that a key holding a third of the index is not one task's work."""
-    if is_small(wanted):
-        w, i = F.broadcast(wanted).alias("w"), index.alias("i")
-        keys = on
-    else:
-        salt = F.pmod(F.xxhash64(*CHUNK), F.lit(HOT_TERM_SALTS))
-        i = index.withColumn("salt", salt).alias("i")
-        w = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(HOT_TERM_SALTS - 1).cast("bigint")))).alias("w")
-        keys = [*on, "salt"]
-    condition = admitted("w", "i")
-    for key in keys:
-        condition = condition & (F.col(f"w.{key}") == F.col(f"i.{key}"))
+    """Index rows met by wanted rows, authorized and in scope; a key that holds a third of the index is spread over tasks."""
     kept = [c for c in wanted.columns if c not in index.columns and c not in ("department", "projects", "clearance_rank", "as_of", "region")]
-    return i.join(w, condition).select(*[f"w.{c}" for c in kept], *[f"i.{c}" for c in index.columns])
+    met = spread_join(wanted, index, on, CHUNK, admitted("w", "i"))
+    return met.select(*[f"w.{c}" for c in kept], *[f"i.{c}" for c in index.columns])
 
 
 def sparse_topk(requests: DataFrame, index: DataFrame, n: int) -> DataFrame:
@@ -71,7 +60,7 @@ def sparse_topk(requests: DataFrame, index: DataFrame, n: int) -> DataFrame:
         matches(wanted, index.drop("positions", "n_terms"), ["term"])
         .groupBy("request_id", *CHUNK, *PLACE)
         .agg(F.sum("tf").alias("matched"))
-        .withColumn("score", F.col("matched") * F.lit(0.1))
+        .withColumn("score", F.round(F.col("matched") * F.lit(0.1), 9))
     )
     return top(hits, ["request_id"], [F.desc("matched"), *TIES], n).drop("matched")
 

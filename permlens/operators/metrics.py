@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from permlens.functions import text as T
-from permlens.operators.numbering import number_rows
+from permlens.operators.numbering import number_rows, running_total
 
 RECORD = ["case_id", "strategy"]
 QUALITY = ["recall_5", "recall_10", "mrr_10", "ec_10"]
@@ -14,17 +14,23 @@ QUALITY = ["recall_5", "recall_10", "mrr_10", "ec_10"]
 
 def nearest_rank(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Percentiles as values of the data, never interpolated: the value at 0-based place min(n - 1, int(share * n)) of the sorted group.
-    Values are counted first, so the window runs over distinct values and not over rows."""
+    Values are counted first and placed by distributed running totals, so neither a group nor its distinct values are one task's work."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
-    ordered = Window.partitionBy(*group).orderBy(value)
-    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    placed = counted.withColumn("_upto", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*group)))
+    placed = running_total(counted, group, [value], F.col("_c"), "_place")
+    sizes = placed.groupBy(*group).agg(F.sum("_c").alias("_n"))
+    match = F.lit(True)
+    for g in group:
+        match = match & F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))
+    if group:
+        sized = placed.alias("a").join(sizes.alias("b"), match).select("a.*", "_n")
+    else:
+        sized = placed.withColumn("_n", F.lit(sizes.first()["_n"]))
 
     def at(share: float) -> Column:
         place = F.least(F.col("_n") - 1, F.floor(F.col("_n") * share))
-        return F.min(F.when(F.col("_upto") > place, F.col(value)))
+        return F.min(F.when(F.col("_place") > place, F.col(value)))
 
-    return placed.groupBy(*group).agg(*[at(share).alias(name) for name, share in shares.items()], F.max("_n").alias("n"), F.max(value).alias("largest"))
+    return sized.groupBy(*group).agg(*[at(share).alias(name) for name, share in shares.items()], F.max("_n").alias("n"), F.max(value).alias("largest"))
 
 
 def evidence_spans(cases: DataFrame, documents: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Row numbers over a whole table without putting it in one task."""
+"""Running totals and row numbers over a whole table without putting a group in one task."""
 
 from __future__ import annotations
 
@@ -8,18 +8,28 @@ from pyspark.sql import functions as F
 from permlens.session import written
 
 
-def number_rows(df: DataFrame, group: list[str], order: list[str | Column], name: str) -> DataFrame:
-    """1-based numbers in the given order within each group. The table is range-partitioned by that order and written; each part is
-    numbered on its own and shifted by the rows of the parts before it, so a group may span any number of tasks."""
-    parted = df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id())
-    parts = written(parted, f"numbered-{name}")
-    counts = parts.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_n"))
+def ordered_parts(df: DataFrame, group: list[str], order: list[str | Column]) -> DataFrame:
+    """The table range-partitioned by group and order and written, with the number of the part each row is in: the parts follow each other
+    in that order, and a large group spans as many of them as it needs. Written, so that the numbers stay when a task is run again."""
+    return written(df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()), "ordered")
+
+
+def running_total(df: DataFrame, group: list[str], order: list[str | Column], amount: Column, name: str) -> DataFrame:
+    """The sum of an amount up to and including each row, per group in the given order. Each part is summed on its own and shifted by the
+    totals of the parts before it."""
+    parts = ordered_parts(df.withColumn("_amount", amount), group, order)
+    totals = parts.groupBy("_part", *group).agg(F.sum("_amount").alias("_sum"))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select("_part", *group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    within = Window.partitionBy("_part", *group).orderBy(*order)
-    numbered = parts.withColumn("_nth", F.row_number().over(within)).alias("a")
+    shifts = totals.select("_part", *group, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_shift"))
+    within = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = parts.withColumn("_upto", F.sum("_amount").over(within)).alias("a")
     match = F.col("a._part") == F.col("b._part")
     for g in group:
         match = match & F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))
-    joined = numbered.join(F.broadcast(shifts.alias("b")), match)
-    return joined.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("_nth") + F.col("_shift")).cast("bigint").alias(name))
+    joined = summed.join(shifts.alias("b"), match)
+    return joined.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("_upto") + F.col("_shift")).cast("bigint").alias(name))
+
+
+def number_rows(df: DataFrame, group: list[str], order: list[str | Column], name: str) -> DataFrame:
+    """1-based row numbers in the given order within each group."""
+    return running_total(df, group, order, F.lit(1), name)

@@ -174,10 +174,10 @@ def job_counters(planned: DataFrame, chunk_counts: DataFrame) -> DataFrame:
 def replay_rounds(versions: DataFrame, loaded: DataFrame, batch_size: int = 200) -> DataFrame:
     """The rounds that replay histories so that every current version lands in the last one; documents already loaded contribute only
     their current version. Within a round, versions go in batches in key order."""
-    per_document = Window.partitionBy(*DOCUMENT)
+    counts = versions.groupBy(*DOCUMENT).agg(F.max("version_no").alias("n"))
     pending = (
         versions.select(*DOCUMENT, "version_no")
-        .withColumn("n", F.max("version_no").over(per_document))
+        .join(counts, DOCUMENT)
         .join(loaded.select(*DOCUMENT).withColumn("loaded", F.lit(True)), DOCUMENT, "left")
         .where(F.col("loaded").isNull() | (F.col("version_no") == F.col("n")))
     )
