@@ -11,91 +11,83 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from permlens.functions import text as T
-from permlens.operators.access import CHUNK, LABELS, PRINCIPAL, SCOPE, admitted
-from permlens.operators.keyword import PLACE, TIES, matches, scope_key, top
+from permlens.operators.access import CHUNK
+from permlens.operators.keyword import PLACE, TIES, context_text, label_table, scope_grants, top, top_chunks
 from permlens.operators.spread import spread_join
 from permlens.session import broadcast_if_small
 
 BUCKETS = 384
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 16_384
+STEP = 2048
 SCORE_TOLERANCE = 1e-6
 
 
-def admitted_scopes(requests: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows that anyone may see, each with the keys of the scopes that admit it. The rule is applied once per label combination."""
-    combination = ["tenant_id", *LABELS, *SCOPE]
-    scopes = requests.select(scope_key().alias("scope_key"), *PRINCIPAL, "as_of", "region").dropDuplicates(["scope_key"])
-    label_id = F.md5(F.to_json(F.struct(*combination)))
-    labels = rows.select(*combination).distinct().withColumn("label_id", label_id)
-    grants = (
-        scopes.alias("w").join(labels.alias("i"), admitted("w", "i"))
-        .groupBy("label_id").agg(F.sort_array(F.collect_set("scope_key")).alias("scopes"))
-    )
-    return rows.withColumn("label_id", label_id).join(broadcast_if_small(grants), "label_id").drop("label_id", *LABELS, *SCOPE)
-
-
 def exact_topk(requests: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
     """Cosine similarity of every request vector with every vector it may see, ranked after the filter. Request vectors are taken in
-    blocks of bounded size; each task scores its own partition of the corpus against a block with one matrix product and passes on
-    only what can still be in a top n, ties included. Rows of another profile never meet."""
-    candidates = admitted_scopes(requests, vectors)
-    asked = requests.select("request_id", scope_key().alias("scope_key"), "profile_id", "vector")
+    blocks of bounded size; each task scores its own partition of the corpus against a block with matrix products and passes on only what
+    can still be in a top n, ties included. Rows of another profile never meet."""
+    grants = scope_grants(requests, label_table(vectors)).groupBy("label_no").agg(F.sort_array(F.collect_set("scope_no")).alias("scopes"))
+    candidates = vectors.join(broadcast_if_small(grants), "label_no")
+    asked = requests.select("request_id", "request_no", "scope_no", "profile_id", "vector")
+    return top(scored_blocks(asked, candidates, n), ["request_id"], [F.desc("score"), *TIES], n)
+
+
+def scored_blocks(asked: DataFrame, candidates: DataFrame, n: int) -> DataFrame:
     total = asked.count()
-    blocks = max(1, -(-total // QUERY_BLOCK) * 2) if total > QUERY_BLOCK else 1
+    blocks = 1 if total <= QUERY_BLOCK else 2 * -(-total // QUERY_BLOCK)
     scored = None
     for block in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("request_id"), F.lit(blocks)) == block)
         found = score_block(part, candidates, n)
         scored = found if scored is None else scored.unionByName(found)
-    return top(scored, ["request_id"], [F.desc("score"), *TIES], n)
+    return scored
 
 
 def filter_after(requests: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
     """The nearest n of all rows, of which those the principal may see are kept: what a forced index scan does, and why it returns too
     few. For measuring only; it is not a way to search."""
-    open_to_all = requests.select("request_id", "profile_id", "vector", F.lit("all").alias("scope_key"))
-    everything = vectors.select(*CHUNK, *PLACE, "profile_id", "vector", F.array(F.lit("all")).alias("scopes"))
-    nearest = top(score_block(open_to_all, everything, n), ["request_id"], [F.desc("score"), *TIES], n)
-    labelled = nearest.join(vectors.select(*CHUNK, *LABELS, *SCOPE), CHUNK).alias("i")
-    asked = broadcast_if_small(requests.select("request_id", *PRINCIPAL, "as_of", "region")).alias("w")
-    seen = labelled.join(asked, admitted("w", "i") & (F.col("w.request_id") == F.col("i.request_id")))
-    return seen.select(*[F.col(f"i.{c}") for c in ["request_id", *CHUNK, *PLACE, "score", "rank"]])
+    open_to_all = requests.select("request_id", "request_no", F.lit(0).cast("bigint").alias("scope_no"), "profile_id", "vector")
+    everything = vectors.withColumn("scopes", F.array(F.lit(0).cast("bigint")))
+    nearest = top(scored_blocks(open_to_all, everything, n), ["request_id"], [F.desc("score"), *TIES], n)
+    labelled = nearest.join(vectors.select(*CHUNK, "label_no"), CHUNK).join(broadcast_if_small(requests.select("request_id", "scope_no")), "request_id")
+    grants = scope_grants(requests, label_table(vectors))
+    return labelled.join(broadcast_if_small(grants), ["scope_no", "label_no"], "left_semi").drop("scope_no", "label_no")
 
 
 def score_block(asked: DataFrame, candidates: DataFrame, n: int) -> DataFrame:
-    rows = asked.collect()
-    ids = [r["request_id"] for r in rows]
+    rows = asked.collect()  # one block of requests, of bounded size
+    ids = np.array([r["request_id"] for r in rows], dtype=object)
     profiles = np.array([r["profile_id"] for r in rows], dtype=object)
-    scopes = np.array([r["scope_key"] for r in rows], dtype=object)
+    scopes = np.array([r["scope_no"] for r in rows], dtype=np.int64)
     matrix = np.array([r["vector"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
     shared = candidates.sparkSession.sparkContext.broadcast((ids, profiles, scopes, matrix, np.sqrt((matrix * matrix).sum(axis=1))))
     carried = [*CHUNK, *PLACE]
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, profiles, scopes, queries, lengths = shared.value
+        floor = np.full(len(ids), -np.inf)  # the n-th best score this task has seen per request
         for batch in batches:
-            if not len(batch) or not ids:
+            if not len(batch) or not len(ids):
                 continue
             corpus = np.stack(batch["vector"].to_numpy()).astype(np.float64)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                cosine = (corpus @ queries.T) / (np.sqrt((corpus * corpus).sum(axis=1))[:, None] * lengths[None, :])
-            cosine = np.round(cosine, 9) + 0.0
+            norms = np.sqrt((corpus * corpus).sum(axis=1))
             codes, sets = pd.factorize(batch["scopes"].map(tuple))
-            same_profile = batch["profile_id"].to_numpy(dtype=object)[:, None] == profiles[None, :]
-            allowed = np.stack([np.isin(scopes, list(s)) for s in sets])[codes] & same_profile & np.isfinite(cosine)
-            kept_rows, kept_queries = [], []
-            for q in range(len(ids)):
-                at = np.flatnonzero(allowed[:, q])
-                if len(at) > n:
-                    column = cosine[at, q]
-                    at = at[column >= np.partition(column, len(column) - n)[len(column) - n]]
-                kept_rows.append(at)
-                kept_queries.append(np.full(len(at), q))
-            at, of = np.concatenate(kept_rows), np.concatenate(kept_queries)
-            out = batch[carried].iloc[at].reset_index(drop=True)
-            out.insert(0, "request_id", np.array(ids, dtype=object)[of])
-            out["score"] = cosine[at, of]
-            yield out
+            allowed_scopes = np.stack([np.isin(scopes, list(s)) for s in sets])
+            same_profile = pd.factorize(np.concatenate([profiles, batch["profile_id"].to_numpy(dtype=object)]))[0]
+            for lo in range(0, len(ids), STEP):
+                part = slice(lo, min(lo + STEP, len(ids)))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    cosine = (corpus @ queries[part].T) / (norms[:, None] * lengths[part][None, :])
+                cosine = np.round(cosine, 9) + 0.0
+                same = same_profile[len(ids) :][:, None] == same_profile[part][None, :]
+                cosine[~(allowed_scopes[:, part][codes] & same & np.isfinite(cosine))] = -np.inf
+                if len(cosine) > n:
+                    floor[part] = np.maximum(floor[part], np.partition(cosine, len(cosine) - n, axis=0)[len(cosine) - n])
+                at, of = np.nonzero((cosine >= floor[part][None, :]) & (cosine > -np.inf))
+                out = batch[carried].iloc[at].reset_index(drop=True)
+                out.insert(0, "request_id", ids[part][of])
+                out["score"] = cosine[at, of]
+                yield out
 
     kept = candidates.select(*carried, "profile_id", "vector", "scopes")
     schema = "request_id string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.select(*carried).schema) + ", score double"
@@ -125,19 +117,13 @@ def bucket_maps(df: DataFrame, text: Column, keys: list[str]) -> DataFrame:
 
 def sparse_vector_topk(requests: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
     """Cosine similarity by meeting on equal buckets: an equi-join and a sum in place of all pairs."""
-    who = ["request_id", *PRINCIPAL, "as_of", "region"]
-    length = lambda keys: F.sqrt(F.sum(F.col("cnt") * F.col("cnt")).over(Window.partitionBy(*keys)).cast("double"))
-    about = [*CHUNK, *PLACE, *LABELS, *SCOPE]
-    text = F.concat_ws("\n", "section_path", "content")
-    index = word_buckets(chunks, text, about).withColumn("length", length(CHUNK))
-    asked = word_buckets(requests, F.col("query"), who).withColumn("q_length", length(["request_id"])).withColumnRenamed("cnt", "q_cnt")
-    hits = (
-        matches(asked, index, ["bucket"])
-        .groupBy("request_id", *CHUNK, *PLACE)
-        .agg((F.sum(F.col("cnt") * F.col("q_cnt")) / (F.first("length") * F.first("q_length"))).alias("score"))
-        .withColumn("score", F.round("score", 9))
-    )
-    return top(hits, ["request_id"], [F.desc("score"), *TIES], n)
+    length = lambda key: F.sqrt(F.sum(F.col("cnt") * F.col("cnt")).over(Window.partitionBy(key)).cast("double"))
+    index = word_buckets(chunks, context_text(), ["chunk_no", "label_no", "tenant_id"]).withColumn("length", length("chunk_no"))
+    asked = word_buckets(requests, F.col("query"), ["request_no", "scope_no", "tenant_id"])
+    wanted = asked.withColumn("q_length", length("request_no")).withColumnRenamed("cnt", "q_cnt")
+    cosine = F.round(F.sum(F.col("cnt") * F.col("q_cnt")) / (F.first("length") * F.first("q_length")), 9)
+    grants = scope_grants(requests, label_table(chunks))
+    return top_chunks(wanted, index, "bucket", grants, cosine, [F.desc("score")], n, chunks, requests)
 
 
 def vector_problems(vectors: DataFrame, dimension: int) -> DataFrame:
@@ -173,13 +159,15 @@ def near_candidates(requests: DataFrame, vectors: DataFrame, dimension: int, pla
     width = planes // bands
     band = lambda bits: F.array(*[F.concat(F.lit(f"{b}:"), F.substring(bits, b * width + 1, width)) for b in range(bands)])
     cut_up = lambda df: df.withColumn("band", F.explode(band(plane_bits(F.col("vector"), dimension, planes))))
-    allowed = admitted("w", "i")
-    pairs = spread_join(cut_up(requests), cut_up(vectors), ["band"], CHUNK, allowed if filter_first else None)
+    grants = scope_grants(requests, label_table(vectors)).withColumn("allowed", F.lit(True))
+    met = spread_join(cut_up(requests).drop("tenant_id"), cut_up(vectors), ["band"], CHUNK)
+    kept = ["w.request_id", *[f"i.{c}" for c in [*CHUNK, *PLACE]], "scope_no", "label_no", F.col("w.vector").alias("q"), F.col("i.vector").alias("v")]
+    pairs = met.select(*kept).join(broadcast_if_small(grants), ["scope_no", "label_no"], "inner" if filter_first else "left")
     product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     size = lambda a: F.sqrt(product(a, a))
-    score = F.round(product(F.col("w.vector"), F.col("i.vector")) / (size(F.col("w.vector")) * size(F.col("i.vector"))), 9)
+    score = F.round(product(F.col("q"), F.col("v")) / (size(F.col("q")) * size(F.col("v"))), 9)
     place = [*CHUNK, *PLACE]
-    found = pairs.select("w.request_id", *[F.col(f"i.{c}") for c in place], allowed.alias("allowed"), score.alias("score"))
+    found = pairs.select("request_id", *place, F.coalesce("allowed", F.lit(False)).alias("allowed"), score.alias("score"))
     once = found.groupBy("request_id", *place).agg(F.max("score").alias("score"), F.max("allowed").alias("allowed"))
     return top(once, ["request_id"], [F.desc("score"), *TIES], n).where("allowed").drop("allowed")
 

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from permlens.functions import text as T
-from permlens.operators.access import CHUNK, LABELS, PRINCIPAL, SCOPE, admitted
+from permlens.operators.access import CHUNK, LABELS, PRINCIPAL, SCOPE, admitted, label_key
+from permlens.operators.numbering import number_rows
 from permlens.operators.spread import spread_join
-from permlens.session import is_small
+from permlens.session import broadcast_if_small, is_small, written
 
 PLACE = ["char_start", "char_end"]
 TIES = ["key", "version_no", "ordinal"]
@@ -20,96 +21,106 @@ def top(df: DataFrame, group: list[str], order: list[Column], n: int, name: str
     return df.withColumn(name, F.row_number().over(ranked)).where(F.col(name) <= n)
 
 
-def postings(chunks: DataFrame, with_context: bool = True) -> DataFrame:
-    """(term, chunk, tf, positions) with the chunk's length, labels and scope beside each, so a lookup needs no second join. Ordered by
-    term and chunk across range partitions: a common term spreads over several of them, and a lookup prunes by file statistics."""
-    text = F.concat_ws("\n", "section_path", "content") if with_context else F.col("content")
-    about = F.struct(*PLACE, *LABELS, *SCOPE, "n_terms")
-    return (
-        chunks.withColumn("terms", T.terms(text))
-        .withColumn("n_terms", F.size("terms"))
-        .select(*CHUNK, about.alias("about"), F.posexplode("terms").alias("pos", "term"))
-        .groupBy(*CHUNK, "term")
-        .agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.first("about").alias("about"))
-        .select("term", *CHUNK, "tf", "positions", "about.*")
-    )
-
-
-def chunk_lengths(chunks: DataFrame, with_context: bool = True) -> DataFrame:
-    text = F.concat_ws("\n", "section_path", "content") if with_context else F.col("content")
-    return chunks.select(*CHUNK, *LABELS, *SCOPE, F.size(T.terms(text)).alias("n_terms"))
+def number_chunks(chunks: DataFrame, with_context: bool = True) -> DataFrame:
+    """Chunks in (key, version, ordinal) order with a number that keeps that order, their term count, and the number of their label
+    combination. Channels carry these numbers instead of the keys, and ties between scores go to the smaller chunk number. The result has
+    to be written once, so that the numbers stay."""
+    combination = ["tenant_id", *LABELS, *SCOPE]
+    keyed = chunks.withColumn("label_key", label_key(combination)).withColumn("n_terms", F.size(T.terms(context_text(with_context))))
+    labels = number_rows(keyed.select("label_key").distinct(), [], ["label_key"], "label_no")
+    spread = keyed.join(F.broadcast(labels) if is_small(labels) else labels, "label_key").drop("label_key")
+    return spread.repartitionByRange(*TIES).sortWithinPartitions(*TIES).withColumn("chunk_no", F.monotonically_increasing_id())
 
 
-def wanted_terms(requests: DataFrame) -> DataFrame:
-    """(request, term, times asked) with the request's principal and scope."""
-    who = ["request_id", *PRINCIPAL, "as_of", "region"]
-    return requests.select(*who, F.explode(T.terms(F.col("query"))).alias("term")).groupBy(*who, "term").agg(F.count(F.lit(1)).alias("asked"))
+def context_text(with_context: bool = True) -> Column:
+    return F.concat_ws("\n", "section_path", "content") if with_context else F.col("content")
 
 
-def matches(wanted: DataFrame, index: DataFrame, on: list[str]) -> DataFrame:
-    """Index rows met by wanted rows, authorized and in scope; a key that holds a third of the index is spread over tasks."""
-    kept = [c for c in wanted.columns if c not in index.columns and c not in ("department", "projects", "clearance_rank", "as_of", "region")]
-    met = spread_join(wanted, index, on, CHUNK, admitted("w", "i"))
-    return met.select(*[f"w.{c}" for c in kept], *[f"i.{c}" for c in index.columns])
+def label_table(chunks: DataFrame) -> DataFrame:
+    """The label combinations in use, by number."""
+    return chunks.select("label_no", "tenant_id", *LABELS, *SCOPE).dropDuplicates(["label_no"])
 
 
-def sparse_topk(requests: DataFrame, index: DataFrame, n: int) -> DataFrame:
-    """Any query term may match; the score counts matched positions of distinct query terms and uses no corpus statistics."""
-    wanted = wanted_terms(requests).drop("asked")
-    hits = (
-        matches(wanted, index.drop("positions", "n_terms"), ["term"])
-        .groupBy("request_id", *CHUNK, *PLACE)
-        .agg(F.sum("tf").alias("matched"))
-        .withColumn("score", F.round(F.col("matched") * F.lit(0.1), 9))
+def postings(chunks: DataFrame, with_context: bool = True) -> DataFrame:
+    """(term, chunk, tf, positions) of numbered chunks, with the chunk's term count and label number. Ordered by term and chunk across
+    range partitions: a common term spreads over several of them, and a lookup prunes by file statistics."""
+    terms = chunks.select("chunk_no", "label_no", "tenant_id", "n_terms", F.posexplode(T.terms(context_text(with_context))).alias("pos", "term"))
+    counted = terms.groupBy("term", "chunk_no", "label_no", "tenant_id", "n_terms").agg(
+        F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")
+    )
+    return counted.repartitionByRange("term", "chunk_no").sortWithinPartitions("term", "chunk_no")
+
+
+def number_requests(requests: DataFrame) -> DataFrame:
+    """Requests with a number and the number of their scope: requests with the same rights, time and region see the same chunks and share
+    their statistics. The result has to be written once, so that the numbers stay."""
+    keyed = requests.withColumn("scope_key", label_key([*PRINCIPAL, "as_of", "region"]))
+    scopes = number_rows(keyed.select("scope_key").distinct(), [], ["scope_key"], "scope_no")
+    numbered = keyed.join(F.broadcast(scopes) if is_small(scopes) else scopes, "scope_key").drop("scope_key")
+    return numbered.withColumn("request_no", F.monotonically_increasing_id())
+
+
+def scope_grants(requests: DataFrame, labels: DataFrame) -> DataFrame:
+    """(scope, label combination) pairs that may meet: the access and scope rule, applied once per distinct pair."""
+    scopes = requests.select("scope_no", *PRINCIPAL, "as_of", "region").dropDuplicates(["scope_no"])
+    return scopes.alias("w").join(labels.alias("i"), admitted("w", "i")).select("scope_no", "label_no")
+
+
+def top_chunks(
+    wanted: DataFrame, index: DataFrame, on: str, grants: DataFrame, score: Column, order: list[Column], n: int, chunks: DataFrame, requests: DataFrame
+) -> DataFrame:
+    """The best n chunks of every request. Index rows that anyone wants are partitioned by chunk; few wanted rows are broadcast to them, so
+    a chunk's score is complete where its rows are and only each partition's best n per request are shuffled. Too many wanted rows are
+    shuffled instead, with hot index keys spread. What a request may not see is dropped before anything is scored or ranked."""
+    keys = [on, "tenant_id"]
+    asked = wanted.select(*keys).distinct()
+    used = index.join(F.broadcast(asked) if is_small(asked) else asked, keys, "left_semi").repartition("chunk_no")
+    met = spread_join(wanted, used, keys, ["chunk_no"]).select(
+        *[f"w.{c}" for c in wanted.columns], *[f"i.{c}" for c in index.columns if c not in keys]
+    )
+    seen = met.join(broadcast_if_small(grants), ["scope_no", "label_no"], "left_semi")
+    hits = seen.groupBy("request_no", "chunk_no").agg(score.alias("score"))
+    best = top(hits.where(F.col("score") > 0), ["request_no"], [*order, F.col("chunk_no")], n)
+    names = requests.select("request_no", "request_id")
+    return (
+        best.join(chunks.select("chunk_no", *CHUNK, *PLACE), "chunk_no")
+        .join(broadcast_if_small(names), "request_no")
+        .select("request_id", *CHUNK, *PLACE, "score", "rank")
     )
-    return top(hits, ["request_id"], [F.desc("matched"), *TIES], n).drop("matched")
 
 
-def scope_key() -> Column:
-    """Requests with the same rights, time and region rank over the same chunks and share their statistics."""
-    return F.md5(F.to_json(F.struct("tenant_id", "clearance_rank", "department", F.array_sort("projects").alias("p"), "as_of", "region")))
+def sparse_topk(requests: DataFrame, index: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
+    """Any query term may match; the score counts matched positions of distinct query terms and uses no corpus statistics."""
+    wanted = requests.select("request_no", "scope_no", "tenant_id", F.explode(F.array_distinct(T.terms(F.col("query")))).alias("term"))
+    grants = scope_grants(requests, label_table(chunks))
+    matched = top_chunks(wanted, index.drop("positions", "n_terms"), "term", grants, F.sum("tf"), [F.desc("score")], n, chunks, requests)
+    return matched.withColumn("score", F.round(F.col("score") * F.lit(0.1), 9))
 
 
-def bm25_topk(requests: DataFrame, index: DataFrame, lengths: DataFrame, n: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25_topk(requests: DataFrame, index: DataFrame, chunks: DataFrame, n: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Okapi BM25 whose statistics are those of the chunks each request may see. Chunks are counted per label combination first; only
     those counts meet the distinct scopes, never the chunks."""
-    scoped = requests.withColumn("scope_key", scope_key())
-    scopes = scoped.select("scope_key", *PRINCIPAL, "as_of", "region").dropDuplicates(["scope_key"])
-    combination = ["tenant_id", *LABELS, *SCOPE]
-
-    by_labels = lengths.groupBy(*combination).agg(F.count(F.lit(1)).alias("chunks"), F.sum("n_terms").alias("terms"))
-    sizes = (
-        scopes.alias("w").join(by_labels.alias("i"), admitted("w", "i"))
-        .groupBy("scope_key").agg(F.sum("chunks").alias("n"), (F.sum("terms") / F.sum("chunks")).alias("average"))
-    )
-    asked = scoped.select("request_id", "scope_key", *PRINCIPAL, "as_of", "region", F.explode(T.terms(F.col("query"))).alias("term"))
-    wanted = asked.groupBy("request_id", "scope_key", *PRINCIPAL, "as_of", "region", "term").agg(F.count(F.lit(1)).alias("asked"))
-    scope_terms = wanted.select("scope_key", *PRINCIPAL, "as_of", "region", "term").dropDuplicates(["scope_key", "term"])
-    terms = scope_terms.select("tenant_id", "term").distinct()
-    term_counts = (
+    grants = scope_grants(requests, label_table(chunks))
+    near = broadcast_if_small(grants)
+    by_label = chunks.groupBy("label_no").agg(F.count(F.lit(1)).alias("chunks"), F.sum("n_terms").alias("terms"))
+    sizes = by_label.join(near, "label_no").groupBy("scope_no").agg(F.sum("chunks").alias("n"), (F.sum("terms") / F.sum("chunks")).alias("average"))
+    asked = requests.select("request_no", "scope_no", "tenant_id", F.explode(T.terms(F.col("query"))).alias("term"))
+    counted = asked.groupBy("request_no", "scope_no", "tenant_id", "term").agg(F.count(F.lit(1)).alias("asked"))
+    terms = counted.select("tenant_id", "term").distinct()
+    per_label = (
         index.join(F.broadcast(terms) if is_small(terms) else terms, ["tenant_id", "term"], "left_semi")
-        .groupBy("term", *combination).agg(F.count(F.lit(1)).alias("df"))
-    )
-    frequency = (
-        scope_terms.alias("w").join(term_counts.alias("i"), admitted("w", "i") & (F.col("w.term") == F.col("i.term")))
-        .groupBy("w.scope_key", "w.term").agg(F.sum("i.df").alias("df"))
-    )
-    weighted = (
-        wanted.join(frequency, ["scope_key", "term"]).join(sizes, "scope_key")
-        .withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        .drop("df", "n", "scope_key")
+        .groupBy("term", "label_no").agg(F.count(F.lit(1)).alias("df"))
     )
-    norm = k1 * (1 - b + b * F.col("n_terms") / F.col("average"))
-    gain = F.col("asked") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    hits = (
-        matches(weighted, index.drop("positions"), ["term"])
-        .withColumn("gain", gain)
-        .groupBy("request_id", *CHUNK, *PLACE)
-        .agg(F.sum("gain").alias("score"))
-        .withColumn("score", F.round("score", 9))
-        .where(F.col("score") > 0)
+    frequency = per_label.join(near, "label_no").groupBy("scope_no", "term").agg(F.sum("df").alias("df"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = written(
+        counted.join(frequency, ["scope_no", "term"])
+        .join(F.broadcast(sizes) if is_small(sizes) else sizes, "scope_no")
+        .select("request_no", "scope_no", "tenant_id", "term", (F.col("asked") * idf * (k1 + 1)).alias("weight"), (k1 * b / F.col("average")).alias("slope")),
+        "bm25-terms",
     )
-    return top(hits, ["request_id"], [F.desc("score"), *TIES], n)
+    gain = F.col("weight") * F.col("tf") / (F.col("tf") + k1 * (1 - b) + F.col("slope") * F.col("n_terms"))
+    return top_chunks(weighted, index.drop("positions"), "term", grants, F.round(F.sum(gain), 9), [F.desc("score")], n, chunks, requests)
 
 
 def ranking_differences(results: DataFrame, expected: DataFrame) -> DataFrame:

@@ -65,21 +65,15 @@ class Corpus:
 
     @property
     def candidates(self) -> DataFrame:
-        """Chunks of active versions with their labels and scope beside them: the only rows a search reads."""
+        """Numbered chunks of active versions with their labels and scope beside them: the only rows a search reads."""
         labels = ["title", "classification", *access.LABELS, *access.SCOPE, "format"]
         return self._once(
-            "candidate", lambda: self.chunks.join(self.active.select(*chunking.DOC, *labels), chunking.DOC)
+            "candidate", lambda: keyword.number_chunks(self.chunks.join(self.active.select(*chunking.DOC, *labels), chunking.DOC))
         )
 
     @property
     def postings(self) -> DataFrame:
-        return self._once(
-            "posting", lambda: keyword.postings(self.candidates).repartitionByRange("term", "key").sortWithinPartitions("term", "key")
-        )
-
-    @property
-    def lengths(self) -> DataFrame:
-        return keyword.chunk_lengths(self.candidates)
+        return self._once("posting", lambda: keyword.postings(self.candidates))
 
     @property
     def cases(self) -> DataFrame:
@@ -93,7 +87,9 @@ class Corpus:
 
     @property
     def scoped(self) -> DataFrame:
-        return self._once("scoped", lambda: access.scoped_requests(self.requests, self.principals, self.run_time))
+        return self._once(
+            "scoped", lambda: keyword.number_requests(access.scoped_requests(self.requests, self.principals, self.run_time))
+        )
 
     @property
     def word_vectors(self) -> DataFrame:
@@ -102,7 +98,7 @@ class Corpus:
         def build() -> DataFrame:
             text = F.concat_ws("\n", "section_path", "content")
             vectors = dense.bucket_maps(self.candidates, text, access.CHUNK)
-            about = self.candidates.select(*access.CHUNK, *keyword.PLACE, *access.LABELS, *access.SCOPE)
+            about = self.candidates.select(*access.CHUNK, *keyword.PLACE, *access.LABELS, *access.SCOPE, "label_no")
             return about.join(vectors, access.CHUNK).withColumn("profile_id", F.lit("hashing"))
 
         return self._once("word_vector", build)
@@ -117,7 +113,7 @@ class Corpus:
         embeddings = self.given("embeddings").select("vec_id", F.col("embedding").alias("vector"))
         total = embeddings.count()
         key = F.concat_ws(":", "key", "ordinal")
-        about = self.candidates.select(*access.CHUNK, *keyword.PLACE, *access.LABELS, *access.SCOPE)
+        about = self.candidates.select(*access.CHUNK, *keyword.PLACE, *access.LABELS, *access.SCOPE, "label_no")
         drawn = about.withColumn("vec_id", draw("vec", key) % total)
         return drawn.join(embeddings, "vec_id").withColumn("profile_id", F.lit("given"))
 
@@ -128,7 +124,7 @@ class Corpus:
 
     @property
     def sparse(self) -> DataFrame:
-        return self._once("sparse", lambda: keyword.sparse_topk(self.scoped, self.postings, 50))
+        return self._once("sparse", lambda: keyword.sparse_topk(self.scoped, self.postings, self.candidates, 50))
 
     @property
     def dense(self) -> DataFrame:
@@ -136,7 +132,7 @@ class Corpus:
 
     @property
     def bm25(self) -> DataFrame:
-        return self._once("bm25", lambda: keyword.bm25_topk(self.scoped, self.postings, self.lengths, 10))
+        return self._once("bm25", lambda: keyword.bm25_topk(self.scoped, self.postings, self.candidates, 10))
 
     @property
     def results(self) -> DataFrame:

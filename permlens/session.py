@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 1_000_000  # of narrow rows; callers with wide rows pass fewer
 
 _LOCAL_FOLDERS: dict[str, str] = {}
 
