@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import DoubleType
+
 from permlens.functions import text as T
 from permlens.operators.access import CHUNK
 from permlens.operators.keyword import PLACE, TIES, context_text, label_table, scope_grants, top, top_chunks
@@ -138,15 +140,24 @@ def vector_problems(vectors: DataFrame, dimension: int) -> DataFrame:
     return vectors.withColumn("problem", problem).where("problem is not null")
 
 
-def plane_bits(vector: Column, dimension: int, planes: int) -> Column:
-    """Which side of each pseudo-random hyperplane a vector lies on, as a bit string."""
-    signs = [
-        F.array(*[F.lit(1.0 if _sign(p, d) else -1.0) for d in range(dimension)]) for p in range(planes)
-    ]
-    side = lambda plane: F.aggregate(
-        F.zip_with(vector, plane, lambda x, s: x.cast("double") * s), F.lit(0.0), lambda a, x: a + x
-    )
-    return F.concat(*[F.when(side(plane) >= 0, "1").otherwise("0") for plane in signs])
+@F.pandas_udf(DoubleType())
+def pair_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Cosine similarity of two vector columns, a batch at a time."""
+    x, y = np.stack(a.to_numpy()).astype(np.float64), np.stack(b.to_numpy()).astype(np.float64)
+    return pd.Series((x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1))))
+
+
+def plane_bands(dimension: int, planes: int, bands: int):
+    """A column function: which side of pseudo-random hyperplanes a vector lies on, cut into bands of bits."""
+    signs = np.array([[1.0 if _sign(p, d) else -1.0 for d in range(dimension)] for p in range(planes)])
+    width = planes // bands
+
+    @F.pandas_udf("array<string>")
+    def sides(vectors: pd.Series) -> pd.Series:
+        bits = (np.stack(vectors.to_numpy()).astype(np.float64) @ signs.T >= 0).astype(int)
+        return pd.Series([[f"{b}:{''.join(map(str, row[b * width : (b + 1) * width]))}" for b in range(bands)] for row in bits])
+
+    return sides
 
 
 def _sign(plane: int, dimension: int) -> bool:
@@ -156,16 +167,13 @@ def _sign(plane: int, dimension: int) -> bool:
 def near_candidates(requests: DataFrame, vectors: DataFrame, dimension: int, planes: int, bands: int, n: int, filter_first: bool) -> DataFrame:
     """Approximate candidates: vectors that share a band of hyperplane sides with the request, then exact cosine. With filter_first the
     rows a principal may not see are left out before the nearest n are taken; otherwise after, which can return too few."""
-    width = planes // bands
-    band = lambda bits: F.array(*[F.concat(F.lit(f"{b}:"), F.substring(bits, b * width + 1, width)) for b in range(bands)])
-    cut_up = lambda df: df.withColumn("band", F.explode(band(plane_bits(F.col("vector"), dimension, planes))))
+    sides = plane_bands(dimension, planes, bands)
+    cut_up = lambda df: df.withColumn("band", F.explode(sides("vector")))
     grants = scope_grants(requests, label_table(vectors)).withColumn("allowed", F.lit(True))
     met = spread_join(cut_up(requests).drop("tenant_id"), cut_up(vectors), ["band"], CHUNK)
     kept = ["w.request_id", *[f"i.{c}" for c in [*CHUNK, *PLACE]], "scope_no", "label_no", F.col("w.vector").alias("q"), F.col("i.vector").alias("v")]
     pairs = met.select(*kept).join(broadcast_if_small(grants), ["scope_no", "label_no"], "inner" if filter_first else "left")
-    product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    size = lambda a: F.sqrt(product(a, a))
-    score = F.round(product(F.col("q"), F.col("v")) / (size(F.col("q")) * size(F.col("v"))), 9)
+    score = F.round(pair_cosine("q", "v"), 9)
     place = [*CHUNK, *PLACE]
     found = pairs.select("request_id", *place, F.coalesce("allowed", F.lit(False)).alias("allowed"), score.alias("score"))
     once = found.groupBy("request_id", *place).agg(F.max("score").alias("score"), F.max("allowed").alias("allowed"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from permlens.functions import labels as L
 from permlens.functions import text as T
-from permlens.operators.numbering import number_rows
+from permlens.operators.numbering import number_rows, ordered_parts
 
 DOCUMENT = ["tenant_id", "key"]
 METADATA = ["title", "source_uri", "classification", "allowed_departments", "required_projects", "applies_to_regions", "valid_from", "valid_to"]
@@ -40,23 +40,32 @@ def content_sha(content: Column) -> Column:
 def plan_versions(submissions: DataFrame, state: DataFrame) -> DataFrame:
     """What each submission does, in the order of each document's submissions, and the version number it writes. It is compared with the
     submission before it, or with the stored active version; a deleted document has no content. Numbers continue after the last one ever
-    used, and an unchanged submission uses none. The window streams through one document's submissions and never holds them."""
-    in_order = Window.partitionBy(*DOCUMENT).orderBy("job_id", "ordinal")
-    upto = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    used, and an unchanged submission uses none. The submissions of one document may span many ordered parts; what one part needs of those
+    before it, the last submission and the numbers used, comes from one summary row per document and part."""
+    block = [*DOCUMENT, "_part"]
+    in_block = Window.partitionBy(*block).orderBy("job_id", "ordinal")
+    upto = in_block.rowsBetween(Window.unboundedPreceding, 0)
+    by_part = Window.partitionBy(*DOCUMENT).orderBy("_part")
+    earlier = by_part.rowsBetween(Window.unboundedPreceding, -1)
     now = F.struct(F.col("sha"), F.col("format"), F.col("metadata"))
     stored = F.when(
         F.col("s.status") != "deleted",
         F.struct(F.col("s.sha").alias("sha"), F.col("s.format").alias("format"), F.col("s.metadata").alias("metadata")),
     )
+    parts = ordered_parts(submissions, DOCUMENT, ["job_id", "ordinal"])
+    ends = parts.groupBy(*block).agg(F.max_by(now, F.struct("job_id", "ordinal")).alias("end"))
+    starts = ends.select(*block, F.lag("end").over(by_part).alias("carried"), (F.row_number().over(by_part) == 1).alias("opens"))
     rows = (
-        submissions.alias("n")
+        parts.alias("n")
         .join(state.alias("s"), DOCUMENT, "left")
         .select(
-            *DOCUMENT, "n.job_id", "n.ordinal", "n.sha", "n.format", "n.metadata", stored.alias("stored"),
+            *DOCUMENT, "n._part", "n.job_id", "n.ordinal", "n.sha", "n.format", "n.metadata", stored.alias("stored"),
             F.coalesce("s.last_version_no", F.lit(0)).alias("last_version_no"), F.col("s.content_version_no").alias("stored_owner"),
         )
-        .withColumn("before", F.when(F.row_number().over(in_order) == 1, F.col("stored")).otherwise(F.lag(now).over(in_order)))
+        .join(starts, block)
     )
+    first = F.row_number().over(in_block) == 1
+    before = F.when(~first, F.lag(now).over(in_block)).when(F.col("opens"), F.col("stored")).otherwise(F.col("carried"))
     same_content = (F.col("before.sha") == F.col("sha")) & (F.col("before.format") == F.col("format"))
     same_metadata = F.col("before.metadata").eqNullSafe(F.col("metadata"))
     outcome = (
@@ -65,12 +74,16 @@ def plan_versions(submissions: DataFrame, state: DataFrame) -> DataFrame:
         .when(same_content, "relabelled")
         .otherwise("updated")
     )
-    numbered = rows.withColumn("outcome", outcome).withColumn(
-        "version_no", F.col("last_version_no") + F.sum((F.col("outcome") != "unchanged").cast("int")).over(upto)
-    )
-    wrote_content = F.col("outcome").isin("created", "updated")
-    owner = F.coalesce(F.last(F.when(wrote_content, F.col("version_no")), ignorenulls=True).over(upto), F.col("stored_owner"))
-    return numbered.select(
+    changed = (F.col("outcome") != "unchanged").cast("int")
+    decided = rows.withColumn("before", before).withColumn("outcome", outcome)
+    used = decided.groupBy(*block).agg(F.sum(changed).alias("used"))
+    shifts = used.select(*block, F.coalesce(F.sum("used").over(earlier), F.lit(0)).alias("shift"))
+    wrote = F.when(F.col("outcome").isin("created", "updated"), F.col("version_no"))
+    numbered = decided.join(shifts, block).withColumn("version_no", F.col("last_version_no") + F.col("shift") + F.sum(changed).over(upto))
+    owners = numbered.groupBy(*block).agg(F.max(wrote).alias("owner"))
+    carried_owner = owners.select(*block, F.max("owner").over(earlier).alias("carried_owner"))
+    owner = F.coalesce(F.max(wrote).over(upto), F.col("carried_owner"), F.col("stored_owner"))
+    return numbered.join(carried_owner, block).select(
         *DOCUMENT, "job_id", "ordinal", "sha", "format", "metadata", "outcome",
         F.when(F.col("outcome") != "unchanged", F.col("version_no")).cast("bigint").alias("version_no"),
         owner.cast("bigint").alias("content_version_no"),
@@ -107,22 +120,30 @@ def next_state(state: DataFrame, planned: DataFrame) -> DataFrame:
 
 
 def final_status(events: DataFrame) -> DataFrame:
-    """Status after ordered (key, at, action) events. Deleting holds until the document is ingested again. Ingestions cut the events into
-    epochs, of which only the last with a status event decides."""
-    upto = Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    epochs = events.withColumn("epoch", F.count_if(F.col("action") == "ingest").over(upto)).groupBy("key", "epoch").agg(
+    """Status after ordered (key, at, action) events. Deleting holds until the document is ingested again. The events of one document may
+    span many ordered parts; each part is reduced to where it leads from a deleted and from any other status, and the parts are applied
+    in order. Within a part, ingestions cut the events into epochs, of which only the last with a status event decides."""
+    parts = ordered_parts(events, ["key"], ["at"])
+    block = ["key", "_part"]
+    upto = Window.partitionBy(*block).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    epochs = parts.withColumn("epoch", F.count_if(F.col("action") == "ingest").over(upto)).groupBy(*block, "epoch").agg(
         F.bool_or(F.col("action") == "deleted").alias("deleted"),
         F.max(F.when(F.col("action") != "ingest", F.struct("at", "action"))).alias("last"),
     )
-    per_key = epochs.groupBy("key").agg(
-        F.max("epoch").alias("epochs"), F.max(F.when(F.col("last").isNotNull(), F.struct("epoch", "deleted", "last"))).alias("e")
-    )
-    status = (
-        F.when(F.col("e").isNull(), "active")
-        .when(F.col("e.deleted"), F.when(F.col("e.epoch") == F.col("epochs"), "deleted").otherwise("active"))
-        .otherwise(F.col("e.last.action"))
+    told = F.when(F.col("last").isNotNull(), F.struct("epoch", "deleted", "last"))
+    per_block = epochs.groupBy(*block).agg(
+        F.max("epoch").alias("epochs"), F.max(told).alias("any"), F.max(F.when(F.col("epoch") > 0, told)).alias("revived")
     )
-    return per_key.select("key", status.alias("status"))
+
+    def ends_in(e: Column) -> Column:
+        after_delete = F.when(e["epoch"] == F.col("epochs"), "deleted").otherwise("active")
+        return F.when(e["deleted"], after_delete).otherwise(e["last"]["action"])
+
+    from_other = F.when(F.col("any").isNotNull(), ends_in(F.col("any")))
+    from_deleted = F.when(F.col("epochs") == 0, "deleted").when(F.col("revived").isNull(), "active").otherwise(ends_in(F.col("revived")))
+    steps = per_block.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("_part", from_other.alias("other"), from_deleted.alias("deleted")))).alias("steps"))
+    status = F.aggregate("steps", F.lit("active"), lambda s, x: F.when(s == "deleted", x["deleted"]).otherwise(F.coalesce(x["other"], s)))
+    return steps.select("key", status.alias("status"))
 
 
 def unreachable_versions(versions: DataFrame, current: DataFrame) -> DataFrame:
@@ -206,21 +227,34 @@ def chunker_releases(chunker_versions: DataFrame) -> DataFrame:
 
 def job_states(events: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """The state of each job from its ordered (job_id, at, kind) events: succeeded and exhausted are final, a failed attempt waits twice
-    as long each time, anything else is running."""
-    upto = Window.partitionBy("job_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    counted = events.withColumn("failures", F.count_if(F.col("kind") == "attempt_failed").over(upto))
-    final = F.when(F.col("kind") == "succeeded", "succeeded").when(
-        (F.col("kind") == "attempt_failed") & (F.col("failures") >= max_attempts), "failed"
+    as long each time, anything else is running. The events of one job may span many ordered parts; each part is reduced to its failures
+    before a success, its failures and its last kind, and the parts are applied in order."""
+    parts = ordered_parts(events, ["job_id"], ["at"])
+    block = ["job_id", "_part"]
+    failed, succeeded = F.col("kind") == "attempt_failed", F.col("kind") == "succeeded"
+    won_at = F.min(F.when(succeeded, F.col("at"))).over(Window.partitionBy(*block))
+    per_block = parts.withColumn("won_at", won_at).groupBy(*block).agg(
+        F.count_if(failed & (F.col("at") < F.col("won_at"))).alias("failed_first"),
+        F.bool_or(succeeded).alias("won"),
+        F.count_if(failed).alias("failed"),
+        F.max_by("kind", "at").alias("last"),
     )
-    per_job = counted.groupBy("job_id").agg(
-        F.min(F.when(final.isNotNull(), F.struct("at", final.alias("state"), "failures"))).alias("final"),
-        F.max(F.struct("at", "kind", "failures")).alias("last"),
-    )
-    waiting = F.col("last.kind") == "attempt_failed"
-    state = F.coalesce(F.col("final.state"), F.when(waiting, "queued").otherwise("running"))
-    attempts = F.coalesce(F.col("final.failures"), F.col("last.failures"))
+    steps = per_block.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("_part", "failed_first", "won", "failed", "last"))).alias("steps"))
+
+    def state(name: Column, failures: Column) -> Column:
+        return F.struct(name.alias("state"), failures.cast("bigint").alias("failures"))
+
+    def step(s: Column, x: Column) -> Column:
+        failures = s["failures"] + F.when(x["won"], x["failed_first"]).otherwise(x["failed"])
+        return (
+            F.when(s["state"].isin("succeeded", "failed"), s)
+            .when(failures >= max_attempts, state(F.lit("failed"), F.lit(max_attempts)))
+            .when(x["won"], state(F.lit("succeeded"), failures))
+            .otherwise(state(F.when(x["last"] == "attempt_failed", "queued").otherwise("running"), failures))
+        )
+
+    ended = steps.select("job_id", F.aggregate("steps", state(F.lit("running"), F.lit(0)), step).alias("s"))
     delay = F.when(
-        F.col("final").isNull() & waiting,
-        F.lit(FIRST_DELAY_SECONDS) * F.pow(F.lit(2), F.least(F.col("last.failures") - 1, F.lit(MAX_DOUBLINGS))),
+        F.col("s.state") == "queued", F.lit(FIRST_DELAY_SECONDS) * F.pow(F.lit(2), F.least(F.col("s.failures") - 1, F.lit(MAX_DOUBLINGS)))
     )
-    return per_job.select("job_id", state.alias("state"), attempts.cast("bigint").alias("failures"), delay.cast("bigint").alias("retry_seconds"))
+    return ended.select("job_id", "s.state", "s.failures", delay.cast("bigint").alias("retry_seconds"))
