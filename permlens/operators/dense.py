@@ -61,7 +61,7 @@ def score_block(asked: DataFrame, candidates: DataFrame, n: int) -> DataFrame:
     ids = np.array([r["request_id"] for r in rows], dtype=object)
     profiles = np.array([r["profile_id"] for r in rows], dtype=object)
     scopes = np.array([r["scope_no"] for r in rows], dtype=np.int64)
-    matrix = np.array([r["vector"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+    matrix = np.array([r["vector"] for r in rows], dtype=np.float64) if rows else np.zeros((0, 1))
     shared = candidates.sparkSession.sparkContext.broadcast((ids, profiles, scopes, matrix, np.sqrt((matrix * matrix).sum(axis=1))))
     carried = [*CHUNK, *PLACE]
 
