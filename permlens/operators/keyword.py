@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from permlens.functions import text as T
 from permlens.operators.access import CHUNK, LABELS, PRINCIPAL, SCOPE, admitted, label_key
-from permlens.operators.numbering import number_rows
 from permlens.operators.spread import spread_join
 from permlens.session import broadcast_if_small, is_small, written
 
@@ -27,7 +26,7 @@ def number_chunks(chunks: DataFrame, with_context: bool = True) -> DataFrame:
     to be written once, so that the numbers stay."""
     combination = ["tenant_id", *LABELS, *SCOPE]
     keyed = chunks.withColumn("label_key", label_key(combination)).withColumn("n_terms", F.size(T.terms(context_text(with_context))))
-    labels = number_rows(keyed.select("label_key").distinct(), [], ["label_key"], "label_no")
+    labels = written(keyed.select("label_key").distinct().withColumn("label_no", F.monotonically_increasing_id()), "label")
     spread = keyed.join(F.broadcast(labels) if is_small(labels) else labels, "label_key").drop("label_key")
     return spread.repartitionByRange(*TIES).sortWithinPartitions(*TIES).withColumn("chunk_no", F.monotonically_increasing_id())
 
@@ -55,7 +54,7 @@ def number_requests(requests: DataFrame) -> DataFrame:
     """Requests with a number and the number of their scope: requests with the same rights, time and region see the same chunks and share
     their statistics. The result has to be written once, so that the numbers stay."""
     keyed = requests.withColumn("scope_key", label_key([*PRINCIPAL, "as_of", "region"]))
-    scopes = number_rows(keyed.select("scope_key").distinct(), [], ["scope_key"], "scope_no")
+    scopes = written(keyed.select("scope_key").distinct().withColumn("scope_no", F.monotonically_increasing_id()), "scope")
     numbered = keyed.join(F.broadcast(scopes) if is_small(scopes) else scopes, "scope_key").drop("scope_key")
     return numbered.withColumn("request_no", F.monotonically_increasing_id())
 
