@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from permlens.catalog.sql import h, one_of, plain_words, sql, terms, words
+from permlens.functions import models
 from permlens.functions import text as T
 from permlens.functions.hashing import draw
 from permlens.operators import dense, fusion, keyword
@@ -139,6 +140,26 @@ def f4(c: Corpus) -> DataFrame:
     return longs(rows.select("request_id", "key", "version_no", "ordinal", "rerank_score"), "version_no", "ordinal")
 
 
+def load_overlap():
+    """A plugged-in scorer: the share of a query's words in the passage, in plain Python."""
+    import re
+
+    def score(queries: list[str], passages: list[str]) -> list[float]:
+        out = []
+        for query, passage in zip(queries, passages, strict=True):
+            wanted = set(re.findall("[a-z0-9]+", query.lower()))
+            found = wanted & set(re.findall("[a-z0-9]+", passage.lower()))
+            out.append(round(len(found) / len(wanted), 9) if wanted else 0.0)
+        return out
+
+    return score
+
+
+def u1(c: Corpus) -> DataFrame:
+    pairs = search.pool_pairs(pool(c), c.scoped, c.candidates)
+    return longs(models.score_pairs(pairs, ["request_id", "key", "version_no", "ordinal"], load_overlap), "version_no", "ordinal")
+
+
 def f5(c: Corpus) -> DataFrame:
     passages = c.results.where("strategy = 'hybrid-rrf'").join(c.candidates.select(*CHUNK, "word_count"), CHUNK)
     return longs(fusion.fit_query(c.scoped, passages), "longest", "kept_words")
@@ -177,6 +198,7 @@ QUERIES = {
     "f2_dedupe_overlaps_topk": lambda c: scored(fusion.dedupe_topk(c.sparse, 10, ["request_id"])),
     "f3_rerank_head": f3,
     "f4_word_overlap_score": f4,
+    "u1_pluggable_scorer": u1,
     "f5_rerank_query_fit": f5,
     "f6_degraded_fallback": f6,
     "f7_plan_hash": f7,
@@ -281,6 +303,9 @@ SQL = {
     "f4_word_overlap_score": sql(
         "select request_id, key, version_no::BIGINT as version_no, ordinal::BIGINT as ordinal, round(rerank_score, 9) as rerank_score from reranked"
     ),
+    "u1_pluggable_scorer": sql(
+        "select request_id, key, version_no::BIGINT as version_no, ordinal::BIGINT as ordinal, round(rerank_score, 9) as rerank_score from reranked"
+    ),
     "f5_rerank_query_fit": sql(
         f"""select request_id, longest, case when fits then len(w) else room end::BIGINT as kept_words, case when fits then query else array_to_string(w[1:room], ' ') end as fitted,
             not fits as truncated, not fits and room < 1 as refused

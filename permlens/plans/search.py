@@ -11,11 +11,15 @@ from permlens.operators.keyword import PLACE
 from permlens.session import broadcast_if_small, written
 
 
+def pool_pairs(pool: DataFrame, requests: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The query and passage text of every pooled candidate, for a scorer."""
+    asked = broadcast_if_small(requests.select("request_id", "query"), max_rows=100_000)
+    return pool.select("request_id", *CHUNK).join(chunks.select(*CHUNK, "content"), CHUNK).join(asked, "request_id")
+
+
 def overlap_scores(pool: DataFrame, requests: DataFrame, chunks: DataFrame) -> DataFrame:
     """Re-ranking scores of a pool. Passages are read once, by the pool's chunk keys; the score is one native expression."""
-    asked = broadcast_if_small(requests.select("request_id", "query"))
-    passages = chunks.select(*CHUNK, "content")
-    texts = pool.select("request_id", *CHUNK).join(passages, CHUNK).join(asked, "request_id")
+    texts = pool_pairs(pool, requests, chunks)
     score = F.round(fusion.word_overlap(F.col("query"), F.col("content")), 9)
     return texts.select("request_id", *CHUNK, score.alias("rerank_score"))
 

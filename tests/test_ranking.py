@@ -170,3 +170,20 @@ def test_vector_problems(spark):
 
 def test_principal_columns_cover_the_rule():
     assert PRINCIPAL == ["tenant_id", "department", "projects", "clearance_rank"]
+
+
+def test_model_hooks_load_once_per_task_and_keep_rows_together(spark):
+    from permlens.functions import models
+
+    def load_embed():
+        return lambda texts: [[float(len(t)), 1.0] for t in texts]
+
+    rows = spark.createDataFrame([(i, "x" * i) for i in range(150)], "id int, content string")
+    got = {r.id: list(r.vector) for r in models.embed_texts(rows, "content", load_embed).collect()}
+    assert got == {i: [float(i), 1.0] for i in range(150)}
+
+    def load_score():
+        return lambda queries, passages: [len(q) + len(p) for q, p in zip(queries, passages, strict=True)]
+
+    pairs = rows.withColumn("query", F.lit("ab"))
+    assert {r.id: r.rerank_score for r in models.score_pairs(pairs, ["id"], load_score).collect()} == {i: float(i + 2) for i in range(150)}
