@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from permlens.catalog import loadrows
 from permlens.catalog.access import visible
-from permlens.catalog.retrieval import PLAN_SQL, longs
+from permlens.catalog.retrieval import PLAN_SQL
 from permlens.catalog.sources import folder
 from permlens.catalog.sql import authorized, h, one_of, sql
 from permlens.functions.hashing import draw, one_of as drawn
@@ -16,7 +16,7 @@ from permlens.plans.corpus import Corpus
 from permlens.sources import files
 from permlens.sources.tables import QUERY_PRINCIPALS
 
-EVENT = F.col("event_id").cast("string")
+EVENT = "event_id"
 THROUGH = "2024-01-20 00:00:00"
 
 
@@ -46,7 +46,7 @@ def o2(c: Corpus) -> DataFrame:
     return audit.search_events(executions(c)).unionByName(audit.read_events(decided))
 
 
-def now_of(c: Corpus) -> F.Column:
+def now_of(c: Corpus) -> Column:
     latest = c.given("events").agg(F.max("ts")).first()[0]
     return F.to_timestamp(F.lit(str(latest)))
 
@@ -178,4 +178,3 @@ SQL = {
             cause in ('model_down', 'database_transient') as retryable, count(*) as failures
         from (select {one_of('cause', 'event_id', *CAUSES)} as cause from events where event_type = 'error') group by all""",
 }
-__all__ = ["QUERIES", "SQL", "longs"]

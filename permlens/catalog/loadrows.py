@@ -10,7 +10,7 @@ from permlens.functions.hashing import draw
 from permlens.operators.fusion import STRATEGIES
 from permlens.plans.corpus import Corpus
 
-KEY = F.col("event_id").cast("string")
+KEY = "event_id"
 
 
 def requests(c: Corpus) -> DataFrame:

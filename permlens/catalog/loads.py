@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from permlens.catalog import loadrows
 from permlens.catalog.metrics import EVAL_SQL, rounded
-from permlens.catalog.retrieval import longs
 from permlens.catalog.sql import h, one_of, sql
 from permlens.functions.hashing import draw
 from permlens.functions.labels import clearance_rank
@@ -17,7 +16,7 @@ from permlens.operators.numbering import number_rows
 from permlens.plans.corpus import Corpus
 from permlens.sources.tables import QUERY_PRINCIPALS
 
-EVENT = F.col("event_id").cast("string")
+EVENT = "event_id"
 
 
 def l4(c: Corpus) -> DataFrame:
@@ -157,4 +156,3 @@ SQL = {
             md5('# Notes ' || doc_id || chr(10) || chr(10) || body) as content from generated_row join generated_text using (key)"""
     ),
 }
-__all__ = ["QUERIES", "SQL", "longs"]

@@ -8,14 +8,11 @@ from pyspark.sql import functions as F
 from permlens.catalog import loadrows
 from permlens.catalog.access import LISTED_SQL
 from permlens.catalog.retrieval import longs, recorded
-from permlens.catalog.sql import authorized, h, sql, terms
-from permlens.functions import labels as L
+from permlens.catalog.sql import h, sql, terms
 from permlens.functions.hashing import draw
 from permlens.operators import dataset, keyword, metrics
 from permlens.plans.corpus import RUN_STRATEGIES, Corpus
 
-STRATEGY_ARRAY = F.array
-
 
 def strategies():
     return F.array(*[F.lit(s) for s in RUN_STRATEGIES])
@@ -264,4 +261,3 @@ SQL = {
         where n <= floor(total / 5 + 0.5)"""
     ),
 }
-__all__ = ["QUERIES", "SQL", "L", "authorized"]

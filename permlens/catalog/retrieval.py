@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permlens.catalog.sql import h, one_of, plain_words, sql, terms, words
+from permlens.catalog.sql import h, sql, terms, words
 from permlens.functions import models
 from permlens.functions import text as T
 from permlens.functions.hashing import draw
@@ -325,4 +325,3 @@ SQL = {
     ),
     "f8_search_all_strategies": sql(f"select {_HIT}, strategy, round(score, 9) as score from result"),
 }
-__all__ = ["QUERIES", "SQL", "one_of", "plain_words"]

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from permlens.catalog import loadrows
 from permlens.catalog.retrieval import longs
 from permlens.catalog.sql import sql
-from permlens.functions import text as T
 from permlens.plans.corpus import Corpus
 from permlens.session import work_folder
 from permlens.sources import files
@@ -135,4 +134,3 @@ SQL = {
     "s7_sink_results_jsonl": sql("select 'run-' || strategy as run_id, count(*) as rows, count(distinct request_id) as requests from result group by all"),
     "s8_sink_audit_ndjson": "select count(*)::DECIMAL(38,0)::BIGINT as rows from events where ts < timestamp '2024-01-20'",
 }
-__all__ = ["QUERIES", "SQL", "T"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from permlens.functions.text import INSTRUCTION_LIKE, STOPWORDS
+from permlens.functions.text import STOPWORDS
 from permlens.sources.tables import AS_OF, PRINCIPALS, QUERY_PRINCIPALS
 
 MARK = "chr(64976)"
@@ -383,5 +383,3 @@ def sql(query: str, **extra: str) -> str:
     hint = lambda n: "" if n in _RECURSIVE else " materialized"
     return "with recursive " + ",\n".join(f"{n} as{hint(n)} ({known[n]})" for n in ordered) + "\n" + query
 
-
-__all__ = ["DEFINITIONS", "INSTRUCTION_LIKE", "authorized", "h", "in_scope", "one_of", "rank", "sql", "terms", "words"]

@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from permlens.catalog.retrieval import longs
-from permlens.catalog.sql import h, normalize, one_of, sql
-from permlens.functions import labels as L
-from permlens.functions.hashing import draw, one_of as drawn
+from permlens.catalog.sql import h, normalize, sql
+from permlens.functions.hashing import draw
 from permlens.operators import versions as V
 from permlens.plans.corpus import Corpus
 
-KEY = F.col("key")
+KEY = "key"
 
 
 def base(c: Corpus) -> DataFrame:
@@ -103,6 +102,11 @@ def v8(c: Corpus) -> DataFrame:
     return V.submission_errors(rows).select("document", F.array_join("errors", ",").alias("errors"))
 
 
+def v8_jobs(c: Corpus) -> DataFrame:
+    """Jobs over the size limit, taking all documents of one tenant and status as one job."""
+    return V.oversized_jobs(c.manifests.select(F.concat_ws("-", "tenant_id", "status").alias("job_id")))
+
+
 def v9(c: Corpus) -> DataFrame:
     return V.job_counters(planned(c), c.chunks.groupBy("tenant_id", "key").agg(F.count(F.lit(1)).alias("chunks")))
 
@@ -154,6 +158,7 @@ QUERIES = {
     "v6_change_status": v6,
     "v7_purge_unreachable": v7,
     "v8_validate_submissions": v8,
+    "v8_validate_submissions_jobs": v8_jobs,
     "v9_job_counters": v9,
     "v10_replay_rounds": v10,
     "v11_profile_consistency": lambda c: V.profile_report(profiles(c), ANCHOR),
@@ -211,6 +216,9 @@ SQL = {
         f"""select key as document, case {h('bad', 'key')} % 20 when 0 then 'key' when 1 then 'title' when 2 then 'source_uri' when 3 then 'format' when 4 then 'classification' when 5 then 'allowed_departments'
             when 6 then 'required_projects' when 7 then 'applies_to_regions' when 8 then 'validity' when 9 then 'content' else '' end as errors from manifest"""
     ),
+    "v8_validate_submissions_jobs": sql(
+        "select tenant_id || '-' || status as job_id, count(*) as documents from manifest group by all having count(*) > 500"
+    ),
     "v9_job_counters": sql(
         """select job_id, count(*) filter (outcome = 'created') as created, count(*) filter (outcome in ('updated', 'relabelled')) as updated, count(*) filter (outcome = 'unchanged') as unchanged,
             count(*) as processed, coalesce(sum(n) filter (outcome in ('created', 'updated')), 0)::BIGINT as chunks
@@ -240,4 +248,3 @@ SQL = {
                     else {'state': 'running', 'failures': s.failures} end) as r
             from events group by user_id)""",
 }
-__all__ = ["QUERIES", "SQL", "L", "drawn", "one_of"]

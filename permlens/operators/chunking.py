@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from permlens.functions import text as T
 
 DOC = ["tenant_id", "key", "version_no"]
-CHUNKER_RELEASE = "4"
+# The heading pattern and its levels.
 HEADING = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
 LEVELS = range(1, 7)
 

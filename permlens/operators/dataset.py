@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from permlens.functions import text as T
 
+# The least a dataset must offer.
 MIN_LOW_OVERLAP_SHARE = 0.30
 MIN_NEGATIVES = 25
 

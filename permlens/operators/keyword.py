@@ -10,6 +10,10 @@ from permlens.operators.access import CHUNK, LABELS, PRINCIPAL, SCOPE, admitted,
 from permlens.operators.spread import spread_join
 from permlens.session import broadcast_if_small, is_small, written
 
+# The BM25 constants and the bounds of the lexical-overlap bands.
+BM25_K1, BM25_B = 1.2, 0.75
+LOW_OVERLAP_BELOW, HIGH_OVERLAP_FROM = 1 / 3, 2 / 3
+
 PLACE = ["char_start", "char_end"]
 TIES = ["key", "version_no", "ordinal"]
 
@@ -96,7 +100,7 @@ def sparse_topk(requests: DataFrame, index: DataFrame, chunks: DataFrame, n: int
     return matched.withColumn("score", F.round(F.col("score") * F.lit(0.1), 9))
 
 
-def bm25_topk(requests: DataFrame, index: DataFrame, chunks: DataFrame, n: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25_topk(requests: DataFrame, index: DataFrame, chunks: DataFrame, n: int, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """Okapi BM25 whose statistics are those of the chunks each request may see. Chunks are counted per label combination first; only
     those counts meet the distinct scopes, never the chunks."""
     grants = scope_grants(requests, label_table(chunks))
@@ -141,7 +145,7 @@ def lexical_overlap(cases: DataFrame) -> DataFrame:
     query = F.array_distinct(T.terms(F.col("query")))
     evidence = F.array_distinct(F.flatten(F.transform("evidence", lambda e: T.terms(e["quote"]))))
     share = F.when(F.size("q") == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect("q", "e")) / F.size("q"))
-    band = F.when(F.col("overlap") < 1 / 3, "low").when(F.col("overlap") >= 2 / 3, "high").otherwise("mid")
+    band = F.when(F.col("overlap") < LOW_OVERLAP_BELOW, "low").when(F.col("overlap") >= HIGH_OVERLAP_FROM, "high").otherwise("mid")
     return (
         cases.where(F.size("evidence") > 0).withColumn("q", query).withColumn("e", evidence)
         .withColumn("overlap", share).withColumn("band", band).select("case_id", "overlap", "band")

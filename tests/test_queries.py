@@ -1,5 +1,7 @@
 import os
 import re
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -41,3 +43,9 @@ def test_package_stays_distributed():
     for path in Path(entry.__file__).parent.joinpath("permlens").rglob("*.py"):
         text = path.read_text()
         assert not re.search(r"localCheckpoint|crossJoin|toPandas\(|\.rdd\b", text), path
+
+
+def test_statements_need_no_session():
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    root = str(Path(entry.__file__).parent)
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, timeout=120).returncode == 0
