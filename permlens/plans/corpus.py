@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from permlens.functions.hashing import draw
 from permlens.functions import labels
 from permlens.operators import access, chunking, dense, keyword, metrics
 from permlens.operators.fusion import STRATEGIES
 from permlens.plans import search
-from permlens.session import written
+from permlens.session import write_table
 from permlens.sources import tables
 
 RUN_STRATEGIES = [*STRATEGIES, "bm25-reference"]
 
-_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+_WRITTEN: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 class Corpus:
@@ -25,8 +26,10 @@ class Corpus:
     def _once(self, name: str, build) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _WRITTEN:
-            _WRITTEN[key] = written(build(), name)
-        return _WRITTEN[key]
+            table = build()
+            _WRITTEN[key] = (write_table(table, name), table.schema)
+        path, schema = _WRITTEN[key]
+        return self.spark.read.schema(schema).parquet(path)
 
     def given(self, name: str) -> DataFrame:
         return tables.given(self.spark, self.sf_dir, name)

@@ -50,9 +50,13 @@ def work_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes a table once to the shared folder and reads it back: cuts the lineage, survives the loss of any executor, and gives the
     optimizer real sizes for its join choices."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))
+
+
+def write_table(df: DataFrame, name: str) -> str:
     path = f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
