@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from permlens.llm import url_filter
+from permlens.llm import bpe, token_files, url_filter
 from permlens.llm.common import documents, table
 
+WORD_BPE = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(WORD_BPE)
+
+
 URL_RULES = [
     ("allow", "com", "/"),
     ("block", "example.com", "/en/"),
@@ -36,7 +44,17 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from par
 """
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read(token_files.write(documents(spark, sf_dir), tokenizer_path(), end_id=2))
+
+
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir), tokenizer_path())
+
+
 QUERIES = {
+    "op5_token_files": op5_token_files,
+    "op7_bpe_round_trip": op7_bpe_round_trip,
     "op4_url_filter": op4_url_filter,
 }
 
