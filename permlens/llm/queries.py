@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from permlens.llm import bpe, token_files, url_filter
+from permlens.llm import bpe, token_files, url_filter, warc
 from permlens.llm.common import documents, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -44,6 +44,21 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from par
 """
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+with p as (select page_id, coalesce(html, '') as payload from pages),
+d as (select page_id, strlen(payload)::bigint as payload_bytes, sha256(payload) as payload_digest from p),
+f as (select payload_digest, min(page_id) as first from d group by 1)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and page_id > first then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and page_id > first then first end as refers_to
+from d join f using (payload_digest)
+"""
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(documents(spark, sf_dir), tokenizer_path(), end_id=2))
 
@@ -53,11 +68,13 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_warc": op2_warc,
     "op5_token_files": op5_token_files,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op4_url_filter": op4_url_filter,
 }
 
 SQL = {
+    "op2_warc": OP2_SQL,
     "op4_url_filter": OP4_SQL,
 }
