@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from permlens.llm import bpe, language, token_files, url_filter, warc
+from permlens.llm import bpe, fingerprint, language, token_files, url_filter, warc
 from permlens.llm.common import documents, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -67,6 +67,10 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), tokenizer_path())
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edited(documents(spark, sf_dir))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language.fit(docs.where(~language.held_out()))
@@ -79,6 +83,7 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op4_url_filter": op4_url_filter,
+    "op9_fingerprints": op9_fingerprints,
     "op10_language": op10_language,
 }
 
