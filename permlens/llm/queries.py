@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from permlens.llm import bpe, fingerprint, language, token_files, url_filter, warc
+from permlens.llm import bpe, fingerprint, html_text, language, token_files, url_filter, warc
 from permlens.llm.common import documents, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -63,6 +63,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(documents(spark, sf_dir), tokenizer_path(), end_id=2))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), tokenizer_path())
 
@@ -81,6 +85,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_warc": op2_warc,
     "op5_token_files": op5_token_files,
+    "op6_html_text": op6_html_text,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op4_url_filter": op4_url_filter,
     "op9_fingerprints": op9_fingerprints,
