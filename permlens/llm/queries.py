@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from permlens.llm import bpe, fingerprint, html_text, language, token_files, url_filter, warc
+from permlens.llm import bpe, fingerprint, html_text, language, substring, token_files, url_filter, warc
 from permlens.llm.common import documents, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -59,6 +59,21 @@ from d join f using (payload_digest)
 """
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removed(documents(spark, sf_dir))
+
+
+OP3_SQL = r"""
+with w as (select doc_id, row_number() over () as n, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+starts as (select n, doc_id, words, unnest(range(1, greatest(len(words) - 48, 1))) as pos from w),
+windows as (select n, doc_id, pos, sha256(array_to_string(words[pos:pos + 49], ' ')) as h from starts),
+lowest as (select h, min(doc_id) as low from windows group by h),
+gone as (select n, list(distinct p) as places from (select n, unnest(range(pos, pos + 50)) as p from windows join lowest using (h) where doc_id > low) group by n),
+kept as (select doc_id, words, [x for x, i in words if not list_contains(coalesce(places, []), i)] as stay from w left join gone using (n))
+select doc_id, len(words)::bigint as n_words, (len(words) - len(stay))::bigint as n_removed, sha256(array_to_string(stay, ' ')) as kept_sha256 from kept
+"""
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(documents(spark, sf_dir), tokenizer_path(), end_id=2))
 
@@ -84,6 +99,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_warc": op2_warc,
+    "op3_substring": op3_substring,
     "op5_token_files": op5_token_files,
     "op6_html_text": op6_html_text,
     "op7_bpe_round_trip": op7_bpe_round_trip,
@@ -94,5 +110,6 @@ QUERIES = {
 
 SQL = {
     "op2_warc": OP2_SQL,
+    "op3_substring": OP3_SQL,
     "op4_url_filter": OP4_SQL,
 }
