@@ -72,6 +72,24 @@ class WordNumbers:
         return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
 
 
+class Recent(dict):
+    """Values made on demand and remembered within a task: at least the `limit` keys used last, at most twice as many."""
+
+    def __init__(self, limit: int, make) -> None:
+        super().__init__()
+        self.limit, self.make, self.old = limit, make, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def sequence_hashes(numbers: np.ndarray, n: int) -> np.ndarray:
     """One 64-bit hash for every n consecutive word hashes."""
     count = len(numbers) - n + 1

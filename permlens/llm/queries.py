@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from permlens.llm import bpe, fingerprint, html_text, language, substring, token_files, url_filter, warc
+from permlens.llm import bpe, decontaminate, fingerprint, html_text, language, substring, token_files, url_filter, warc
 from permlens.llm.common import documents, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -86,6 +86,10 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), tokenizer_path())
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edited(documents(spark, sf_dir))
 
@@ -104,6 +108,7 @@ QUERIES = {
     "op6_html_text": op6_html_text,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op4_url_filter": op4_url_filter,
+    "op8_decontaminate": op8_decontaminate,
     "op9_fingerprints": op9_fingerprints,
     "op10_language": op10_language,
 }
