@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from permlens.llm import bpe, decontaminate, fingerprint, html_text, language, substring, token_files, url_filter, warc
+from permlens.llm import bpe, decontaminate, fingerprint, html_text, language, ngram_join, substring, token_files, url_filter, warc
 from permlens.llm.common import documents, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -44,6 +44,10 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from par
 """
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -102,6 +106,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_warc": op2_warc,
     "op3_substring": op3_substring,
     "op5_token_files": op5_token_files,
