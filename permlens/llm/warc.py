@@ -1,7 +1,7 @@
 """Operator 2: WARC records in ZIP-packaged archives, and a reader that finds and reads them by range.
 
-An archive is a ZIP file with stored (uncompressed) members: archive/data.warc and indexes/index.cdxj, one JSON line per record with its
-offset and length in the WARC member. The reader never extracts: it reads the end of the file, follows the ZIP64 locator where there is
+An archive is a ZIP file with stored members: archive/data.warc.gz, in which every record is a gzip member of its own, as WARC files are
+kept, and indexes/index.cdxj, one JSON line per record with its offset and length in the WARC member. The reader never extracts: it reads the end of the file, follows the ZIP64 locator where there is
 one, parses the central directory, finds where the stored members' bytes begin from their local headers, reads the index and then each
 record by its range.
 
@@ -13,6 +13,7 @@ task's work. Archives are closed at ARCHIVE_BYTES.
 from __future__ import annotations
 
 import datetime
+import gzip
 import hashlib
 import json
 import struct
@@ -30,7 +31,8 @@ from permlens.session import written
 
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 64 << 20
-WARC_MEMBER, INDEX_MEMBER = "archive/data.warc", "indexes/index.cdxj"
+GZIP_LEVEL = 3
+WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
 # Fixed values of the ZIP format: signatures and layouts of the end record, the ZIP64 locator and end record, directory and local headers.
 END, END_SIG = struct.Struct("<4sHHHHIIH"), b"PK\x05\x06"
 LOCATOR, LOCATOR_SIG = struct.Struct("<4sIQI"), b"PK\x06\x07"
@@ -175,6 +177,7 @@ class Archive:
         self.size, self.lines = 0, []
 
     def add(self, data: bytes, **entry) -> None:
+        data = gzip.compress(data, GZIP_LEVEL, mtime=0)
         self.lines.append(json.dumps(entry | {"offset": self.size, "length": len(data)}))
         self.warc.write(data)
         self.size += len(data)
@@ -243,7 +246,7 @@ def read(archives: DataFrame, payload: bool = False) -> DataFrame:
                 archive = ZipRanges(source)
                 for line in archive.read(INDEX_MEMBER).splitlines():
                     entry = json.loads(line)
-                    values = _row(archive.read(WARC_MEMBER, entry["offset"], entry["length"]), entry)
+                    values = _row(gzip.decompress(archive.read(WARC_MEMBER, entry["offset"], entry["length"])), entry)
                     if out.add(*values[: len(schema)], weight=len(values[-1] or b"") if payload else 0):
                         yield out.take()
         yield from out.rest()
