@@ -270,20 +270,24 @@ def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text_colum
     return wanted.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encoded(docs: DataFrame, path: str, text_column: str = "text") -> DataFrame:
-    """The documents with their token ids: every row and column as it was, and `token_ids`, an array of ints (empty for null texts). An
-    input column of that name is replaced."""
-    kept = docs.drop("token_ids")
-    names = kept.columns
+def tokenized(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, n_tokens, token_ids (an array of ints) and decoded (what the decoder makes of them) of every document; nulls and empty texts as in
+    `round_trip`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(path)
-        for batch in batches:
-            texts = batch.column(names.index(text_column)).to_pylist()
-            for i in range(0, len(texts), 256):
-                ids = pa.array([tokenizer.encode(t) for t in texts[i : i + 256]], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, 256).columns, ids], [*names, "token_ids"])
+        tokenizer, out = load(path), Out(TOKENS)
+        for doc_id, text in rows(batches, "doc_id", "text"):
+            decoder, parts, ids = Decoder(tokenizer), [], []
+            for piece in tokenizer.pieces(text):
+                parts.append(decoder.feed(piece))
+                ids += piece
+            decoded = "".join([*parts, decoder.finish()])
+            if out.add(doc_id, len(ids), ids, decoded, weight=4 * len(ids) + len(decoded)):
+                yield out.take()
+        yield from out.rest()
 
-    return kept.mapInArrow(run, kept.schema.add("token_ids", "array<int>"))
+    wanted = docs.selectExpr(f"cast(`{id_column}` as bigint) as doc_id", f"cast(`{text_column}` as string) as text")
+    return wanted.mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, decoded string")
 
 
+TOKENS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("decoded", pa.string())])

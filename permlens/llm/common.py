@@ -23,6 +23,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def hidden(name: str) -> str:
+    """A helper column's name that no input column has."""
+    return f"__permlens_llm_{name}"
+
+
 def order_id(column: str = "doc_id") -> Column:
     """The id as it is compared: nulls after all others."""
     return F.coalesce(F.col(column).cast("long"), F.lit(LAST_ID))

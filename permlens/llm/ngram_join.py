@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from permlens.llm.common import Out, WordNumbers, mix, rows, sequence_hashes, text_of, words_of
+from permlens.llm.common import Out, WordNumbers, hidden, mix, rows, sequence_hashes, text_of, words_of
 from permlens.llm.components import components
 from permlens.session import written
 
@@ -348,8 +348,9 @@ def representatives(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE, i
     """The documents of which none with a smaller id is linked with them, directly or over others: one of each group, with all columns as they
     were. Of rows that repeat an id and a text one stays; documents with an empty set all stay."""
     found = linked(docs, percent, n, id_column, text_column)
-    stay = found.where("_node = _root").select("_node").distinct()
-    marked = docs.withColumn("_node", node_id(id_column, text_column)).withColumn("_empty", F.trim(F.translate(text_of(text_column), "\t\n\x0b\x0c\r", "     ")) == "")
-    kept = marked.join(stay, "_node", "left_semi")
-    once = kept.where(~F.col("_empty")).withColumn("_text", F.xxhash64(text_of(text_column))).dropDuplicates(["_node", "_text"]).drop("_text")
-    return once.unionByName(kept.where("_empty")).drop("_node", "_empty")
+    node, empty, text = hidden("node"), hidden("empty"), hidden("text")
+    stay = found.where("_node = _root").select(F.col("_node").alias(node)).distinct()
+    no_words = F.trim(F.translate(text_of(text_column), "\t\n\x0b\x0c\r", "     ")) == ""
+    kept = docs.withColumns({node: node_id(id_column, text_column), empty: no_words}).join(stay, node, "left_semi")
+    once = kept.where(~F.col(empty)).withColumn(text, F.xxhash64(text_of(text_column))).dropDuplicates([node, text]).drop(text)
+    return once.unionByName(kept.where(F.col(empty))).select(docs.columns)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from permlens.llm.common import LAST_ID, Out, WordNumbers, mix, order_id, rows, text_of, words_of
+from permlens.llm.common import LAST_ID, Out, WordNumbers, hidden, mix, order_id, rows, text_of, words_of
 from permlens.session import written
 
 WINDOW = 50
@@ -37,6 +37,7 @@ HOT_DOCS = 1_000
 MAX_HOT = 1_000_000
 FILTER_BITS = (16, 27)  # fewest and most, as powers of two: at most 16 MB
 BLOCK_BITS = 4096 * 8
+RANGES = hidden("ranges")
 
 
 def minimisers(numbers: np.ndarray, window: int, mini: int) -> np.ndarray:
@@ -196,10 +197,11 @@ def _covered(n: int, ranges: list[dict] | None) -> np.ndarray:
 
 
 def _with_ranges(docs: DataFrame, id_column: str, text_column: str, window: int, mini: int, columns: list) -> DataFrame:
+    """The columns asked for, and the ranges as the last one. The helper columns' names clash with none of the input."""
     ranges = repeated_ranges(docs, id_column, text_column, window, mini)
-    marked = docs.select(*columns, order_id(id_column).alias("_doc"), F.xxhash64(text_of(text_column)).alias("_row"))
-    same = (F.col("_doc") == F.col("doc")) & (F.col("_row") == F.col("row"))
-    return marked.join(ranges.select(F.col("doc"), F.col("row"), F.col("ranges").alias("_ranges")), same, "left").drop("_doc", "_row", "doc", "row")
+    own = [order_id(id_column).alias(hidden("doc")), F.xxhash64(text_of(text_column)).alias(hidden("row"))]
+    found = ranges.select(F.col("doc").alias(hidden("doc")), F.col("row").alias(hidden("row")), F.col("ranges").alias(RANGES))
+    return docs.select(*columns, *own).join(found, [hidden("doc"), hidden("row")], "left").drop(hidden("doc"), hidden("row"))
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
@@ -212,7 +214,7 @@ def removed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Out(RESULT)
-        for doc_id, text, ranges in rows(batches, "id", "text", "_ranges"):
+        for doc_id, text, ranges in rows(batches, "id", "text", RANGES):
             words = words_of(text)
             gone = _covered(len(words), ranges) if ranges else None
             kept = words if gone is None else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]

@@ -17,10 +17,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from permlens.llm.common import UPPER
+from permlens.llm.common import UPPER, hidden
 from permlens.session import written
 
 MAX_LEVEL_BYTES = 4 << 20
+KEYS, FIRST = hidden("keys"), hidden("first")
 BLOCK_BITS = 4096 * 8  # what one bitmap_construct_agg group covers
 DEEPER_RATE = 0.5  # false-positive rate of every level after the first
 
@@ -148,7 +149,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url")
         listed = spark.createDataFrame(own or [("",)], "key string").where(F.lit(bool(own)))
         cascades[verdict] = build_cascade(listed, universe)
     blocked, allowed = cascades["block"], cascades["allow"]
-    listed = F.transform("_keys", lambda k: F.struct(k.alias("key"), blocked.contains(k).alias("blocked"), allowed.contains(k).alias("allowed")))
-    judged = judged.withColumn("_keys", keys).withColumn("_first", F.get(F.filter(listed, lambda k: k["blocked"] | k["allowed"]), F.lit(0)))
-    verdict = F.when(F.col("_first.blocked"), "block").otherwise("allow")
-    return judged.withColumns({"rule": F.col("_first.key"), "verdict": verdict}).drop("_keys", "_first")
+    listed = F.transform(KEYS, lambda k: F.struct(k.alias("key"), blocked.contains(k).alias("blocked"), allowed.contains(k).alias("allowed")))
+    judged = judged.withColumn(KEYS, keys).withColumn(FIRST, F.get(F.filter(listed, lambda k: k["blocked"] | k["allowed"]), F.lit(0)))
+    verdict = F.when(F.col(f"{FIRST}.blocked"), "block").otherwise("allow")
+    return judged.withColumns({"rule": F.col(f"{FIRST}.key"), "verdict": verdict}).drop(KEYS, FIRST)
