@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from permlens.catalog import loadrows
-from permlens.catalog.access import visible
 from permlens.catalog.retrieval import PLAN_SQL
 from permlens.catalog.sources import folder
 from permlens.catalog.sql import authorized, h, one_of, sql
@@ -14,6 +13,7 @@ from permlens.functions.hashing import draw, one_of as drawn
 from permlens.operators import access, audit, fusion
 from permlens.plans.corpus import Corpus
 from permlens.sources import files
+from permlens.session import broadcast_if_small
 from permlens.sources.tables import QUERY_PRINCIPALS
 
 EVENT = "event_id"
@@ -42,7 +42,7 @@ def o2(c: Corpus) -> DataFrame:
     reads = c.given("events").where("event_type = 'view'").select(
         drawn("who", EVENT, *QUERY_PRINCIPALS).alias("subject"), F.concat(F.lit("doc-"), F.lpad(F.col("user_id").cast("string"), 7, "0")).alias("key")
     )
-    decided = access.read_decisions(reads, visible(c), c.active).join(F.broadcast(c.principals.select("subject", "tenant_id")), "subject")
+    decided = access.read_decisions(reads, c.principals, c.active).join(broadcast_if_small(c.principals.select("subject", "tenant_id")), "subject")
     return audit.search_events(executions(c)).unionByName(audit.read_events(decided))
 
 
@@ -147,7 +147,7 @@ SQL = {
         """select request_id as resource_id, tenant_id, principal_id, 'retrieval.search' as action, 'allow' as decision, policy_version,
             to_json({'strategy': strategy, 'planHash': plan_hash, 'resultCount': result_count, 'documents': documents})::VARCHAR as attributes from execution
         union all select key, tenant_id, subject, 'document.read', case when version_no is null then 'deny' else 'allow' end, 'abac/1',
-            case when version_no is null then '{}' else '{"versionNo":' || version_no || '}' end from decided_read""",
+            '{}' from decided_read""",
         **AUDIT_SQL,
     ),
     "o3_owner_lookup": sql(

@@ -13,12 +13,7 @@ SECTIONS = ["sources", "access", "text", "versions", "retrieval", "answers", "me
 
 
 def _modules():
-    for name in SECTIONS:
-        try:
-            yield importlib.import_module(f"permlens.catalog.{name}")
-        except ModuleNotFoundError as e:
-            if e.name != f"permlens.catalog.{name}":
-                raise
+    return [importlib.import_module(f"permlens.catalog.{name}") for name in SECTIONS]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from permlens.catalog.retrieval import longs
 from permlens.catalog.sql import h, normalize, sql
+from permlens.functions import text as T
 from permlens.functions.hashing import draw
 from permlens.operators import versions as V
 from permlens.plans.corpus import Corpus
@@ -76,6 +77,7 @@ def v5(c: Corpus) -> DataFrame:
 def v6(c: Corpus) -> DataFrame:
     actions = F.create_map(*[F.lit(x) for x in ("click", "active", "view", "disabled", "purchase", "deleted", "signup", "ingest")])
     events = c.given("events").select(
+        F.when(draw("side", F.col("event_id").cast("string")) % 5 == 0, "external").otherwise("northstar").alias("tenant_id"),  # one key, two documents
         F.concat(F.lit("doc-"), F.lpad(F.col("user_id").cast("string"), 7, "0")).alias("key"),
         F.struct("ts", "event_id").alias("at"),
         F.try_element_at(actions, F.col("event_type")).alias("action"),
@@ -90,14 +92,14 @@ def v7(c: Corpus) -> DataFrame:
 
 
 def v8(c: Corpus) -> DataFrame:
-    d = draw("bad", KEY) % 20
-    spoil = lambda at, name, value: F.when(d == at, value).otherwise(F.col(name)).alias(name)
+    d, other = draw("bad", KEY) % 20, draw("worse", KEY) % 20  # none, one or two faults
+    spoil = lambda at, name, value: F.when((d == at) | (other == at), value).otherwise(F.col(name)).alias(name)
     rows = base(c).select(
         F.col("key").alias("document"),
         spoil(0, "key", F.upper("key")), spoil(1, "title", F.lit("  ")), spoil(2, "source_uri", F.repeat(F.lit("x"), 2001)), spoil(3, "format", F.lit("pdf")),
         spoil(4, "classification", F.lit("Secret")), spoil(5, "allowed_departments", F.array(F.lit(" "))), spoil(6, "required_projects", F.array(F.lit("a\tb"))),
         spoil(7, "applies_to_regions", F.array(F.repeat(F.lit("E"), 51))), spoil(8, "valid_from", F.to_timestamp(F.lit("2030-01-01 00:00:00"))),
-        spoil(8, "valid_to", F.to_timestamp(F.lit("2029-01-01 00:00:00"))), spoil(9, "content", F.lit(" \n ")),
+        spoil(8, "valid_to", F.to_timestamp(F.lit("2029-01-01 00:00:00"))), F.when((d == 9) | (other == 9), F.lit(" \n ")).when((d == 10) | (other == 10), F.concat("content", F.lit(T.MARK))).otherwise(F.col("content")).alias("content"),
     )
     return V.submission_errors(rows).select("document", F.array_join("errors", ",").alias("errors"))
 
@@ -190,6 +192,7 @@ PLAN_SQL = {
             lateral (select case when not p.has_content then 'created' when p.sha = n.sha and p.meta = n.meta then 'unchanged' when p.sha = n.sha then 'relabelled' else 'updated' end as o)""",
     "planned_row": "select * from planning where seq > 0",
 }
+_FAULTS = [("key", 0), ("title", 1), ("source_uri", 2), ("content", 9, 10), ("format", 3), ("classification", 4), ("allowed_departments", 5), ("required_projects", 6), ("applies_to_regions", 7), ("validity", 8)]
 _DOC = "'doc-' || lpad(user_id::VARCHAR, 7, '0')"
 SQL = {
     "v1_classify_submissions": sql("select key, job_id, ordinal::BIGINT as ordinal, outcome from planned_row", **PLAN_SQL),
@@ -203,18 +206,18 @@ SQL = {
     "v4_relabel_keeps_chunks": sql("select key, last_no::BIGINT as version_no, owner::BIGINT as content_version_no from planned_row where outcome <> 'unchanged'", **PLAN_SQL),
     "v5_metadata_equality": sql(f"select key, {h('retitle', 'key')} % 10 > 0 as equal from manifest"),
     "v6_change_status": f"""
-        select key, list_reduce(list_concat(['active'], list(action order by ts, event_id)), lambda s, a: case when a = 'ingest' then case when s = 'deleted' then 'active' else s end
+        select tenant_id, key, list_reduce(list_concat(['active'], list(action order by ts, event_id)), lambda s, a: case when a = 'ingest' then case when s = 'deleted' then 'active' else s end
             when s = 'deleted' then s else a end) as status
-        from (select {_DOC} as key, ts, event_id, case event_type when 'click' then 'active' when 'view' then 'disabled' when 'purchase' then 'deleted' when 'signup' then 'ingest' end as action from events)
-        where action is not null group by key""",
+        from (select case when {h('side', 'event_id')} % 5 = 0 then 'external' else 'northstar' end as tenant_id, {_DOC} as key, ts, event_id, case event_type when 'click' then 'active' when 'view' then 'disabled' when 'purchase' then 'deleted' when 'signup' then 'ingest' end as action from events)
+        where action is not null group by tenant_id, key""",
     "v7_purge_unreachable": sql(
         """select v.key, v.version_no::BIGINT as version_no, coalesce(n, 0) as chunks from version v
         left join (select key, version_no, count(*) as n from chunk group by all) k on k.key = v.key and k.version_no = v.version_no
         where v.status = 'deleted' or v.version_no <> (select max(x.version_no) from version x where x.key = v.key)"""
     ),
     "v8_validate_submissions": sql(
-        f"""select key as document, case {h('bad', 'key')} % 20 when 0 then 'key' when 1 then 'title' when 2 then 'source_uri' when 3 then 'format' when 4 then 'classification' when 5 then 'allowed_departments'
-            when 6 then 'required_projects' when 7 then 'applies_to_regions' when 8 then 'validity' when 9 then 'content' else '' end as errors from manifest"""
+        f"""select key as document, concat_ws(',', {", ".join(f"case when {' or '.join(f'd = {n} or e = {n}' for n in at)} then '{name}' end" for name, *at in _FAULTS)}) as errors
+        from (select *, {h('bad', 'key')} % 20 as d, {h('worse', 'key')} % 20 as e from manifest)"""
     ),
     "v8_validate_submissions_jobs": sql(
         "select tenant_id || '-' || status as job_id, count(*) as documents from manifest group by all having count(*) > 500"
@@ -226,9 +229,9 @@ SQL = {
         **PLAN_SQL,
     ),
     "v10_replay_rounds": sql(
-        f"""select key, version_no::BIGINT as version_no, round::BIGINT as round, ((row_number() over (partition by round order by key) - 1) // 200 + 1)::BIGINT as batch
+        f"""select key, version_no::BIGINT as version_no, round::BIGINT as round, ((row_number() over (partition by round order by tenant_id, key) - 1) // 200 + 1)::BIGINT as batch
         from (select *, max(case when loaded then 1 else n end) over () - n + version_no as round
-            from (select key, version_no, max(version_no) over (partition by key) as n, {h('loaded', 'key')} % 4 = 0 as loaded from version) where not loaded or version_no = n)"""
+            from (select tenant_id, key, version_no, max(version_no) over (partition by tenant_id, key) as n, {h('loaded', 'key')} % 4 = 0 as loaded from version) where not loaded or version_no = n)"""
     ),
     "v11_profile_consistency": sql(
         f"""select sha256(model || '|384|' || release || '|180') as profile_id, count(*) as versions,

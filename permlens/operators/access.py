@@ -59,12 +59,8 @@ def label_key(columns: list[str]) -> Column:
 def grants(principals: DataFrame, versions: DataFrame) -> DataFrame:
     """(subject, label key) pairs that the rule admits. It is applied to the distinct rights and the distinct label combinations, which
     are few, and never to principals or documents."""
-    combination = ["tenant_id", *LABELS]
-    labels = versions.select(*combination).distinct().withColumn("label_key", label_key(combination))
-    holders = principals.select("subject", *PRINCIPAL).withColumn("rights_key", label_key(PRINCIPAL))
-    rights = holders.dropDuplicates(["rights_key"]).drop("subject")
-    admitted_pairs = rights.alias("p").join(labels.alias("v"), L.authorized("p", "v")).select("p.rights_key", "v.label_key")
-    return holders.select("subject", "rights_key").join(admitted_pairs, "rights_key").drop("rights_key")
+    holders = principals.select("subject", label_key(PRINCIPAL).alias("rights_key"))
+    return holders.join(label_grants(principals, versions), "rights_key").drop("rights_key")
 
 
 def visible_versions(versions: DataFrame, principals: DataFrame) -> DataFrame:
@@ -76,8 +72,9 @@ def visible_versions(versions: DataFrame, principals: DataFrame) -> DataFrame:
 
 
 def scoped_requests(requests: DataFrame, principals: DataFrame, run_time) -> DataFrame:
-    """Requests with the asking principal's attributes; the time defaults to the run's and the region to the principal's."""
-    r = requests.alias("r").join(broadcast_if_small(principals).alias("p"), "subject")
+    """Requests with the asking principal's attributes; the time defaults to the run's and the region to the principal's. A request of an
+    unknown subject stays, without attributes, and is admitted to nothing."""
+    r = requests.alias("r").join(broadcast_if_small(principals).alias("p"), "subject", "left")
     kept = [c for c in requests.columns if c not in ("subject", "as_of", "region")]
     return r.select(
         "subject",
@@ -93,13 +90,24 @@ def admitted(request: str, document: str) -> Column:
     return L.authorized(request, document) & L.in_scope(F.col(f"{request}.as_of"), F.col(f"{request}.region"), document)
 
 
-def read_decisions(reads: DataFrame, visible: DataFrame, titles: DataFrame) -> DataFrame:
-    """allow or deny for each (subject, key) read. Whatever is missing, hidden, disabled or another tenant's looks the same. Scope does
-    not apply to reads."""
-    readable = visible.select("subject", "key", "title", "version_no")
-    joined = reads.join(readable, ["subject", "key"], "left")
-    allowed = F.col("version_no").isNotNull()
-    return joined.select(*reads.columns, F.when(allowed, "allow").otherwise("deny").alias("decision"), "title", "version_no")
+def label_grants(principals: DataFrame, versions: DataFrame) -> DataFrame:
+    """(rights key, label key) pairs that the rule admits: distinct rights against distinct label combinations."""
+    combination = ["tenant_id", *LABELS]
+    labels = versions.select(*combination).distinct().withColumn("label_key", label_key(combination))
+    rights = principals.select(*PRINCIPAL).distinct().withColumn("rights_key", label_key(PRINCIPAL))
+    return rights.alias("p").join(labels.alias("v"), L.authorized("p", "v")).select("p.rights_key", "v.label_key")
+
+
+def read_decisions(reads: DataFrame, principals: DataFrame, active: DataFrame) -> DataFrame:
+    """allow or deny for each (subject, key) read, from the reader's rights and the document's labels: no table of what everyone may read.
+    Whatever is missing, hidden, disabled, another tenant's or asked by an unknown subject looks the same. Scope does not apply to reads."""
+    holders = principals.select("subject", "tenant_id", label_key(PRINCIPAL).alias("rights_key"))
+    labelled = active.select("tenant_id", "key", "title", "version_no", label_key(["tenant_id", *LABELS]).alias("label_key"))
+    granted = label_grants(principals, active).withColumn("allowed", F.lit(True))
+    joined = reads.join(broadcast_if_small(holders), "subject", "left").join(labelled, ["tenant_id", "key"], "left")
+    decided = joined.join(broadcast_if_small(granted), ["rights_key", "label_key"], "left")
+    shown = lambda c: F.when(F.col("allowed"), F.col(c)).alias(c)
+    return decided.select(*[F.col(c) for c in reads.columns], F.when(F.col("allowed"), "allow").otherwise("deny").alias("decision"), shown("title"), shown("version_no"))
 
 
 def listing_pages(visible_chunks: DataFrame, page_size: int) -> DataFrame:

@@ -54,11 +54,10 @@ def search_events(records: DataFrame) -> DataFrame:
 
 
 def read_events(decisions: DataFrame) -> DataFrame:
-    """Audit events of document reads; a denied read names no version."""
-    attributes = F.to_json(F.struct(F.col("version_no").alias("versionNo")))
+    """Audit events of document reads: who asked for what and the decision, no attributes."""
     return decisions.select(
         F.col("key").alias("resource_id"), "tenant_id", F.col("subject").alias("principal_id"), F.lit("document.read").alias("action"), "decision",
-        F.lit(POLICY_VERSION).alias("policy_version"), attributes.alias("attributes"),
+        F.lit(POLICY_VERSION).alias("policy_version"), F.lit("{}").alias("attributes"),
     )
 
 

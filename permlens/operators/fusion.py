@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from permlens.functions import text as T
 from permlens.operators.access import CHUNK
-from permlens.operators.keyword import PLACE, top
+from permlens.operators.keyword import PLACE
 
 # The four strategies and the constants of their plans.
 STRATEGIES = ("sparse-only", "dense-only", "hybrid-rrf", "hybrid-rrf-rerank")
@@ -29,7 +29,7 @@ def rrf_fuse(sparse: DataFrame, dense: DataFrame) -> DataFrame:
     d = dense.select(*keys, F.col("rank").alias("dense_rank"), F.col("score").alias("dense_score"))
     part = lambda rank: F.coalesce(F.lit(1.0) / (RRF_K + F.col(rank)), F.lit(0.0))
     fused = s.join(d, keys, "full").withColumn("score", F.round(part("sparse_rank") + part("dense_rank"), 9))
-    return top(fused, ["request_id"], [F.desc("score"), *FUSED_ORDER], 2**30, "fused_rank")
+    return fused.withColumn("fused_rank", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), *FUSED_ORDER)))
 
 
 def dedupe_topk(ranked: DataFrame, k: int, group: list[str], rank: str = "rank", out: str = "rank") -> DataFrame:
@@ -66,7 +66,7 @@ def rerank(pool: DataFrame, scores: DataFrame) -> DataFrame:
     """The scored head of a pool in score order, then the unscored tail as it was; equal scores keep the fused order."""
     scored = pool.join(scores, ["request_id", *CHUNK], "left")
     order = [F.col("rerank_score").isNull(), F.desc("rerank_score"), F.col("fused_rank")]
-    return top(scored, ["request_id"], order, 2**30)
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(*order)))
 
 
 def fit_query(requests: DataFrame, passages: DataFrame, limit: int = MODEL_LIMIT) -> DataFrame:

@@ -32,7 +32,7 @@ def load_summary(requests: DataFrame, percentiles: DataFrame) -> DataFrame:
     counts = requests.groupBy("strategy").agg(F.count(F.lit(1)).alias("requests"), F.sum(F.size("violations")).alias("violations"))
     statuses = histogram(requests.withColumn("name", status_name()), ["strategy"], "name", "statuses")
     reasons = histogram(requests.select("strategy", F.explode("degraded").alias("reason")), ["strategy"], "reason", "degraded")
-    return counts.join(statuses, "strategy").join(reasons, "strategy", "left").join(percentiles, "strategy").na.fill("", ["degraded"])
+    return counts.join(statuses, "strategy").join(reasons, "strategy", "left").join(percentiles, "strategy", "left").na.fill("", ["degraded"])
 
 
 def load_totals(requests: DataFrame) -> DataFrame:

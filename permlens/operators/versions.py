@@ -120,11 +120,11 @@ def next_state(state: DataFrame, planned: DataFrame) -> DataFrame:
 
 
 def final_status(events: DataFrame) -> DataFrame:
-    """Status after ordered (key, at, action) events. Deleting holds until the document is ingested again. The events of one document may
+    """Status after ordered (tenant_id, key, at, action) events. Deleting holds until the document is ingested again. The events of one document may
     span many ordered parts; each part is reduced to where it leads from a deleted and from any other status, and the parts are applied
     in order. Within a part, ingestions cut the events into epochs, of which only the last with a status event decides."""
-    parts = ordered_parts(events, ["key"], ["at"])
-    block = ["key", "_part"]
+    parts = ordered_parts(events, DOCUMENT, ["at"])
+    block = [*DOCUMENT, "_part"]
     upto = Window.partitionBy(*block).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     epochs = parts.withColumn("epoch", F.count_if(F.col("action") == "ingest").over(upto)).groupBy(*block, "epoch").agg(
         F.bool_or(F.col("action") == "deleted").alias("deleted"),
@@ -141,9 +141,9 @@ def final_status(events: DataFrame) -> DataFrame:
 
     from_other = F.when(F.col("any").isNotNull(), ends_in(F.col("any")))
     from_deleted = F.when(F.col("epochs") == 0, "deleted").when(F.col("revived").isNull(), "active").otherwise(ends_in(F.col("revived")))
-    steps = per_block.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("_part", from_other.alias("other"), from_deleted.alias("deleted")))).alias("steps"))
+    steps = per_block.groupBy(*DOCUMENT).agg(F.sort_array(F.collect_list(F.struct("_part", from_other.alias("other"), from_deleted.alias("deleted")))).alias("steps"))
     status = F.aggregate("steps", F.lit("active"), lambda s, x: F.when(s == "deleted", x["deleted"]).otherwise(F.coalesce(x["other"], s)))
-    return steps.select("key", status.alias("status"))
+    return steps.select(*DOCUMENT, status.alias("status"))
 
 
 def unreachable_versions(versions: DataFrame, current: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def submission_errors(submissions: DataFrame) -> DataFrame:
         F.when(blank("key") | (F.length("key") > MAX_KEY) | ~F.col("key").rlike(KEY_PATTERN), F.lit("key")),
         F.when(blank("title") | (F.length("title") > MAX_TITLE), F.lit("title")),
         F.when(F.length("source_uri") > MAX_LINK, F.lit("source_uri")),
-        F.when(blank("content") | (F.length("content") > MAX_CONTENT), F.lit("content")),
+        F.when(blank("content") | (F.length("content") > MAX_CONTENT) | F.contains("content", F.lit(T.MARK)), F.lit("content")),
         F.when(~F.col("format").isin("markdown", "text"), F.lit("format")),
         F.when(~F.col("classification").isin(*L.LEVELS), F.lit("classification")),
         plain("allowed_departments", MAX_LABEL),
@@ -194,7 +194,7 @@ def job_counters(planned: DataFrame, chunk_counts: DataFrame) -> DataFrame:
 
 def replay_rounds(versions: DataFrame, loaded: DataFrame, batch_size: int = 200) -> DataFrame:
     """The rounds that replay histories so that every current version lands in the last one; documents already loaded contribute only
-    their current version. Within a round, versions go in batches in key order."""
+    their current version. Within a round, versions go in batches in order of tenant and key."""
     counts = versions.groupBy(*DOCUMENT).agg(F.max("version_no").alias("n"))
     pending = (
         versions.select(*DOCUMENT, "version_no")
@@ -204,7 +204,7 @@ def replay_rounds(versions: DataFrame, loaded: DataFrame, batch_size: int = 200)
     )
     rounds = pending.agg(F.max(F.when(F.col("loaded").isNull(), F.col("n")).otherwise(1))).first()[0]
     placed = pending.withColumn("round", F.lit(rounds) - F.col("n") + F.col("version_no"))
-    numbered = number_rows(placed.select(*DOCUMENT, "version_no", "round"), ["round"], ["key"], "nth")
+    numbered = number_rows(placed.select(*DOCUMENT, "version_no", "round"), ["round"], DOCUMENT, "nth")
     return numbered.withColumn("batch", F.floor((F.col("nth") - 1) / batch_size) + 1).drop("nth")
 
 

@@ -19,6 +19,7 @@ PRINCIPALS = [
     ("external-admin", "external", None, [], None, None, "admin"),
 ]
 QUERY_PRINCIPALS = [p[0] for p in PRINCIPALS if p[6] == "query"]
+UNKNOWN = "nobody-known"  # a subject that no principal has
 PRINCIPAL_SCHEMA = (
     "subject string, tenant_id string, department string, projects array<string>, clearance string, region string, role string"
 )
