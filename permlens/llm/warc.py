@@ -68,9 +68,9 @@ class ZipRanges:
         """Entries, size and place of the central directory."""
         tail_at = max(0, self.size - END.size - FULL16)
         tail = self._at(tail_at, self.size - tail_at)
-        at = tail.rfind(END_SIG)
+        at = tail.rfind(END_SIG, 0, len(tail) - END.size + len(END_SIG))
         while at >= 0 and at + END.size + END.unpack_from(tail, at)[7] != len(tail):  # the signature may also occur in the comment
-            at = tail.rfind(END_SIG, 0, at)
+            at = tail.rfind(END_SIG, 0, at + len(END_SIG) - 1)
         if at < 0:
             raise ValueError("no end of central directory: not a whole ZIP archive")
         _, _, _, _, count, size, start, _ = END.unpack_from(tail, at)
