@@ -50,6 +50,7 @@ TOKEN = re.compile(
     r"""|<([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+/?>|[^>]*>)""",
     re.S,
 )
+UNENDED = re.compile("<[a-zA-Z/!?]")  # after the last >
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAME_PARTS = re.compile(r"[\s_\-:]+")
 MENU_LINKS, MENU_SHARE = 2, 0.9  # a list of at least so many links that make up so much of it is a menu
@@ -71,6 +72,8 @@ class Page:
                 self._text(stack[-1], source[at : found.start()])
             at = position = found.end()
             end, start = found.group(1), found.group(2)
+            if found.group().startswith("<!--") and not found.group().endswith(("-->", "--!>")):
+                return  # a comment without an end hides the rest
             if start:
                 tag = start.lower()
                 self._open(stack, tag, found.group(3))
@@ -81,7 +84,8 @@ class Page:
             elif end:
                 self._close(stack, end.lower())
         if at < len(source):
-            self._text(stack[-1], source[at:])
+            cut = UNENDED.search(source, at)
+            self._text(stack[-1], source[at : cut.start() if cut else len(source)])
 
     def _text(self, element: int, text: str) -> None:
         self.events.append((element, html.unescape(text) if "&" in text else text))

@@ -47,7 +47,7 @@ def test_texts_without_repeats_stay_as_they_are_and_columns_too(odd):
 
 
 def test_hot_passages_windows_and_short_windows(spark, monkeypatch):
-    monkeypatch.setattr(ss, "HOT_DOCS", 3)  # the path of minimisers with very many documents
+    monkeypatch.setattr(ss, "HOT_STRINGS", 3)  # the path of minimisers with very many strings
     rng = random.Random(3)
     shared, other = passage(7, 70), "is on " * 60
     texts = [" ".join([passage(1000 + i, rng.randint(0, 60)), rng.choice([shared, shared[40:300], other, ""]), passage(2000 + i, rng.randint(0, 60))]) for i in range(60)]
