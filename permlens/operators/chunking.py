@@ -1,290 +1,122 @@
 """Documents to chunks: lines, fences, headings, paragraphs, pieces, packed chunks, token budget.
 
-Everything is one hash partitioning by document version: the windows, groupings and folds below share it, so the lines are shuffled once.
-No group is larger than one document, whose size the validation operator bounds.
+Chunking is local to a document, so every step here is a narrow pass over batches of documents: text is never shuffled, and a corpus of any
+size is chunked at the speed it is read. No step holds more than a batch of documents and one document's spans.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from permlens.functions import passages as P
 from permlens.functions import text as T
 
 DOC = ["tenant_id", "key", "version_no"]
-# The heading pattern and its levels.
+# The heading pattern.
 HEADING = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
-LEVELS = range(1, 7)
+BATCH_ROWS = 20_000
+
+
+def per_document(documents: DataFrame, columns: str, rows: Callable[[str, bool], Iterator[tuple]], text: Column | None = None) -> DataFrame:
+    """Rows made of each document's normalized text and whether it is Markdown, under the document's identity. No shuffle."""
+    schema = StructType([*documents.select(*DOC).schema.fields, *StructType.fromDDL(columns).fields])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data: list[list] = [[] for _ in names]
+            for *identity, format_, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for row in rows(body, format_ == "markdown") if body is not None else ():
+                    for column, value in zip(data, (*identity, *row), strict=True):
+                        column.append(value)
+                if len(data[0]) >= BATCH_ROWS:
+                    yield pa.RecordBatch.from_pydict(dict(zip(names, data, strict=True)))
+                    data = [[] for _ in names]
+            if data[0]:
+                yield pa.RecordBatch.from_pydict(dict(zip(names, data, strict=True)))
+
+    body = T.normalize(F.col("content")) if text is None else text
+    form = F.col("format") if "format" in documents.columns else F.lit("text")
+    return documents.select(*DOC, form.alias("format"), body.alias("text")).mapInArrow(_typed(run, schema), schema)
+
+
+def _typed(run, schema: StructType):
+    """The batches with exactly the declared types."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema)
+
+    def typed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, arrow, strict=True)], names=arrow.names)
+
+    return typed
 
 
 def lines(documents: DataFrame) -> DataFrame:
     """One row per line with its character span in the normalized text and whether it is in a code fence."""
-    by_line = Window.partitionBy(*DOC).orderBy("line_no")
-    before = by_line.rowsBetween(Window.unboundedPreceding, -1)
-    upto = by_line.rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        documents.select(*DOC, "format", F.posexplode(F.split(T.normalize(F.col("content")), "\n")).alias("line_no", "line"))
-        .withColumn("char_start", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)))
-        .withColumn("char_end", F.col("char_start") + F.length("line"))
-        .withColumn("is_fence", (F.col("format") == "markdown") & T.strip(F.col("line")).startswith("```"))
-        .withColumn("in_fence", F.sum(F.col("is_fence").cast("int")).over(upto) % 2 == 1)
-    )
+    columns = "line_no int, line string, char_start int, char_end int, is_fence boolean, in_fence boolean"
+    return per_document(documents, columns, lambda text, md: ((x.number, x.text, x.start, x.start + len(x.text), x.is_fence, x.in_fence) for x in P.lines(text, md)))
 
 
 def headed_lines(documents: DataFrame) -> DataFrame:
     """Lines with their section number and heading path. A heading of some level is an ancestor as long as no shallower one came later."""
-    upto = Window.partitionBy(*DOC).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    plain = (F.col("format") == "markdown") & ~F.col("in_fence") & ~F.col("is_fence")
-    level = F.when(plain & F.col("line").rlike(HEADING), F.length(F.regexp_extract("line", HEADING, 1)))
-    found = lines(documents).withColumn("level", level).withColumn("heading", F.regexp_extract("line", HEADING, 2))
-    latest = {"section_no": F.count("level").over(upto)} | {f"h{n}": F.max(F.when(F.col("level") == n, F.struct("line_no", "heading"))).over(upto) for n in LEVELS}
-    found = found.withColumns(latest)
-
-    def live(n: int) -> Column:
-        own = F.col(f"h{n}")
-        shallower = [F.coalesce(F.col(f"h{m}.line_no"), F.lit(-1)) for m in range(1, n)] + [F.lit(-1), F.lit(-1)]
-        return F.when(own["line_no"] > F.greatest(*shallower), own["heading"])
-
-    path = F.concat_ws(T.PATH_SEPARATOR, *[live(n) for n in LEVELS])
-    return found.withColumn("section_path", path).drop(*[f"h{n}" for n in LEVELS])
+    columns = "line_no int, line string, level int, section_no int, section_path string"
+    return per_document(documents, columns, lambda text, md: ((x.number, x.text, x.level, x.section_no, x.section_path) for x in P.lines(text, md)))
 
 
 def paragraphs(documents: DataFrame) -> DataFrame:
     """Maximal runs of lines between headings and blank lines; a blank line inside a fence does not end one."""
-    upto = Window.partitionBy(*DOC).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    breaks = F.col("level").isNotNull() | ((T.strip(F.col("line")) == "") & ~F.col("in_fence"))
-    marked = headed_lines(documents).withColumn("is_break", breaks)
-    marked = marked.withColumn("island", F.sum(F.col("is_break").cast("int")).over(upto))
-    in_order = F.sort_array(F.collect_list(F.struct("line_no", "line")))
-    return (
-        marked.where(~F.col("is_break"))
-        .groupBy(*DOC, "island")
-        .agg(
-            F.min("section_no").alias("section_no"),
-            F.min("section_path").alias("section_path"),
-            F.min("char_start").alias("char_start"),
-            F.max("is_fence").alias("atomic"),
-            T.strip_end(F.array_join(F.transform(in_order, lambda x: x["line"]), "\n")).alias("text"),
-        )
-        .where(F.col("text") != "")
-        .withColumn("char_end", F.col("char_start") + F.length("text"))
-    )
+    columns = "section_no int, section_path string, char_start int, char_end int, atomic boolean, text string"
+    return per_document(documents, columns, lambda text, md: ((p.section_no, p.section_path, p.start, p.end, atomic, p.text) for p, atomic in P.paragraphs(text, md)))
 
 
-def cut_spans(text: Column, reach: Callable[[Column], Column], most_steps: Column) -> Column:
-    """Cuts a text for as long as reach(rest) gives the prefix a piece may fill, NULL meaning the rest fits. A piece ends after the last
-    line break of that prefix, else before its last whitespace, else with it; whitespace between pieces belongs to neither. Three cuts
-    always pass the prefix they started with, which bounds the steps. Result: array of (off, len)."""
-    span = "array<struct<off:int,len:int>>"
-
-    def piece(off: Column, length: Column) -> Column:
-        return F.array(F.struct(off.cast("int").alias("off"), length.cast("int").alias("len")))
-
-    def step(acc: Column, _: Column) -> Column:
-        rest, off = acc["rest"], acc["off"]
-        prefix = reach(rest)
-        line = F.length(F.regexp_extract(prefix, r"(?s)^(.+\n)", 1))
-        space = F.length(F.regexp_extract(prefix, r"(?s)^(.+)\s", 1))
-        at = F.when(line > 0, line).when(space > 0, space).otherwise(F.length(prefix))
-        raw = F.substring(rest, at + 1, F.length(rest))
-        tail = T.strip_start(raw)
-        cut = F.struct(
-            tail.alias("rest"),
-            (off + at + F.length(raw) - F.length(tail)).cast("int").alias("off"),
-            F.concat(acc["done"], piece(off, F.length(T.strip_end(F.substring(rest, F.lit(1), at))))).alias("done"),
-        )
-        return F.when(prefix.isNull(), acc).otherwise(cut)
-
-    start = F.struct(text.alias("rest"), F.lit(0).alias("off"), F.array().cast(span).alias("done"))
-    return F.aggregate(
-        F.sequence(F.lit(1), most_steps),
-        start,
-        step,
-        lambda acc: F.when(acc["rest"] == "", acc["done"]).otherwise(F.concat(acc["done"], piece(acc["off"], F.length(acc["rest"])))),
-    )
+def sentences(spans: DataFrame) -> DataFrame:
+    """The sentences of text spans (char_start, text) with their offsets."""
 
+    def rows(text: str, _: bool) -> Iterator[tuple]:
+        at = 0
+        for number, part in enumerate(P.sentence_parts(text)):
+            sentence = part.rstrip(P.WHITE)
+            yield number, at, sentence, at + len(sentence)
+            at += len(part)
 
-def sentences(spans: DataFrame) -> DataFrame:
-    """The sentences of text spans (char_start, text) with their offsets, by the break rule of mark_sentences."""
-    within = Window.partitionBy(*DOC, "char_start").orderBy("sentence_no").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        spans.select("*", F.posexplode(T.sentence_parts(F.col("text"))).alias("sentence_no", "part"))
-        .withColumn("sentence_start", (F.col("char_start") + F.coalesce(F.sum(F.length("part")).over(within), F.lit(0))).cast("int"))
-        .withColumn("sentence", T.strip_end(F.col("part")))
-        .withColumn("sentence_end", F.col("sentence_start") + F.length("sentence"))
-        .drop("part")
+    found = per_document(spans.withColumn("version_no", F.struct("version_no", "char_start")), "sentence_no int, at int, sentence string, until int", rows, F.col("text"))
+    start = F.col("version_no.char_start")
+    return found.select(
+        "tenant_id", "key", "version_no.version_no", "sentence_no", "sentence", (F.col("at") + start).cast("int").alias("sentence_start"), (F.col("until") + start).cast("int").alias("sentence_end")
     )
 
 
 def pieces(documents: DataFrame, max_words: int = T.MAX_CHUNK_WORDS) -> DataFrame:
     """What the packer may not split: paragraphs, the sentences of paragraphs over max_words, and cut pieces of whatever is longer than
     the character limit."""
-    within = Window.partitionBy(*DOC, "island").orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
-    whole = F.col("atomic") | (T.word_count(F.col("text")) <= max_words)
-    parts = (
-        paragraphs(documents)
-        .withColumn("parts", F.when(whole, F.array("text")).otherwise(T.sentence_parts(F.col("text"))))
-        .select(*DOC, "section_no", "section_path", "island", "char_start", F.posexplode("parts").alias("part_no", "part"))
-        .withColumn("char_start", (F.col("char_start") + F.coalesce(F.sum(F.length("part")).over(within), F.lit(0))).cast("int"))
-        .withColumn("part", T.strip_end(F.col("part")))
-    )
-    long = F.length("part") > T.MAX_CHUNK_CHARS
-    spans = F.when(
-        long,
-        cut_spans(
-            F.col("part"),
-            lambda rest: F.when(F.length(rest) > T.MAX_CHUNK_CHARS, F.substring(rest, 1, T.MAX_CHUNK_CHARS)),
-            (F.ceil(F.length("part") / T.MAX_CHUNK_CHARS) * 3 + 3).cast("int"),
-        ),
-    ).otherwise(F.array(F.struct(F.lit(0).alias("off"), F.length("part").alias("len"))))
-    return parts.select(
-        *DOC, "section_no", "section_path", "char_start", "part", long.alias("cut"), F.explode(spans).alias("span")
-    ).select(
-        *DOC,
-        "section_no",
-        "section_path",
-        (F.col("char_start") + F.col("span.off")).alias("char_start"),
-        (F.col("char_start") + F.col("span.off") + F.col("span.len")).alias("char_end"),
-        F.substring(F.col("part"), F.col("span.off") + 1, F.col("span.len")).alias("text"),
-        "cut",
-    )
+    columns = "section_no int, section_path string, char_start int, char_end int, text string, cut boolean"
+    return per_document(documents, columns, lambda text, md: ((p.section_no, p.section_path, p.start, p.end, p.text, p.cut) for p in P.pieces(text, md, max_words)))
 
 
-def measured_pieces(documents: DataFrame, max_words: int = T.MAX_CHUNK_WORDS, overlap_words: int = T.OVERLAP_WORDS) -> DataFrame:
-    """Pieces with the running word count of their document and, for each, the earliest sentence before it that a following chunk may
-    repeat: at most overlap_words words back."""
-    section = Window.partitionBy(*DOC, "section_no")
-    in_order = section.orderBy("sentence_start")
-    running = Window.partitionBy(*DOC).orderBy("sentence_start").rowsBetween(Window.unboundedPreceding, -1)
-    cut_up = sentences(pieces(documents, max_words))
-    previous, ended = F.lag("sentence_end").over(in_order), F.lag("sentence").over(in_order).rlike("""[.!?]["')\\]]{0,2}$""")
-    listed = F.col("sentence").rlike(r"^[ \t]*(?:[-*+]|\d+[.)])[ \t]")
-    indent = F.length("sentence") - F.length(T.strip_start(F.col("sentence")))
-    opens = (
-        F.when(F.col("sentence_no") > 0, F.col("sentence_start"))
-        .when(ended & (previous < F.col("sentence_start")), F.col("sentence_start") + indent)
-        .when(listed & (previous < F.col("sentence_start")), F.col("sentence_start"))
-    )
-    counted = (
-        cut_up.withColumn("opens", opens)
-        .withColumn("words", T.word_count(F.col("sentence")))
-        .withColumn("words_before", F.coalesce(F.sum("words").over(running), F.lit(0)))
-    )
-    back = section.orderBy("words_before").rangeBetween(-overlap_words, -1)
-    repeat = F.min(F.when(F.col("opens").isNotNull(), F.struct(F.col("opens").alias("pos"), "words_before"))).over(back)
-    return (
-        counted.withColumn("repeat", repeat)
-        .groupBy(*DOC, "section_no", "char_start")
-        .agg(
-            F.min("section_path").alias("section_path"),
-            F.max("char_end").alias("char_end"),
-            F.max("cut").alias("cut"),
-            F.min("words_before").alias("words_before"),
-            F.max(F.col("words_before") + F.col("words")).alias("words_after"),
-            F.min(F.when(F.col("sentence_no") == 0, F.col("repeat"))).alias("repeat"),
-        )
-    )
+CHUNK_COLUMNS = "ordinal int, section_path string, char_start int, char_end int, content string, word_count int"
 
 
-def pack(measured: DataFrame, max_words: int = T.MAX_CHUNK_WORDS) -> DataFrame:
-    """Greedy packing of each section's pieces, in order, into chunk spans. What a chunk may hold depends on where the one before it
-    ended, so this is a fold over one section's pieces."""
-    spans = "array<struct<char_start:int,char_end:int>>"
-
-    def done(acc: Column) -> Column:
-        last = F.struct(acc["start"].cast("int").alias("char_start"), acc["end"].cast("int").alias("char_end"))
-        return F.concat(acc["chunks"], F.array(last))
-
-    def state(start: Column, words: Column, piece: Column, chunks: Column) -> Column:
-        return F.struct(
-            start.cast("int").alias("start"), words.cast("bigint").alias("words"), piece["char_end"].cast("int").alias("end"),
-            piece["cut"].alias("cut"), chunks.alias("chunks"),
-        )
-
-    def step(acc: Column, piece: Column) -> Column:
-        def fits(start: Column, words: Column) -> Column:
-            return (piece["words_after"] - words <= max_words) & (piece["char_end"] - start <= T.MAX_CHUNK_CHARS)
-
-        repeat = piece["repeat"]
-        may_repeat = F.coalesce(~acc["cut"] & ~piece["cut"] & (repeat["pos"] > acc["start"]), F.lit(False))
-        repeats = may_repeat & fits(repeat["pos"], repeat["words_before"])
-        return (
-            F.when(acc["start"] < 0, state(piece["char_start"], piece["words_before"], piece, acc["chunks"]))
-            .when(fits(acc["start"], acc["words"]), state(acc["start"], acc["words"], piece, acc["chunks"]))
-            .when(repeats, state(repeat["pos"], repeat["words_before"], piece, done(acc)))
-            .otherwise(state(piece["char_start"], piece["words_before"], piece, done(acc)))
-        )
-
-    start = F.struct(
-        F.lit(-1).alias("start"), F.lit(0).cast("bigint").alias("words"), F.lit(0).alias("end"), F.lit(False).alias("cut"),
-        F.array().cast(spans).alias("chunks"),
-    )
-    rows = F.sort_array(F.collect_list(F.struct("char_start", "char_end", "cut", "words_before", "words_after", "repeat")))
-    return (
-        measured.groupBy(*DOC, "section_no")
-        .agg(F.min("section_path").alias("section_path"), rows.alias("pieces"))
-        .select(*DOC, "section_path", F.explode(F.aggregate("pieces", start, step, done)).alias("span"))
-        .select(*DOC, "section_path", "span.char_start", "span.char_end")
-    )
+def _chunk_rows(text: str, spans) -> Iterator[tuple]:
+    for ordinal, (start, end, path) in enumerate(spans):
+        content = text[start:end]
+        yield ordinal, path, start, end, content, P.count_words(content)
 
 
 def packed_chunks(documents: DataFrame, max_words: int = T.MAX_CHUNK_WORDS, overlap_words: int = T.OVERLAP_WORDS) -> DataFrame:
-    """Chunk spans joined to their document's text, one row per document on either side of the join."""
-    spans = (
-        pack(measured_pieces(documents, max_words, overlap_words), max_words)
-        .groupBy(*DOC)
-        .agg(F.sort_array(F.collect_list(F.struct("char_start", "char_end", "section_path"))).alias("spans"))
-    )
-    texts = documents.select(*DOC, T.normalize(F.col("content")).alias("text"))
-    return (
-        texts.join(spans, DOC)
-        .select(*DOC, "text", F.posexplode("spans").alias("ordinal", "span"))
-        .select(
-            *DOC,
-            "ordinal",
-            "span.section_path",
-            "span.char_start",
-            "span.char_end",
-            F.substring(F.col("text"), F.col("span.char_start") + 1, F.col("span.char_end") - F.col("span.char_start")).alias("content"),
-        )
-        .withColumn("word_count", T.word_count(F.col("content")))
-    )
-
-
-def fit_token_budget(chunks: DataFrame, max_tokens: int = T.MAX_INPUT_TOKENS) -> DataFrame:
-    """Cuts chunks whose embedding input is over the model's limit and renumbers. Tokens are words plus the special tokens; a real
-    tokenizer plugs in by replacing `reach`."""
-    room = F.greatest(
-        F.lit(1), F.lit(max_tokens - T.SPECIAL_TOKENS) - T.word_count(T.embedded_path(F.col("section_path")))
-    )
-    steps = (F.ceil(F.col("word_count") / F.col("room")) * 3 + 3).cast("int")
-
-    def reach(rest: Column) -> Column:
-        return F.when(
-            T.word_count(rest) > F.col("room"),
-            F.call_function("regexp_extract", rest, F.concat(F.lit(r"^((?:\S+\s+){"), (F.col("room") - 1).cast("string"), F.lit(r"}\S+)")), F.lit(1)),
-        )
-
-    whole = F.array(F.struct(F.lit(0).alias("off"), F.length("content").alias("len")))
-    spans = F.when(F.col("word_count") > F.col("room"), cut_spans(F.col("content"), reach, steps)).otherwise(whole)
-    by_place = Window.partitionBy(*DOC).orderBy("ordinal", "char_start")
-    return (
-        chunks.withColumn("room", room)
-        .withColumn("span", F.explode(spans))
-        .withColumn("content", F.substring(F.col("content"), F.col("span.off") + 1, F.col("span.len")))
-        .withColumn("char_start", F.col("char_start") + F.col("span.off"))
-        .withColumn("char_end", F.col("char_start") + F.col("span.len"))
-        .withColumn("ordinal", F.row_number().over(by_place) - 1)
-        .withColumn("word_count", T.word_count(F.col("content")))
-        .drop("room", "span")
-    )
+    """Chunks before the token budget is applied."""
+    return per_document(documents, CHUNK_COLUMNS, lambda text, md: _chunk_rows(text, P.packed(text, md, max_words, overlap_words)))
 
 
-def chunk_documents(documents: DataFrame) -> DataFrame:
+def chunk_documents(documents: DataFrame, max_words: int = T.MAX_CHUNK_WORDS, overlap_words: int = T.OVERLAP_WORDS, max_tokens: int = T.MAX_INPUT_TOKENS) -> DataFrame:
     """(tenant_id, key, version_no, format, content) to chunks within every size limit."""
-    return fit_token_budget(packed_chunks(documents))
+    return per_document(documents, CHUNK_COLUMNS, lambda text, md: _chunk_rows(text, P.fitted(text, P.packed(text, md, max_words, overlap_words), max_tokens)))
 
 
 def chunk_problems(chunks: DataFrame, documents: DataFrame) -> DataFrame:

@@ -58,9 +58,15 @@ def test_every_rule_holds_on_mixed_documents(spark):
     assert set(total.asDict().values()) == {0}
 
 
-def test_lines_are_shuffled_once(spark):
-    plan = C.pack(C.measured_pieces(documents(spark, "a")))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+def test_chunking_shuffles_nothing(spark):
+    for made in (C.chunk_documents, C.packed_chunks, C.pieces, C.paragraphs, C.headed_lines, C.lines):
+        assert "Exchange" not in made(documents(spark, "a"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_noncharacter_shifts_no_offset(spark):
+    text = "One \ufdd0 two. Three four.\n- five \ufdd0"
+    rows = C.chunk_documents(documents(spark, text), max_words=3).collect()
+    assert [text[r.char_start : r.char_end] for r in rows] == [r.content for r in rows] == ["One \ufdd0 two.", "Three four.", "- five \ufdd0"]
 
 
 def test_embedded_path_keeps_the_innermost_headings(spark):
