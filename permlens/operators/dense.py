@@ -7,26 +7,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from permlens.functions import text as T
-from permlens.operators.access import CHUNK
-from permlens.operators.keyword import PLACE, TIES, context_text, label_table, scope_grants, top, top_chunks
+from permlens.operators.access import CHUNK, LABELS, SCOPE
+from permlens.operators.keyword import PLACE, TIES, context_text, label_table, scope_grants, top
 from permlens.operators.spread import spread_join
 from permlens.session import broadcast_if_small
 
 BUCKETS = 384
 QUERY_BLOCK = 16_384
 STEP = 2048
+HELD_ROWS = 500_000
 SCORE_TOLERANCE = 1e-6
 
 
 def exact_topk(requests: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
     """Cosine similarity of every request vector with every vector it may see, ranked after the filter. Request vectors are taken in
-    blocks of bounded size; each task scores its own partition of the corpus against a block with matrix products and passes on only what
-    can still be in a top n, ties included. Rows of another profile never meet."""
+    blocks of bounded size; each task scores its own partition of the corpus against a block with matrix products and passes on only its
+    own top n, ties included, once. Rows of another profile never meet."""
     grants = scope_grants(requests, label_table(vectors)).groupBy("label_no").agg(F.sort_array(F.collect_set("scope_no")).alias("scopes"))
     candidates = vectors.join(broadcast_if_small(grants), "label_no")
     asked = requests.select("request_id", "request_no", "scope_no", "profile_id", "vector")
@@ -67,6 +68,7 @@ def score_block(asked: DataFrame, candidates: DataFrame, n: int) -> DataFrame:
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, profiles, scopes, queries, lengths = shared.value
         floor = np.full(len(ids), -np.inf)  # the n-th best score this task has seen per request
+        held: list[tuple[np.ndarray, pd.DataFrame]] = []  # what can still be in a top n, with the request's place
         for batch in batches:
             if not len(batch) or not len(ids):
                 continue
@@ -88,13 +90,30 @@ def score_block(asked: DataFrame, candidates: DataFrame, n: int) -> DataFrame:
                 out = batch[carried].iloc[at].reset_index(drop=True)
                 out.insert(0, "request_id", ids[part][of])
                 out["score"] = cosine[at, of]
-                yield out
+                held.append((of + lo, out))
+            if sum(len(of) for of, _ in held) > HELD_ROWS:
+                held = [_still(held, floor, n)]
+        if held:
+            yield _still(held, floor, n)[1]
 
     kept = candidates.select(*carried, "profile_id", "vector", "scopes")
     schema = "request_id string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.select(*carried).schema) + ", score double"
     return kept.mapInPandas(score, schema)
 
 
+def _still(held: list[tuple[np.ndarray, pd.DataFrame]], floor: np.ndarray, n: int) -> tuple[np.ndarray, pd.DataFrame]:
+    """The held rows that reach their request's n-th best score so far, ties included; raises the floors."""
+    of, rows = np.concatenate([o for o, _ in held]), pd.concat([r for _, r in held], ignore_index=True)
+    score = rows["score"].to_numpy()
+    order = np.lexsort((-score, of))
+    first = np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1]])) if len(of) else np.empty(0, int)
+    nth = first + n - 1
+    whole = nth < np.append(first[1:], len(of))
+    floor[of[order][first[whole]]] = np.maximum(floor[of[order][first[whole]]], score[order][nth[whole]])
+    kept = score >= floor[of]
+    return of[kept], rows[kept]
+
+
 def bucket(word: Column) -> Column:
     return (F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint") % BUCKETS).cast("int")
 
@@ -117,14 +136,12 @@ def bucket_maps(df: DataFrame, text: Column, keys: list[str]) -> DataFrame:
 
 
 def sparse_vector_topk(requests: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
-    """Cosine similarity by meeting on equal buckets: an equi-join and a sum in place of all pairs."""
-    length = lambda key: F.sqrt(F.sum(F.col("cnt") * F.col("cnt")).over(Window.partitionBy(key)).cast("double"))
-    index = word_buckets(chunks, context_text(), ["chunk_no", "label_no", "tenant_id"]).withColumn("length", length("chunk_no"))
-    asked = word_buckets(requests, F.col("query"), ["request_no", "scope_no", "tenant_id"])
-    wanted = asked.withColumn("q_length", length("request_no")).withColumnRenamed("cnt", "q_cnt")
-    cosine = F.round(F.sum(F.col("cnt") * F.col("q_cnt")) / (F.first("length") * F.first("q_length")), 9)
-    grants = scope_grants(requests, label_table(chunks))
-    return top_chunks(wanted, index, "bucket", grants, cosine, [F.desc("score")], n, chunks, requests)
+    """Cosine similarity of hashed word vectors, as block products like any other vector: with a few hundred buckets, meeting on equal buckets
+    would make more rows than there are pairs. What shares no bucket with a request is no result."""
+    about = chunks.select(*CHUNK, *PLACE, *LABELS, *SCOPE, "label_no")
+    stored = about.join(bucket_maps(chunks, context_text(), CHUNK), CHUNK).withColumn("profile_id", F.lit("hashing"))
+    asked = requests.join(bucket_maps(requests, F.col("query"), ["request_id"]), "request_id").withColumn("profile_id", F.lit("hashing"))
+    return exact_topk(asked, stored, n).where("score > 0")
 
 
 def vector_problems(vectors: DataFrame, dimension: int) -> DataFrame:

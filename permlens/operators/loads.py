@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from permlens.operators import metrics
+
 
 def compare_latency(timed: DataFrame) -> DataFrame:
     """p50 and p95 before and after per strategy, compared only when both runs were served by the same processor."""
@@ -90,5 +92,9 @@ def scale_summary(runs: DataFrame, audit: DataFrame, stages: DataFrame) -> DataF
 
 def stage_percentiles(executions: DataFrame, stages: list[str]) -> DataFrame:
     """Interpolated percentiles of the stage latencies of recorded executions per strategy."""
-    columns = [F.expr(f"percentile_cont({share}) within group (order by {s})").alias(f"{s}_p{int(share * 100)}") for s in stages for share in (0.5, 0.95)]
-    return executions.groupBy("strategy").agg(F.count(F.lit(1)).alias("executions"), *columns)
+    long = executions.unpivot(["strategy"], stages, "stage", "ms")
+    shares = {"p50": 0.5, "p95": 0.95}
+    found = metrics.interpolated(long, ["strategy", "stage"], "ms", shares)
+    columns = [F.max(F.when(F.col("stage") == s, F.col(p))).alias(f"{s}_{p}") for s in stages for p in shares]
+    wide = found.groupBy("strategy").agg(*columns)
+    return executions.groupBy("strategy").agg(F.count(F.lit(1)).alias("executions")).join(wide, "strategy", "left")

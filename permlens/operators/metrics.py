@@ -12,25 +12,39 @@ RECORD = ["case_id", "strategy"]
 QUALITY = ["recall_5", "recall_10", "mrr_10", "ec_10"]
 
 
-def nearest_rank(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Percentiles as values of the data, never interpolated: the value at 0-based place min(n - 1, int(share * n)) of the sorted group.
-    Values are counted first and placed by distributed running totals, so neither a group nor its distinct values are one task's work."""
+def _placed(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """The distinct values of every group with their counts (_c), the rows up to and including them (_place) and the group's rows (_n). Values
+    are counted first and placed by distributed running totals, so neither a group nor its distinct values are one task's work."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
     placed = running_total(counted, group, [value], F.col("_c"), "_place")
     sizes = placed.groupBy(*group).agg(F.sum("_c").alias("_n"))
+    if not group:
+        return placed.withColumn("_n", F.lit(sizes.first()["_n"]))
     match = F.lit(True)
     for g in group:
         match = match & F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))
-    if group:
-        sized = placed.alias("a").join(sizes.alias("b"), match).select("a.*", "_n")
-    else:
-        sized = placed.withColumn("_n", F.lit(sizes.first()["_n"]))
+    return placed.alias("a").join(sizes.alias("b"), match).select("a.*", "_n")
+
+
+def nearest_rank(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Percentiles as values of the data, never interpolated: the value at 0-based place min(n - 1, int(share * n)) of the sorted group."""
 
     def at(share: float) -> Column:
         place = F.least(F.col("_n") - 1, F.floor(F.col("_n") * share))
         return F.min(F.when(F.col("_place") > place, F.col(value)))
 
-    return sized.groupBy(*group).agg(*[at(share).alias(name) for name, share in shares.items()], F.max("_n").alias("n"), F.max(value).alias("largest"))
+    return _placed(df, group, value).groupBy(*group).agg(*[at(share).alias(name) for name, share in shares.items()], F.max("_n").alias("n"), F.max(value).alias("largest"))
+
+
+def interpolated(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Percentiles between the two values around 0-based place share * (n - 1) of the sorted group."""
+
+    def at(share: float) -> Column:
+        place = (F.col("_n") - 1) * F.lit(share)
+        below, above = (F.min(F.when(F.col("_place") > p, F.col(value))) for p in (F.floor(place), F.ceil(place)))
+        return below + (above - below) * F.max(place - F.floor(place))
+
+    return _placed(df, group, value).groupBy(*group).agg(*[at(share).alias(name) for name, share in shares.items()])
 
 
 def evidence_spans(cases: DataFrame, documents: DataFrame) -> DataFrame:
