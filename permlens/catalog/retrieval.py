@@ -56,6 +56,16 @@ def x5(c: Corpus) -> DataFrame:
     return longs(keyword.ranking_differences(c.results.where("strategy = 'sparse-only'"), recorded(c)), "expected_n", "actual_n")
 
 
+def x5_status(c: Corpus) -> DataFrame:
+    """Recorded rankings of every strategy: one recorded at another k, one configured otherwise, one unchanged, one with the differences of X5."""
+    settings = "strategy string, dataset_digest string, k int, configuration string"
+    ran = c.spark.createDataFrame([(s, "aa", 10, "one") for s in fusion.STRATEGIES], settings)
+    noted = c.spark.createDataFrame([("sparse-only", "aa", 10, "one"), ("dense-only", "aa", 5, "one"), ("hybrid-rrf", "aa", 10, "two"), ("hybrid-rrf-rerank", "aa", 10, "one"), ("retired", "aa", 10, "one")], settings)
+    shape = ["strategy", "request_id", "rank", *CHUNK, *keyword.PLACE]
+    expected = recorded(c).select(*shape).unionByName(c.results.where("strategy <> 'sparse-only'").select(*shape))
+    return keyword.ranking_status(c.results.select(*shape), expected, ran, noted)
+
+
 def x6(c: Corpus) -> DataFrame:
     return keyword.lexical_overlap(c.cases).withColumn("overlap", F.round("overlap", 6))
 
@@ -185,6 +195,7 @@ QUERIES = {
     "x3_sparse_topk": lambda c: scored(keyword.sparse_topk(c.scoped, c.postings, c.candidates, 50)),
     "x4_bm25_topk": lambda c: scored(keyword.bm25_topk(c.scoped, c.postings, c.candidates, 10)),
     "x5_keyword_ranking_check": x5,
+    "x5_keyword_ranking_status": x5_status,
     "x6_lexical_overlap_bands": x6,
     "d1_dense_exact_topk": lambda c: scored(dense.exact_topk(c.requests_with_given_vectors(), c.given_vectors(), 10)),
     "d2_validate_vectors": d2,
@@ -268,6 +279,11 @@ SQL = {
             where not ({h('record', 'request_id')} % 10 = 0 or ({h('record', 'request_id')} % 10 = 1 and rank = 1)) group by all) b using (request_id)
         where got is distinct from want"""
     ),
+    "x5_keyword_ranking_status": sql(
+        f"""select 'sparse-only' as strategy, 'failed' as status, 'cases ranked differently' as reason, count(distinct request_id) as differences from sparse_top where {h('record', 'request_id')} % 10 <= 1
+        union all select 'dense-only', 'failed', 'recorded for another dataset or k', null union all select 'hybrid-rrf', 'not applicable', 'ran with another configuration', null
+        union all select 'hybrid-rrf-rerank', 'passed', null, 0"""
+    ),
     "x6_lexical_overlap_bands": sql(
         f"""select case_id, round(overlap, 6) as overlap, case when overlap < 1 / 3 then 'low' when overlap >= 2 / 3 then 'high' else 'mid' end as band
         from (select case_id, case when len(q) = 0 then 0 else len(list_intersect(q, e)) / len(q) end as overlap

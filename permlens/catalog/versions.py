@@ -142,7 +142,7 @@ def v13(c: Corpus) -> DataFrame:
 
 
 def v14(c: Corpus) -> DataFrame:
-    kind = F.when(F.col("event_type") == "error", "attempt_failed").when(F.col("event_type") == "purchase", "succeeded").otherwise("heartbeat")
+    kind = F.when(F.col("event_type") == "error", "attempt_failed").when(F.col("event_type") == "purchase", "succeeded").when(F.col("event_type") == "signup", "lease_lost").otherwise("heartbeat")
     events = c.given("events").select(F.col("user_id").alias("job_id"), F.struct("ts", "event_id").alias("at"), kind.alias("kind"))
     return V.job_states(events)
 
@@ -248,6 +248,7 @@ SQL = {
             select user_id, list_reduce(list_concat([{'state': 'running', 'failures': 0}], list({'state': event_type, 'failures': 0} order by ts, event_id)),
                 lambda s, e: case when s.state in ('succeeded', 'failed') then s when e.state = 'purchase' then {'state': 'succeeded', 'failures': s.failures}
                     when e.state = 'error' then {'state': case when s.failures + 1 >= 5 then 'failed' else 'queued' end, 'failures': s.failures + 1}
+                    when e.state = 'signup' then {'state': case when s.failures + 1 >= 5 then 'failed' else 'running' end, 'failures': s.failures + 1}
                     else {'state': 'running', 'failures': s.failures} end) as r
             from events group by user_id)""",
 }

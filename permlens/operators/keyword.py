@@ -140,6 +140,18 @@ def ranking_differences(results: DataFrame, expected: DataFrame) -> DataFrame:
     )
 
 
+def ranking_status(results: DataFrame, expected: DataFrame, ran: DataFrame, recorded: DataFrame) -> DataFrame:
+    """passed, failed or not applicable for every strategy with recorded rankings that ran. ran and recorded are (strategy, dataset_digest, k,
+    configuration): another dataset or k fails, as the file has to be recorded anew; another configuration is not checked."""
+    settings = recorded.alias("e").join(ran.alias("r"), "strategy")
+    other = ~F.col("e.dataset_digest").eqNullSafe(F.col("r.dataset_digest")) | ~F.col("e.k").eqNullSafe(F.col("r.k"))
+    differing = ranking_differences(results, expected).groupBy("strategy").agg(F.count(F.lit(1)).alias("differences"))
+    status = F.when(other, "failed").when(~F.col("e.configuration").eqNullSafe(F.col("r.configuration")), "not applicable").when(F.col("differences") > 0, "failed").otherwise("passed")
+    reason = F.when(other, "recorded for another dataset or k").when(status == "not applicable", "ran with another configuration").when(status == "failed", "cases ranked differently")
+    checked = ~other & F.col("e.configuration").eqNullSafe(F.col("r.configuration"))
+    return settings.join(differing, "strategy", "left").select("strategy", status.alias("status"), reason.alias("reason"), F.when(checked, F.coalesce("differences", F.lit(0))).alias("differences"))
+
+
 def lexical_overlap(cases: DataFrame) -> DataFrame:
     """The share of a query's distinct terms found in its evidence, with its band."""
     query = F.array_distinct(T.terms(F.col("query")))

@@ -227,11 +227,11 @@ def chunker_releases(chunker_versions: DataFrame) -> DataFrame:
 
 def job_states(events: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """The state of each job from its ordered (job_id, at, kind) events: succeeded and exhausted are final, a failed attempt waits twice
-    as long each time, anything else is running. The events of one job may span many ordered parts; each part is reduced to its failures
+    as long each time, a lost lease uses up an attempt and is taken over without a wait, anything else is running. The events of one job may span many ordered parts; each part is reduced to its failures
     before a success, its failures and its last kind, and the parts are applied in order."""
     parts = ordered_parts(events, ["job_id"], ["at"])
     block = ["job_id", "_part"]
-    failed, succeeded = F.col("kind") == "attempt_failed", F.col("kind") == "succeeded"
+    failed, succeeded = F.col("kind").isin("attempt_failed", "lease_lost"), F.col("kind") == "succeeded"
     won_at = F.min(F.when(succeeded, F.col("at"))).over(Window.partitionBy(*block))
     per_block = parts.withColumn("won_at", won_at).groupBy(*block).agg(
         F.count_if(failed & (F.col("at") < F.col("won_at"))).alias("failed_first"),

@@ -77,7 +77,7 @@ def test_status_events_equal_brute_force(spark):
 
 def test_job_states_equal_brute_force(spark):
     rng = random.Random(2)
-    events = [(rng.choice([1] * 4 + list(range(2, 40))), i, rng.choice(["attempt_failed", "heartbeat", "heartbeat", "succeeded" if i % 9 == 0 else "heartbeat"])) for i in range(400)]
+    events = [(rng.choice([1] * 4 + list(range(2, 40))), i, rng.choice(["attempt_failed", "lease_lost", "heartbeat", "heartbeat", "succeeded" if i % 9 == 0 else "heartbeat"])) for i in range(400)]
 
     def fold(job):
         state, failures = "running", 0
@@ -89,6 +89,9 @@ def test_job_states_equal_brute_force(spark):
             elif kind == "attempt_failed":
                 failures += 1
                 state = "failed" if failures >= 5 else "queued"
+            elif kind == "lease_lost":
+                failures += 1
+                state = "failed" if failures >= 5 else "running"
             else:
                 state = "running"
         return state, failures, 5 * 2 ** min(failures - 1, 10) if state == "queued" else None
