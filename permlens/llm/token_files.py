@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -19,24 +20,34 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from permlens.llm import files
-from permlens.llm.common import LAST_ID, Out, order_id, rows, text_of
+from permlens.llm.bpe import byte_symbols
+from permlens.llm.common import LAST_ID, Out, Recent, order_id, rows, text_of
 from permlens.session import written
 
 MAGIC = b"PLTOKEN1"
 TRAILER = struct.Struct("<QQQQII8s")  # footer place, blocks, documents, ids, bits of an id, ids of a block, MAGIC
 BLOCK_IDS = 1 << 15
 CACHE_WORDS = 300_000
+CACHE_PARTS = 200_000
+# Fixed value: the word pattern of the files whose texts may be encoded word by word; below it, the same for lower-case ASCII.
+KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LATIN_PARTS = regex.compile(KNOWN_PATTERN)
+LAST_LATIN = "\u024f"  # beyond it the library parts a word itself
+SYMBOLS = dict(enumerate(byte_symbols()))
+ASCII_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 READ_IDS = 1 << 20
 
 
 class LibraryEncoder:
-    """The tokenizers library over distinct words: no token of these files' kind reaches over ASCII white space, so a text's ids are its
-    words' ids in order, and repeated words are encoded once."""
+    """The tokenizers library over the distinct words of a task. Where the file's pattern parts texts at white space, a text's ids are its
+    words' ids in order; a Latin word's ids are those of its normalized parts by that pattern. Each part is encoded by the library's model,
+    once while it is remembered; other words go through the library whole."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread per task
@@ -45,27 +56,45 @@ class LibraryEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
-        self.by_word = "Replace" in steps and any("\\s" in str(p) for p in spec["pre_tokenizer"].get("pretokenizers", [])) and spec["post_processor"] is None
+        split = [p["pattern"]["Regex"] for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
+        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and split == [KNOWN_PATTERN] and spec["post_processor"] is None
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.size = self.library.get_vocab_size()
-        self.known: dict[bytes, list[int]] = {}
-
-    def encode(self, text: str) -> list[int]:
+        self.model, self.normalizer = self.library.model, self.library.normalizer
+        self.parts = Recent(CACHE_PARTS, self._part)
+        self.words = Recent(CACHE_WORDS, self._word)
+
+    def _library(self, data: bytes) -> bytes:
+        ids = self.library.encode(data.decode(), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _part(self, part: bytes) -> bytes:
+        """One word of the pattern, lower-cased, in the stand-ins of its bytes, as the library's model takes it."""
+        ids = [t.id for t in self.model.tokenize(part.decode("latin-1").translate(SYMBOLS))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: bytes) -> bytes:
+        if b"<" in word:  # a special token may begin so
+            return self._library(word)
+        if not word.isascii():
+            text = word.decode()
+            if max(text) > LAST_LATIN:
+                return self._library(word)
+            return b"".join([self.parts[p.encode()] for p in LATIN_PARTS.findall(self.normalizer.normalize_str(text))])
+        plain = word.lower()
+        if plain.isalpha():
+            return self.parts[plain]
+        if plain[:-1].isalpha():  # letters and one other sign, the most frequent case
+            return self.parts[plain[:-1]] + self.parts[plain[-1:]]
+        return b"".join([self.parts[p] for p in ASCII_PARTS.findall(plain)])
+
+    def encode(self, text: str) -> np.ndarray:
+        data = text.encode()
         if not self.by_word:
-            return self.library.encode(text, add_special_tokens=False).ids
-        words, known = text.encode().split(), self.known
-        if new := [w for w in dict.fromkeys(words) if w not in known]:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[w] = e.ids
-        ids: list[int] = []
-        for w in words:
-            ids += known[w]
-        return ids
+            return np.frombuffer(self._library(data), "<u4")
+        return np.frombuffer(b"".join(map(self.words.__getitem__, data.split())), "<u4")
 
 
 @lru_cache(maxsize=2)
@@ -95,27 +124,30 @@ class Writer:
         self.docs: list[int] = []
         self.nulls: list[bool] = []
         self.starts: list[int] = []
-        self.open: list[int] = []
-        self.n = 0
+        self.open: list[np.ndarray] = []
+        self.held = self.n = 0
         sink.write(MAGIC)
 
-    def add(self, doc_id: int | None, ids: list[int]) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs.append(0 if doc_id is None else doc_id)
         self.nulls.append(doc_id is None)
         self.starts.append(self.n)
         self.n += len(ids)
-        self.open += ids
-        while len(self.open) >= BLOCK_IDS:
-            self._block(self.open[:BLOCK_IDS])
-            del self.open[:BLOCK_IDS]
-
-    def _block(self, ids: list[int]) -> None:
-        self.offsets.append(self.sink.tell())
-        self.sink.write(pack(np.array(ids, np.uint32), self.width))
+        self.held += len(ids)
+        self.open.append(ids)
+        if self.held >= BLOCK_IDS:
+            self._blocks(False)
+
+    def _blocks(self, last: bool) -> None:
+        ids, at = np.concatenate(self.open) if self.open else np.empty(0, "<u4"), 0
+        while len(ids) - at >= BLOCK_IDS or last and at < len(ids):
+            self.offsets.append(self.sink.tell())
+            self.sink.write(pack(ids[at : at + BLOCK_IDS], self.width))
+            at += BLOCK_IDS
+        self.open, self.held = [ids[at:]], max(0, len(ids) - at)
 
     def close(self) -> None:
-        if self.open:
-            self._block(self.open)
+        self._blocks(True)
         footer = self.sink.tell()
         for values, kind in ((self.offsets, "<u8"), (self.docs, "<i8"), (self.nulls, "<u1"), (self.starts, "<u8")):
             self.sink.write(np.array(values, kind).tobytes())
@@ -173,7 +205,7 @@ def write(docs: DataFrame, path: str, end_id: int | None = 2, folder: str | None
                 uri, sink = files.create(folder, f"part-{part:06d}", "tok")
                 writer = Writer(sink, max(words.size, (end_id or 0) + 1))
             ids = words.encode(text)
-            writer.add(None if doc_id == LAST_ID else doc_id, ids + ([] if end_id is None else [end_id]))
+            writer.add(None if doc_id == LAST_ID else doc_id, ids if end_id is None else np.append(ids, np.uint32(end_id)))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pylist([{"part": part, "path": uri, "n_docs": len(writer.docs), "n_ids": writer.n}], schema=FILES)
