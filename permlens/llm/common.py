@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from permlens.session import work_folder
+
 # A null doc_id sorts after every other id.
 LAST_ID = 2**63 - 1
 
@@ -46,6 +49,13 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
+def packed_table(df: DataFrame, name: str) -> DataFrame:
+    """Writes a large intermediate table to the session's shared folder, tightly compressed, and reads it back."""
+    path = f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (wrapping arithmetic), so that neighbouring values land far apart."""
     x = x.astype(np.uint64, copy=True)

@@ -4,13 +4,14 @@ A window is WINDOW consecutive words. Its minimiser is the smallest hash of its
 minimisers. Consecutive windows of a text that share a minimiser travel as one packed string to the minimiser's bucket, where the windows
 of its strings are counted exactly, word for word.
 
-1. A narrow pass groups (minimiser, document): a minimiser of one document only cannot hold a repeat. The others set bits of a filter of
-   bounded size; it only spares work, as what passes it wrongly is counted like the rest.
-2. A second pass writes the packed strings of minimisers that pass. The few minimisers with very many documents (an edge of a passage that
-   a third of the corpus quotes) send every window on its own, to a bucket named by the window's hash, so that no bucket is one task's
-   burden. Their threshold follows from the corpus so that at most MAX_HOT are named.
-3. Equal strings are combined before they are shuffled (copies of any number become one row). Each bucket yields, for its strings, the
-   smallest document of every window, and a join by the string's digest brings that to all places where it occurs.
+1. A narrow pass finds the smallest and largest document of every minimiser: one of a single document cannot hold a repeat. The others set
+   bits of a filter of bounded size; it only spares work, as what passes it wrongly is counted like the rest.
+2. A second pass writes the packed strings of minimisers that pass, each once per chunk of documents however many copies the chunk has,
+   and the places of all. The few minimisers with very many different strings (an edge of a passage that a third of the corpus quotes)
+   send every window on its own, to a bucket named by the window's hash, so that no bucket is one task's burden. Their threshold
+   follows from the corpus so that at most MAX_HOT are named.
+3. Each bucket yields, for its strings, the smallest document of every window, and a join by the string's digest brings that to all places
+   where it occurs.
 4. Every document meets the ranges found in it once, by id.
 """
 
@@ -26,14 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from permlens.llm.common import LAST_ID, Out, WordNumbers, hidden, mix, order_id, rows, text_of, words_of
-from permlens.session import written
+from permlens.llm.common import LAST_ID, Out, WordNumbers, hidden, mix, order_id, packed_table, rows, text_of, words_of
 
 WINDOW = 50
 MINI = 10
 RUN_WINDOWS = 64  # a longer run with one minimiser is cut; its parts go to the same bucket
 CHUNK_WORDS = 500_000
-HOT_DOCS = 1_000
+HOT_STRINGS = 1_000
 MAX_HOT = 1_000_000
 FILTER_BITS = (16, 27)  # fewest and most, as powers of two: at most 16 MB
 BLOCK_BITS = 4096 * 8
@@ -96,8 +96,20 @@ def _identified(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(order_id(id_column).alias("doc"), F.xxhash64(text_of(text_column)).alias("row"), text_of(text_column).alias("text"))
 
 
-RUNS = "bucket long, packed binary, key1 long, key2 long, doc long, row long, start int"
-RUN_SCHEMA = pa.schema([("bucket", pa.int64()), ("packed", pa.binary()), ("key1", pa.int64()), ("key2", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int32())])
+def run_hashes(texts: list[list[bytes]], numbers: WordNumbers, of: np.ndarray, place: np.ndarray, count: np.ndarray, window: int) -> np.ndarray:
+    """A 64-bit hash of the words of every run, from sums over the words' hashes times powers of an odd number and its inverse."""
+    words = numbers([w for t in texts for w in t])
+    base = 0x9E3779B97F4A7C15
+    power = lambda b: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(words), b, np.uint64)]))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(words * power(base)[:-1])])
+    start = np.concatenate([[0], np.cumsum([len(t) for t in texts])])[of] + place
+    return mix((sums[start + count + window - 1] - sums[start]) * power(pow(base, -1, 1 << 64))[start])
+
+
+STRINGS = "bucket long, packed binary, key1 long, key2 long, low long, high long, row long, start int"
+STRING_SCHEMA = pa.schema(
+    [("bucket", pa.int64()), ("packed", pa.binary()), ("key1", pa.int64()), ("key2", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("row", pa.int64()), ("start", pa.int32())]
+)
 
 
 def repeated_ranges(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, mini: int = MINI) -> DataFrame:
@@ -109,23 +121,29 @@ def repeated_ranges(docs: DataFrame, id_column: str = "doc_id", text_column: str
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = WordNumbers()
         for ids, texts in word_chunks(batches):
-            of, _, _, least = runs(texts, numbers, window, mini)
+            of, place, count, least = runs(texts, numbers, window, mini)
+            if not len(of):
+                continue
             doc = np.array([d for d, _ in ids], np.int64)[of]
-            seen = np.unique(np.rec.fromarrays([least.view(np.int64), doc]))
-            for i in range(0, len(seen), 50_000):
-                part = seen[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part["f0"].copy()), pa.array(part["f1"].copy())], ["mini", "doc"])
-
-    per_mini = known.mapInArrow(shared, "mini long, doc long").groupBy("mini").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n"))
-    several = written(per_mini.where("low < high").select("mini", "n"), "shared-minimisers")
-    n_shared, n_pairs = several.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+            string = run_hashes(texts, numbers, of, place, count, window)
+            order = np.lexsort((string, least))
+            doc, least, string = doc[order], least[order], string[order]
+            first = np.concatenate([[True], least[1:] != least[:-1]])
+            other = first | np.concatenate([[True], string[1:] != string[:-1]])
+            at = np.flatnonzero(first)
+            columns = least[at].view(np.int64), np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at), np.add.reduceat(other.astype(np.int64), at)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["mini", "low", "high", "n"])
+
+    per_mini = known.mapInArrow(shared, "mini long, low long, high long, n long").groupBy("mini").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+    several = packed_table(per_mini.where("low < high").select("mini", "n"), "shared-minimisers")
+    n_shared, n_strings = several.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     bits = 1 << min(max((8 * n_shared).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
     at = F.pmod("mini", F.lit(bits)) + 1
     blocks = several.groupBy(F.bitmap_bucket_number(at).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap")).collect()  # at most bits / 8 bytes
     passing = bytearray(bits // 8)
     for block, bitmap in blocks:
         passing[(block - 1) * (BLOCK_BITS // 8) : block * (BLOCK_BITS // 8)] = bitmap
-    least_hot = max(HOT_DOCS, n_pairs // MAX_HOT)
+    least_hot = max(HOT_STRINGS, n_strings // MAX_HOT)
     hot = np.sort(np.array([r[0] for r in several.where(F.col("n") > least_hot).select("mini").collect()], np.int64))  # at most MAX_HOT
     held = spark.sparkContext.broadcast((np.frombuffer(bytes(passing), np.uint8), hot))
 
@@ -133,59 +151,78 @@ def repeated_ranges(docs: DataFrame, id_column: str = "doc_id", text_column: str
         import xxhash
 
         filter_bytes, hot_minis = held.value
-        numbers, out, digest = WordNumbers(), Out(RUN_SCHEMA), xxhash.xxh3_128_digest
+        numbers, out, digest = WordNumbers(), Out(STRING_SCHEMA), xxhash.xxh3_128_digest
         for ids, texts in word_chunks(batches):
             of, place, count, least = runs(texts, numbers, window, mini)
             bit = (least & np.uint64(bits - 1)).astype(np.int64)
             wanted = (filter_bytes[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
             of, place, count, least = of[wanted], place[wanted], count[wanted], least[wanted].view(np.int64)
             is_hot = np.isin(least, hot_minis) if len(hot_minis) else np.zeros(len(least), bool)
+            seen: dict[bytes, list] = {}  # strings of this chunk: bucket, place of one occurrence, smallest and largest document
             for t, start, n, mini_hash, single in zip(of.tolist(), place.tolist(), count.tolist(), least.tolist(), is_hot.tolist(), strict=True):
                 words, (doc, row) = texts[t], ids[t]
                 for s, m in ((start + i, 1) for i in range(n)) if single else ((start, n),):
-                    run = b" ".join(words[s : s + m + window - 1])
-                    key = digest(run)
-                    key1, key2 = int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True)
-                    if out.add(key1 if single else mini_hash, run, key1, key2, doc, row, s, weight=len(run)):
+                    key = digest(b" ".join(words[s : s + m + window - 1]))
+                    key1, key2 = _halves(key)
+                    if (known_string := seen.get(key)) is None:
+                        seen[key] = [key1 if single else mini_hash, t, s, m, doc, doc]
+                    else:
+                        known_string[4], known_string[5] = min(doc, known_string[4]), max(doc, known_string[5])
+                    if out.add(None, None, key1, key2, doc, doc, row, s):
                         yield out.take()
+            for key, (bucket, t, s, m, low, high) in seen.items():
+                string = b" ".join(texts[t][s : s + m + window - 1])
+                if out.add(bucket, string, *_halves(key), low, high, None, None, weight=len(string)):
+                    yield out.take()
         yield from out.rest()
 
-    strings = written(known.mapInArrow(packed, RUNS), "super-k-mers")
-    distinct = strings.groupBy("bucket", "packed", "key1", "key2").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-    buckets = distinct.repartition("bucket").sortWithinPartitions("bucket")
+    strings = packed_table(known.mapInArrow(packed, STRINGS), "super-k-mers")
+    buckets = strings.where("packed is not null").select("bucket", "key1", "key2", "packed", "low", "high").repartition("bucket").sortWithinPartitions("bucket")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Out(FOUND)
-        for _, group in groupby(rows(batches, "bucket", "packed", "key1", "key2", "low", "high"), key=lambda r: r[0]):
-            members = list(group)  # a minimiser of few documents, or equal hashes of single windows
-            if len(members) == 1 and members[0][4] == members[0][5]:
+        for _, group in groupby(rows(batches, "bucket", "key1", "key2", "packed", "low", "high"), key=lambda r: r[0]):
+            members: dict[tuple[int, int], list] = {}  # a minimiser of few strings, or equal hashes of single windows
+            for _, key1, key2, string, low, high in group:
+                if (same := members.get((key1, key2))) is None:
+                    members[key1, key2] = [string, low, high]
+                else:
+                    same[1], same[2] = min(low, same[1]), max(high, same[2])
+            if len(members) == 1 and all(low == high for _, low, high in members.values()):
                 continue
-            split = [m[1].split(b" ") for m in members]
+            split = {key: m[0].split(b" ") for key, m in members.items()}
             lows: dict[bytes, int] = {}
             if len(members) > 1:
-                for words, m in zip(split, members, strict=True):
+                for key, words in split.items():
+                    low = members[key][1]
                     for i in range(len(words) - window + 1):
                         w = b" ".join(words[i : i + window])
-                        if lows.get(w, LAST_ID) >= m[4]:
-                            lows[w] = m[4]
-            for words, (_, _, key1, key2, low, high) in zip(split, members, strict=True):
+                        if lows.get(w, LAST_ID) >= low:
+                            lows[w] = low
+            for (key1, key2), words in split.items():
+                _, low, high = members[key1, key2]
                 n = len(words) - window + 1
                 found = [lows[b" ".join(words[i : i + window])] for i in range(n)] if lows else [low] * n
                 at = 0
-                for value, same in groupby(found):
-                    size = len(list(same))
+                for value, same_low in groupby(found):
+                    size = len(list(same_low))
                     if value < high and out.add(key1, key2, at, at + size, value):
                         yield out.take()
                     at += size
         yield from out.rest()
 
-    found = buckets.mapInArrow(count, "key1 long, key2 long, first int, after int, low long")
-    places = strings.select("key1", "key2", "doc", "row", "start").join(found, ["key1", "key2"]).where("low < doc")
+    found = buckets.mapInArrow(count, "key1 long, key2 long, first int, after int, least long")
+    places = strings.where("packed is null").select("key1", "key2", F.col("low").alias("doc"), "row", "start")
+    places = places.join(found, ["key1", "key2"]).where("least < doc")
     spans = places.select("doc", "row", F.struct((F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("after") + (window - 1)).alias("end")).alias("span"))
-    return spans.groupBy("doc", "row").agg(F.collect_set("span").alias("ranges"))  # at most one per run of the document
+    return spans.groupBy("doc", "row").agg(F.collect_set("span").alias("ranges"))  # at most a few per run of the document
+
+
+def _halves(key: bytes) -> tuple[int, int]:
+    return int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True)
 
 
-FOUND = pa.schema([("key1", pa.int64()), ("key2", pa.int64()), ("first", pa.int32()), ("after", pa.int32()), ("low", pa.int64())])
+FOUND = pa.schema([("key1", pa.int64()), ("key2", pa.int64()), ("first", pa.int32()), ("after", pa.int32()), ("least", pa.int64())])
 
 
 def _covered(n: int, ranges: list[dict] | None) -> np.ndarray:
