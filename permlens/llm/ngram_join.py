@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from permlens.llm import bloom
 from permlens.llm.common import Out, WordNumbers, hidden, mix, rows, sequence_hashes, text_of, words_of
 from permlens.llm.components import components
 from permlens.session import written
@@ -313,8 +314,8 @@ def set_links(nodes: DataFrame, sets: DataFrame, percent: int = PERCENT, n: int
     bounds = sizes.bounds[sizes.bounds <= 2**40].tolist()
     level = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("n"))) - 1
     tasks = _tasks(members, level, block_tokens).distinct()
-    texts = nodes.join(members.select("node").distinct(), "node", "left_semi")
-    wanted = texts.join(tasks, "node").repartition("task").sortWithinPartitions("task")
+    some = nodes.where(bloom.likely(members.select(F.col("node").alias("key")).distinct(), F.col("node")))  # the texts of other documents are not shuffled
+    wanted = some.join(tasks.hint("merge"), "node").repartition("task").sortWithinPartitions("task")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, out = WordNumbers(), Out(LINKS)

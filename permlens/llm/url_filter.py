@@ -17,23 +17,16 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from permlens.llm import bloom
+from permlens.llm.bloom import Level, reports
 from permlens.llm.common import UPPER, hidden
 from permlens.session import written
 
 MAX_LEVEL_BYTES = 4 << 20
 KEYS, FIRST = hidden("keys"), hidden("first")
-BLOCK_BITS = 4096 * 8  # what one bitmap_construct_agg group covers
 DEEPER_RATE = 0.5  # false-positive rate of every level after the first
 
 
-@dataclass(frozen=True)
-class Level:
-    bits: int
-    hashes: int
-    seed: int
-    packed: bytes
-
-
 @dataclass
 class Cascade:
     levels: list[Level] = field(default_factory=list)
@@ -45,7 +38,7 @@ class Cascade:
             raise ValueError("the listed keys are beyond the bound of a filter: use mark()")
         answer = F.lit(False)
         for level in reversed(self.levels):
-            answer = _reports(level, key) & ~answer
+            answer = reports(level, key) & ~answer
         return F.coalesce(answer, F.lit(False))
 
     def mark(self, keys: DataFrame, column: str, out: str) -> DataFrame:
@@ -69,11 +62,11 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
     cascade, wanted, count = Cascade(), listed, n
     others = keys
     while count:
-        level = _level(wanted, count, rate, len(cascade.levels) + 1)
+        level = bloom.level(wanted, bloom.bits_for(count, rate), bloom.hashes_for(rate), len(cascade.levels) + 1, MAX_LEVEL_BYTES)
         if level is None:
             return Cascade(too_large=listed)
         cascade.levels.append(level)
-        wrong = others.where(_reports(level, F.col("key"))).distinct()
+        wrong = others.where(reports(level, F.col("key"))).distinct()
         if len(cascade.levels) == 1:
             wrong = wrong.join(listed, "key", "left_anti")
         wrong = written(wrong, "cascade-wrong")
@@ -81,37 +74,6 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
     return cascade
 
 
-def _level(keys: DataFrame, count: int, rate: float, seed: int) -> Level | None:
-    bits = max(8, math.ceil(count * math.log2(1 / rate) / math.log(2)))
-    if bits / 8 > MAX_LEVEL_BYTES:
-        return None
-    hashes = max(1, round(math.log2(1 / rate)))
-    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(hashes - 1).cast("long"))).alias("i")
-    places = keys.select("key", each).select(_position(F.col("key"), F.col("i"), bits, seed).alias("at"))
-    blocks = places.groupBy(F.bitmap_bucket_number("at").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap")).collect()  # at most MAX_LEVEL_BYTES
-    packed = bytearray(math.ceil(bits / BLOCK_BITS) * (BLOCK_BITS // 8))
-    for block, bitmap in blocks:
-        packed[(block - 1) * (BLOCK_BITS // 8) : block * (BLOCK_BITS // 8)] = bitmap
-    return Level(bits, hashes, seed, bytes(packed[: math.ceil(bits / 8)]))
-
-
-def _position(key: Column, i: Column, level_bits: int, seed: int) -> Column:
-    """The i-th place 1..bits of a key, as bitmap_bucket_number and bitmap_bit_position count. Double hashing of 31-bit halves cannot overflow."""
-    h = F.xxhash64(key, F.lit(seed))
-    return F.pmod(h.bitwiseAND(F.lit(0x7FFFFFFF)) + F.shiftrightunsigned(h, 33) * i + i * i, F.lit(level_bits)) + F.lit(1)
-
-
-def _reports(level: Level, key: Column) -> Column:
-    """Whether every place of the key is set: byte (place - 1) // 8 of the bit string, lowest bit first."""
-
-    def is_set(i: Column) -> Column:
-        place = (_position(key, i, level.bits, level.seed) - 1).cast("int")
-        byte = F.conv(F.hex(F.substr(F.lit(level.packed), F.shiftright(place, 3) + 1, F.lit(1))), 16, 2)
-        return F.substr(F.lpad(byte, 8, "0"), 8 - place.bitwiseAND(F.lit(7)), F.lit(1)) == "1"
-
-    return F.forall(F.sequence(F.lit(0).cast("long"), F.lit(level.hashes - 1).cast("long")), is_set)
-
-
 def host_of(url: Column) -> Column:
     """After the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; empty without one."""
     return F.coalesce(F.translate(F.regexp_extract(url, r"^(?s:.*?)://([^/?#]*)", 1), UPPER, UPPER.lower()), F.lit(""))
