@@ -31,6 +31,7 @@ BLOCK_WORDS = 1_000_000  # of items, in one broadcast (about 40 MB)
 MARGIN = 0.25  # of an item's length, before and after, for insertions and deletions
 CHUNK_CHARS = 4 << 20
 CACHE_WORDS = 200_000
+EDGE_BYTES = b" \t\n\r\v\f.,;:!?\"'`()[]{}<>*_~#%&$|/\\-+=^@"
 EDGE = " \t\n\r\v\f.,;:!?\"'`()[]{}<>*_~#%&$|/\\-+=^@‘’“”–—…«»"
 
 
@@ -44,7 +45,7 @@ class Words:
         self.known = Recent(CACHE_WORDS, self._number)
 
     def _number(self, word: bytes) -> int:
-        plain = word.decode().lower().strip(EDGE)
+        plain = word.lower().strip(EDGE_BYTES) if word.isascii() else word.decode().lower().strip(EDGE).encode()
         return max(1, self.hash(plain)) if plain else 0
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -77,17 +78,27 @@ class Items:
         order = np.argsort(seeds, kind="stable")
         return Items(ids, words, seeds[order], item[order], place[order])
 
-    def hits(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Every (place in the text, place among the seeds) with equal hashes."""
-        grams = sequence_hashes(text, SEED)
-        if not len(grams) or not len(self.seeds):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        low = np.searchsorted(self.seeds, grams, "left")
-        at = np.flatnonzero(self.seeds[np.minimum(low, len(self.seeds) - 1)] == grams)
-        low = low[at]
+    def __post_init__(self) -> None:
+        self.shift = np.uint64(64 - min(24, max(10, (16 * len(self.seeds)).bit_length())))
+        self.some = np.zeros(1 << (64 - int(self.shift)), bool)  # by leading bits: most sequences are no seeds
+        self.some[self.seeds >> self.shift] = True
+
+    def hits(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every (text, place in it, place among the seeds) with equal hashes."""
+        joined = np.concatenate([*texts, np.empty(0, np.uint64)])
+        lengths = np.array([len(t) for t in texts], np.int64)
+        grams = sequence_hashes(joined, SEED)
+        at = np.flatnonzero(self.some[grams >> self.shift])
+        low = np.searchsorted(self.seeds, grams[at], "left")
+        same = self.seeds[np.minimum(low, len(self.seeds) - 1)] == grams[at] if len(self.seeds) else np.zeros(len(at), bool)
+        at, low = at[same], low[same]
+        ends = np.cumsum(lengths)
+        text = np.searchsorted(ends, at, "right")
+        inside = at + SEED <= ends[text] if len(at) else np.zeros(0, bool)
+        at, low, text = at[inside], low[inside], text[inside]
         count = np.searchsorted(self.seeds, grams[at], "right") - low
         inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        return np.repeat(at, count), np.repeat(low, count) + inner
+        return np.repeat(text, count), np.repeat(at - (ends - lengths)[text], count), np.repeat(low, count) + inner
 
 
 def align(item: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -121,17 +132,17 @@ def _stretches(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 def find(texts: list[np.ndarray], items: Items, min_score: float = MIN_SCORE) -> list[tuple[int, int, float, int, int]]:
     """(text, item, score, first word, end word) of the best alignment of every item with every text that holds it."""
     wanted: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-    for t, text in enumerate(texts):
-        at, seed = items.hits(text)
-        if not len(at):
-            continue
-        item, place = items.item[seed], items.place[seed]
-        for i in np.unique(item).tolist():
-            own, size = item == i, len(items.words[i])
-            reach = int(np.ceil(MARGIN * size))
-            start = np.maximum(at[own] - place[own] - reach, 0)
-            end = np.minimum(at[own] - place[own] + size + reach, len(text))
-            wanted[i] += [(t, a, b) for a, b in _stretches(start, end)]
+    of, at, seed = items.hits(texts)
+    item, place = items.item[seed], items.place[seed]
+    order = np.lexsort((of, item))
+    of, item, first = of[order], item[order], (at - place)[order]
+    cuts = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (of[1:] != of[:-1])])) if len(of) else of
+    for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), len(of)]):
+        t, i = int(of[low]), int(item[low])
+        size = len(items.words[i])
+        reach = int(np.ceil(MARGIN * size))
+        start, end = np.maximum(first[low:high] - reach, 0), np.minimum(first[low:high] + size + reach, len(texts[t]))
+        wanted[i] += [(t, a, b) for a, b in _stretches(start, end)]
     found: dict[tuple[int, int], tuple[float, int, int]] = {}
     for i, ranges in wanted.items():
         words = items.words[i]
@@ -191,10 +202,9 @@ def rare_seeds(docs: DataFrame, items: Items, text_column: str = "text") -> Item
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, every = Words(), np.unique(held.value.seeds)
         for _, texts in _chunks(batches, 0):
-            seen = np.zeros(len(every), np.int64)
-            for text in texts:
-                at, seed = held.value.hits(words(text)[0])
-                seen[np.searchsorted(every, np.unique(held.value.seeds[seed]))] += 1
+            of, _, seed = held.value.hits([words(text)[0] for text in texts])
+            found = np.searchsorted(every, held.value.seeds[seed])
+            seen = np.bincount(np.unique(of * len(every) + found) % max(1, len(every)), minlength=len(every))  # documents, not places
             some = np.flatnonzero(seen)
             if len(some):
                 yield pa.RecordBatch.from_arrays([pa.array(every[some].view(np.int64)), pa.array(seen[some])], ["seed", "n"])
