@@ -86,7 +86,7 @@ def test_denied_missing_and_foreign_reads_look_the_same(spark):
     principals, versions = tables(spark)
     titled = versions.withColumn("title", F.col("key"))
     reads = spark.createDataFrame([("ben", "open"), ("ben", "internal"), ("ben", "other"), ("ben", "nowhere")], "subject string, key string")
-    rows = {r.key: (r.decision, r.title, r.version_no) for r in access.read_decisions(reads, access.visible_versions(titled, principals), titled).collect()}
+    rows = {r.key: (r.decision, r.title, r.version_no) for r in access.read_decisions(reads, principals, titled).collect()}
     assert rows["open"] == ("allow", "open", 1)
     assert rows["internal"] == rows["other"] == rows["nowhere"] == ("deny", None, None)
 
@@ -98,3 +98,21 @@ def test_pages_and_cursors(spark):
     assert [r.page for r in got] == [i // 4 + 1 for i in range(15)]
     assert [r.next_cursor for r in got if r.next_cursor] == ["d1|1|0", "d2|1|1", "d3|1|2"]
     assert access.after_cursor(chunks, "d3", 1, 2).count() == 3
+
+
+def test_unknown_subjects_are_denied_and_kept(spark):
+    principals, versions = tables(spark)
+    active = versions.withColumn("title", F.lit("T"))
+    reads = spark.createDataFrame([(1, "ann", "both"), (2, "ann", "hostile"), (3, "nobody", "open"), (4, None, "open"), (5, "dan", "open"), (6, "ann", "none")], "n int, subject string, key string")
+    got = {r.n: (r.decision, r.title, r.version_no) for r in access.read_decisions(reads, principals, active).collect()}
+    assert got == {1: ("allow", "T", 1)} | {n: ("deny", None, None) for n in range(2, 7)}
+    requests = spark.createDataFrame([("a", "ann", None, None), ("b", "nobody", None, "EU")], "request_id string, subject string, as_of timestamp, region string")
+    rows = access.scoped_requests(requests, principals.withColumn("region", F.lit("US")), F.lit("2026-01-01").cast("timestamp")).orderBy("request_id").collect()
+    assert [(r.request_id, r.tenant_id, r.region) for r in rows] == [("a", "t1", "US"), ("b", None, "EU")]
+
+
+def test_reads_are_judged_without_a_table_of_what_everyone_may_read(spark):
+    principals, versions = tables(spark)
+    reads = spark.createDataFrame([(1, "ann", "both")], "n int, subject string, key string")
+    plan = access.read_decisions(reads, principals, versions.withColumn("title", F.lit("T")))._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan

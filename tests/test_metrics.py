@@ -89,3 +89,42 @@ def test_digest_ignores_order_and_sees_changes(spark):
     c = spark.createDataFrame([("y", 2), ("x", 3)], "k string, v int")
     first, second, third = (metrics.digest(df).first().digest for df in (a, b, c))
     assert first == second != third
+
+
+def test_interpolated_percentiles(spark):
+    for n in (1, 2, 7, 20):
+        values = [float((i * 7) % 5) for i in range(n)]
+        row = metrics.interpolated(spark.createDataFrame([("g", v) for v in values], "g string, v double"), ["g"], "v", {"p50": 0.5, "p95": 0.95}).first()
+        ordered = sorted(values)
+
+        def at(share):
+            place = share * (n - 1)
+            low, high = ordered[math.floor(place)], ordered[math.ceil(place)]
+            return low + (high - low) * (place - math.floor(place))
+
+        assert math.isclose(row.p50, at(0.5)) and math.isclose(row.p95, at(0.95))
+
+
+def test_groups_of_one_size_share_their_draws(spark):
+    rows = [(g, f"c{i}", float((i * k) % 7)) for k, g in ((1, "a"), (3, "b")) for i in range(11)] + [("d", f"c{i}", float(i)) for i in range(4)]
+    got = {(r.g, r.sample): r["mean"] for r in statistics.resampled_means(spark.createDataFrame(rows, "g string, case_id string, value double"), ["g"], 50).collect()}
+
+    def draw(sample, i, n):
+        return int(hashlib.md5(f"boot:{statistics.SEED}:{sample}:{i}".encode()).hexdigest()[:8], 16) % n
+
+    for g in "abd":
+        values = [v for x, _, v in sorted(r for r in rows if r[0] == g)]
+        for s in range(50):
+            assert math.isclose(got[g, s], sum(values[draw(s, i, len(values))] for i in range(len(values))) / len(values), abs_tol=1e-8)
+
+
+def test_runs_that_differ_in_cases_are_refused(spark):
+    import pytest
+
+    records = spark.createDataFrame([("c1", "s", 1.0, 0.5, True), ("c2", "s", 0.0, 0.25, True), ("c3", "s", 1.0, 1.0, False)], "case_id string, strategy string, recall_10 double, mrr_10 double, reviewed boolean")
+    less = records.where("case_id <> 'c2'").withColumn("mrr_10", F.col("mrr_10") / 2)
+    with pytest.raises(ValueError):
+        statistics.compare_runs(records, less, ["recall_10", "mrr_10"], ("s", "mrr_10"), 20)
+    got = statistics.compare_runs(records, less, ["recall_10", "mrr_10"], ("s", "mrr_10"), 20, allow_subset=True).collect()
+    assert {(r.metric, r.cases, r.subset) for r in got} == {("recall_10", 1, True), ("mrr_10", 1, True)}
+    assert [r.case_id for r in statistics.changed_cases(records, less).collect()] == ["c1"]

@@ -71,8 +71,9 @@ def test_status_events_equal_brute_force(spark):
 
     for n in (17, 60, 500):
         events = events[:n] if n < 500 else events
-        got = {r.key: r.status for r in V.final_status(spark.createDataFrame(events, "key string, at int, action string")).collect()}
-        assert got == {k: fold(k) for k in got}
+        both = [("t1", *e) for e in events] + [("t2", "hot", 10**6, "deleted"), ("t2", "a", -1, "disabled")]  # the same keys in another tenant
+        got = {(r.tenant_id, r.key): r.status for r in V.final_status(spark.createDataFrame(both, "tenant_id string, key string, at int, action string")).collect()}
+        assert got == {("t1", k): fold(k) for t, k in got if t == "t1"} | {("t2", "hot"): "deleted", ("t2", "a"): "disabled"}
 
 
 def test_job_states_equal_brute_force(spark):
