@@ -242,10 +242,11 @@ def chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str |
         yield start, held
 
 
-def identify(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, text_column: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """Every row and column as it was, with lang_pred (a learned language, or `und` where the text is null or has no letter) and score (0 to
-    1: the language's share of the letters). Columns of these names are replaced; repeated rows are judged alike; no rows give no rows."""
-    kept = docs.drop("lang_pred", "score")
+    1: the language's share of the letters). Columns of these names are replaced, so a table that has them passes other names; repeated rows
+    are judged alike; no rows give no rows."""
+    kept = docs.drop(lang_out, score_out)
     names = kept.columns
     at = names.index(text_column)
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2**BUCKET_BITS numbers per language
@@ -255,9 +256,9 @@ def identify(docs: DataFrame, model: Model, text_column: str = "text") -> DataFr
         for batch in batches:
             for start, texts in chunks(batch, at):
                 lang, score = zip(*labeller.judge(texts), strict=True)
-                yield pa.RecordBatch.from_arrays([*batch.slice(start, len(texts)).columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(start, len(texts)).columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, lang_out, score_out])
 
-    return kept.mapInArrow(run, _with(kept, "lang_pred string, score double"))
+    return kept.mapInArrow(run, _with(kept, f"`{lang_out}` string, `{score_out}` double"))
 
 
 def _with(df: DataFrame, more: str):

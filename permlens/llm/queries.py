@@ -48,6 +48,22 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+OP1_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+parts as (select doc_id, unnest(case when len(words) >= 3 then list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' '))
+                                     when len(words) > 0 then [array_to_string(words, ' ')] else [] end) as shingle from w),
+sets as (select distinct doc_id, shingle from parts),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+sized as (select * from sets join sizes using (doc_id)),
+shared as (select a.doc_id as x, b.doc_id as y, any_value(a.n) as m, any_value(b.n) as n, count(*) as common
+           from sized a join sized b on a.shingle = b.shingle and a.doc_id < b.doc_id and 100 * a.n >= 90 * b.n and 100 * b.n >= 90 * a.n group by a.doc_id, b.doc_id),
+links as (select x, y from shared where 100 * common >= 90 * (m + n - common)),
+either as (select x, y from links union all select y, x from links),
+reach(doc_id, seen) as (select doc_id, doc_id from documents union select r.doc_id, e.y from reach r join either e on r.seen = e.x)
+select r.doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, min(seen) as component_id from reach r left join sizes using (doc_id) group by r.doc_id
+"""
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -119,6 +135,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_ngram_join": OP1_SQL,
     "op2_warc": OP2_SQL,
     "op3_substring": OP3_SQL,
     "op4_url_filter": OP4_SQL,
