@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from permlens.catalog import loadrows
 from permlens.catalog.retrieval import longs
 from permlens.catalog.sql import sql
+from permlens.operators.numbering import number_rows
 from permlens.plans.corpus import Corpus
 from permlens.session import work_folder
 from permlens.sources import files
@@ -34,7 +35,9 @@ def s1(c: Corpus) -> DataFrame:
 
 def s2(c: Corpus) -> DataFrame:
     path = F.concat("tenant_id", F.lit("/"), "key", F.when(F.col("format") == "markdown", ".md").otherwise(".txt"))
-    return c.manifests.select(path.alias("file"), files.format_of(path).alias("format"), F.length("content").cast("bigint").alias("chars"))
+    place = folder(c, "corpus-files")
+    files.write_texts(c.manifests.select(path.alias("file"), "content"), place)
+    return files.corpus_files(c.spark, place, levels=2).select("file", "format", F.md5("content").alias("content"))
 
 
 def s3(c: Corpus) -> DataFrame:
@@ -78,6 +81,14 @@ def s6(c: Corpus) -> DataFrame:
     return files.stage_readings(c.spark, path)
 
 
+def s6_audit(c: Corpus) -> DataFrame:
+    """Readings without a header, one of them blank."""
+    path = folder(c, "audit-readings")
+    rows = c.given("events").groupBy(F.col("event_type").alias("label")).agg(F.sum(F.length("props")).alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    rows.select("label", F.when(F.col("label") == "error", "").otherwise(F.col("bytes").cast("string")).alias("bytes"), "rows").write.csv(path)
+    return files.audit_readings(c.spark, path)
+
+
 def s7(c: Corpus) -> DataFrame:
     path = folder(c, "run")
     files.write_results(c.results.withColumn("run_id", F.concat(F.lit("run-"), "strategy")), path)
@@ -86,9 +97,14 @@ def s7(c: Corpus) -> DataFrame:
 
 
 def s8(c: Corpus) -> DataFrame:
+    """Every exported line in the order of files and lines, and whether its file has as many as its manifest says."""
     rows = loadrows.audit(c).where(F.col("occurred_at") < F.to_timestamp(F.lit("2024-01-20 00:00:00")))
-    manifest = files.export_ndjson(rows, ["occurred_at", "event_id"], folder(c, "audit"))
-    return manifest.agg(F.sum("rows").alias("rows"))
+    place = folder(c, "audit")
+    manifest = files.export_ndjson(rows, ["occurred_at", "event_id"], place)
+    lines = files.exported_lines(c.spark, place).withColumn("event_id", F.get_json_object("line", "$.event_id").cast("bigint"))
+    numbered = number_rows(lines, [], ["file", "position"], "n")
+    counted = lines.groupBy("file").agg(F.count(F.lit(1)).alias("lines")).join(manifest, "file", "left").select("file", (F.col("lines") == F.col("rows")).alias("whole"))
+    return numbered.join(counted, "file").select("n", "event_id", "whole")
 
 
 QUERIES = {
@@ -98,6 +114,7 @@ QUERIES = {
     "s4_src_principals": s4,
     "s5_src_load_requests": s5,
     "s6_src_stage_csv": s6,
+    "s6_src_stage_csv_audit": s6_audit,
     "s7_sink_results_jsonl": s7,
     "s8_sink_audit_ndjson": s8,
 }
@@ -113,7 +130,7 @@ SQL = {
             strftime(valid_from, '%Y-%m-%d') as valid_from, strftime(valid_to, '%Y-%m-%d') as valid_to, md5(content) as content from version"""
     ),
     "s2_src_corpus_text": sql(
-        "select tenant_id || '/' || key || case when format = 'markdown' then '.md' else '.txt' end as file, format, len(content) as chars from manifest"
+        "select tenant_id || '/' || key || case when format = 'markdown' then '.md' else '.txt' end as file, format, md5(content) as content from manifest"
     ),
     "s3_src_cases_jsonl": sql(
         """select case_id, split, principal, md5(query) as query, answerable::BIGINT as evidence, must_abstain, region, strftime(as_of, '%Y-%m-%d %H:%M:%S') as as_of,
@@ -131,6 +148,7 @@ SQL = {
         "select strategy, count(*) as requests, round(max(latency_ms), 1) as sparse_p95_ms, null::DOUBLE as rerank_p95_ms from load_request group by all",
         load_request=loadrows.REQUEST_SQL,
     ),
+    "s6_src_stage_csv_audit": "select event_type as label, case when event_type <> 'error' then sum(len(props)) end::BIGINT as bytes, count(*) as rows from events group by event_type",
     "s7_sink_results_jsonl": sql("select 'run-' || strategy as run_id, count(*) as rows, count(distinct request_id) as requests from result group by all"),
-    "s8_sink_audit_ndjson": "select count(*)::DECIMAL(38,0)::BIGINT as rows from events where ts < timestamp '2024-01-20'",
+    "s8_sink_audit_ndjson": "select row_number() over (order by ts, event_id) as n, event_id, true as whole from events where ts < timestamp '2024-01-20'",
 }

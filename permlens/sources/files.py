@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,14 +25,34 @@ class RefusedInput(ValueError):
     """The input breaks its contract, so nothing is computed from it."""
 
 
-def corpus_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Whole files as documents; the format follows the suffix."""
+def corpus_files(spark: SparkSession, folder: str, levels: int = 1) -> DataFrame:
+    """Whole files as documents, named by the last `levels` parts of their path; the format follows the suffix."""
     path = F.input_file_name()
     return spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(
-        F.substring_index(path, "/", -1).alias("file"), format_of(path).alias("format"), F.col("value").alias("content")
+        F.substring_index(path, "/", -levels).alias("file"), format_of(path).alias("format"), F.col("value").alias("content")
     )
 
 
+def write_texts(texts: DataFrame, folder: str) -> int:
+    """One file per (file, content) row below a folder every executor reaches; a task that is run again writes the same. Returns the number
+    of files."""
+    uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(uri)
+        n = 0
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                path = f"{root}/{name}"
+                system.create_dir(path.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(path) as out:
+                    out.write(content.encode())
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    return texts.select("file", F.coalesce("content", F.lit("")).alias("content")).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def format_of(path: Column) -> Column:
     return F.when(path.endswith(".md"), "markdown").otherwise("text")
 
@@ -75,14 +99,22 @@ def write_results(results: DataFrame, folder: str) -> None:
 
 def export_ndjson(rows: DataFrame, order: list[str], folder: str) -> DataFrame:
     """Rows as JSON lines, oldest first across and within files; refuses an existing folder. Returns the manifest: file, rows, digest
-    of its ordered line digests."""
+    of its bytes."""
     lines = rows.select(*order, F.to_json(F.struct("*")).alias("value"))
     lines.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("error").text(folder)
     return export_manifest(rows.sparkSession, folder)
 
 
 def export_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """Counts and a digest per exported file. Line digests are folded to one number per file, so no file is collected."""
-    read = spark.read.text(folder).select("value", F.substring_index(F.input_file_name(), "/", -1).alias("file"))
-    digest = F.conv(F.substring(F.sha2("value", 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    return read.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.sum(digest).cast("string"), 256).alias("digest"))
+    """Counts and the digest of the bytes of every exported file, so a changed or moved line shows. A file is one range of the order, whose size
+    the partitioning bounds."""
+    whole = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    lines = F.length(F.regexp_replace(F.col("content").cast("string"), "[^\n]", ""))
+    return whole.select(F.substring_index("path", "/", -1).alias("file"), lines.cast("bigint").alias("rows"), F.sha2("content", 256).alias("digest")).where("rows > 0")
+
+
+def exported_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """file, position (from 1) and text of every line of an export."""
+    whole = spark.read.text(folder, wholetext=True)
+    lines = F.posexplode(F.split(F.col("value"), "\n")).alias("pos", "line")
+    return whole.select(F.substring_index(F.input_file_name(), "/", -1).alias("file"), lines).select("file", (F.col("pos") + 1).alias("position"), "line").where("line <> ''")
