@@ -203,26 +203,29 @@ def repeated_ranges(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 _, low, high = members[key1, key2]
                 n = len(words) - window + 1
                 found = [lows[b" ".join(words[i : i + window])] for i in range(n)] if lows else [low] * n
-                at = 0
+                ranges, at = [], 0
                 for value, same_low in groupby(found):
                     size = len(list(same_low))
-                    if value < high and out.add(key1, key2, at, at + size, value):
-                        yield out.take()
+                    if value < high:
+                        ranges.append({"first": at, "after": at + size, "least": value})
                     at += size
+                if ranges and out.add(key1, key2, ranges):
+                    yield out.take()
         yield from out.rest()
 
-    found = buckets.mapInArrow(count, "key1 long, key2 long, first int, after int, least long")
-    places = strings.where("packed is null").select("key1", "key2", F.col("low").alias("doc"), "row", "start")
-    places = places.join(found, ["key1", "key2"]).where("least < doc")
-    spans = places.select("doc", "row", F.struct((F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("after") + (window - 1)).alias("end")).alias("span"))
-    return spans.groupBy("doc", "row").agg(F.collect_set("span").alias("ranges"))  # at most a few per run of the document
+    found = buckets.mapInArrow(count, "key1 long, key2 long, found array<struct<first:int,after:int,least:bigint>>")
+    places = strings.where("packed is null").select("key1", "key2", F.col("low").alias("doc"), "row", "start").join(found, ["key1", "key2"])
+    repeated = F.filter("found", lambda r: r["least"] < F.col("doc"))
+    span = lambda r: F.struct((F.col("start") + r["first"]).alias("start"), (F.col("start") + r["after"] + (window - 1)).alias("end"))
+    spans = places.select("doc", "row", F.transform(repeated, span).alias("spans")).where(F.size("spans") > 0)
+    return spans.groupBy("doc", "row").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("ranges"))  # no more than the document has windows
 
 
 def _halves(key: bytes) -> tuple[int, int]:
     return int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True)
 
 
-FOUND = pa.schema([("key1", pa.int64()), ("key2", pa.int64()), ("first", pa.int32()), ("after", pa.int32()), ("least", pa.int64())])
+FOUND = pa.schema([("key1", pa.int64()), ("key2", pa.int64()), ("found", pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32()), ("least", pa.int64())])))])
 
 
 def _covered(n: int, ranges: list[dict] | None) -> np.ndarray:
