@@ -18,6 +18,7 @@ A document is the set of its SHINGLE-word sequences; two documents link where 10
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -34,7 +35,7 @@ SHINGLE = 3
 PERCENT = 90
 SPARE = 2
 BLOCK_TOKENS = 1_000_000
-LEAF, FAN = 8, 8
+LEAF, FAN = 32, 8
 CHUNK_CHARS = 8 << 20
 NULL_IDS = 2**62  # ids from here on stand for rows without an id, by their text
 
@@ -59,6 +60,11 @@ class Sizes:
         return differ + 1 + SPARE if differ else 0
 
 
+@lru_cache(maxsize=8)
+def _sizes(percent: int) -> Sizes:
+    return Sizes(percent)
+
+
 def shingles(text: str | None, numbers: WordNumbers, n: int = SHINGLE) -> np.ndarray:
     """The sorted distinct shingle hashes of a text: A-Z lower-cased, words by ASCII white space; a shorter text is one sequence."""
     words = words_of(text)
@@ -143,17 +149,34 @@ class Forest:
 
 def tree_links(sets: list[np.ndarray], side: list[int], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that connect all sets that link, directly or over others, as a spanning forest. side: 0 for all, or 0 and 1 where only pairs of
-    different sides are wanted (each side has been joined with itself elsewhere)."""
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i][0]) if len(sets[i]) else 0))
+    different sides are wanted (each side has been joined with itself elsewhere). Every size class has a tree of its own, and so have
+    two neighbouring ones together, so that bitmaps are as wide as their sets need."""
+    sizes, forest, links = _sizes(percent), Forest(len(sets)), []
+    levels: dict[int, list[int]] = {}
+    for i, s in enumerate(sets):
+        if len(s):
+            levels.setdefault(sizes.of(len(s)), []).append(i)
+    apart = np.array(side) if len(set(side)) > 1 else None
+    for level, own in sorted(levels.items()):
+        if len(own) > 1:
+            _join_tree(sets, own, None, apart, percent, forest, links)
+        if above := levels.get(level + 1):
+            _join_tree(sets, own + above, np.array([0] * len(own) + [1] * len(above)), apart, percent, forest, links)
+    return links
+
+
+def _join_tree(sets: list[np.ndarray], members: list[int], classes: np.ndarray | None, apart: np.ndarray | None, percent: int, forest: Forest, links: list[tuple[int, int]]) -> None:
+    """Joins a tree of the members with itself and adds the links found. classes: where given, only pairs of different classes are wanted."""
+    ranked = sorted(range(len(members)), key=lambda i: (len(sets[members[i]]), int(sets[members[i]][0])))
+    order = [members[i] for i in ranked]
     own = [sets[i] for i in order]
-    if not own or not len(own[-1]):
-        return []
-    bits = 1 << max(9, (4 * len(own[-1])).bit_length())
-    tree, forest, links = Tree(own, bits), Forest(len(own)), []
-    sides = np.array([side[i] for i in order])
-    apart = len(set(side)) > 1
+    tree = Tree(own, 1 << max(9, (4 * len(own[-1])).bit_length()))
+    kinds = [np.array([classes[i] for i in ranked])] if classes is not None else []
+    if apart is not None:
+        kinds.append(apart[order])
     need = lambda total: -(-percent * total // (100 + percent))  # noqa: E731  the least intersection that two sizes need
     one_root: list[dict[int, int]] = [{} for _ in tree.levels]
+    split = int((kinds[0] == 0).sum()) if classes is not None else 0  # members are in order of size, so of class
 
     def uniform(level: int, node: int) -> int:
         """A set of the component that holds the whole node, or -1."""
@@ -161,11 +184,11 @@ def tree_links(sets: list[np.ndarray], side: list[int], percent: int = PERCENT)
         if known is not None:
             return forest.root(known)
         low, high = tree.levels[level][node]
-        first = forest.root(low) if level == 0 else uniform(level - 1, low)
+        first = forest.root(order[low]) if level == 0 else uniform(level - 1, low)
         if first < 0:
             return -1
         for i in range(low + 1, high):
-            if (forest.root(i) if level == 0 else uniform(level - 1, i)) != first:
+            if (forest.root(order[i]) if level == 0 else uniform(level - 1, i)) != first:
                 return -1
         one_root[level][node] = first
         return first
@@ -175,11 +198,11 @@ def tree_links(sets: list[np.ndarray], side: list[int], percent: int = PERCENT)
         common = np.bitwise_count(tree.map[a0:a1, None] & tree.map[None, b0:b1]).sum(2, dtype=np.int64)
         common += np.minimum(tree.shared[a0:a1, None], tree.shared[None, b0:b1])
         possible = common * (100 + percent) >= percent * (tree.size[a0:a1, None] + tree.size[None, b0:b1])
-        if apart:
-            possible &= sides[a0:a1, None] != sides[None, b0:b1]
+        for kind in kinds:
+            possible &= kind[a0:a1, None] != kind[None, b0:b1]
         for x, y in np.argwhere(possible).tolist():
             i, j = a0 + x, b0 + y
-            if i >= j or (p := forest.root(i)) == (q := forest.root(j)):
+            if i >= j or (p := forest.root(order[i])) == (q := forest.root(order[j])):
                 continue
             small, large = (own[i], own[j]) if len(own[i]) <= len(own[j]) else (own[j], own[i])
             at = np.searchsorted(large, small)
@@ -188,9 +211,12 @@ def tree_links(sets: list[np.ndarray], side: list[int], percent: int = PERCENT)
                 forest.up[max(p, q)] = min(p, q)
                 links.append((order[i], order[j]))
 
+    width = [LEAF * FAN**n for n in range(len(tree.levels))]  # sets below a node of each level
     stack = [(len(tree.levels) - 1, 0, 0)]
     while stack:
         level, a, b = stack.pop()
+        if split and (a * width[level] >= split or (b + 1) * width[level] <= split):
+            continue  # both of one class
         if a != b:
             least_a, least_b = int(tree.least[level][a]), int(tree.least[level][b])
             if int(tree.most[level][a]) * 100 < percent * least_b or int(tree.most[level][b]) * 100 < percent * least_a:
@@ -208,7 +234,6 @@ def tree_links(sets: list[np.ndarray], side: list[int], percent: int = PERCENT)
         stack += pairs[::-1]
         if a == b:
             stack += [(level - 1, x, x) for x in range(a0, a1)][::-1]  # popped first
-    return links
 
 
 # Spark jobs
