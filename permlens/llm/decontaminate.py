@@ -1,13 +1,16 @@
-"""Operator 8: benchmark decontamination by rare seeds and local alignment.
+"""Operator 8: benchmark decontamination by complete seeds and local alignment.
 
-Words are compared in lower case without punctuation at their ends. Every item's SEED-word sequences are counted over all documents; the
-rarer half of each item's sequences are its seeds, so an item that many documents quote keeps seeds too. Where a document has a seed, the
-stretch that the whole item could cover there is aligned with the item (Smith-Waterman over words: match 1, mismatch and gap -1). The
-score is the best alignment's over the item's number of words: 1 for a whole copy, 0.6 with a fifth of the words replaced. From MIN_SCORE
-on, the document holds the item.
+Words are compared in lower case without punctuation at their ends. The score of an item in a document is that of the best local alignment
+(Smith-Waterman over words: match 1, mismatch and gap -1) over the item's number of words: 1 for a whole copy, 0.6 with a fifth of the words
+replaced. From MIN_SCORE on, the document holds the item.
+
+All sequences of SEED words of an item are its seeds. A score from MIN_SCORE on leaves few errors, so few cuts between runs of equal words:
+`seed_length` gives the number of an item's seeds that any such document has, and takes shorter seeds where it could be none. Documents with
+fewer are passed over, and the stretches that the whole item could cover around the seeds of the others are aligned. The search is
+exact: it finds what an alignment of every item with every whole document would.
 
 The items are the stated query set. They are handled in blocks of bounded size, each broadcast and met by all documents in one narrow
-pass, so only counts and hits are shuffled, however often a passage occurs. Overlapping stretches are merged, and the stretches of many
+pass, so only hits leave a task, however often a passage occurs. Overlapping stretches are merged, and the stretches of many
 documents are aligned with an item in one array, so repeated seeds cost no more than the text they stand in.
 """
 
@@ -23,12 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from permlens.llm.common import Out, Recent, sequence_hashes
-from permlens.session import written
 
 SEED = 3
 MIN_SCORE = 0.6
 BLOCK_WORDS = 1_000_000  # of items, in one broadcast (about 40 MB)
-MARGIN = 0.25  # of an item's length, before and after, for insertions and deletions
+EXPAND = 2_000_000  # seeds met by documents that are counted at once
 CHUNK_CHARS = 4 << 20
 CACHE_WORDS = 200_000
 EDGE_BYTES = b" \t\n\r\v\f.,;:!?\"'`()[]{}<>*_~#%&$|/\\-+=^@"
@@ -56,49 +58,83 @@ class Words:
         return numbers[places], places
 
 
-@dataclass
-class Items:
-    """A block of items: their words, and the seeds with the item and word each stands at."""
+def least_score(n: int, min_score: float) -> int:
+    """The smallest alignment score that is min_score of n words."""
+    least = int(np.ceil(min_score * n))
+    while least > 1 and (least - 1) / n >= min_score:
+        least -= 1
+    return least if least / n >= min_score else least + 1
+
+
+def seed_length(n: int, min_score: float) -> tuple[int, int]:
+    """The length of an item's seeds and how many of them any document has that holds the item. Of n words M are matched, with E errors between
+    at most E + 1 runs, and M - E >= least: so at least M - (length - 1) * (E + 1) sequences are whole, with M <= n and E <= M - least."""
+    least = least_score(n, min_score)
+    for length, whole in ((SEED, (SEED - 1) * (least - 1) - (SEED - 2) * n), (2, least - 1)):
+        if whole > 0:
+            return length, whole
+    return 1, max(1, least)
 
-    ids: list[int | None]
-    words: list[np.ndarray]
-    seeds: np.ndarray  # sorted
-    item: np.ndarray
-    place: np.ndarray
 
-    @staticmethod
-    def of(ids: list[int | None], words: list[np.ndarray], rare: set[tuple[int, int]] | None = None) -> Items:
-        found = [sequence_hashes(w, SEED) for w in words]
+class Seeds:
+    """The seeds of one length, with the item that each stands in."""
+
+    def __init__(self, length: int, items: list[int], words: list[np.ndarray]) -> None:
+        self.length = length
+        found = [sequence_hashes(w, length) for w in words]
         seeds = np.concatenate([*found, np.empty(0, np.uint64)])
-        item = np.repeat(np.arange(len(words)), [len(f) for f in found])
-        place = np.concatenate([*(np.arange(len(f)) for f in found), np.empty(0, np.int64)])
-        if rare is not None:
-            keep = np.array([(i, int(s)) in rare for i, s in zip(item.tolist(), seeds.tolist())], bool)
-            seeds, item, place = seeds[keep], item[keep], place[keep]
+        item = np.repeat(np.array(items, np.int64), [len(f) for f in found])
         order = np.argsort(seeds, kind="stable")
-        return Items(ids, words, seeds[order], item[order], place[order])
-
-    def __post_init__(self) -> None:
-        self.shift = np.uint64(64 - min(24, max(10, (16 * len(self.seeds)).bit_length())))
+        self.seeds, self.item = seeds[order], item[order]
+        self.shift = np.uint64(64 - min(24, max(10, (16 * len(seeds)).bit_length())))
         self.some = np.zeros(1 << (64 - int(self.shift)), bool)  # by leading bits: most sequences are no seeds
         self.some[self.seeds >> self.shift] = True
 
-    def hits(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Every (text, place in it, place among the seeds) with equal hashes."""
-        joined = np.concatenate([*texts, np.empty(0, np.uint64)])
-        lengths = np.array([len(t) for t in texts], np.int64)
-        grams = sequence_hashes(joined, SEED)
+    def places(self, joined: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Every place in the joined texts that has a seed: its text, the place, the seed's hash, and the first place among the seeds."""
+        grams = sequence_hashes(joined, self.length)
         at = np.flatnonzero(self.some[grams >> self.shift])
         low = np.searchsorted(self.seeds, grams[at], "left")
-        same = self.seeds[np.minimum(low, len(self.seeds) - 1)] == grams[at] if len(self.seeds) else np.zeros(len(at), bool)
+        same = self.seeds[np.minimum(low, len(self.seeds) - 1)] == grams[at]
         at, low = at[same], low[same]
-        ends = np.cumsum(lengths)
         text = np.searchsorted(ends, at, "right")
-        inside = at + SEED <= ends[text] if len(at) else np.zeros(0, bool)
+        inside = at + self.length <= ends[np.minimum(text, len(ends) - 1)]
         at, low, text = at[inside], low[inside], text[inside]
-        count = np.searchsorted(self.seeds, grams[at], "right") - low
-        inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        return np.repeat(text, count), np.repeat(at - (ends - lengths)[text], count), np.repeat(low, count) + inner
+        return text, at, grams[at], low
+
+
+@dataclass
+class Items:
+    """A block of items: their words, and for every length the seeds of the items that have seeds of this length."""
+
+    ids: list[int | None]
+    words: list[np.ndarray]
+    min_score: float
+
+    def __post_init__(self) -> None:
+        lengths = [seed_length(len(w), self.min_score) for w in self.words]
+        self.need = np.array([need for _, need in lengths], np.int64)
+        self.tables = []
+        for length in sorted({length for length, _ in lengths}):
+            own = [i for i, (of, _) in enumerate(lengths) if of == length]
+            self.tables.append(Seeds(length, own, [self.words[i] for i in own]))
+
+    def pairs(self, table: Seeds, text: np.ndarray, low: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(text, item) where the text has enough of the item's seeds."""
+        met = np.unique(text * len(table.seeds) + low)  # a text's different seeds
+        text, low = met // max(1, len(table.seeds)), met % max(1, len(table.seeds))
+        count = np.searchsorted(table.seeds, table.seeds[low], "right") - low
+        total = np.cumsum(count)
+        start = 0
+        while start < len(met):  # whole texts; one text meets no more seeds than the block has
+            end = int(np.searchsorted(total, EXPAND + (total[start - 1] if start else 0), "right"))
+            end = max(int(np.searchsorted(text, text[min(end, len(met) - 1)], "left")) if end < len(met) else end, int(np.searchsorted(text, text[start], "right")))
+            own, first = count[start:end], low[start:end]
+            seed = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + np.repeat(first, own)
+            pair, times = np.unique(np.repeat(text[start:end], own) * len(self.words) + table.item[seed], return_counts=True)
+            pair = pair[times >= self.need[pair % len(self.words)]]
+            yield from zip((pair // len(self.words)).tolist(), (pair % len(self.words)).tolist())
+            start = end
 
 
 def align(item: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -129,24 +165,56 @@ def _stretches(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return merged
 
 
-def find(texts: list[np.ndarray], items: Items, min_score: float = MIN_SCORE) -> list[tuple[int, int, float, int, int]]:
-    """(text, item, score, first word, end word) of the best alignment of every item with every text that holds it."""
+def candidates(texts: list[np.ndarray], items: Items) -> dict[int, list[tuple[int, int, int]]]:
+    """For every item the stretches (text, first word, end word) outside of which no document holds it."""
     wanted: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-    of, at, seed = items.hits(texts)
-    item, place = items.item[seed], items.place[seed]
-    order = np.lexsort((of, item))
-    of, item, first = of[order], item[order], (at - place)[order]
-    cuts = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (of[1:] != of[:-1])])) if len(of) else of
-    for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), len(of)]):
-        t, i = int(of[low]), int(item[low])
-        size = len(items.words[i])
-        reach = int(np.ceil(MARGIN * size))
-        start, end = np.maximum(first[low:high] - reach, 0), np.minimum(first[low:high] + size + reach, len(texts[t]))
-        wanted[i] += [(t, a, b) for a, b in _stretches(start, end)]
+    joined = np.concatenate([*texts, np.empty(0, np.uint64)])
+    ends = np.cumsum([len(t) for t in texts])
+    for table in items.tables:
+        text, at, seed, low = table.places(joined, ends)
+        cuts = np.searchsorted(text, np.arange(len(texts) + 1))
+        own: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for t, i in items.pairs(table, text, low):
+            if i not in own:
+                found = sequence_hashes(items.words[i], table.length)
+                order = np.argsort(found, kind="stable")
+                own[i] = found[order], order
+            seeds, place = own[i]
+            here = slice(cuts[t], cuts[t + 1])
+            first = np.searchsorted(seeds, seed[here], "left")
+            count = np.searchsorted(seeds, seed[here], "right") - first
+            inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            stands = place[np.repeat(first, count) + inner]
+            begins = np.repeat(at[here], count) - (ends[t] - len(texts[t])) - stands
+            size = len(items.words[i])
+            reach = size - least_score(size, items.min_score)  # no more words can be inserted
+            start, end = np.maximum(begins - reach, 0), np.minimum(begins + size + reach, len(texts[t]))
+            wanted[i] += [(t, a, b) for a, b in _stretches(start, end)]
+    return wanted
+
+
+def likely(words: np.ndarray, joined: np.ndarray, starts: np.ndarray, min_score: float) -> np.ndarray:
+    """Which of the joined stretches have enough of the item's pairs of words (see seed_length), counted by their places in the text."""
+    pairs = np.unique(sequence_hashes(words, 2))
+    grams = sequence_hashes(joined, 2)
+    at = np.minimum(np.searchsorted(pairs, grams), len(pairs) - 1)
+    same = np.concatenate([[0], np.cumsum(pairs[at] == grams)])
+    edges = np.minimum(np.append(starts, len(joined)), len(grams))
+    return same[edges[1:]] - same[edges[:-1]] >= least_score(len(words), min_score) - 1
+
+
+def find(texts: list[np.ndarray], items: Items) -> list[tuple[int, int, float, int, int]]:
+    """(text, item, score, first word, end word) of the best alignment of every item with every text that holds it."""
     found: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for i, ranges in wanted.items():
+    for i, ranges in candidates(texts, items).items():
         words = items.words[i]
         between = np.zeros(len(words) + 1, np.uint64)  # no alignment outlives so many gaps; 0 is no word
+        if len(words) > 1:
+            starts = np.cumsum([0, *(b - a for _, a, b in ranges[:-1])])
+            some = likely(words, np.concatenate([texts[t][a:b] for t, a, b in ranges]), starts, items.min_score)
+            ranges = [r for r, keep in zip(ranges, some.tolist()) if keep]
+            if not ranges:
+                continue
         joined = np.concatenate([x for t, a, b in ranges for x in (texts[t][a:b], between)])
         best = align(words, joined)
         low = 0
@@ -154,7 +222,7 @@ def find(texts: list[np.ndarray], items: Items, min_score: float = MIN_SCORE) ->
             own = best[low : low + b - a]
             end = int(own.argmax())
             score = float(own[end]) / len(words)
-            if score >= min_score and score > found.get((t, i), (0.0,))[0]:
+            if score >= items.min_score and score > found.get((t, i), (0.0,))[0]:
                 found[t, i] = score, a, a + end + 1
             low += b - a + len(between)
     out = []
@@ -164,7 +232,7 @@ def find(texts: list[np.ndarray], items: Items, min_score: float = MIN_SCORE) ->
     return out
 
 
-def item_blocks(benchmark: DataFrame, id_column: str, text_column: str) -> Iterator[Items]:
+def item_blocks(benchmark: DataFrame, id_column: str, text_column: str, min_score: float = MIN_SCORE) -> Iterator[Items]:
     """The items in blocks of bounded size, read part by part. Items of fewer than SEED words cannot be told from ordinary text and are not
     searched; null texts neither."""
     words, ids, held, size = Words(), [], [], 0
@@ -174,13 +242,13 @@ def item_blocks(benchmark: DataFrame, id_column: str, text_column: str) -> Itera
         if len(numbers) < SEED:
             continue
         if held and size + len(numbers) > BLOCK_WORDS:
-            yield Items.of(ids, held)
+            yield Items(ids, held, min_score)
             ids, held, size = [], [], 0
         ids.append(item_id)
         held.append(numbers)
         size += len(numbers)
     if held:
-        yield Items.of(ids, held)
+        yield Items(ids, held, min_score)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
@@ -195,31 +263,6 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa
             yield batch.slice(start), texts[start:]
 
 
-def rare_seeds(docs: DataFrame, items: Items, text_column: str = "text") -> Items:
-    """The block with the rarer half of each item's seeds, by the number of documents that hold them; ties by hash."""
-    held = docs.sparkSession.sparkContext.broadcast(items)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, every = Words(), np.unique(held.value.seeds)
-        for _, texts in _chunks(batches, 0):
-            of, _, seed = held.value.hits([words(text)[0] for text in texts])
-            found = np.searchsorted(every, held.value.seeds[seed])
-            seen = np.bincount(np.unique(of * len(every) + found) % max(1, len(every)), minlength=len(every))  # documents, not places
-            some = np.flatnonzero(seen)
-            if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array(every[some].view(np.int64)), pa.array(seen[some])], ["seed", "n"])
-
-    counted = docs.select(F.col(text_column).cast("string").alias("text")).mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    often = {seed % (1 << 64): n for seed, n in written(counted, "seed-counts").toLocalIterator()}  # no more than the block's seeds
-    rare: set[tuple[int, int]] = set()
-    own: dict[int, set[int]] = defaultdict(set)
-    for i, s in zip(items.item.tolist(), items.seeds.tolist()):
-        own[i].add(s)
-    for i, seeds in own.items():
-        rare |= {(i, s) for s in sorted(seeds, key=lambda s: (often.get(s, 0), s))[: (len(seeds) + 1) // 2]}
-    return Items.of(items.ids, items.words, rare)
-
-
 HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64())])
 
 
@@ -229,15 +272,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, i
     spark = docs.sparkSession
     wanted = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     out = spark.createDataFrame([], "doc_id long, item_id long, score double, start_word long, end_word long")
-    for block in item_blocks(benchmark, item_column, item_text):
-        held = spark.sparkContext.broadcast(rare_seeds(wanted, block))
+    for block in item_blocks(benchmark, item_column, item_text, min_score):
+        held = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             words, found = Words(), Out(HITS)
             for batch, texts in _chunks(batches, 1):
                 numbers = [words(t) for t in texts]
                 ids = batch.column(0).to_pylist()
-                for t, i, score, start, end in find([n for n, _ in numbers], held.value, min_score):
+                for t, i, score, start, end in find([n for n, _ in numbers], held.value):
                     places = numbers[t][1]
                     found.add(ids[t], held.value.ids[i], score, int(places[start]), int(places[end - 1]) + 1)
                 if found.data[0]:
@@ -253,13 +296,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, t
     at = names.index(text_column)
     spark = docs.sparkSession
     kept = docs
-    for block in item_blocks(benchmark, item_column, item_text):
-        held = spark.sparkContext.broadcast(rare_seeds(docs, block, text_column))
+    for block in item_blocks(benchmark, item_column, item_text, min_score):
+        held = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             words = Words()
             for batch, texts in _chunks(batches, at):
-                bad = {t for t, *_ in find([words(t)[0] for t in texts], held.value, min_score)}
+                bad = {t for t, *_ in find([words(t)[0] for t in texts], held.value)}
                 yield batch if not bad else batch.take(pa.array([i for i in range(len(texts)) if i not in bad], pa.int64()))
 
         kept = kept.mapInArrow(run, docs.schema)

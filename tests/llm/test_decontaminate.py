@@ -67,3 +67,30 @@ def test_blocks_of_items_and_empty_tables(spark, given, none, odd, monkeypatch):
     assert dc.leaks(none, benchmark).count() == 0 and dc.clean(none, benchmark).count() == 0
     assert dc.leaks(docs, benchmark.limit(0)).count() == 0 and dc.clean(odd, benchmark.limit(0)).count() == odd.count()
     assert dc.clean(odd, benchmark).count() == odd.count()
+
+
+def test_a_lone_edited_copy_is_found_wherever_its_edits_are(spark):
+    """One copy of each item in the whole table, with a word replaced or inserted at even distances, besides groups of other copies."""
+    rng = random.Random(9)
+    items = [(i, passage(300 + i, n)) for i, n in enumerate([*range(3, 16), *rng.choices(range(15, 60), k=40)])]
+    docs, own = [], {i: t.split() for i, t in items}
+    for i, _ in items:
+        for step in (2, 3, 4, 5, 6):
+            for insert in (False, True):
+                copy = [x for at, w in enumerate(own[i]) for x in ([w, "added"] if insert and at % step == step - 1 else ["changed"] if not insert and at % step == step // 2 else [w])]
+                docs.append(" ".join([passage(5000 + len(docs), rng.randint(0, 30)), *copy, passage(7000 + len(docs), rng.randint(0, 30))]))
+    docs += [" ".join(w for at, w in enumerate(own[i]) if at % 7 > 3 or at % 7 == 0) for i in list(own)[20:30] for _ in range(5)]
+    texts = [words(t) for t in docs]
+    want = {(d, i) for d, t in enumerate(texts) for i, w in own.items() if len(set(w) & set(t)) >= 0.6 * len(w) and smith_waterman(w, t) >= 0.6 * len(w)}
+    alone = [(10 * i + at, i) for i in own for at in range(10)]
+    assert sum(p in want for p in alone) > 100
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    assert rows_of(dc.leaks(df, spark.createDataFrame(items, "item_id long, text string")), "doc_id", "item_id") == sorted(want)
+
+
+def test_seeds_of_a_text_are_counted_in_slices(monkeypatch):
+    monkeypatch.setattr(dc, "EXPAND", 5)
+    numbers = dc.Words()
+    own = [numbers(passage(i, 30))[0] for i in range(6)]
+    items = dc.Items(list(range(6)), own, dc.MIN_SCORE)
+    assert [(t, i) for t, i, *_ in dc.find([own[2], own[0][:2], np.concatenate([own[1], own[4]]), own[5]], items)] == [(0, 2), (2, 1), (2, 4), (3, 5)]
