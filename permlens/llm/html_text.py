@@ -1,7 +1,9 @@
 """Operator 6: main text of web pages by composite text density.
 
 A page becomes a tree. Elements that are never article text (scripts, styles, forms, menus, page headers and footers, sidebars, adverts,
-notices, reader comments; by element, role, or a whole word of class or id) are cut. For every remaining element the composite text
+notices, reader comments; by element, role, or a whole word of class or id) are cut. Ids of headings and sections, and of all that stands in
+an article, main or heading, are often slugs of their text, so of these only a whole id counts, on elements that group others. Lists of
+links are cut as menus outside an article or main. For every remaining element the composite text
 density is characters per tag, adjusted for the share of link characters against the whole body's. The element whose children's densities
 have the largest sum holds the article; the smallest density on its path to the body is the threshold that other parts along the path
 must reach to belong to it too. An article or main element around the chosen one is taken whole.
@@ -38,6 +40,8 @@ CUT_NAMES = set(
     "copyright disclaimer hidden".split()
 )
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+SLUGGED = HEADINGS | {"section", "article"}
+GROUPS = set("article center details div dl figure ol section table ul".split())
 CLOSES = {  # an open element that ends where one of these begins
     "p": BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html", "li", "dd", "dt", "legend", "summary", "figcaption"},
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "thead", "tfoot"}, "td": {"td", "th", "tr", "tbody", "thead", "tfoot"},
@@ -53,6 +57,7 @@ TOKEN = re.compile(
 UNENDED = re.compile("<[a-zA-Z/!?]")  # after the last >
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAME_PARTS = re.compile(r"[\s_\-:]+")
+NUMBER = re.compile(r"[\s_\-:]*\d+$")  # ad-1
 MENU_LINKS, MENU_SHARE = 2, 0.9  # a list of at least so many links that make up so much of it is a menu
 
 
@@ -61,6 +66,7 @@ class Page:
 
     def __init__(self, source: str) -> None:
         self.tag, self.parent, self.cut = ["#root"], [0], [False]
+        self.slugs = [False]  # whether ids inside the element are taken for slugs of text
         self.events: list[tuple[int, str | None]] = []  # (element, text), or (element, None) where a block begins or ends
         self._read(source)
 
@@ -102,7 +108,9 @@ class Page:
         number = len(tags)
         tags.append(tag)
         self.parent.append(stack[-1])
-        self.cut.append(tag in CUT or len(attributes) > 6 and _named_out(tag, attributes))
+        slugs = self.slugs[stack[-1]]
+        self.cut.append(tag in CUT or len(attributes) > 6 and _named_out(tag, attributes, slugs))
+        self.slugs.append(slugs or tag in HEADINGS or tag in ("article", "main"))
         if tag in BLOCK:
             self.events.append((number, None))
         elif tag == "br":
@@ -122,7 +130,7 @@ class Page:
                 return
 
 
-def _named_out(tag: str, attributes: str) -> bool:
+def _named_out(tag: str, attributes: str, slugs: bool) -> bool:
     if tag in ("html", "body", "article", "main"):
         wanted = {"comment", "comments", "ad", "ads", "advert", "sponsored", "related"} if tag == "article" else set()
     else:
@@ -130,7 +138,10 @@ def _named_out(tag: str, attributes: str) -> bool:
     for name, *values in ATTRIBUTE.findall(attributes):
         value = next(filter(None, values), "").lower()
         name = name.lower()
-        if name in ("class", "id"):
+        if name == "id" and (slugs or tag in SLUGGED):
+            if tag in GROUPS and NUMBER.sub("", value.strip()) in wanted:
+                return True
+        elif name in ("class", "id"):
             if not wanted.isdisjoint(NAME_PARTS.split(value)):
                 return True
         elif name == "role" and value in CUT_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
@@ -173,7 +184,7 @@ def extract(source: str | None) -> str:
             continue
         if tag[i] == "a":
             links[i], link_tags[i] = chars[i], link_tags[i] + 1
-        if tag[i] in ("ul", "ol", "dl", "table") and link_tags[i] >= MENU_LINKS and links[i] >= MENU_SHARE * chars[i]:
+        if tag[i] in ("ul", "ol", "dl", "table") and not in_article[i] and link_tags[i] >= MENU_LINKS and links[i] >= MENU_SHARE * chars[i]:
             kept[i] = False
             continue
         p = parent[i]

@@ -20,6 +20,18 @@ def test_the_article_without_what_surrounds_it():
         assert ht.extract(page(around + wrap.format(article) + after)) == want, wrap
 
 
+def test_slugs_and_lists_of_links_of_an_article_stay():
+    links = "<ul><li><a href=/1>First source</a></li><li><a href=/2>Second source</a></li></ul>"
+    parts = [f"<section id='related-work'><h2 id='related-work-1'>Related</h2><p>{P1}</p></section>", f"<h2 id=how-to-share-files>How to share</h2><p id='login'>{P2}</p>", f"<div id=search-algorithms><p>{P3}</p></div>",
+             "<h3 id='comments'>Heading</h3><h3><span id='Related'>Wrapped</span></h3><dl><dt id=search>term<dd>definition</dl>", f"<h2>Sources</h2>{links}"]
+    cut = "<div id=comments>I disagree</div><div id='ad-1'>Buy</div><div class='share-buttons'>Share</div><div role=search>Find</div>"
+    want = f"Related\n{P1}\nHow to share\n{P2}\n{P3}\nHeading\nWrapped\nterm\ndefinition\nSources\nFirst source\nSecond source"
+    for wrap in ("<article>{}</article>", "<main>{}</main>", "<main><article id='related-work'>{}</article></main>"):
+        assert ht.extract(page(f"<ul><li><a href=/>Home</a><li><a href=/x>News</a></ul>{wrap.format(''.join(parts) + cut)}<div id=related-posts>More</div>{links}")) == want, wrap
+    plain = "".join(parts[:1]) + f"<h2 id=how-to-share-files>How to share</h2><p>{P2}</p>"
+    assert ht.extract(page(f"<div class=post>{plain}</div><div id=related-posts>More</div>{links}")) == f"Related\n{P1}\nHow to share\n{P2}"
+
+
 def test_white_space_references_and_broken_markup():
     assert ht.extract("<p> a \n\t b&nbsp;c &#233;&lt;i&gt; <b>d<br>e</p><p>f") == "a b c é<i> d e\nf"
     assert ht.extract("plain text") == "plain text"
