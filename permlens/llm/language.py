@@ -261,6 +261,17 @@ def identify(docs: DataFrame, model: Model, text_column: str = "text", lang_out:
     return kept.mapInArrow(run, _with(kept, f"`{lang_out}` string, `{score_out}` double"))
 
 
+def lettered(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """The rows whose text has a letter, as they were: what `identify` does not call unknown under a model of any language."""
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([any(map(str.isalpha, t or "")) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _with(df: DataFrame, more: str):
     from pyspark.sql.types import StructType
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as cp
@@ -76,3 +77,13 @@ def test_an_empty_table_goes_through(spark, given, none, tmp_path):
     assert docs.count() == 0
 
 
+def test_a_table_without_languages_loses_only_documents_without_letters(spark, given, corpus, tmp_path):
+    pytest.importorskip("tokenizers")
+    docs = corpus.where("doc_id is null or doc_id > 9000 or doc_id < 20").withColumn("lang", F.lit(None).cast("string"))
+    want = sorted(((r.doc_id, r.text) for r in docs.collect() if any(c.isalpha() for c in r.text or "")), key=key)
+    first = cp.STAGES[0][1](spark, docs, given)
+    assert first.columns == docs.columns and sorted(((r.doc_id, r.text) for r in first.collect()), key=key) == want and len(want) < docs.count()
+    for n, (_, stage) in enumerate(cp.STAGES):
+        stage(spark, docs, given).write.parquet(f"{tmp_path}/{n}")
+        docs = spark.read.parquet(f"{tmp_path}/{n}")
+    assert {9001, 9004, 9005} <= {r.doc_id for r in docs.collect()}
