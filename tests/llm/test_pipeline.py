@@ -87,3 +87,10 @@ def test_a_table_without_languages_loses_only_documents_without_letters(spark, g
         stage(spark, docs, given).write.parquet(f"{tmp_path}/{n}")
         docs = spark.read.parquet(f"{tmp_path}/{n}")
     assert {9001, 9004, 9005} <= {r.doc_id for r in docs.collect()}
+
+
+def test_the_language_stage_drops_what_no_learned_language_could_be(spark, given):
+    texts = [(i, passage(i, 30), "en") for i in range(20)] + [(30, "გამარჯობა მსოფლიო", "en"), (31, "გამარჯობა world", None), (32, passage(32, 20), None), (33, "שלום", None), (34, "12", None)]
+    docs = spark.createDataFrame([(i, t, lang, None, None) for i, t, lang in texts], DOCS)
+    kept = {r.doc_id for r in cp.identify_language(spark, docs.withColumn("lang", F.when(F.col("doc_id") < 20, F.col("lang"))), given).collect()}
+    assert kept == {*range(20), 31, 32}
