@@ -363,9 +363,14 @@ def linked(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE, id_column:
     nodes = docs.select(node_id(id_column, text_column).alias("node"), text_of(text_column).alias("text"))
     sets = written(sets_of(nodes, n), "sets")
     first = sets.where("n > 0").groupBy("key1", "key2").agg(F.min("node").alias("first"))
-    roots = components(set_links(nodes, sets, percent, n, block_tokens), "links")
+    set_key_of = F.struct("key1", "key2")
+    several = sets.groupBy("node").agg(F.min(set_key_of).alias("least"), F.max(set_key_of).alias("most")).where("least <> most").select("node")
+    one_document = sets.join(several, "node").join(first, ["key1", "key2"]).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    roots = components(set_links(nodes, sets, percent, n, block_tokens).unionByName(one_document), "links")
     named = first.join(roots.select(F.col("node").alias("first"), "root"), "first", "left").select("key1", "key2", F.coalesce("root", "first").alias("root"))
-    found = sets.join(named, ["key1", "key2"], "left").select("node", "n", F.coalesce("root", "node").alias("root"))
+    with_words = sets.where("n > 0").join(named, ["key1", "key2"]).select("node", "n", "root")
+    empty = sets.where("n = 0").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
+    found = with_words.unionByName(empty)
     known = lambda c: F.when(F.col(c) < NULL_IDS, F.col(c))
     return found.select(known("node").alias("doc_id"), F.col("n").alias("n_shingles"), known("root").alias("component_id"), F.col("node").alias("_node"), F.col("root").alias("_root"))
 
@@ -377,6 +382,6 @@ def representatives(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE, i
     node, empty, text = hidden("node"), hidden("empty"), hidden("text")
     stay = found.where("_node = _root").select(F.col("_node").alias(node)).distinct()
     no_words = F.trim(F.translate(text_of(text_column), "\t\n\x0b\x0c\r", "     ")) == ""
-    kept = docs.withColumns({node: node_id(id_column, text_column), empty: no_words}).join(stay, node, "left_semi")
-    once = kept.where(~F.col(empty)).withColumn(text, F.xxhash64(text_of(text_column))).dropDuplicates([node, text]).drop(text)
-    return once.unionByName(kept.where(F.col(empty))).select(docs.columns)
+    marked = docs.withColumns({node: node_id(id_column, text_column), empty: no_words})
+    once = marked.where(~F.col(empty)).join(stay, node, "left_semi").withColumn(text, F.xxhash64(text_of(text_column))).dropDuplicates([node, text]).drop(text)
+    return once.unionByName(marked.where(F.col(empty))).select(docs.columns)

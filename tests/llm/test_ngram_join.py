@@ -83,6 +83,16 @@ def test_one_document_of_each_group_stays_with_its_columns(odd, none):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted(want, key=key)
 
 
+def test_different_texts_of_one_id_are_one_document(spark):
+    t = [passage(900 + i, 40) for i in range(8)]
+    rows = [(9, t[0]), (9, t[1]), (3, t[1]), (20, t[0]), (7, t[2]), (7, ""), (5, t[2]), (11, t[3]), (11, t[4]), (12, t[4]), (12, t[5]), (10, t[5]), (30, None), (30, t[6]), (31, t[7]), (31, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = rows_of(nj.linked(docs), "doc_id", "n_shingles", "component_id")
+    assert got == brute(rows) and {(9, 3), (20, 3), (7, 5), (11, 10)} <= {(d, c) for d, _, c in got}
+    want = [(3, t[1]), (5, t[2]), (7, ""), (10, t[5]), (30, None), (30, t[6]), (31, t[7]), (31, " ")]
+    assert rows_of(nj.representatives(docs), "doc_id", "text") == sorted(want, key=key)
+
+
 def test_components_of_chains_stars_and_rings(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(100, i) for i in range(101, 160)]
