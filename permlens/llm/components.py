@@ -9,7 +9,7 @@ from permlens.session import written
 
 
 def components(links: DataFrame, name: str = "links") -> DataFrame:
-    """links: a, b (longs). Returns node, root (the smallest node reachable), one row per node that is not its own root. Every round hangs
+    """links: a, b (whole numbers). Returns node, root (the smallest node reachable), one row per node that is not its own root. Every round hangs
     larger neighbours and then smaller ones on the smallest known node; the rounds needed grow with the logarithm of a component's
     longest path. Groupings combine before they shuffle and joins by node are split where one is hot, so a hub is no one task's work."""
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

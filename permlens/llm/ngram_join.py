@@ -18,6 +18,7 @@ A document is the set of its SHINGLE-word sequences; two documents link where 10
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 from functools import lru_cache
 from itertools import groupby
 
@@ -37,7 +38,9 @@ SPARE = 2
 BLOCK_TOKENS = 1_000_000
 LEAF, FAN = 32, 8
 CHUNK_CHARS = 8 << 20
-NULL_IDS = 2**62  # ids from here on stand for rows without an id, by their text
+NODE = "decimal(20,0)"  # wider than an id
+NODES = pa.decimal128(20, 0)
+NULL_IDS = Decimal(2**63)  # beyond every id: nodes from here on are rows without one, by their text
 
 
 class Sizes:
@@ -84,8 +87,8 @@ def set_key(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def node_id(id_column: str, text_column: str) -> Column:
-    by_text = F.lit(NULL_IDS) + F.shiftrightunsigned(F.xxhash64(text_of(text_column)), 2)
-    return F.coalesce(F.col(id_column).cast("long"), by_text)
+    by_text = F.xxhash64(text_of(text_column)).cast(NODE) + F.lit(Decimal(2**64))  # hashes from -2**63 on
+    return F.coalesce(F.col(id_column).cast("long").cast(NODE), by_text.cast(NODE))
 
 
 def part_signatures(tokens: np.ndarray, sizes: Sizes) -> np.ndarray:
@@ -239,7 +242,7 @@ def _join_tree(sets: list[np.ndarray], members: list[int], classes: np.ndarray |
 # Spark jobs
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, str]]]:
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[Decimal, str]]]:
     held, size = [], 0
     for node, text in rows(batches, "node", "text"):
         if held and size + len(text) > CHUNK_CHARS:
@@ -251,7 +254,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, str]]
         yield held
 
 
-SETS = pa.schema([("node", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("n", pa.int64())])
+SETS = pa.schema([("node", NODES), ("key1", pa.int64()), ("key2", pa.int64()), ("n", pa.int64())])
 
 
 def sets_of(nodes: DataFrame, n: int = SHINGLE) -> DataFrame:
@@ -266,7 +269,7 @@ def sets_of(nodes: DataFrame, n: int = SHINGLE) -> DataFrame:
                     yield out.take()
         yield from out.rest()
 
-    return nodes.mapInArrow(run, "node long, key1 long, key2 long, n long")
+    return nodes.mapInArrow(run, f"node {NODE}, key1 long, key2 long, n long")
 
 
 def candidate_pairs(nodes: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
@@ -326,7 +329,7 @@ def _tasks(members: DataFrame, level: Column, block_tokens: int) -> DataFrame:
     return own.select("node", "level", F.explode(F.when(F.col("fits"), alone).otherwise(F.concat(same, up, down))).alias("t")).select("node", "t.task", "t.side")
 
 
-LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+LINKS = pa.schema([("a", NODES), ("b", NODES)])
 
 
 def set_links(nodes: DataFrame, sets: DataFrame, percent: int = PERCENT, n: int = SHINGLE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -351,7 +354,7 @@ def set_links(nodes: DataFrame, sets: DataFrame, percent: int = PERCENT, n: int
                     yield out.take()
         yield from out.rest()
 
-    return wanted.mapInArrow(run, "a long, b long")
+    return wanted.mapInArrow(run, f"a {NODE}, b {NODE}")
 
 
 def linked(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -371,7 +374,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE, id_column:
     with_words = sets.where("n > 0").join(named, ["key1", "key2"]).select("node", "n", "root")
     empty = sets.where("n = 0").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
     found = with_words.unionByName(empty)
-    known = lambda c: F.when(F.col(c) < NULL_IDS, F.col(c))
+    known = lambda c: F.when(F.col(c) < F.lit(NULL_IDS), F.col(c)).cast("long")
     return found.select(known("node").alias("doc_id"), F.col("n").alias("n_shingles"), known("root").alias("component_id"), F.col("node").alias("_node"), F.col("root").alias("_root"))
 
 

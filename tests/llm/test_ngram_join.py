@@ -93,6 +93,16 @@ def test_different_texts_of_one_id_are_one_document(spark):
     assert rows_of(nj.representatives(docs), "doc_id", "text") == sorted(want, key=key)
 
 
+def test_every_long_is_an_id(spark):
+    t = [passage(950 + i, 40) for i in range(6)]
+    most, least = 2**63 - 1, -(2**63)
+    rows = [(most, t[0]), (most - 1, t[0]), (2**62, t[1]), (None, t[1]), (2**62 + 7, t[2]), (least, t[3]), (-5, t[3]), (None, t[4]), (None, t[4]), (most - 2, t[5]), (most - 3, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert rows_of(nj.linked(docs), "doc_id", "n_shingles", "component_id") == brute(rows)
+    want = [(most - 1, t[0]), (2**62, t[1]), (2**62 + 7, t[2]), (least, t[3]), (None, t[4]), (most - 2, t[5]), (most - 3, None), (None, "")]
+    assert rows_of(nj.representatives(docs), "doc_id", "text") == sorted(want, key=key)
+
+
 def test_components_of_chains_stars_and_rings(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(100, i) for i in range(101, 160)]
