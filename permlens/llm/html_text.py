@@ -2,9 +2,10 @@
 
 A page becomes a tree. Elements that are never article text (scripts, styles, forms, menus, page headers and footers, sidebars, adverts,
 notices, reader comments; by element, role, or a whole word of class or id) are cut. Ids of headings and sections, and of all that stands in
-an article, main or heading, are often slugs of their text, so of these only a whole id counts, on elements that group others. Lists of
-links are cut as menus outside an article or main. For every remaining element the composite text
-density is characters per tag, adjusted for the share of link characters against the whole body's. The element whose children's densities
+an article, main or heading, are often slugs of their text, so of these only a whole id counts, on elements that group others. So it is with
+classes in an article, main or heading and on paragraphs: only a class that is a listed name (or one with words for boxes) cuts; of other
+elements that group, those with a listed word in a class go where they hold no heading and their density is below the threshold. Lists
+of links are cut as menus outside an article or main. For every remaining element the composite text density is characters per tag, adjusted for the share of link characters against the whole body's. The element whose children's densities
 have the largest sum holds the article; the smallest density on its path to the body is the threshold that other parts along the path
 must reach to belong to it too. An article or main element around the chosen one is taken whole.
 
@@ -39,8 +40,14 @@ CUT_NAMES = set(
     "overlay newsletter subscribe subscription signup share sharing social related recommended pagination pager widget toolbar login search skip "
     "copyright disclaimer hidden".split()
 )
+ARTICLE_NAMES = set("comment comments ad ads advert sponsored related".split())
+BOXES = set(
+    "area bar block box button buttons container cta form group holder icon icons inner item items label link links list outer panel post posts reader row section "
+    "site slot thread top bottom left right unit user wrap wrapper".split()
+)
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 SLUGGED = HEADINGS | {"section", "article"}
+PROSE = HEADINGS | {"p", "blockquote", "pre"}
 GROUPS = set("article center details div dl figure ol section table ul".split())
 CLOSES = {  # an open element that ends where one of these begins
     "p": BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html", "li", "dd", "dt", "legend", "summary", "figcaption"},
@@ -65,7 +72,7 @@ class Page:
     """Elements in page order, each after its parent, and the texts between them."""
 
     def __init__(self, source: str) -> None:
-        self.tag, self.parent, self.cut = ["#root"], [0], [False]
+        self.tag, self.parent, self.cut, self.doubtful = ["#root"], [0], [False], [False]
         self.slugs = [False]  # whether ids inside the element are taken for slugs of text
         self.events: list[tuple[int, str | None]] = []  # (element, text), or (element, None) where a block begins or ends
         self._read(source)
@@ -109,7 +116,9 @@ class Page:
         tags.append(tag)
         self.parent.append(stack[-1])
         slugs = self.slugs[stack[-1]]
-        self.cut.append(tag in CUT or len(attributes) > 6 and _named_out(tag, attributes, slugs))
+        verdict = CUT_OUT if tag in CUT else _named_out(tag, attributes, slugs) if len(attributes) > 6 else KEEP
+        self.cut.append(verdict == CUT_OUT)
+        self.doubtful.append(verdict == DOUBTFUL)
         self.slugs.append(slugs or tag in HEADINGS or tag in ("article", "main"))
         if tag in BLOCK:
             self.events.append((number, None))
@@ -130,25 +139,44 @@ class Page:
                 return
 
 
-def _named_out(tag: str, attributes: str, slugs: bool) -> bool:
+KEEP, CUT_OUT, DOUBTFUL = 0, 1, 2
+
+
+def _plain_name(token: str, names: set[str]) -> bool:
+    """Whether a class is a listed name, or listed names with words for boxes around them (`share-buttons`, `ad-1`)."""
+    parts = [p for p in NAME_PARTS.split(NUMBER.sub("", token)) if p]
+    return "-".join(parts) in names or not names.isdisjoint(parts) and names.union(BOXES).issuperset(parts)
+
+
+def _named_out(tag: str, attributes: str, slugs: bool) -> int:
+    """What an element's id, class, role and style say of it. Class words are slugs of text too where they stand in an article, and on headings
+    and paragraphs; there only a class that is nothing but a name counts, and the density decides the other elements that group others."""
     if tag in ("html", "body", "article", "main"):
-        wanted = {"comment", "comments", "ad", "ads", "advert", "sponsored", "related"} if tag == "article" else set()
+        wanted = ARTICLE_NAMES if tag == "article" else set()
     else:
         wanted = CUT_NAMES
+    verdict = KEEP
     for name, *values in ATTRIBUTE.findall(attributes):
         value = next(filter(None, values), "").lower()
         name = name.lower()
         if name == "id" and (slugs or tag in SLUGGED):
             if tag in GROUPS and NUMBER.sub("", value.strip()) in wanted:
-                return True
+                return CUT_OUT
         elif name in ("class", "id"):
-            if not wanted.isdisjoint(NAME_PARTS.split(value)):
-                return True
+            if wanted.isdisjoint(NAME_PARTS.split(value)):
+                continue
+            if tag in PROSE or slugs and tag not in GROUPS:
+                if all(_plain_name(t, wanted - {"header"}) for t in value.split()):
+                    return CUT_OUT
+            elif not slugs and tag != "article" or any(_plain_name(t, wanted - {"header"}) for t in value.split()):
+                return CUT_OUT
+            elif tag != "article":
+                verdict = DOUBTFUL
         elif name == "role" and value in CUT_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return tag not in ("html", "body")
+            return CUT_OUT if tag not in ("html", "body") else KEEP
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return CUT_OUT
+    return verdict
 
 
 def extract(source: str | None) -> str:
@@ -162,7 +190,7 @@ def extract(source: str | None) -> str:
     kept = [True] * n
     has_head, in_article = [False] * n, [False] * n
     for i in range(n - 1, 0, -1):
-        has_head[i] = has_head[i] or tag[i] in ("h1", "article", "main")
+        has_head[i] = has_head[i] or tag[i] in ("h1", "article", "main") and not page.cut[i]
         has_head[parent[i]] = has_head[parent[i]] or has_head[i]
     for i in range(1, n):
         p = parent[i]
@@ -218,6 +246,13 @@ def extract(source: str | None) -> str:
         if tag[i] not in ("#root", "html"):
             threshold = min(threshold, densities[i])
         path.add(i)
+    if any(page.doubtful):
+        headed = [t in HEADINGS for t in tag]
+        for i in range(n - 1, 0, -1):
+            headed[parent[i]] = headed[parent[i]] or headed[i]
+        for i in range(1, n):
+            thin = page.doubtful[i] and not headed[i] and i not in path and densities[i] < threshold
+            kept[i] = kept[i] and kept[parent[i]] and not thin
     whole = inside[best] if tag[inside[best]] in ("article", "main") else best
     taken = [False] * n
     taken[0] = whole == 0

@@ -32,6 +32,23 @@ def test_slugs_and_lists_of_links_of_an_article_stay():
     assert ht.extract(page(f"<div class=post>{plain}</div><div id=related-posts>More</div>{links}")) == f"Related\n{P1}\nHow to share\n{P2}"
 
 
+def test_classes_that_are_words_of_the_text_stay():
+    kept = [
+        ("<h2 class='section-header'>Results here</h2>", "Results here"), ("<h3 class='subsection header'>Next</h3>", "Next"), ("<p class='notice-text'>Take care.</p>", "Take care."),
+        (f"<div class='search-results-discussion'><p>{P2}</p></div>", P2), ("<p class='social-science'>Science.</p>", "Science."), ("<div class='section-header'><h4>Wrapped</h4></div>", "Wrapped"),
+        (f"<section class='related-work-of-others'><h2>Work</h2><p>{P3}</p></section>", f"Work\n{P3}"), ("<ul><li class='login-shell'>Shell</li></ul>", "Shell"), (f"<blockquote class='comment-of-the-day'>{P2}</blockquote>", P2),
+        (f"<div class='header'><h3>Part</h3><p>{P3}</p></div>", f"Part\n{P3}"),
+    ]
+    gone = ["<div class='advert'>Buy</div>", "<p class='advert'>Buy now</p>", "<div class='ad ad-2'>Buy</div>", "<div class='share-buttons'>Share</div>", f"<section class='comments'><h3>Comments</h3><p>{P1}</p></section>",
+            f"<div class='reader-comments'><p>{P1}</p></div>", "<div class='cookie-notice'>We use cookies</div>", "<div class='newsletter-signup'><h3>Subscribe</h3><p>Get it.</p></div>", "<ul class='related-posts'><li><a href=/>More</a></ul>",
+            "<div class='search-hints'><a href=/>More</a></div>", "<div class='mt-4 social-share'><a href=/>x</a></div>", "<div role=navigation>Next</div>"]
+    body = f"<h1>Title</h1><p>{P1}</p>" + "".join(k + g for (k, _), g in zip(kept, gone + [""] * 9)) + "".join(gone[len(kept) :]) + f"<p>{P1}</p>"
+    want = "\n".join(["Title", P1, *(t for _, t in kept), P1])
+    for wrap in ("<article>{}</article>", "<main>{}</main>", "<main><article class='post has-comments'>{}</article></main>"):
+        assert ht.extract(page("<nav><a href=/>Home</a></nav>" + wrap.format(body) + "<article class='related'>More</article><footer>us</footer>")) == want, wrap
+    assert ht.extract(page(f"<div class=post><h2 class='subsection header'>Head</h2><p class='notice-text'>{P1}</p><p>{P2}</p></div><div class='site-footer-inner'>us</div>")) == f"Head\n{P1}\n{P2}"
+
+
 def test_white_space_references_and_broken_markup():
     assert ht.extract("<p> a \n\t b&nbsp;c &#233;&lt;i&gt; <b>d<br>e</p><p>f") == "a b c é<i> d e\nf"
     assert ht.extract("plain text") == "plain text"
