@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from permlens.operators.metrics import nearest_rank
 from permlens.plans import search
 from permlens.plans.corpus import Corpus
 
-DIMENSION, PLANES, BANDS = 64, 32, 4
+PROBED = 0.7  # of the cells
 HIT = ["request_id", "key", "version_no", "ordinal", "char_start", "char_end", "rank"]
 
 
@@ -74,14 +76,16 @@ def exact(c: Corpus) -> DataFrame:
     return c._once("given_exact", lambda: dense.exact_topk(c.requests_with_given_vectors(), c.given_vectors(), 10))
 
 
-def unfiltered(c: Corpus) -> DataFrame:
-    """What an index scan with the filter behind it returns: the nearest rows of all, then those the principal may see."""
+def near(c: Corpus, filter_first: bool) -> DataFrame:
+    """An inverted file over the given vectors: a centre per root of their number, most cells probed, as the given vectors have no clusters."""
 
     def build() -> DataFrame:
-        asked, stored = c.requests_with_given_vectors(), c.given_vectors()
-        return dense.filter_after(asked, stored, 10)
+        given = c.given("embeddings").select("vec_id", F.col("embedding").alias("vector"))
+        quantiser = dense.fit_quantiser(given, "vec_id", math.ceil(math.sqrt(given.count())))
+        probes = math.ceil(PROBED * quantiser.cells)
+        return dense.near_topk(c.requests_with_given_vectors(), c.given_vectors(), quantiser, probes, 10, filter_first)
 
-    return c._once("given_unfiltered", build)
+    return c._once(f"given_near_{'before' if filter_first else 'after'}", build)
 
 
 def d2(c: Corpus) -> DataFrame:
@@ -106,17 +110,26 @@ def d3(c: Corpus) -> DataFrame:
 
 
 def d5(c: Corpus) -> DataFrame:
-    asked, stored = c.requests_with_given_vectors(), c.given_vectors()
-    first = dense.near_candidates(asked, stored, DIMENSION, PLANES, BANDS, 10, True).withColumn("filter", F.lit("before"))
-    after = dense.near_candidates(asked, stored, DIMENSION, PLANES, BANDS, 10, False).withColumn("filter", F.lit("after"))
-    return scored(first.unionByName(after), "filter")
+    both = near(c, True).withColumn("filter", F.lit("before")).unionByName(near(c, False).withColumn("filter", F.lit("after")))
+    return scored(both, "filter")
+
+
+def recall_rows(rows: DataFrame) -> DataFrame:
+    return longs(rows, "searches", "fewer_results", "empty").withColumns({n: F.round(n, 6) for n in ("recall", "distance_recall")})
 
 
 def d6(c: Corpus) -> DataFrame:
-    rows = dense.ann_recall(exact(c), unfiltered(c), c.scoped, 10)
-    return longs(rows, "searches", "fewer_results", "empty").withColumns(
-        {n: F.round(n, 6) for n in ("recall", "distance_recall")}
-    )
+    """The recall of D5, filtered before and after, and of exact search filtered after."""
+    asked, stored = c.requests_with_given_vectors(), c.given_vectors()
+    late = c._once("given_unfiltered", lambda: dense.filter_after(asked, stored, 10))
+    reports = [dense.ann_recall(exact(c), found, c.scoped, 10, c.scoped).withColumn("run", F.lit(run)) for run, found in (("near", near(c, True)), ("near, filtered after", near(c, False)), ("exact, filtered after", late))]
+    return recall_rows(reports[0].unionByName(reports[1]).unionByName(reports[2]).drop("refusal"))
+
+
+def d6_refused(c: Corpus) -> DataFrame:
+    """A candidate run that did not send drawn requests."""
+    sent = c.scoped.where(draw("sent", F.col("request_id")) % 50 > 0)
+    return recall_rows(dense.ann_recall(exact(c), near(c, True), c.scoped, 10, sent))
 
 
 def d7(c: Corpus) -> DataFrame:
@@ -192,8 +205,8 @@ def f7(c: Corpus) -> DataFrame:
 QUERIES = {
     "x1_tokenize_terms": x1,
     "x2_build_postings": x2,
-    "x3_sparse_topk": lambda c: scored(keyword.sparse_topk(c.scoped, c.postings, c.candidates, 50)),
-    "x4_bm25_topk": lambda c: scored(keyword.bm25_topk(c.scoped, c.postings, c.candidates, 10)),
+    "x3_sparse_topk": lambda c: scored(keyword.sparse_topk(c.scoped, c.posting_blocks, c.candidates, 50)),
+    "x4_bm25_topk": lambda c: scored(keyword.bm25_topk(c.scoped, c.postings, c.posting_blocks, c.candidates, 10)),
     "x5_keyword_ranking_check": x5,
     "x5_keyword_ranking_status": x5_status,
     "x6_lexical_overlap_bands": x6,
@@ -203,6 +216,7 @@ QUERIES = {
     "d4_dense_sparse_dot_topk": lambda c: scored(dense.sparse_vector_topk(c.scoped, c.candidates, 50)),
     "d5_ann_candidates": d5,
     "d6_ann_recall": d6,
+    "d6_ann_recall_refused": d6_refused,
     "d7_score_spread_p50": d7,
     "d8_profile_guard": d8,
     "f1_rrf_fuse": f1,
@@ -228,30 +242,29 @@ VECTOR_SQL = {
     "given_exact": "select *, row_number() over (partition by request_id order by score desc, key, version_no, ordinal) as rank from given_score qualify rank <= 10",
     "given_near": "select r.request_id, v.key, v.version_no, v.ordinal, v.char_start, v.char_end, round(list_cosine_similarity(r.q_vector, v.vector), 9) as score, row_number() over (partition by r.request_id order by round(list_cosine_similarity(r.q_vector, v.vector), 9) desc, v.key, v.version_no, v.ordinal) as rank from given_request r, given_vector v qualify rank <= 10",
     "given_after": "select n.* from (select * from given_near) n join allowed_pair a on a.request_id = n.request_id and a.key = n.key",
-    "one_search": """
-        select s.request_id, s.subject, coalesce(expected, 0) as expected, coalesce(found, 0) as found, coalesce(returned, 0) as returned, least(coalesce(expected, 0), coalesce(near, 0)) as near
-        from scoped_request s
-        left join (select request_id, count(*) as expected from given_exact group by all) using (request_id)
-        left join (select e.request_id, count(*) as found from given_exact e join given_after g using (request_id, key, ordinal) group by all) using (request_id)
-        left join (select g.request_id, count(*) as returned, count(*) filter (g.score >= t.threshold) as near from given_after g
-            left join (select request_id, min(score) - 1e-6 as threshold from given_exact group by all) t using (request_id) group by all) using (request_id)""",
-}
-
-_WIDTH = PLANES // BANDS
-VECTOR_SQL |= {
-    "plane": f"select p, list(case when {h('plane', "(p || ':' || d)")} % 2 = 0 then 1.0::DOUBLE else -1.0::DOUBLE end order by d) as signs from (select unnest(range({PLANES})) as p), (select unnest(range({DIMENSION})) as d) group by p",
-    "vector_band": f"""
-        select distinct vec_id, b, substr(bits, (b * {_WIDTH} + 1)::BIGINT, {_WIDTH}) as side from (
-            select vec_id, string_agg(case when list_dot_product(embedding::DOUBLE[], signs) >= 0 then '1' else '0' end, '' order by p) as bits from embeddings join plane on true group by vec_id), (select unnest(range({BANDS})) as b)""",
-    "near_vector": "select distinct q.vec_id as q_id, v.vec_id as v_id from vector_band q join vector_band v using (b, side)",
-    "near_pair": f"""
-        select r.request_id, k.key, k.version_no, k.ordinal, k.char_start, k.char_end, round(list_cosine_similarity(qe.embedding::DOUBLE[], ve.embedding::DOUBLE[]), 9) as score, a.key is not null as allowed
-        from scoped_request r, (select total from vector_count) n join near_vector m on m.q_id = {h('qvec', 'r.request_id')} % n.total
-        join (select *, {h('vec', "(key || ':' || ordinal)")} % (select total from vector_count) as v_id from candidate) k on k.v_id = m.v_id
-        join embeddings qe on qe.vec_id = m.q_id join embeddings ve on ve.vec_id = m.v_id left join allowed_pair a on a.request_id = r.request_id and a.key = k.key""",
+    "center": f"select embedding::DOUBLE[] as center, row_number() over (order by {h('cell', 'vec_id')}, vec_id) - 1 as cell from embeddings qualify cell < ceil(sqrt((select total from vector_count)))",
+    "near_cell": "select vec_id, cell, row_number() over (partition by vec_id order by round(list_cosine_similarity(embedding::DOUBLE[], center), 9) desc, cell) as nth from embeddings join center on true",
+    "probe": f"select vec_id as q_id, cell from near_cell where nth <= ceil({PROBED}::DOUBLE * (select count(*) from center))",
+    "every_pair": f"""
+        select r.request_id, k.key, k.version_no, k.ordinal, k.char_start, k.char_end, round(list_cosine_similarity(r.q_vector, k.vector), 9) as score, a.key is not null as allowed, p.cell is not null as probed
+        from (select *, {h('qvec', 'request_id')} % (select total from vector_count) as q_id from given_request) r join (select *, {h('vec', "(key || ':' || ordinal)")} % (select total from vector_count) as v_id from given_vector) k on true
+        join near_cell c on c.vec_id = k.v_id and c.nth = 1 left join probe p on p.q_id = r.q_id and p.cell = c.cell left join allowed_pair a on a.request_id = r.request_id and a.key = k.key""",
+    "enough": "select request_id, count(*) >= 10 as enough from every_pair where allowed and probed group by request_id",
     "near_ranked": """
-        select *, 'before' as "filter", row_number() over (partition by request_id order by score desc, key, version_no, ordinal) as rank from near_pair where allowed qualify rank <= 10
-        union all select * from (select *, 'after', row_number() over (partition by request_id order by score desc, key, version_no, ordinal) as rank from near_pair qualify rank <= 10) where allowed""",
+        select e.* exclude (allowed, probed), 'before' as "filter", row_number() over (partition by request_id order by score desc, key, version_no, ordinal) as rank
+            from every_pair e left join enough using (request_id) where allowed and (probed or not coalesce(enough, false)) qualify rank <= 10
+        union all select * exclude (allowed) from (select * exclude (probed, allowed), 'after', row_number() over (partition by request_id order by score desc, key, version_no, ordinal) as rank, allowed from every_pair where probed qualify rank <= 10) where allowed""",
+    "run_result": """
+        select 'near' as run, request_id, key, ordinal, score from near_ranked where "filter" = 'before'
+        union all select 'near, filtered after', request_id, key, ordinal, score from near_ranked where "filter" = 'after'
+        union all select 'exact, filtered after', request_id, key, ordinal, score from given_after""",
+    "one_search": """
+        select u.run, s.request_id, s.subject, coalesce(expected, 0) as expected, coalesce(found, 0) as found, coalesce(returned, 0) as returned, least(coalesce(expected, 0), coalesce(near, 0)) as near
+        from scoped_request s join (select distinct run from run_result) u on true
+        left join (select request_id, count(*) as expected from given_exact group by all) e on e.request_id = s.request_id
+        left join (select run, e.request_id, count(*) as found from given_exact e join run_result g using (request_id, key, ordinal) group by all) f on f.request_id = s.request_id and f.run = u.run
+        left join (select run, g.request_id, count(*) as returned, count(*) filter (g.score >= t.threshold) as near from run_result g
+            left join (select request_id, min(score) - 1e-6 as threshold from given_exact group by all) t using (request_id) group by all) n on n.request_id = s.request_id and n.run = u.run""",
 }
 
 _RECALL = """count(*) as searches, round(case when sum(expected) > 0 then sum(found) / sum(expected) else 1 end, 6) as recall,
@@ -302,7 +315,11 @@ SQL = {
             qualify rank <= 50)"""
     ),
     "d5_ann_candidates": sql(f'select {_HIT}, "filter", score from near_ranked', **VECTOR_SQL),
-    "d6_ann_recall": sql(f"select coalesce(subject, 'all') as subject, {_RECALL} from one_search group by rollup(subject)", **VECTOR_SQL),
+    "d6_ann_recall": sql(f"select run, coalesce(subject, 'all') as subject, {_RECALL} from one_search group by grouping sets ((run, subject), (run))", **VECTOR_SQL),
+    "d6_ann_recall_refused": sql(
+        f"""select 'all' as subject, count(*) as searches, null::DOUBLE as recall, null::DOUBLE as distance_recall, null::BIGINT as fewer_results, null::BIGINT as empty, 'the runs sent different searches' as refusal
+        from scoped_request where {h('sent', 'request_id')} % 50 = 0"""
+    ),
     "d7_score_spread_p50": sql(
         """select spread as spread_p50 from (select spread, row_number() over (order by spread) as n, count(*) over () as total
             from (select round(max(score) - min(score), 6) as spread from given_exact group by request_id)) where n = least(total - 1, floor(total * 0.5)) + 1""",

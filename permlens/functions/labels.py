@@ -41,6 +41,12 @@ def in_scope(as_of: Column, region: Column, document: str) -> Column:
     return as_of.isNull() | F.coalesce(started & open_ended & applies, F.lit(False))
 
 
+def in_region(request: str, document: str) -> Column:
+    """The part of the scope rule that no window has: without a time (`untimed`) nothing binds, without a region every one applies."""
+    regions, region = F.col(f"{document}.applies_to_regions"), F.col(f"{request}.region")
+    return F.col(f"{request}.untimed") | F.coalesce((F.size(regions) == 0) | region.isNull() | F.array_contains(regions, region), F.lit(False))
+
+
 def as_set(values: Column) -> Column:
     """An array compared as a set."""
     return F.sort_array(F.array_distinct(values))

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from permlens.functions import labels as L
 from permlens.operators.numbering import running_total
 from permlens.operators.spread import spread_join
+from permlens.operators.sweep import counts_at
 from permlens.session import broadcast_if_small
 
 CHUNK = ["tenant_id", "key", "version_no", "ordinal"]
 LABELS = ["classification_rank", "allowed_departments", "required_projects"]
 SCOPE = ["applies_to_regions", "valid_from", "valid_to"]
+ACCESS_LABEL = ["tenant_id", *LABELS, "applies_to_regions"]
 PRINCIPAL = ["tenant_id", "department", "projects", "clearance_rank"]
 
 
@@ -52,7 +54,7 @@ def active_versions(versions: DataFrame) -> DataFrame:
     return latest_versions(versions.where(F.col("status") == "active"))
 
 
-def label_key(columns: list[str]) -> Column:
+def label_key(columns: list[str | Column]) -> Column:
     return F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
 
 
@@ -85,9 +87,20 @@ def scoped_requests(requests: DataFrame, principals: DataFrame, run_time) -> Dat
     )
 
 
-def admitted(request: str, document: str) -> Column:
-    """The join condition of every candidate query: authorized and in scope."""
-    return L.authorized(request, document) & L.in_scope(F.col(f"{request}.as_of"), F.col(f"{request}.region"), document)
+def in_scope_counts(versions: DataFrame, requests: DataFrame) -> DataFrame:
+    """scope_no, in_scope, readable: how many versions of its tenant apply to each scope of the numbered requests, and how many of them it may
+    read. Versions are counted per access label and along their windows' boundaries; rights meet labels, and times meet counts."""
+    counted = versions.groupBy(*ACCESS_LABEL, "valid_from", "valid_to").agg(F.count(F.lit(1)).alias("n")).withColumn("label_key", label_key(ACCESS_LABEL))
+    labels = counted.select("label_key", *ACCESS_LABEL).dropDuplicates(["label_key"])
+    rights = requests.select("rights_no", *PRINCIPAL, "region", F.col("as_of").isNull().alias("untimed")).dropDuplicates(["rights_no"])
+    met = rights.alias("w").join(labels.alias("i"), (F.col("w.tenant_id") == F.col("i.tenant_id")) & L.in_region("w", "i"))
+    met = met.select("rights_no", "label_key", L.label_rule("w", "i").alias("readable"))
+    scopes = requests.select("scope_no", "rights_no", "as_of").dropDuplicates(["scope_no"])
+    held = scopes.join(broadcast_if_small(met), "rights_no")
+    at = counts_at(counted.select("label_key", "valid_from", "valid_to", "n"), held.select("label_key", "as_of").distinct(), ["label_key"], ["n"])
+    same = (F.col("h.label_key") == F.col("c.label_key")) & F.col("h.as_of").eqNullSafe(F.col("c.as_of"))
+    each = held.alias("h").join(at.alias("c"), same).groupBy("h.scope_no")
+    return each.agg(F.sum("c.n").alias("in_scope"), F.sum(F.when(F.col("h.readable"), F.col("c.n")).otherwise(0)).alias("readable")).where("in_scope > 0")
 
 
 def label_grants(principals: DataFrame, versions: DataFrame) -> DataFrame:

@@ -2,116 +2,92 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from permlens.functions import text as T
+from permlens.functions.hashing import draw
 from permlens.operators.access import CHUNK, LABELS, SCOPE
-from permlens.operators.keyword import PLACE, TIES, context_text, label_table, scope_grants, top
-from permlens.operators.spread import spread_join
-from permlens.session import broadcast_if_small
+from permlens.operators.blocks import Cell, best_of_cells, request_blocks, slices, stored_blocks
+from permlens.operators.keyword import PLACE, context_text, label_table, named_top, rights_grants, top
+from permlens.session import broadcast_if_small, written
 
 BUCKETS = 384
-QUERY_BLOCK = 16_384
-STEP = 2048
-HELD_ROWS = 500_000
+VECTOR_ROWS = 4096  # of a block
 SCORE_TOLERANCE = 1e-6
+SAMPLE_VECTORS = 20_000  # a quantiser is fitted on, at most
+MAX_CELLS = 4096
+
+
+VECTOR_BLOCK = "vectors binary"
+
+
+def vector_blocks(vectors: DataFrame) -> DataFrame:
+    """Stored vectors (tenant_id, profile_id, chunk_no, label_no, window, vector) in blocks of one tenant and profile."""
+    return stored_blocks(vectors, ["tenant_id", "profile_id"], ["vector"], _pack_vectors, VECTOR_BLOCK, VECTOR_ROWS)
+
+
+def _pack_vectors(table: pa.Table) -> dict:
+    return {"vectors": table.column("vector").combine_chunks().flatten().to_numpy().astype("<f4").tobytes()}
+
+
+def _cosine(cell: Cell, floor: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Block products of the request vectors with a block's vectors."""
+    corpus = cell.numbers("vectors", "<f4").reshape(len(cell.rows), -1).astype(np.float64)
+    queries = cell.field("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(floor), -1)
+    if corpus.shape[1] != queries.shape[1]:
+        raise ValueError("one profile holds vectors of different lengths")
+    lengths, norms = np.sqrt((queries * queries).sum(1)), np.sqrt((corpus * corpus).sum(1))
+    for at in slices(len(floor), len(cell.rows)):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cosine = np.round((queries[at] @ corpus.T) / (lengths[at][:, None] * norms), 9) + 0.0
+        yield at, np.where(np.isfinite(cosine), cosine, -np.inf)
+
+
+def vector_requests(requests: DataFrame, grants: DataFrame) -> DataFrame:
+    asked = requests.select("request_no", "tenant_id", "profile_id", "rights_no", "as_of", F.col("vector").cast("array<float>").alias("vector"))
+    return written(request_blocks(asked, ["tenant_id", "profile_id"], grants, ["vector"]), "asked-vectors")
 
 
 def exact_topk(requests: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
-    """Cosine similarity of every request vector with every vector it may see, ranked after the filter. Request vectors are taken in
-    blocks of bounded size; each task scores its own partition of the corpus against a block with matrix products and passes on only its
-    own top n, ties included, once. Rows of another profile never meet."""
-    grants = scope_grants(requests, label_table(vectors)).groupBy("label_no").agg(F.sort_array(F.collect_set("scope_no")).alias("scopes"))
-    candidates = vectors.join(broadcast_if_small(grants), "label_no")
-    asked = requests.select("request_id", "request_no", "scope_no", "profile_id", "vector")
-    return top(scored_blocks(asked, candidates, n), ["request_id"], [F.desc("score"), *TIES], n)
-
-
-def scored_blocks(asked: DataFrame, candidates: DataFrame, n: int) -> DataFrame:
-    total = asked.count()
-    blocks = 1 if total <= QUERY_BLOCK else 2 * -(-total // QUERY_BLOCK)
-    scored = None
-    for block in range(blocks):
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("request_id"), F.lit(blocks)) == block)
-        found = score_block(part, candidates, n)
-        scored = found if scored is None else scored.unionByName(found)
-    return scored
+    """Cosine similarity of every request vector with every vector it may see, ranked after the filter. Blocks of stored vectors meet blocks of
+    request vectors of the same tenant and profile in tasks; nothing passes through the driver, and the plan is the same for any number
+    of requests. Ties are kept in chunk order, so the result is exact."""
+    asked = vector_requests(requests, rights_grants(requests, label_table(vectors)))
+    best = best_of_cells(vector_blocks(vectors), asked, ["tenant_id", "profile_id"], _cosine, n)
+    return named_top(best, vectors, requests, n)
 
 
 def filter_after(requests: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
     """The nearest n of all rows, of which those the principal may see are kept: what a forced index scan does, and why it returns too
     few. For measuring only; it is not a way to search."""
-    open_to_all = requests.select("request_id", "request_no", F.lit(0).cast("bigint").alias("scope_no"), "profile_id", "vector")
-    everything = vectors.withColumn("scopes", F.array(F.lit(0).cast("bigint")))
-    nearest = top(scored_blocks(open_to_all, everything, n), ["request_id"], [F.desc("score"), *TIES], n)
-    labelled = nearest.join(vectors.select(*CHUNK, "label_no"), CHUNK).join(broadcast_if_small(requests.select("request_id", "scope_no")), "request_id")
-    grants = scope_grants(requests, label_table(vectors))
-    return labelled.join(broadcast_if_small(grants), ["scope_no", "label_no"], "left_semi").drop("scope_no", "label_no")
-
-
-def score_block(asked: DataFrame, candidates: DataFrame, n: int) -> DataFrame:
-    rows = asked.collect()  # one block of requests, of bounded size
-    ids = np.array([r["request_id"] for r in rows], dtype=object)
-    profiles = np.array([r["profile_id"] for r in rows], dtype=object)
-    scopes = np.array([r["scope_no"] for r in rows], dtype=np.int64)
-    matrix = np.array([r["vector"] for r in rows], dtype=np.float64) if rows else np.zeros((0, 1))
-    shared = candidates.sparkSession.sparkContext.broadcast((ids, profiles, scopes, matrix, np.sqrt((matrix * matrix).sum(axis=1))))
-    carried = [*CHUNK, *PLACE]
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, profiles, scopes, queries, lengths = shared.value
-        floor = np.full(len(ids), -np.inf)  # the n-th best score this task has seen per request
-        held: list[tuple[np.ndarray, pd.DataFrame]] = []  # what can still be in a top n, with the request's place
-        for batch in batches:
-            if not len(batch) or not len(ids):
-                continue
-            corpus = np.stack(batch["vector"].to_numpy()).astype(np.float64)
-            norms = np.sqrt((corpus * corpus).sum(axis=1))
-            codes, sets = pd.factorize(batch["scopes"].map(tuple))
-            allowed_scopes = np.stack([np.isin(scopes, list(s)) for s in sets])
-            same_profile = pd.factorize(np.concatenate([profiles, batch["profile_id"].to_numpy(dtype=object)]))[0]
-            for lo in range(0, len(ids), STEP):
-                part = slice(lo, min(lo + STEP, len(ids)))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    cosine = (corpus @ queries[part].T) / (norms[:, None] * lengths[part][None, :])
-                cosine = np.round(cosine, 9) + 0.0
-                same = same_profile[len(ids) :][:, None] == same_profile[part][None, :]
-                cosine[~(allowed_scopes[:, part][codes] & same & np.isfinite(cosine))] = -np.inf
-                if len(cosine) > n:
-                    floor[part] = np.maximum(floor[part], np.partition(cosine, len(cosine) - n, axis=0)[len(cosine) - n])
-                at, of = np.nonzero((cosine >= floor[part][None, :]) & (cosine > -np.inf))
-                out = batch[carried].iloc[at].reset_index(drop=True)
-                out.insert(0, "request_id", ids[part][of])
-                out["score"] = cosine[at, of]
-                held.append((of + lo, out))
-            if sum(len(of) for of, _ in held) > HELD_ROWS:
-                held = [_still(held, floor, n)]
-        if held:
-            yield _still(held, floor, n)[1]
-
-    kept = candidates.select(*carried, "profile_id", "vector", "scopes")
-    schema = "request_id string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.select(*carried).schema) + ", score double"
-    return kept.mapInPandas(score, schema)
-
-
-def _still(held: list[tuple[np.ndarray, pd.DataFrame]], floor: np.ndarray, n: int) -> tuple[np.ndarray, pd.DataFrame]:
-    """The held rows that reach their request's n-th best score so far, ties included; raises the floors."""
-    of, rows = np.concatenate([o for o, _ in held]), pd.concat([r for _, r in held], ignore_index=True)
-    score = rows["score"].to_numpy()
-    order = np.lexsort((-score, of))
-    first = np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1]])) if len(of) else np.empty(0, int)
-    nth = first + n - 1
-    whole = nth < np.append(first[1:], len(of))
-    floor[of[order][first[whole]]] = np.maximum(floor[of[order][first[whole]]], score[order][nth[whole]])
-    kept = score >= floor[of]
-    return of[kept], rows[kept]
+    asked, everything, granted = _unrestricted(requests, vectors)
+    best = best_of_cells(vector_blocks(everything), vector_requests(asked, granted), ["tenant_id", "profile_id"], _cosine, n)
+    return visible_hits(top(best, ["request_no"], [F.desc("score"), F.col("chunk_no")], n), requests, vectors)
+
+
+def _unrestricted(requests: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Requests and rows of one nameless tenant, and the grant by which all may see all."""
+    one = F.lit(0).cast("bigint")
+    open_to_all = requests.withColumns({"tenant_id": F.lit(""), "rights_no": one, "as_of": F.lit(None).cast("timestamp")})
+    everything = vectors.withColumns({"tenant_id": F.lit(""), "label_no": one, "valid_from": F.lit(None).cast("timestamp"), "valid_to": F.lit(None).cast("timestamp")})
+    granted = requests.sparkSession.range(1).select(one.alias("rights_no"), one.alias("label_no"))
+    return open_to_all, everything, granted
+
+
+def visible_hits(hits: DataFrame, requests: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Those of ranked (request_no, chunk_no, score, rank) that the request may see, with the chunks' keys and places."""
+    grants = broadcast_if_small(rights_grants(requests, label_table(vectors)))
+    about = hits.join(vectors.select("chunk_no", *CHUNK, *PLACE, "label_no", "valid_from", "valid_to"), "chunk_no")
+    asked = about.join(broadcast_if_small(requests.select("request_no", "request_id", "rights_no", "as_of")), "request_no")
+    timely = F.col("as_of").isNull() | (F.coalesce(F.col("valid_from") <= F.col("as_of"), F.lit(True)) & F.coalesce(F.col("as_of") < F.col("valid_to"), F.lit(True)))
+    return asked.where(timely).join(grants, ["rights_no", "label_no"], "left_semi").select("request_id", *CHUNK, *PLACE, "score", "rank")
 
 
 def bucket(word: Column) -> Column:
@@ -138,7 +114,7 @@ def bucket_maps(df: DataFrame, text: Column, keys: list[str]) -> DataFrame:
 def sparse_vector_topk(requests: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
     """Cosine similarity of hashed word vectors, as block products like any other vector: with a few hundred buckets, meeting on equal buckets
     would make more rows than there are pairs. What shares no bucket with a request is no result."""
-    about = chunks.select(*CHUNK, *PLACE, *LABELS, *SCOPE, "label_no")
+    about = chunks.select(*CHUNK, *PLACE, *LABELS, *SCOPE, "label_no", "chunk_no")
     stored = about.join(bucket_maps(chunks, context_text(), CHUNK), CHUNK).withColumn("profile_id", F.lit("hashing"))
     asked = requests.join(bucket_maps(requests, F.col("query"), ["request_id"]), "request_id").withColumn("profile_id", F.lit("hashing"))
     return exact_topk(asked, stored, n).where("score > 0")
@@ -156,49 +132,78 @@ def vector_problems(vectors: DataFrame, dimension: int) -> DataFrame:
     return vectors.withColumn("problem", problem).where("problem is not null")
 
 
-@F.pandas_udf(DoubleType())
-def pair_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Cosine similarity of two vector columns, a batch at a time."""
-    x, y = np.stack(a.to_numpy()).astype(np.float64), np.stack(b.to_numpy()).astype(np.float64)
-    return pd.Series((x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1))))
-
-
-def plane_bands(dimension: int, planes: int, bands: int):
-    """A column function: which side of pseudo-random hyperplanes a vector lies on, cut into bands of bits."""
-    signs = np.array([[1.0 if _sign(p, d) else -1.0 for d in range(dimension)] for p in range(planes)])
-    width = planes // bands
-
-    @F.pandas_udf("array<string>")
-    def sides(vectors: pd.Series) -> pd.Series:
-        bits = (np.stack(vectors.to_numpy()).astype(np.float64) @ signs.T >= 0).astype(int)
-        return pd.Series([[f"{b}:{''.join(map(str, row[b * width : (b + 1) * width]))}" for b in range(bands)] for row in bits])
-
-    return sides
-
-
-def _sign(plane: int, dimension: int) -> bool:
-    return int(hashlib.md5(f"plane:{plane}:{dimension}".encode()).hexdigest()[:8], 16) % 2 == 0
-
-
-def near_candidates(requests: DataFrame, vectors: DataFrame, dimension: int, planes: int, bands: int, n: int, filter_first: bool) -> DataFrame:
-    """Approximate candidates: vectors that share a band of hyperplane sides with the request, then exact cosine. With filter_first the
-    rows a principal may not see are left out before the nearest n are taken; otherwise after, which can return too few."""
-    sides = plane_bands(dimension, planes, bands)
-    cut_up = lambda df: df.withColumn("band", F.explode(sides("vector")))
-    grants = scope_grants(requests, label_table(vectors)).withColumn("allowed", F.lit(True))
-    met = spread_join(cut_up(requests).drop("tenant_id"), cut_up(vectors), ["band"], CHUNK)
-    kept = ["w.request_id", *[f"i.{c}" for c in [*CHUNK, *PLACE]], "scope_no", "label_no", F.col("w.vector").alias("q"), F.col("i.vector").alias("v")]
-    pairs = met.select(*kept).join(broadcast_if_small(grants), ["scope_no", "label_no"], "inner" if filter_first else "left")
-    score = F.round(pair_cosine("q", "v"), 9)
-    place = [*CHUNK, *PLACE]
-    found = pairs.select("request_id", *place, F.coalesce("allowed", F.lit(False)).alias("allowed"), score.alias("score"))
-    once = found.groupBy("request_id", *place).agg(F.max("score").alias("score"), F.max("allowed").alias("allowed"))
-    return top(once, ["request_id"], [F.desc("score"), *TIES], n).where("allowed").drop("allowed")
-
-
-def ann_recall(exact: DataFrame, candidate: DataFrame, searches: DataFrame, k: int) -> DataFrame:
+@dataclass
+class Quantiser:
+    """Cells of vectors by their nearest centre, by cosine; equal cosines go to the smaller cell."""
+
+    centres: np.ndarray
+
+    @property
+    def cells(self) -> int:
+        return len(self.centres)
+
+    def nearest(self, n: int):
+        """A column function: the n nearest cells of a vector, nearest first."""
+        unit = self.centres / np.linalg.norm(self.centres, axis=1, keepdims=True)
+
+        @F.pandas_udf("array<int>")
+        def cells(vectors: pd.Series) -> pd.Series:
+            v = np.stack(vectors.to_numpy()).astype(np.float64)
+            cosine = np.round(v @ unit.T / np.linalg.norm(v, axis=1, keepdims=True), 9)
+            return pd.Series(list(np.argsort(-cosine, axis=1, kind="stable")[:, :n].astype(np.int32)))
+
+        return cells
+
+
+def fit_quantiser(vectors: DataFrame, key: str, cells: int, rounds: int = 0, sample: int = SAMPLE_VECTORS) -> Quantiser:
+    """The coarse quantiser of an inverted file: the centres are the vectors with the smallest draws, moved by `rounds` of spherical k-means
+    over a sample of at most `sample` vectors, drawn likewise (bounded by parameter; every row is indexed all the same)."""
+    cells = max(1, min(cells, MAX_CELLS))
+    drawn = vectors.select(draw("cell", F.col(key).cast("string")).alias("d"), F.col(key).alias("k"), "vector").orderBy("d", "k").limit(max(cells, sample if rounds else cells))
+    found = drawn.toArrow().column("vector").to_pylist()  # bounded: MAX_CELLS or `sample` vectors
+    rows = np.array(found, np.float64).reshape(len(found), -1)
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True) if len(rows) else rows
+    centres = unit[:cells]
+    for _ in range(rounds):
+        own = np.argmax(unit @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, unit)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norms > 0, sums / np.maximum(norms, 1e-300), centres)
+    return Quantiser(centres if rounds else rows[:cells])
+
+
+def near_topk(requests: DataFrame, vectors: DataFrame, quantiser: Quantiser, probes: int, n: int, filter_first: bool = True) -> DataFrame:
+    """Approximate search by an inverted file: every stored vector lies in the cell of its nearest centre, and a request's vector meets those in
+    its `probes` nearest cells, as block products. With filter_first only rows the principal may see are ranked, and a request that finds
+    fewer than n searches its other cells too, so a narrow principal gets all there is; otherwise the filter comes last, and too few
+    may be left."""
+    on = ["tenant_id", "profile_id", "cell"]
+    asked = requests
+    if not filter_first:
+        asked, vectors_in, grants = _unrestricted(requests, vectors)
+    else:
+        vectors_in, grants = vectors, rights_grants(requests, label_table(vectors))
+    stored = written(stored_blocks(vectors_in.withColumn("cell", quantiser.nearest(1)("vector")[0]), on, ["vector"], _pack_vectors, VECTOR_BLOCK, VECTOR_ROWS), "cells")
+    ordered = written(asked.withColumn("cells", quantiser.nearest(quantiser.cells)("vector")).select("request_no", "tenant_id", "profile_id", "rights_no", "as_of", F.col("vector").cast("array<float>").alias("vector"), "cells"), "asked-cells")
+
+    def search(some: DataFrame, cells) -> DataFrame:
+        blocks = request_blocks(some.withColumn("cell", F.explode(cells)).drop("cells"), on, grants, ["vector"], groups=quantiser.cells)
+        return best_of_cells(stored, written(blocks, "asked-blocks"), on, _cosine, n)
+
+    best = written(top(search(ordered, F.slice("cells", 1, probes)), ["request_no"], [F.desc("score"), F.col("chunk_no")], n), "near")
+    if filter_first and probes < quantiser.cells:
+        enough = best.groupBy("request_no").agg(F.count(F.lit(1)).alias("found")).where(F.col("found") >= n)
+        short = ordered.join(enough, "request_no", "left_anti")
+        more = search(short, F.slice("cells", probes + 1, quantiser.cells))
+        best = best.drop("rank").unionByName(more)
+    return named_top(best.drop("rank"), vectors, requests, n) if filter_first else visible_hits(best, requests, vectors)
+
+
+def ann_recall(exact: DataFrame, candidate: DataFrame, searches: DataFrame, k: int, candidate_searches: DataFrame | None = None) -> DataFrame:
     """Recall of approximate results per principal and over all: by identity, by distance (at least as close as the exact k-th, within
-    a tolerance), searches with fewer results, searches left empty."""
+    a tolerance), searches with fewer results, searches left empty. Runs that did not send the same searches are not compared: one
+    row with the reason and the number of searches that only one of them sent."""
     e = exact.where(F.col("rank") <= k)
     c = candidate.where(F.col("rank") <= k)
     kth = e.groupBy("request_id").agg(F.count(F.lit(1)).alias("expected"), (F.min("score") - SCORE_TOLERANCE).alias("threshold"))
@@ -216,13 +221,21 @@ def ann_recall(exact: DataFrame, candidate: DataFrame, searches: DataFrame, k: i
         )
     )
     share = lambda name: F.when(F.sum("expected") > 0, F.sum(name) / F.sum("expected")).otherwise(F.lit(1.0))
-    return per_search.rollup("subject").agg(
+    report = per_search.rollup("subject").agg(
         F.count(F.lit(1)).alias("searches"),
         share("found").alias("recall"),
         share("near").alias("distance_recall"),
         F.count_if(F.col("returned") < F.col("expected")).alias("fewer_results"),
         F.count_if((F.col("expected") > 0) & (F.col("returned") == 0)).alias("empty"),
-    ).withColumn("subject", F.coalesce("subject", F.lit("all")))
+    ).withColumn("subject", F.coalesce("subject", F.lit("all"))).withColumn("refusal", F.lit(None).cast("string"))
+    if candidate_searches is None:
+        return report
+    sides = searches.select("request_id", "subject", F.lit(1).alias("side")).unionByName(candidate_searches.select("request_id", "subject", F.lit(2).alias("side")))
+    one_sided = sides.groupBy("request_id", "subject").agg(F.countDistinct("side").alias("sides")).agg(F.count_if(F.col("sides") == 1).alias("differing"))
+    none = {c: F.lit(None).cast(report.schema[c].dataType) for c in ("recall", "distance_recall", "fewer_results", "empty")}
+    refused = one_sided.where("differing > 0").select(F.lit("all").alias("subject"), F.col("differing").alias("searches"), F.lit("the runs sent different searches").alias("refusal")).withColumns(none)
+    same = one_sided.where("differing = 0").select(F.col("differing").alias("_same"))  # one row or none
+    return report.withColumn("_same", F.lit(0).cast("bigint")).join(F.broadcast(same), "_same", "left_semi").drop("_same").unionByName(refused)
 
 
 def profile_guard(requests: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from permlens.functions import labels as L
 from permlens.functions import text as T
-from permlens.operators.access import CHUNK, LABELS, PRINCIPAL, SCOPE, admitted, label_key
-from permlens.operators.spread import spread_join
+from permlens.operators.access import ACCESS_LABEL, CHUNK, PRINCIPAL, label_key
+from permlens.operators.blocks import CELLS, Cell, best_of_cells, request_blocks, slices, stored_blocks
+from permlens.operators.sweep import counts_at
 from permlens.session import broadcast_if_small, is_small, written
 
 # The BM25 constants and the bounds of the lexical-overlap bands.
 BM25_K1, BM25_B = 1.2, 0.75
 LOW_OVERLAP_BELOW, HIGH_OVERLAP_FROM = 1 / 3, 2 / 3
 
+BOUND_SLACK = 1e-6  # more than rounding can add to a bound
+
 PLACE = ["char_start", "char_end"]
 TIES = ["key", "version_no", "ordinal"]
 
@@ -25,11 +35,10 @@ def top(df: DataFrame, group: list[str], order: list[Column], n: int, name: str
 
 
 def number_chunks(chunks: DataFrame, with_context: bool = True) -> DataFrame:
-    """Chunks in (key, version, ordinal) order with a number that keeps that order, their term count, and the number of their label
-    combination. Channels carry these numbers instead of the keys, and ties between scores go to the smaller chunk number. The result has
-    to be written once, so that the numbers stay."""
-    combination = ["tenant_id", *LABELS, *SCOPE]
-    keyed = chunks.withColumn("label_key", label_key(combination)).withColumn("n_terms", F.size(T.terms(context_text(with_context))))
+    """Chunks in (key, version, ordinal) order with a number that keeps that order, their term count, and the number of their access labels
+    (tenant, labels and regions; the validity window stays with the chunk). Channels carry these numbers instead of the keys, and ties
+    between scores go to the smaller chunk number. The result has to be written once, so that the numbers stay."""
+    keyed = chunks.withColumn("label_key", label_key(ACCESS_LABEL)).withColumn("n_terms", F.size(T.terms(context_text(with_context))))
     labels = written(keyed.select("label_key").distinct().withColumn("label_no", F.monotonically_increasing_id()), "label")
     spread = keyed.join(F.broadcast(labels) if is_small(labels) else labels, "label_key").drop("label_key")
     return spread.repartitionByRange(*TIES).sortWithinPartitions(*TIES).withColumn("chunk_no", F.monotonically_increasing_id())
@@ -40,90 +49,171 @@ def context_text(with_context: bool = True) -> Column:
 
 
 def label_table(chunks: DataFrame) -> DataFrame:
-    """The label combinations in use, by number."""
-    return chunks.select("label_no", "tenant_id", *LABELS, *SCOPE).dropDuplicates(["label_no"])
+    """The access labels in use, by number."""
+    return chunks.select("label_no", *ACCESS_LABEL).dropDuplicates(["label_no"])
 
 
 def postings(chunks: DataFrame, with_context: bool = True) -> DataFrame:
-    """(term, chunk, tf, positions) of numbered chunks, with the chunk's term count and label number. Ordered by term and chunk across
+    """(term, chunk, tf, positions) of numbered chunks, with the chunk's term count, label number and window. Ordered by term and chunk across
     range partitions: a common term spreads over several of them, and a lookup prunes by file statistics."""
-    terms = chunks.select("chunk_no", "label_no", "tenant_id", "n_terms", F.posexplode(T.terms(context_text(with_context))).alias("pos", "term"))
-    counted = terms.groupBy("term", "chunk_no", "label_no", "tenant_id", "n_terms").agg(
-        F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")
-    )
+    about = ["chunk_no", "label_no", "tenant_id", "n_terms", "valid_from", "valid_to"]
+    terms = chunks.select(*about, F.posexplode(T.terms(context_text(with_context))).alias("pos", "term"))
+    counted = terms.groupBy("term", *about).agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
     return counted.repartitionByRange("term", "chunk_no").sortWithinPartitions("term", "chunk_no")
 
 
+POSTING_BLOCK = "n_terms binary, terms array<string>, starts binary, places binary, tf binary, most binary, least binary"
+
+
+def posting_blocks(chunks: DataFrame, with_context: bool = True) -> DataFrame:
+    """The index that searches read: blocks of chunks of one tenant in chunk order, with every term's postings in the block (place of the chunk and
+    tf), and of each term the largest tf and the shortest chunk, which bound what it can add to any score there."""
+    rows = chunks.select("tenant_id", "chunk_no", "label_no", "valid_from", "valid_to", T.terms(context_text(with_context)).alias("terms"))
+    return stored_blocks(rows, ["tenant_id"], ["terms"], _pack_postings, POSTING_BLOCK)
+
+
+def _pack_postings(table: pa.Table) -> dict:
+    listed = table.column("terms").combine_chunks()
+    lengths = pc.fill_null(pc.list_value_length(listed), 0).to_numpy().astype(np.int64)
+    coded = listed.flatten().dictionary_encode()
+    n = max(1, len(lengths))
+    pair, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(len(lengths)), lengths), return_counts=True)
+    code, place = pair // n, pair % n
+    starts = np.searchsorted(code, np.arange(len(coded.dictionary) + 1))
+    most = np.maximum.reduceat(tf, starts[:-1]) if len(tf) else tf
+    least = np.minimum.reduceat(lengths[place], starts[:-1]) if len(tf) else tf
+    packed = {"n_terms": lengths, "starts": starts, "places": place, "tf": tf, "most": most, "least": least}
+    return {"terms": coded.dictionary.to_pylist()} | {k: v.astype("<i4").tobytes() for k, v in packed.items()}
+
+
 def number_requests(requests: DataFrame) -> DataFrame:
-    """Requests with a number and the number of their scope: requests with the same rights, time and region see the same chunks and share
-    their statistics. The result has to be written once, so that the numbers stay."""
-    keyed = requests.withColumn("scope_key", label_key([*PRINCIPAL, "as_of", "region"]))
-    scopes = written(keyed.select("scope_key").distinct().withColumn("scope_no", F.monotonically_increasing_id()), "scope")
-    numbered = keyed.join(F.broadcast(scopes) if is_small(scopes) else scopes, "scope_key").drop("scope_key")
-    return numbered.withColumn("request_no", F.monotonically_increasing_id())
-
-
-def scope_grants(requests: DataFrame, labels: DataFrame) -> DataFrame:
-    """(scope, label combination) pairs that may meet: the access and scope rule, applied once per distinct pair."""
-    scopes = requests.select("scope_no", *PRINCIPAL, "as_of", "region").dropDuplicates(["scope_no"])
-    return scopes.alias("w").join(labels.alias("i"), admitted("w", "i")).select("scope_no", "label_no")
-
-
-def top_chunks(
-    wanted: DataFrame, index: DataFrame, on: str, grants: DataFrame, score: Column, order: list[Column], n: int, chunks: DataFrame, requests: DataFrame
-) -> DataFrame:
-    """The best n chunks of every request. Index rows that anyone wants are partitioned by chunk; few wanted rows are broadcast to them, so
-    a chunk's score is complete where its rows are and only each partition's best n per request are shuffled. Too many wanted rows are
-    shuffled instead, with hot index keys spread. What a request may not see is dropped before anything is scored or ranked."""
-    keys = [on, "tenant_id"]
-    asked = wanted.select(*keys).distinct()
-    used = index.join(F.broadcast(asked) if is_small(asked) else asked, keys, "left_semi").repartition("chunk_no")
-    met = spread_join(wanted, used, keys, ["chunk_no"]).select(
-        *[f"w.{c}" for c in wanted.columns], *[f"i.{c}" for c in index.columns if c not in keys]
-    )
-    seen = met.join(broadcast_if_small(grants), ["scope_no", "label_no"], "left_semi")
-    hits = seen.groupBy("request_no", "chunk_no").agg(score.alias("score"))
-    best = top(hits.where(F.col("score") > 0), ["request_no"], [*order, F.col("chunk_no")], n)
-    names = requests.select("request_no", "request_id")
+    """Requests with a number, the number of their rights (what decides over labels: attributes and region, and whether time and region bind at
+    all) and of their scope (rights and time). The result has to be written once, so that the numbers stay."""
+    keyed = requests.withColumn("rights_key", label_key([*PRINCIPAL, "region", F.col("as_of").isNull().alias("untimed")]))
+    rights = written(keyed.select("rights_key").distinct().withColumn("rights_no", F.monotonically_increasing_id()), "rights")
+    numbered = keyed.join(F.broadcast(rights) if is_small(rights) else rights, "rights_key").drop("rights_key")
+    scopes = written(numbered.select("rights_no", "as_of").distinct().withColumn("scope_no", F.monotonically_increasing_id()), "scope").alias("s")
+    near = F.broadcast(scopes) if is_small(scopes) else scopes
+    same = (F.col("n.rights_no") == F.col("s.rights_no")) & F.col("n.as_of").eqNullSafe(F.col("s.as_of"))
+    return numbered.alias("n").join(near, same).select("n.*", "s.scope_no").withColumn("request_no", F.monotonically_increasing_id())
+
+
+def rights_grants(requests: DataFrame, labels: DataFrame) -> DataFrame:
+    """(rights, access label) pairs that may meet: the access rule and the region rule, applied once per distinct pair, whatever the number of
+    requests and times. Windows are held against times where rows are counted or scored."""
+    rights = requests.select("rights_no", *PRINCIPAL, "region", F.col("as_of").isNull().alias("untimed")).dropDuplicates(["rights_no"])
+    return rights.alias("w").join(labels.alias("i"), L.authorized("w", "i") & L.in_region("w", "i")).select("rights_no", "label_no")
+
+
+def named_top(best: DataFrame, chunks: DataFrame, requests: DataFrame, n: int) -> DataFrame:
+    """The first n of every request over all tasks, with the chunks' keys and places and the requests' ids."""
+    ranked = top(best, ["request_no"], [F.desc("score"), F.col("chunk_no")], n)
     return (
-        best.join(chunks.select("chunk_no", *CHUNK, *PLACE), "chunk_no")
-        .join(broadcast_if_small(names), "request_no")
+        ranked.join(chunks.select("chunk_no", *CHUNK, *PLACE), "chunk_no")
+        .join(broadcast_if_small(requests.select("request_no", "request_id")), "request_no")
         .select("request_id", *CHUNK, *PLACE, "score", "rank")
     )
 
 
-def sparse_topk(requests: DataFrame, index: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
-    """Any query term may match; the score counts matched positions of distinct query terms and uses no corpus statistics."""
-    wanted = requests.select("request_no", "scope_no", "tenant_id", F.explode(F.array_distinct(T.terms(F.col("query")))).alias("term"))
-    grants = scope_grants(requests, label_table(chunks))
-    matched = top_chunks(wanted, index.drop("positions", "n_terms"), "term", grants, F.sum("tf"), [F.desc("score")], n, chunks, requests)
-    return matched.withColumn("score", F.round(F.col("score") * F.lit(0.1), 9))
-
-
-def bm25_topk(requests: DataFrame, index: DataFrame, chunks: DataFrame, n: int, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """Okapi BM25 whose statistics are those of the chunks each request may see. Chunks are counted per label combination first; only
-    those counts meet the distinct scopes, never the chunks."""
-    grants = scope_grants(requests, label_table(chunks))
-    near = broadcast_if_small(grants)
-    by_label = chunks.groupBy("label_no").agg(F.count(F.lit(1)).alias("chunks"), F.sum("n_terms").alias("terms"))
-    sizes = by_label.join(near, "label_no").groupBy("scope_no").agg(F.sum("chunks").alias("n"), (F.sum("terms") / F.sum("chunks")).alias("average"))
+def _term_scores(gain, digits_of) -> Callable[[Cell, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """Term-at-a-time scoring of a cell. What a request's terms could add at most in the block decides whether it is scored there at all; a
+    request whose bound lies below its n-th best score so far is passed over. gain(weight, slope, tf, length) must grow with tf and shrink
+    with the length."""
+
+    def score(cell: Cell, floor: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        asked = cell.field("terms")
+        flat = asked.flatten()
+        of = np.repeat(np.arange(len(asked)), pc.list_value_length(asked).to_numpy())
+        term = pc.fill_null(pc.index_in(flat.field("term"), value_set=cell.batch.column("terms")[cell.i].values), -1).to_numpy()
+        known = term >= 0
+        of, term = of[known], term[known]
+        weight, slope = (flat.field(c).to_numpy(zero_copy_only=False)[known] for c in ("weight", "slope"))
+        lengths, starts, places, tf, most, least = (cell.numbers(c, "<i4") for c in ("n_terms", "starts", "places", "tf", "most", "least"))
+        bound = digits_of(np.bincount(of, gain(weight, slope, most[term], least[term]), len(asked)))
+        wanted = (bound > 0) & (bound >= floor - BOUND_SLACK)
+        width = len(cell.rows)
+        live = np.flatnonzero(wanted)
+        for group in slices(len(live), width):
+            at = live[group]
+            own = np.full(len(asked), -1)
+            own[at] = np.arange(len(at))
+            pairs = np.flatnonzero(own[of] >= 0)
+            total = np.zeros(len(at) * width)
+            count = starts[term[pairs] + 1] - starts[term[pairs]]
+            ends = np.cumsum(count)
+            cuts = [0, *np.flatnonzero(np.diff(ends // CELLS)) + 1, len(pairs)]  # of bounded numbers of postings
+            for lo, hi in zip(cuts, cuts[1:]):
+                some, n = pairs[lo:hi], count[lo:hi]
+                posting = np.repeat(starts[term[some]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                place = places[posting]
+                added = gain(np.repeat(weight[some], n), np.repeat(slope[some], n), tf[posting], lengths[place])
+                total += np.bincount(np.repeat(own[of[some]], n) * width + place, added, len(total))
+            found = digits_of(total).reshape(len(at), width)
+            yield at, np.where(found > 0, found, -np.inf)
+
+    return score
+
+
+def _matched(weight, slope, tf, length):
+    return tf.astype(float)
+
+
+def _okapi(weight, slope, tf, length, flat: float = BM25_K1 * (1 - BM25_B)):
+    return weight * tf / (tf + flat + slope * length)
+
+
+def asked_terms(requests: DataFrame, weighted: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Blocks of requests with their weighted terms (request_no, term, weight, slope)."""
+    listed = weighted.groupBy("request_no").agg(F.collect_list(F.struct("term", "weight", "slope")).alias("terms"))
+    about = requests.select("request_no", "tenant_id", "rights_no", "as_of").join(listed, "request_no")
+    return written(request_blocks(about, ["tenant_id"], rights_grants(requests, label_table(chunks)), ["terms"]), "asked-terms")
+
+
+def sparse_topk(requests: DataFrame, blocks: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
+    """Any query term may match; the score counts matched positions of distinct query terms and uses no corpus statistics. blocks are the
+    posting blocks of the chunks."""
+    one = F.lit(1.0)
+    wanted = requests.select("request_no", F.explode(F.array_distinct(T.terms(F.col("query")))).alias("term"), one.alias("weight"), one.alias("slope"))
+    score = _term_scores(_matched, lambda total: np.round(total * 0.1, 9))
+    best = best_of_cells(blocks, asked_terms(requests, wanted, chunks), ["tenant_id"], score, n)
+    return named_top(best, chunks, requests, n)
+
+
+def bm25_topk(requests: DataFrame, index: DataFrame, blocks: DataFrame, chunks: DataFrame, n: int, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """Okapi BM25 whose statistics are those of the chunks each request may see. Chunks and document frequencies are counted per access label
+    and, where chunks have windows, by a sweep along their boundaries; only those counts meet the requests' scopes, never the chunks.
+    index are the postings, blocks the posting blocks of the chunks."""
+    grants = broadcast_if_small(rights_grants(requests, label_table(chunks)))
+    scopes = requests.select("scope_no", "rights_no", "as_of").dropDuplicates(["scope_no"])
+    window = ["valid_from", "valid_to"]
+    by_label = chunks.groupBy("label_no", *window).agg(F.count(F.lit(1)).alias("chunks"), F.sum("n_terms").alias("terms"))
+    held = scopes.join(grants, "rights_no")
+    counted = counts_at(by_label, held.select("label_no", "as_of").distinct(), ["label_no"], ["chunks", "terms"])
+    at = lambda df, other, keys: df.alias("h").join(other.alias("c"), _same(keys) & F.col("h.as_of").eqNullSafe(F.col("c.as_of")))
+    sizes = at(held, counted, ["label_no"]).groupBy("h.scope_no").agg(F.sum("c.chunks").alias("n"), F.sum("c.terms").alias("terms"))
+    sizes = sizes.where("n > 0").select("scope_no", "n", (F.col("terms") / F.col("n")).alias("average"))
     asked = requests.select("request_no", "scope_no", "tenant_id", F.explode(T.terms(F.col("query"))).alias("term"))
-    counted = asked.groupBy("request_no", "scope_no", "tenant_id", "term").agg(F.count(F.lit(1)).alias("asked"))
-    terms = counted.select("tenant_id", "term").distinct()
+    counts = asked.groupBy("request_no", "scope_no", "tenant_id", "term").agg(F.count(F.lit(1)).alias("asked"))
+    terms = counts.select("tenant_id", "term").distinct()
     per_label = (
         index.join(F.broadcast(terms) if is_small(terms) else terms, ["tenant_id", "term"], "left_semi")
-        .groupBy("term", "label_no").agg(F.count(F.lit(1)).alias("df"))
+        .groupBy("term", "label_no", *window).agg(F.count(F.lit(1)).alias("df"))
     )
-    frequency = per_label.join(near, "label_no").groupBy("scope_no", "term").agg(F.sum("df").alias("df"))
+    per_label = written(per_label, "bm25-frequencies")
+    scope_terms = counts.select("scope_no", "term").distinct().join(broadcast_if_small(held), "scope_no")
+    met = written(scope_terms.join(per_label.select("term", "label_no").distinct(), ["term", "label_no"], "left_semi").select("scope_no", "term", "label_no", "as_of"), "bm25-asked")
+    frequencies = counts_at(per_label, met.select("term", "label_no", "as_of").distinct(), ["term", "label_no"], ["df"])
+    frequency = at(met, frequencies, ["term", "label_no"]).groupBy("h.scope_no", "h.term").agg(F.sum("c.df").alias("df")).where("df > 0")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = written(
-        counted.join(frequency, ["scope_no", "term"])
-        .join(F.broadcast(sizes) if is_small(sizes) else sizes, "scope_no")
-        .select("request_no", "scope_no", "tenant_id", "term", (F.col("asked") * idf * (k1 + 1)).alias("weight"), (k1 * b / F.col("average")).alias("slope")),
-        "bm25-terms",
-    )
-    gain = F.col("weight") * F.col("tf") / (F.col("tf") + k1 * (1 - b) + F.col("slope") * F.col("n_terms"))
-    return top_chunks(weighted, index.drop("positions"), "term", grants, F.round(F.sum(gain), 9), [F.desc("score")], n, chunks, requests)
+    weighted = counts.join(frequency, ["scope_no", "term"]).join(broadcast_if_small(sizes), "scope_no")
+    weighted = weighted.select("request_no", "term", (F.col("asked") * idf * (k1 + 1)).alias("weight"), (k1 * b / F.col("average")).alias("slope"))
+    score = _term_scores(partial(_okapi, flat=k1 * (1 - b)), lambda total: np.round(total, 9))
+    best = best_of_cells(blocks, asked_terms(requests, weighted, chunks), ["tenant_id"], score, n)
+    return named_top(best, chunks, requests, n)
+
+
+def _same(keys: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(f"h.{k}") == F.col(f"c.{k}") for k in keys])
 
 
 def ranking_differences(results: DataFrame, expected: DataFrame) -> DataFrame:

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from permlens.session import is_small
+from permlens.session import BROADCAST_ROWS, is_small
 
 SALTS = 16
 
 
-def spread_join(few: DataFrame, many: DataFrame, on: list[str], identity: list[str], condition: Column | None = None) -> DataFrame:
-    """Inner join of `few` (alias w) with `many` (alias i) on equal columns and a condition over the aliases. A small side is broadcast and
-    the large one stays where it is. Otherwise both are shuffled, with every key of the large side spread over salts by the row's
+def spread_join(few: DataFrame, many: DataFrame, on: list[str], identity: list[str], condition: Column | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner join of `few` (alias w) with `many` (alias i) on equal columns and a condition over the aliases. A small side (of at most
+    max_rows rows, fewer for wide rows) is broadcast and the large one stays where it is. Otherwise both are shuffled, with every key of the large side spread over salts by the row's
     identity and the other side repeated for each salt, so no key is one task's work."""
-    if is_small(few):
+    if is_small(few, max_rows):
         w, i, keys = F.broadcast(few).alias("w"), many.alias("i"), on
     else:
         salt = F.pmod(F.xxhash64(*identity), F.lit(SALTS)).cast("int")

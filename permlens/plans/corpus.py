@@ -78,6 +78,10 @@ class Corpus:
     def postings(self) -> DataFrame:
         return self._once("posting", lambda: keyword.postings(self.candidates))
 
+    @property
+    def posting_blocks(self) -> DataFrame:
+        return self._once("posting_block", lambda: keyword.posting_blocks(self.candidates))
+
     @property
     def cases(self) -> DataFrame:
         return self._once("case", lambda: tables.cases(self.manifests, self.principals))
@@ -101,7 +105,7 @@ class Corpus:
         def build() -> DataFrame:
             text = F.concat_ws("\n", "section_path", "content")
             vectors = dense.bucket_maps(self.candidates, text, access.CHUNK)
-            about = self.candidates.select(*access.CHUNK, *keyword.PLACE, *access.LABELS, *access.SCOPE, "label_no")
+            about = self.candidates.select(*access.CHUNK, *keyword.PLACE, *access.LABELS, *access.SCOPE, "label_no", "chunk_no")
             return about.join(vectors, access.CHUNK).withColumn("profile_id", F.lit("hashing"))
 
         return self._once("word_vector", build)
@@ -116,7 +120,7 @@ class Corpus:
         embeddings = self.given("embeddings").select("vec_id", F.col("embedding").alias("vector"))
         total = embeddings.count()
         key = F.concat_ws(":", "key", "ordinal")
-        about = self.candidates.select(*access.CHUNK, *keyword.PLACE, *access.LABELS, *access.SCOPE, "label_no")
+        about = self.candidates.select(*access.CHUNK, *keyword.PLACE, *access.LABELS, *access.SCOPE, "label_no", "chunk_no")
         drawn = about.withColumn("vec_id", draw("vec", key) % total)
         return drawn.join(embeddings, "vec_id").withColumn("profile_id", F.lit("given"))
 
@@ -127,7 +131,7 @@ class Corpus:
 
     @property
     def sparse(self) -> DataFrame:
-        return self._once("sparse", lambda: keyword.sparse_topk(self.scoped, self.postings, self.candidates, 50))
+        return self._once("sparse", lambda: keyword.sparse_topk(self.scoped, self.posting_blocks, self.candidates, 50))
 
     @property
     def dense(self) -> DataFrame:
@@ -135,7 +139,7 @@ class Corpus:
 
     @property
     def bm25(self) -> DataFrame:
-        return self._once("bm25", lambda: keyword.bm25_topk(self.scoped, self.postings, self.candidates, 10))
+        return self._once("bm25", lambda: keyword.bm25_topk(self.scoped, self.postings, self.posting_blocks, self.candidates, 10))
 
     @property
     def results(self) -> DataFrame:

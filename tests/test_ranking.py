@@ -1,9 +1,13 @@
+import datetime
 import math
+import random
+import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from permlens.operators import dense, fusion, keyword, spread
+from permlens.operators import access, blocks, dense, fusion, keyword, spread
 from permlens.operators.access import PRINCIPAL
 
 CHUNKS = (
@@ -36,10 +40,14 @@ def requests(spark, *queries):
 
 def test_sparse_counts_matches_after_authorization(spark):
     chunks = corpus(spark)
-    got = keyword.sparse_topk(requests(spark, "gate launch gate"), keyword.postings(chunks), chunks, 3).orderBy("rank").collect()
+    got = keyword.sparse_topk(requests(spark, "gate launch gate"), keyword.posting_blocks(chunks), chunks, 3).orderBy("rank").collect()
     assert [(r.key, round(r.score, 1)) for r in got] == [("d0", 0.3), ("d4", 0.3), ("d1", 0.1)]
 
 
+def index(chunks):
+    return keyword.postings(chunks), keyword.posting_blocks(chunks)
+
+
 def brute_bm25(query, texts, k1=1.2, b=0.75):
     docs = [t.split() for t in texts]
     average = sum(map(len, docs)) / len(docs)
@@ -59,25 +67,105 @@ def test_bm25_uses_only_what_the_request_may_see(spark):
     chunks = corpus(spark)
     asked = requests(spark, "gate window gate", "nothing here")
     visible = TEXTS[:5]  # neither the secret chunk nor the other tenant's counts
-    got = keyword.bm25_topk(asked, keyword.postings(chunks), chunks, 10).where("request_id = 'r0'").orderBy("rank").collect()
+    got = keyword.bm25_topk(asked, *index(chunks), chunks, 10).where("request_id = 'r0'").orderBy("rank").collect()
     assert [(r.key, round(r.score, 9)) for r in got] == brute_bm25("gate window gate", visible)
 
 
 def test_large_sides_are_spread_and_give_the_same(spark, monkeypatch):
     chunks = corpus(spark)
     asked = requests(spark, "gate launch", "window")
-    few = {tuple(r) for r in keyword.bm25_topk(asked, keyword.postings(chunks), chunks, 10).collect()}
+    few = {tuple(r) for r in keyword.bm25_topk(asked, *index(chunks), chunks, 10).collect()}
     monkeypatch.setattr(spread, "is_small", lambda df, *a: False)
     monkeypatch.setattr(keyword, "is_small", lambda df, *a: False)
     monkeypatch.setattr(keyword, "broadcast_if_small", lambda df, *a: df)
-    assert {tuple(r) for r in keyword.bm25_topk(asked, keyword.postings(chunks), chunks, 10).collect()} == few
+    assert {tuple(r) for r in keyword.bm25_topk(asked, *index(chunks), chunks, 10).collect()} == few
 
 
-def test_filter_lies_below_every_ranking(spark):
+def test_no_plan_holds_pairs_texts_or_one_task(spark):
+    """Searches shuffle neither texts nor (request, chunk) pairs: the only rows after scoring are each task's best."""
     chunks = corpus(spark)
-    plan = keyword.sparse_topk(requests(spark, "gate"), keyword.postings(chunks), chunks, 3)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.index("Window") < plan.index("LeftSemi")  # printed from the top down
-    assert "WindowGroupLimit" in plan
+    for df in (
+        keyword.sparse_topk(requests(spark, "gate"), keyword.posting_blocks(chunks), chunks, 3),
+        keyword.bm25_topk(requests(spark, "gate"), *index(chunks), chunks, 3),
+    ):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("NestedLoop|Cartesian|SinglePartition", plan) and "WindowGroupLimit" in plan and plan.index("WindowGroupLimit") < plan.index("MapInArrow")
+
+
+def timed(spark, seed=4, n_chunks=70, n_requests=40):
+    """Chunks with a window each, requests with a time each (some without), several labels and regions."""
+    rng = random.Random(seed)
+    day = lambda: datetime.datetime(2025, 1, 1) + datetime.timedelta(days=rng.randrange(40))
+    chunks = []
+    for i in range(n_chunks):
+        text = " ".join(rng.choice(["gate", "launch", "window", "stone", "river", "lamp"]) for _ in range(rng.randint(0, 9)))
+        chunks.append((rng.choice("tu"), f"d{i:03d}", 1, 0, "", text, 0, len(text), rng.randrange(3), rng.choice([[], ["a"], ["a", "b"]]), rng.choice([[], ["p"]]), rng.choice([[], ["EU"], ["US", "EU"]]), rng.choice([None, day()]), rng.choice([None, day()])))
+    asked = [(f"r{i:03d}", " ".join(rng.choice(["gate", "launch", "lamp", "gone"]) for _ in range(rng.randint(0, 4))), rng.choice(["t", "t", "u", None]), rng.choice([None, "a", "b"]), rng.choice([[], ["p", "q"]]), rng.randrange(3), rng.choice([None, day(), day(), day()]), rng.choice([None, "EU", "US"])) for i in range(n_requests)]
+    return chunks, asked
+
+
+def may_see(r, c):
+    _, _, tenant, department, projects, clearance, as_of, region = r
+    own, classes, departments, required, regions, start, end = c[0], *c[8:]
+    right = tenant == own and classes <= clearance and (not departments or department in departments) and (not required or set(required) & set(projects))
+    return bool(right) and (as_of is None or (start is None or start <= as_of) and (end is None or as_of < end) and (not regions or region is None or region in regions))
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_a_time_per_request_and_a_window_per_document(spark, monkeypatch, small):
+    if small:  # many blocks of both sides, matrices of a few cells, joins with spread keys
+        for module, name, value in ((blocks, "BLOCK_ROWS", 5), (blocks, "BLOCK_REQUESTS", 3), (blocks, "CELLS", 20), (keyword, "CELLS", 4), (blocks, "HELD_ROWS", 7), (blocks, "BROADCAST_BLOCKS", 0)):
+            monkeypatch.setattr(module, name, value)
+    rows, asked = timed(spark)
+    chunks = written(spark, keyword.number_chunks(spark.createDataFrame(rows, CHUNKS).repartition(3)))
+    wanted = written(spark, keyword.number_requests(spark.createDataFrame(asked, REQUESTS)))
+    sparse, ranked_by_bm25, counts = {}, {}, {}
+    for r in asked:
+        seen = [c for c in rows if may_see(r, c)]
+        terms = set(r[1].split())
+        scores = sorted((-sum(w in terms for w in c[5].split()), c[1]) for c in seen)
+        sparse[r[0]] = [(k, round(-s * 0.1, 9)) for s, k in scores if s][:4]
+        names = [c[1] for c in seen]
+        ranked_by_bm25[r[0]] = [(names[int(d[1:])], round(s, 6)) for d, s in brute_bm25(r[1], [c[5] for c in seen])][:4] if any(c[5] for c in seen) else []
+        scope = [c for c in rows if c[0] == r[2] and may_see((*r[:3], "a", ["p"], 9, *r[6:]), (*c[:8], 0, [], [], *c[11:]))]
+        counts[r[0]] = (len(scope), len(seen))
+    got = {r[0]: [] for r in asked}
+    for r in keyword.sparse_topk(wanted, keyword.posting_blocks(chunks), chunks, 4).orderBy("rank").collect():
+        got[r.request_id].append((r.key, r.score))
+    assert got == sparse
+    got = {r[0]: [] for r in asked}
+    for r in keyword.bm25_topk(wanted, *index(chunks), chunks, 4).orderBy("rank").collect():
+        got[r.request_id].append((r.key, round(r.score, 6)))
+    assert got == ranked_by_bm25
+    found = wanted.join(access.in_scope_counts(spark.createDataFrame(rows, CHUNKS), wanted), "scope_no").collect()
+    assert {r.request_id: (r.in_scope, r.readable) for r in found} == {k: v for k, v in counts.items() if v[0]}
+    grants = keyword.rights_grants(wanted, keyword.label_table(chunks)).count()
+    later = wanted.withColumn("as_of", F.expr("as_of + make_interval(0, 0, 0, request_no % 7)"))
+    assert keyword.rights_grants(later, keyword.label_table(chunks)).count() == grants
+
+
+def test_the_inverted_file_finds_most_and_all_for_narrow_principals(spark):
+    rng = np.random.default_rng(5)
+    middles = rng.normal(size=(12, 8))
+    v = np.concatenate([m + 0.2 * rng.normal(size=(60, 8)) for m in middles])
+    q = np.concatenate([m + 0.2 * rng.normal(size=(3, 8)) for m in middles])
+    rows = [("t", f"d{i:03d}", 1, 0, "", "x", 0, 1, 2 if i % 97 else 0, [], [], [], None, None) for i in range(len(v))]
+    chunks = written(spark, keyword.number_chunks(spark.createDataFrame(rows, CHUNKS)))
+    stored = chunks.join(spark.createDataFrame([(f"d{i:03d}", [float(x) for x in v[i]]) for i in range(len(v))], "key string, vector array<float>"), "key").withColumn("profile_id", F.lit("p"))
+    people = [(f"r{i:03d}", "x", "t", None, [], 2 if i % 3 else 0, None, None) for i in range(len(q))]
+    asked = written(spark, keyword.number_requests(spark.createDataFrame(people, REQUESTS))).withColumn("subject", F.lit("s"))
+    asked = asked.join(spark.createDataFrame([(f"r{i:03d}", [float(x) for x in q[i]]) for i in range(len(q))], "request_id string, vector array<float>"), "request_id").withColumn("profile_id", F.lit("p"))
+    quantiser = dense.fit_quantiser(stored, "chunk_no", 24, rounds=6)
+    exact = written(spark, dense.exact_topk(asked, stored, 5))
+    near = written(spark, dense.near_topk(asked, stored, quantiser, 4, 5))
+    report = {r.subject: r for r in dense.ann_recall(exact, near, asked, 5, asked).collect()}
+    assert report["all"].recall >= 0.9 and report["all"].fewer_results == 0 and report["all"].refusal is None
+    late = dense.near_topk(asked, stored, quantiser, 4, 5, filter_first=False)
+    assert {r.subject: r for r in dense.ann_recall(exact, late, asked, 5, asked).collect()}["all"].fewer_results >= 12  # the narrow ones
+    refused = dense.ann_recall(exact, near, asked, 5, asked.where("request_id != 'r000'")).collect()
+    assert [(r.searches, r.recall, r.refusal) for r in refused] == [(1, None, "the runs sent different searches")]
+    whole = written(spark, dense.near_topk(asked, stored, quantiser, 24, 5))
+    assert ranked(whole) == ranked(exact)
 
 
 def vectors(spark, n, seed):
@@ -119,7 +207,8 @@ def test_exact_search_equals_brute_force(spark):
 
 def test_request_blocks_give_the_same(spark, monkeypatch):
     asked, stored, expected = exact_inputs(spark)
-    monkeypatch.setattr(dense, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(blocks, "BLOCK_REQUESTS", 3)
+    monkeypatch.setattr(dense, "VECTOR_ROWS", 7)
     assert ranked(dense.exact_topk(asked, stored, 5)) == expected
 
 
