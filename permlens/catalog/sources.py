@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from permlens.catalog import loadrows
 from permlens.catalog.retrieval import longs
 from permlens.catalog.sql import sql
-from permlens.operators.numbering import number_rows
 from permlens.plans.corpus import Corpus
 from permlens.session import work_folder
 from permlens.sources import files
 
 
+EXPORT_FILE_BYTES = 100_000  # so that even small tables fill several files
+
+
 def folder(c: Corpus, name: str) -> str:
     return f"{work_folder(c.spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -97,14 +99,13 @@ def s7(c: Corpus) -> DataFrame:
 
 
 def s8(c: Corpus) -> DataFrame:
-    """Every exported line in the order of files and lines, and whether its file has as many as its manifest says."""
+    """Every exported line in the order of files and lines, and whether the lines found are those of the manifest."""
     rows = loadrows.audit(c).where(F.col("occurred_at") < F.to_timestamp(F.lit("2024-01-20 00:00:00")))
     place = folder(c, "audit")
-    manifest = files.export_ndjson(rows, ["occurred_at", "event_id"], place)
-    lines = files.exported_lines(c.spark, place).withColumn("event_id", F.get_json_object("line", "$.event_id").cast("bigint"))
-    numbered = number_rows(lines, [], ["file", "position"], "n")
-    counted = lines.groupBy("file").agg(F.count(F.lit(1)).alias("lines")).join(manifest, "file", "left").select("file", (F.col("lines") == F.col("rows")).alias("whole"))
-    return numbered.join(counted, "file").select("n", "event_id", "whole")
+    manifest = files.export_ndjson(rows, ["occurred_at", "event_id"], place, EXPORT_FILE_BYTES)
+    lines = files.exported_lines(c.spark, place)
+    changed = files.export_differences(manifest, c.spark, place).where("file_no is not null").select("file_no", F.lit(False).alias("kept"))
+    return lines.join(changed, "file_no", "left").select("n", F.get_json_object("line", "$.event_id").cast("bigint").alias("event_id"), F.coalesce("kept", F.lit(True)).alias("whole"))
 
 
 QUERIES = {

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from permlens.operators.numbering import number_rows, running_totals
+from permlens.session import written
+
 CASE_SCHEMA = (
     "case_id string, split string, query string, principal string, evidence array<struct<document:string,version:int,quote:string>>, "
     "expected_facts array<string>, must_abstain boolean, unauthorized_documents array<string>, hard_negative_documents array<string>, "
@@ -97,24 +100,64 @@ def write_results(results: DataFrame, folder: str) -> None:
     results.write.mode("error").partitionBy("run_id").json(folder)
 
 
-def export_ndjson(rows: DataFrame, order: list[str], folder: str) -> DataFrame:
-    """Rows as JSON lines, oldest first across and within files; refuses an existing folder. Returns the manifest: file, rows, digest
-    of its bytes."""
-    lines = rows.select(*order, F.to_json(F.struct("*")).alias("value"))
-    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("error").text(folder)
-    return export_manifest(rows.sparkSession, folder)
-
-
-def export_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """Counts and the digest of the bytes of every exported file, so a changed or moved line shows. A file is one range of the order, whose size
-    the partitioning bounds."""
-    whole = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
-    lines = F.length(F.regexp_replace(F.col("content").cast("string"), "[^\n]", ""))
-    return whole.select(F.substring_index("path", "/", -1).alias("file"), lines.cast("bigint").alias("rows"), F.sha2("content", 256).alias("digest")).where("rows > 0")
+FILE_BYTES = 64 << 20
+BLOCK_LINES = 1024  # and children of a node of the digest tree
+
+
+def export_ndjson(rows: DataFrame, order: list[str], folder: str, file_bytes: int = FILE_BYTES, fields: list[str] | None = None) -> DataFrame:
+    """Rows (or their `fields`) as JSON lines, oldest first across and within files; refuses an existing folder. A file ends with the line that reaches
+    file_bytes. Returns the manifest (`digest_tree` of the lines): one row per file and one for the whole."""
+    lines = rows.select(*order, F.to_json(F.struct(*(fields or ["*"]))).alias("line"))
+    lines = running_totals(lines, [], order, {"n": F.lit(1), "bytes": F.octet_length("line") + 1})
+    placed = written(lines.select(((F.col("bytes") - F.octet_length("line") - 1) / file_bytes).cast("long").alias("file_no"), "n", "line"), "export-lines")
+    files = max(1, placed.select("file_no").distinct().count())
+    ordered = placed.repartition(files, "file_no").sortWithinPartitions("file_no", "n")
+    ordered.select(F.format_string("%09d", "file_no").alias("file"), F.col("line").alias("value")).write.mode("error").partitionBy("file").text(folder)
+    return digest_tree(placed)
+
+
+def digest_tree(lines: DataFrame, block_lines: int | None = None) -> DataFrame:
+    """file_no, rows, digest of every file of (file_no, n, line), and with a null file_no of the whole. Lines are digested, blocks of
+    consecutive lines of a file by their lines' digests, and so on upwards until a file has one; then files likewise. No step holds more
+    than a block, and a line that is changed, moved, lost or added shows in the whole's digest. No lines: the digest of nothing."""
+    width = block_lines or BLOCK_LINES
+    sizes = lines.groupBy("file_no").agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("rows"))
+    leaves = lines.join(sizes.select("file_no", "first"), "file_no").select("file_no", (F.col("n") - F.col("first")).alias("i"), F.sha2("line", 256).alias("digest"))
+    of_files = _risen(leaves, ["file_no"], sizes.agg(F.max("rows")).first()[0] or 0, width)
+    files = written(of_files.join(sizes.select("file_no", "rows"), "file_no"), "file-digests")
+    count = files.count()
+    numbered = number_rows(files, [], ["file_no"], "nth").select(F.lit(0).alias("file_no"), (F.col("nth") - 1).alias("i"), "digest")
+    whole = _risen(numbered, ["file_no"], count, width).select("digest")
+    total = files.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
+    both = total.withColumn("digest", F.lit(None).cast("string")).unionByName(whole.withColumn("rows", F.lit(0).cast("long")))
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    whole = both.agg(F.sum("rows").alias("rows"), F.coalesce(F.max("digest"), nothing).alias("digest")).withColumn("file_no", F.lit(None).cast("long"))
+    return files.select("file_no", "rows", "digest").unionByName(whole.select("file_no", "rows", "digest"))
+
+
+def _risen(nodes: DataFrame, group: list[str], most: int, width: int) -> DataFrame:
+    """(group, i, digest) combined `width` at a time, in order, until each group has one."""
+    level = nodes
+    while True:
+        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "digest"))), lambda x: x["digest"]), "")
+        level = level.groupBy(*group, F.floor(F.col("i") / width).alias("i_")).agg(F.sha2(joined, 256).alias("digest")).withColumnRenamed("i_", "i")
+        most = -(-most // width)
+        if most <= 1:
+            return level.drop("i")
 
 
 def exported_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """file, position (from 1) and text of every line of an export."""
-    whole = spark.read.text(folder, wholetext=True)
-    lines = F.posexplode(F.split(F.col("value"), "\n")).alias("pos", "line")
-    return whole.select(F.substring_index(F.input_file_name(), "/", -1).alias("file"), lines).select("file", (F.col("pos") + 1).alias("position"), "line").where("line <> ''")
+    """file_no, n (from 1 over all files) and text of every line of an export, read in splits: lines are placed by file, split and order."""
+    about = F.col("_metadata.file_block_start").alias("split")
+    read = spark.read.schema("value string, file string").option("basePath", folder).text(folder)
+    lines = written(read.select(F.col("file").cast("long").alias("file_no"), about, F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")), "exported")
+    return number_rows(lines, [], ["file_no", "split", "at"], "n").select("file_no", "n", "line")
+
+
+def export_differences(manifest: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """The files, and the whole (file_no null), whose lines in the folder are not those of the manifest."""
+    found = digest_tree(exported_lines(spark, folder))
+    same = F.col("m.file_no").eqNullSafe(F.col("f.file_no"))
+    both = manifest.alias("m").join(found.alias("f"), same, "full")
+    differs = ~F.col("m.digest").eqNullSafe(F.col("f.digest")) | ~F.col("m.rows").eqNullSafe(F.col("f.rows"))
+    return both.where(differs).select(F.coalesce("m.file_no", "f.file_no").alias("file_no"), F.col("m.rows").alias("rows"), F.col("f.rows").alias("found_rows"))
