@@ -38,6 +38,11 @@ def x1(c: Corpus) -> DataFrame:
     return found.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
+def x1_dictionary(c: Corpus) -> DataFrame:
+    docs = c.given("documents")
+    return keyword.dictionary_terms(docs, ["doc_id"], "text", keyword.term_dictionary(docs, "text")).drop("term_no")
+
+
 def x2(c: Corpus) -> DataFrame:
     first = F.sum(F.element_at("positions", 1)).alias("first_positions")
     listed = F.sum(F.aggregate("positions", F.lit(0), lambda a, p: a + p)).alias("positions")
@@ -204,6 +209,7 @@ def f7(c: Corpus) -> DataFrame:
 
 QUERIES = {
     "x1_tokenize_terms": x1,
+    "x1_term_dictionary": x1_dictionary,
     "x2_build_postings": x2,
     "x3_sparse_topk": lambda c: scored(keyword.sparse_topk(c.scoped, c.posting_blocks, c.candidates, 50)),
     "x4_bm25_topk": lambda c: scored(keyword.bm25_topk(c.scoped, c.postings, c.posting_blocks, c.candidates, 10)),
@@ -278,6 +284,7 @@ _STRATEGIES = "['sparse-only', 'dense-only', 'hybrid-rrf', 'hybrid-rrf-rerank']"
 
 SQL = {
     "x1_tokenize_terms": f"select doc_id, term, count(*) as n from (select doc_id, unnest({terms('text')}) as term from documents) group by all",
+    "x1_term_dictionary": f"select doc_id, term, count(*) as n from (select doc_id, unnest({terms('text')}) as term from documents) group by all",
     "x2_build_postings": sql(
         """select key, version_no::BIGINT as version_no, ordinal, count(*) as distinct_terms, sum(tf)::BIGINT as terms, sum(first)::BIGINT as first_positions,
             sum(positions)::BIGINT as positions, max(n_terms)::BIGINT as n_terms

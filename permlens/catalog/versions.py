@@ -85,10 +85,21 @@ def v6(c: Corpus) -> DataFrame:
     return V.final_status(events.where(F.col("action").isNotNull()))
 
 
+def contents(c: Corpus) -> DataFrame:
+    """Every content that a version or a submission has, by its digest."""
+    old = c.versions.select("tenant_id", "key", F.col("version_no").cast("int").alias("version_no"), "format", "content")
+    new = base(c).where(draw("sub4", KEY) % 4 == 0).select("tenant_id", "key", F.lit(0).alias("version_no"), "format", F.concat("content", F.lit("\n\nRevised.")).alias("content"))
+    return old.unionByName(new).withColumn("sha", V.content_sha(F.col("content")))
+
+
+def chunk_counts(c: Corpus) -> DataFrame:
+    return c._once("content_chunk", lambda: V.content_chunks(contents(c)).groupBy("sha", "format").agg(F.count(F.lit(1)).alias("chunks")))
+
+
 def v7(c: Corpus) -> DataFrame:
-    counts = c.chunks.groupBy("tenant_id", "key", "version_no").agg(F.count(F.lit(1)).alias("chunks"))
-    gone = V.unreachable_versions(c.versions.select("tenant_id", "key", "version_no"), c.current)
-    return longs(gone.join(counts, ["tenant_id", "key", "version_no"], "left").na.fill(0, ["chunks"]).select("key", "version_no", "chunks"), "version_no")
+    known = c.versions.select("tenant_id", "key", "version_no", "format", V.content_sha(F.col("content")).alias("sha"))
+    gone = V.unreachable_versions(known, c.current)
+    return longs(V.unreachable_chunks(gone, chunk_counts(c)).select("key", "version_no", "chunks"), "version_no")
 
 
 def v8(c: Corpus) -> DataFrame:
@@ -110,7 +121,7 @@ def v8_jobs(c: Corpus) -> DataFrame:
 
 
 def v9(c: Corpus) -> DataFrame:
-    return V.job_counters(planned(c), c.chunks.groupBy("tenant_id", "key").agg(F.count(F.lit(1)).alias("chunks")))
+    return V.job_counters(planned(c), chunk_counts(c))
 
 
 def v10(c: Corpus) -> DataFrame:
@@ -119,15 +130,21 @@ def v10(c: Corpus) -> DataFrame:
     return longs(rows.select("key", "version_no", "round", "batch"), "version_no", "round", "batch")
 
 
-ANCHOR = {"model": "hashing", "dimensions": "384", "chunker_release": "4", "max_words": "180"}
+ANCHOR = dict(zip(V.PROFILE_FIELDS, ("hashing", "1", "384", "query: ", "passage: ", "on", "4", "180", "30", "384", "2000", "200", "words"), strict=True))
+# Fields that drawn versions were made with differently: the draw, the field, its other value.
+OTHER_PROFILES = [(0, "embedding_model", "other"), (1, "chunker_release", "3"), (2, "embedding_revision", "0"), (3, "passage_prefix", ""), (4, "chunk_overlap_words", "20"), (4, "chunk_tokenizer", "bytes")]
 
 
 def profiles(c: Corpus) -> DataFrame:
     d = draw("profile", KEY) % 50
-    return c.active.select(
-        F.when(d == 0, "other").otherwise("hashing").alias("model"), F.lit("384").alias("dimensions"),
-        F.when(d == 1, "3").otherwise("4").alias("chunker_release"), F.lit("180").alias("max_words"),
-    )
+
+    def value(field: str):
+        out = F.lit(ANCHOR[field])
+        for n, name, other in OTHER_PROFILES:
+            out = F.when(d == n, other).otherwise(out) if name == field else out
+        return out.alias(field)
+
+    return c.active.select(*[value(f) for f in ANCHOR])
 
 
 def v12(c: Corpus) -> DataFrame:
@@ -183,17 +200,30 @@ PLAN_SQL = {
             {h('n0', 'key')} % 3 + 1 as active_version_no, {h('n0', 'key')} % 3 + 1 + {h('n1', 'key')} % 2 as last_version_no
         from manifest where {h('state', 'key')} % 4 > 0""",
     "planning": """
-        select n.key, n.tenant_id, 0 as seq, s.sha, s.meta, s.status is not null and s.status <> 'deleted' as has_content, coalesce(s.last_version_no, 0) as last_no, s.active_version_no as owner,
+        select n.key, n.tenant_id, n.format, 0 as seq, s.sha, s.meta, s.status is not null and s.status <> 'deleted' as has_content, coalesce(s.last_version_no, 0) as last_no, s.active_version_no as owner,
             null::VARCHAR as outcome, null::VARCHAR as job_id, null::BIGINT as ordinal
-        from (select distinct key, tenant_id from submitted) n left join stored s using (key)
+        from (select distinct key, tenant_id, format from submitted) n left join stored s using (key)
         union all
-        select p.key, p.tenant_id, n.seq, n.sha, n.meta, true, case when o <> 'unchanged' then p.last_no + 1 else p.last_no end, case when o in ('created', 'updated') then p.last_no + 1 else p.owner end, o, n.job_id, n.ordinal
+        select p.key, p.tenant_id, p.format, n.seq, n.sha, n.meta, true, case when o <> 'unchanged' then p.last_no + 1 else p.last_no end, case when o in ('created', 'updated') then p.last_no + 1 else p.owner end, o, n.job_id, n.ordinal
         from planning p join submitted n on n.key = p.key and n.seq = (select min(x.seq) from submitted x where x.key = p.key and x.seq > p.seq),
             lateral (select case when not p.has_content then 'created' when p.sha = n.sha and p.meta = n.meta then 'unchanged' when p.sha = n.sha then 'relabelled' else 'updated' end as o)""",
     "planned_row": "select * from planning where seq > 0",
 }
 _FAULTS = [("key", 0), ("title", 1), ("source_uri", 2), ("content", 9, 10), ("format", 3), ("classification", 4), ("allowed_departments", 5), ("required_projects", 6), ("applies_to_regions", 7), ("validity", 8)]
 _DOC = "'doc-' || lpad(user_id::VARCHAR, 7, '0')"
+CONTENT_SQL = {  # the chunks of contents: each is a document of its own to the shared definitions
+    "any_content": f"""
+        select content, format from version union select content || chr(10) || chr(10) || 'Revised.', format from manifest where {h('sub4', 'key')} % 4 = 0""",
+    "current_version": f"select '' as tenant_id, sha256({normalize('content')}) || ':' || format as key, 1 as version_no, format, any_value(content) as content from any_content group by 2, format",
+    "counted_content": "select split_part(key, ':', 1) as sha, split_part(key, ':', 2) as format, count(*) as n from chunk group by all",
+}
+
+
+def _profile_value(field: str) -> str:
+    cases = "".join(f"when d = {n} then '{other}' " for n, name, other in OTHER_PROFILES if name == field)
+    return f"case {cases}else '{ANCHOR[field]}' end as {field}" if cases else f"'{ANCHOR[field]}' as {field}"
+
+
 SQL = {
     "v1_classify_submissions": sql("select key, job_id, ordinal::BIGINT as ordinal, outcome from planned_row", **PLAN_SQL),
     "v2_assign_version_numbers": sql("select key, job_id, case when outcome <> 'unchanged' then last_no end::BIGINT as version_no from planned_row", **PLAN_SQL),
@@ -211,9 +241,9 @@ SQL = {
         from (select case when {h('side', 'event_id')} % 5 = 0 then 'external' else 'northstar' end as tenant_id, {_DOC} as key, ts, event_id, case event_type when 'click' then 'active' when 'view' then 'disabled' when 'purchase' then 'deleted' when 'signup' then 'ingest' end as action from events)
         where action is not null group by tenant_id, key""",
     "v7_purge_unreachable": sql(
-        """select v.key, v.version_no::BIGINT as version_no, coalesce(n, 0) as chunks from version v
-        left join (select key, version_no, count(*) as n from chunk group by all) k on k.key = v.key and k.version_no = v.version_no
-        where v.status = 'deleted' or v.version_no <> (select max(x.version_no) from version x where x.key = v.key)"""
+        f"""select v.key, v.version_no::BIGINT as version_no, coalesce(n, 0) as chunks from version v left join counted_content k on k.sha = sha256({normalize('v.content')}) and k.format = v.format
+        where v.status = 'deleted' or v.version_no <> (select max(x.version_no) from version x where x.key = v.key)""",
+        **CONTENT_SQL,
     ),
     "v8_validate_submissions": sql(
         f"""select key as document, concat_ws(',', {", ".join(f"case when {' or '.join(f'd = {n} or e = {n}' for n in at)} then '{name}' end" for name, *at in _FAULTS)}) as errors
@@ -225,8 +255,8 @@ SQL = {
     "v9_job_counters": sql(
         """select job_id, count(*) filter (outcome = 'created') as created, count(*) filter (outcome in ('updated', 'relabelled')) as updated, count(*) filter (outcome = 'unchanged') as unchanged,
             count(*) as processed, coalesce(sum(n) filter (outcome in ('created', 'updated')), 0)::BIGINT as chunks
-        from planned_row left join (select key, count(*) as n from chunk group by all) using (key) group by job_id""",
-        **PLAN_SQL,
+        from planned_row left join counted_content using (sha, format) group by job_id""",
+        **(PLAN_SQL | CONTENT_SQL),
     ),
     "v10_replay_rounds": sql(
         f"""select key, version_no::BIGINT as version_no, round::BIGINT as round, ((row_number() over (partition by round order by tenant_id, key) - 1) // 200 + 1)::BIGINT as batch
@@ -234,10 +264,9 @@ SQL = {
             from (select tenant_id, key, version_no, max(version_no) over (partition by tenant_id, key) as n, {h('loaded', 'key')} % 4 = 0 as loaded from version) where not loaded or version_no = n)"""
     ),
     "v11_profile_consistency": sql(
-        f"""select sha256(model || '|384|' || release || '|180') as profile_id, count(*) as versions,
-            concat_ws(',', case when model <> 'hashing' then 'model' end, case when release <> '4' then 'chunker_release' end) as differs, count(*) over () > 1 as mixed
-        from (select case when {h('profile', 'key')} % 50 = 0 then 'other' else 'hashing' end as model, case when {h('profile', 'key')} % 50 = 1 then '3' else '4' end as release from active_version)
-        group by model, release"""
+        f"""select sha256(concat_ws('|', {", ".join(ANCHOR)})) as profile_id, count(*) as versions,
+            concat_ws(',', {", ".join(f"case when {f} <> '{v}' then '{f}' end" for f, v in ANCHOR.items())}) as differs, count(*) over () > 1 as mixed
+        from (select {", ".join(_profile_value(f) for f in ANCHOR)} from (select {h('profile', 'key')} % 50 as d from active_version)) group by all having true"""
     ),
     "v12_mixed_chunker_check": sql(
         f"select case when {h('profile', 'key')} % 50 = 1 then '3' else '4' end as release, count(*) as documents, count(*) over () > 1 as mixed from active_version group by all"

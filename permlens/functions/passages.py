@@ -96,22 +96,26 @@ def sentence_parts(text: str) -> list[str]:
     return [text[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-def cut(text: str, reach: Callable[[str], str | None], most: int) -> list[tuple[int, int]]:
-    """(offset, length) of pieces, each within what reach gives of the rest (None: the rest fits): up to the last line break, else the last
-    white space, else all of it. White space between pieces belongs to neither."""
-    off, out = 0, []
+def cut(text: str, reach: Callable[[int], int | None], most: int) -> list[tuple[int, int]]:
+    """(offset, length) of pieces, each up to where reach lets one that begins at an offset end at most (None: the rest fits): up to the last
+    line break before that, else the last white space, else all of it. White space between pieces belongs to neither. Only offsets move,
+    so a text without any break costs no more than its length."""
+    at, out, n = 0, [], len(text)
     for _ in range(most):
-        prefix = reach(text)
-        if prefix is None:
+        stop = reach(at)
+        if stop is None:
             break
-        line = prefix.rfind("\n", 1) + 1
-        space = max((prefix.rfind(c, 1) for c in WHITE), default=-1)
-        at = line if line > 0 else space if space > 0 else len(prefix)
-        out.append((off, len(text[:at].rstrip(WHITE))))
-        tail = text[at:].lstrip(WHITE)
-        off += len(text) - len(tail)
-        text = tail
-    return out + ([(off, len(text))] if text else [])
+        line = text.rfind("\n", at + 1, stop)
+        space = max(text.rfind(c, at + 1, stop) for c in WHITE)
+        until = line + 1 if line >= 0 else space if space >= 0 else stop
+        end = until
+        while end > at and text[end - 1] in WHITE:
+            end -= 1
+        out.append((at, end - at))
+        at = until
+        while at < n and text[at] in WHITE:
+            at += 1
+    return out + ([(at, n - at)] if at < n else [])
 
 
 def pieces(text: str, markdown: bool, max_words: int) -> Iterator[Piece]:
@@ -123,7 +127,7 @@ def pieces(text: str, markdown: bool, max_words: int) -> Iterator[Piece]:
         for part in parts:
             body = part.rstrip(WHITE)
             long = len(body) > limit
-            spans = cut(body, lambda rest: rest[:limit] if len(rest) > limit else None, -(-len(body) // limit) * 3 + 3) if long else [(0, len(body))]
+            spans = cut(body, lambda at, n=len(body): at + limit if n - at > limit else None, -(-len(body) // limit) * 3 + 3) if long else [(0, len(body))]
             for off, size in spans:
                 yield Piece(paragraph.section_no, paragraph.section_path, start + off, start + off + size, body[off : off + size], long)
             start += len(part)
@@ -202,12 +206,12 @@ def fitted(text: str, spans: list[tuple[int, int, str]], max_tokens: int) -> Ite
         if n <= room:
             yield start, end, path
             continue
-        head = re.compile(rf"(?:[^ \t\n\x0b\f\r]+[ \t\n\x0b\f\r]+){{{room - 1}}}[^ \t\n\x0b\f\r]+")
+        words = [m.span() for m in WORD.finditer(content)]
+        starts = [w[0] for w in words]
 
-        def reach(rest: str, head=head, room=room) -> str | None:
-            if count_words(rest) <= room:
-                return None
-            return m.group() if (m := head.match(rest)) else ""
+        def reach(at: int, words=words, starts=starts, room=room) -> int | None:
+            first = bisect_left(starts, at)
+            return words[first + room - 1][1] if len(words) - first > room else None
 
         for off, size in cut(content, reach, -(-n // room) * 3 + 3):
             yield start + off, start + off + size, path

@@ -74,8 +74,7 @@ def stem(word: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """Search terms in text order: words without stop words, stemmed. Repeats stay."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.transform(F.filter(plain_words(text), lambda w: ~F.array_contains(stop, w)), stem)
+    return F.transform(F.filter(plain_words(text), lambda w: ~w.isin(*STOPWORDS)), stem)  # a hash set
 
 
 def mark_sentences(text: Column) -> Column:

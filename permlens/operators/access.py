@@ -178,9 +178,37 @@ def visibility_difference(listed: DataFrame, derived: DataFrame) -> DataFrame:
     return a.join(b, ["principal", "document"], "full").select("principal", "document", problem.alias("problem")).where("problem is not null")
 
 
-def needs_all_projects(principal: str, document: str) -> Column:
-    """The stricter rule of the generated corpus: every required project, and administrators read nothing."""
-    p, d = (lambda n: F.col(f"{principal}.{n}")), (lambda n: F.col(f"{document}.{n}"))
-    department = (F.size(d("allowed_departments")) == 0) | F.coalesce(F.array_contains(d("allowed_departments"), p("department")), F.lit(False))
-    projects = F.size(F.array_except(d("required_projects"), p("projects"))) == 0
-    return (p("tenant_id") == d("tenant_id")) & (p("role") != "admin") & (d("classification_rank") <= p("clearance_rank")) & department & projects
+def stricter_grants(principals: DataFrame, documents: DataFrame) -> DataFrame:
+    """(subject, label key) pairs that the stricter rule of large test corpora admits: every required project, and administrators read nothing.
+    An inverted index of requirements: every required project of a label combination meets the principals of the tenant that hold it, and
+    a combination is met as often as it has requirements. One without any requires what everyone holds."""
+    combination = ["tenant_id", *LABELS]
+    labels = documents.select(*combination).distinct().withColumn("label_key", label_key(combination))
+    named = lambda values: F.transform(F.array_distinct(values), lambda x: F.concat(F.lit("="), x))
+    needs = F.when(F.size("required_projects") == 0, F.array(F.lit("*"))).otherwise(named(F.col("required_projects")))
+    wanted = labels.withColumn("needs", needs).select("*", F.explode("needs").alias("token"), F.size("needs").alias("n"))
+    readers = principals.where("role <> 'admin'").select("subject", "tenant_id", "department", "clearance_rank", F.explode(F.concat(F.array(F.lit("*")), named(F.col("projects")))).alias("token"))
+    met = wanted.alias("d").join(broadcast_if_small(readers).alias("p"), ["tenant_id", "token"])
+    department = (F.size("allowed_departments") == 0) | F.coalesce(F.array_contains("allowed_departments", F.col("department")), F.lit(False))
+    admitted = met.where((F.col("classification_rank") <= F.col("clearance_rank")) & department)
+    return admitted.groupBy("subject", "label_key", "n").agg(F.count(F.lit(1)).alias("held")).where("held = n").select("subject", "label_key")
+
+
+def stricter_visibility(principals: DataFrame, documents: DataFrame) -> DataFrame:
+    """(subject, key) pairs under the stricter rule: documents meet the grants of their label combination."""
+    labelled = documents.select("key", label_key(["tenant_id", *LABELS]).alias("label_key"))
+    return spread_join(stricter_grants(principals, documents), labelled, ["label_key"], ["key"]).select("w.subject", "i.key")
+
+
+def compared_rules(versions: DataFrame, principals: DataFrame) -> DataFrame:
+    """Both writings of the access rule over every label combination, each weighed by its versions: pairs, only_rule, only_tokens. The pairs
+    of principals and versions themselves are never made."""
+    combination = ["tenant_id", *LABELS]
+    counted = versions.groupBy(*combination).agg(F.count(F.lit(1)).alias("n")).withColumn("key", label_key(combination)).withColumn("version_no", F.lit(1))
+    first = grants(principals, counted).select("subject", F.col("label_key").alias("key"), F.lit(1).alias("side"))
+    second = visibility_by_tokens(counted, principals).select("subject", "key", F.lit(2).alias("side"))
+    sides = first.unionByName(second).groupBy("subject", "key").agg(F.sum("side").alias("sides")).join(counted.select("key", "n"), "key")
+    weight = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+    return sides.agg(weight(F.lit(True)).alias("pairs"), weight(F.col("sides") == 1).alias("only_rule"), weight(F.col("sides") == 2).alias("only_tokens"))
+
+

@@ -15,6 +15,7 @@ from permlens.functions import labels as L
 from permlens.functions import text as T
 from permlens.operators.access import ACCESS_LABEL, CHUNK, PRINCIPAL, label_key
 from permlens.operators.blocks import CELLS, Cell, best_of_cells, request_blocks, slices, stored_blocks
+from permlens.operators.spread import spread_join
 from permlens.operators.sweep import counts_at
 from permlens.session import broadcast_if_small, is_small, written
 
@@ -62,6 +63,35 @@ def postings(chunks: DataFrame, with_context: bool = True) -> DataFrame:
     return counted.repartitionByRange("term", "chunk_no").sortWithinPartitions("term", "chunk_no")
 
 
+def term_dictionary(texts: DataFrame, text: str, load_stemmer: Callable[[], Callable[[list[str]], list[str]]] | None = None) -> DataFrame:
+    """word, term, term_no of every word of a text column that is no stop word, made once per distinct word. The stemmer is the published one
+    or a user's, loaded once per task, which takes and gives lists of words; a word it makes empty has no term. Numbers are the terms',
+    in no order. Written, so that the numbers stay."""
+    words = texts.select(F.explode(T.plain_words(F.col(text))).alias("word")).distinct().where(~F.col("word").isin(*T.STOPWORDS))
+    if load_stemmer is None:
+        stemmed = words.withColumn("term", T.stem(F.col("word")))
+    else:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            stem = load_stemmer()
+            for batch in batches:
+                found = batch.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(stem(found), pa.string())], names=["word", "term"])
+
+        stemmed = words.mapInArrow(run, "word string, term string").where("term <> ''")
+    stemmed = written(stemmed, "stems")
+    numbers = written(stemmed.select("term").distinct().withColumn("term_no", F.monotonically_increasing_id()), "terms")
+    return written(stemmed.join(broadcast_if_small(numbers), "term"), "dictionary")
+
+
+def dictionary_terms(texts: DataFrame, keys: list[str], text: str, dictionary: DataFrame) -> DataFrame:
+    """(keys, term, term_no, n) of every text's words, by the dictionary. Words are counted per text before they meet it, and a word that many
+    texts have is spread over tasks."""
+    counted = texts.select(*keys, F.explode(T.plain_words(F.col(text))).alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
+    met = spread_join(dictionary, counted, ["word"], keys)
+    return met.groupBy(*[F.col(f"i.{k}").alias(k) for k in keys], "w.term", "w.term_no").agg(F.sum("i.n").alias("n"))
+
+
 POSTING_BLOCK = "n_terms binary, terms array<string>, starts binary, places binary, tf binary, most binary, least binary"
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from permlens.functions import labels as L
 from permlens.functions import text as T
+from permlens.operators import chunking
 from permlens.operators.numbering import number_rows, ordered_parts
+from permlens.session import broadcast_if_small
 
 DOCUMENT = ["tenant_id", "key"]
 METADATA = ["title", "source_uri", "classification", "allowed_departments", "required_projects", "applies_to_regions", "valid_from", "valid_to"]
@@ -152,6 +154,20 @@ def unreachable_versions(versions: DataFrame, current: DataFrame) -> DataFrame:
     return versions.join(pointer, [*DOCUMENT, "version_no"], "left_anti")
 
 
+def content_chunks(contents: DataFrame) -> DataFrame:
+    """sha, format, ordinal and the chunk of every different content, made once whatever refers to it. contents are (tenant_id, key,
+    version_no, sha, format, content); of equal ones the first by its identity is chunked."""
+    identity = ["tenant_id", "key", "version_no"]
+    first = contents.groupBy("sha", "format").agg(F.min(F.struct(*identity)).alias("first")).select("sha", "format", *[F.col(f"first.{c}").alias(c) for c in identity])
+    one = contents.drop("sha").join(broadcast_if_small(first.select(*identity)), identity, "left_semi")
+    return chunking.chunk_documents(one).join(first, identity).drop(*identity)
+
+
+def unreachable_chunks(gone: DataFrame, chunk_counts: DataFrame) -> DataFrame:
+    """The chunks of each unreachable version's content: chunk_counts are (sha, format, chunks)."""
+    return gone.join(chunk_counts, ["sha", "format"], "left").na.fill(0, ["chunks"])
+
+
 def submission_errors(submissions: DataFrame) -> DataFrame:
     """Every rule each submission breaks; an empty list is clean."""
 
@@ -181,9 +197,10 @@ def oversized_jobs(submissions: DataFrame) -> DataFrame:
 
 
 def job_counters(planned: DataFrame, chunk_counts: DataFrame) -> DataFrame:
-    """Per job: documents created, updated, unchanged, processed, and chunks written. A relabelling updates without writing chunks."""
+    """Per job: documents created, updated, unchanged, processed, and the chunks of the contents written; chunk_counts are (sha, format,
+    chunks). A relabelling updates without writing chunks."""
     wrote = F.col("outcome").isin("created", "updated")
-    return planned.join(chunk_counts, DOCUMENT, "left").groupBy("job_id").agg(
+    return planned.join(broadcast_if_small(chunk_counts), ["sha", "format"], "left").groupBy("job_id").agg(
         F.count_if(F.col("outcome") == "created").alias("created"),
         F.count_if(F.col("outcome").isin("updated", "relabelled")).alias("updated"),
         F.count_if(F.col("outcome") == "unchanged").alias("unchanged"),
@@ -208,6 +225,13 @@ def replay_rounds(versions: DataFrame, loaded: DataFrame, batch_size: int = 200)
     return numbered.withColumn("batch", F.floor((F.col("nth") - 1) / batch_size) + 1).drop("nth")
 
 
+# What makes vectors comparable.
+PROFILE_FIELDS = (
+    "embedding_model", "embedding_revision", "dimensions", "query_prefix", "passage_prefix", "embedding_context", "chunker_release", "chunk_max_words", "chunk_overlap_words",
+    "chunk_max_tokens", "chunk_max_chars", "heading_max_chars", "chunk_tokenizer",
+)
+
+
 def profile_report(profiles: DataFrame, anchor: dict[str, str]) -> DataFrame:
     """The distinct index profiles in use, the fields in which each differs from the anchor, and whether profiles are mixed."""
     fields = list(anchor)

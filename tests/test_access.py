@@ -56,8 +56,25 @@ def test_two_writings_of_the_rule_agree(spark):
 
 def test_every_project_rule_is_stricter(spark):
     principals, versions = tables(spark)
-    rows = principals.alias("p").join(versions.alias("d"), access.needs_all_projects("p", "d")).select("subject", "key").collect()
-    assert ("cat", "either") not in {(r.subject, r.key) for r in rows}
+    rows = {(r.subject, r.key) for r in access.stricter_visibility(principals, versions).collect()}
+    assert ("cat", "either") not in rows
+    people, documents = principals.collect(), versions.collect()
+
+    def reads(p, d):
+        return (
+            p.role != "admin" and p.tenant_id == d.tenant_id and d.classification_rank <= p.clearance_rank and (not d.allowed_departments or p.department in d.allowed_departments)
+            and set(d.required_projects) <= set(p.projects or [])
+        )
+
+    assert rows == {(p.subject, d.key) for p in people for d in documents if reads(p, d)}
+    plan = access.stricter_visibility(principals, versions)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_rules_are_compared_by_label_combination(spark):
+    principals, versions = tables(spark)
+    counts = access.compared_rules(versions.unionByName(versions), principals).first()
+    assert (counts.only_rule, counts.only_tokens) == (0, 0) and counts.pairs == 2 * access.visible_versions(versions, principals).count()
 
 
 def test_scope_bounds_are_half_open_and_no_time_means_no_scope(spark):

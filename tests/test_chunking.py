@@ -80,3 +80,29 @@ def test_words_terms_and_stemming(spark):
         T.word_count(F.lit("  two  words ")).alias("n"), T.word_count(F.lit("  ")).alias("none"), T.terms(F.lit("The Policies of buses, class status; gates")).alias("t")
     ).first()
     assert (row.n, row.none, row.t) == (2, 0, ["policy", "buse", "class", "status", "gate"])
+
+
+def test_a_long_text_without_breaks_is_cut_in_linear_time():
+    import time
+
+    from permlens.functions import passages
+
+    start = time.perf_counter()
+    spans = passages.cut("x" * 3_000_000, lambda at: at + 100 if 3_000_000 - at > 100 else None, 10**6)
+    assert time.perf_counter() - start < 5 and len(spans) == 30_000 and all(n == 100 for _, n in spans)
+    text = " ".join(["word"] * 4000)
+    assert [text[a : a + n] for a, n in passages.cut(text, lambda at: at + 12 if len(text) - at > 12 else None, 10**6)] == ["word word"] * 2000
+
+
+def test_a_term_dictionary_takes_any_stemmer(spark):
+    from permlens.operators import keyword
+
+    docs = spark.createDataFrame([(1, "Running runs the runner"), (2, "cats and a cat"), (3, None), (4, "")], "id int, text string")
+
+    def load_stemmer():
+        return lambda words: ["" if w == "cats" else w[:3] for w in words]
+
+    rows = keyword.dictionary_terms(docs, ["id"], "text", keyword.term_dictionary(docs, "text", load_stemmer)).collect()
+    assert {(r.id, r.term, r.n) for r in rows} == {(1, "run", 3), (2, "cat", 1)} and len({r.term_no for r in rows}) == 2
+    plain = keyword.dictionary_terms(docs, ["id"], "text", keyword.term_dictionary(docs, "text")).collect()
+    assert {(r.id, r.term, r.n) for r in plain} == {(1, "running", 1), (1, "run", 1), (1, "runner", 1), (2, "cat", 2)}
