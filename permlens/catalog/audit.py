@@ -126,7 +126,7 @@ def o4(c: Corpus) -> DataFrame:
         due = audit.export_through(rows, through, now_of(c))
         manifest = files.export_ndjson(due, order, place, EXPORT_FILE_BYTES, fields)
         changed = files.export_differences(manifest, c.spark, place).count()
-        whole = manifest.groupBy().agg(F.count("file_no").alias("files"), F.max(F.when(F.col("file_no").isNull(), F.col("rows"))).alias("rows"), F.max(F.when(F.col("file_no").isNull(), F.col("digest"))).alias("manifest_hash"))
+        whole = manifest.agg(F.count("file_no").alias("files"), F.sum("rows").alias("rows"), F.max("manifest_digest").alias("manifest_hash"))
         out.append(whole.select(F.lit(name).alias("table_name"), F.lit(THROUGH).alias("through"), "files", "rows", "manifest_hash", F.lit(changed).cast("bigint").alias("changed")))
     return out[0].unionByName(out[1])
 

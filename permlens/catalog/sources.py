@@ -104,7 +104,7 @@ def s8(c: Corpus) -> DataFrame:
     place = folder(c, "audit")
     manifest = files.export_ndjson(rows, ["occurred_at", "event_id"], place, EXPORT_FILE_BYTES)
     lines = files.exported_lines(c.spark, place)
-    changed = files.export_differences(manifest, c.spark, place).where("file_no is not null").select("file_no", F.lit(False).alias("kept"))
+    changed = files.export_differences(manifest, c.spark, place).select("file_no", F.lit(False).alias("kept"))
     return lines.join(changed, "file_no", "left").select("n", F.get_json_object("line", "$.event_id").cast("bigint").alias("event_id"), F.coalesce("kept", F.lit(True)).alias("whole"))
 
 

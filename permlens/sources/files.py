@@ -106,20 +106,23 @@ BLOCK_LINES = 1024  # and children of a node of the digest tree
 
 def export_ndjson(rows: DataFrame, order: list[str], folder: str, file_bytes: int = FILE_BYTES, fields: list[str] | None = None) -> DataFrame:
     """Rows (or their `fields`) as JSON lines, oldest first across and within files; refuses an existing folder. A file ends with the line that reaches
-    file_bytes. Returns the manifest (`digest_tree` of the lines): one row per file and one for the whole."""
-    lines = rows.select(*order, F.to_json(F.struct(*(fields or ["*"]))).alias("line"))
-    lines = running_totals(lines, [], order, {"n": F.lit(1), "bytes": F.octet_length("line") + 1})
+    file_bytes. Returns the manifest, the
+    `digest_tree` of the lines."""
+    ordered_by = [f"_order_{i}" for i in range(len(order))]
+    lines = rows.select(*[F.col(c).alias(o) for c, o in zip(order, ordered_by, strict=True)], F.to_json(F.struct(*(fields or ["*"]))).alias("line"))
+    lines = running_totals(lines, [], ordered_by, {"n": F.lit(1), "bytes": F.octet_length("line") + 1})
     placed = written(lines.select(((F.col("bytes") - F.octet_length("line") - 1) / file_bytes).cast("long").alias("file_no"), "n", "line"), "export-lines")
     files = max(1, placed.select("file_no").distinct().count())
-    ordered = placed.repartition(files, "file_no").sortWithinPartitions("file_no", "n")
-    ordered.select(F.format_string("%09d", "file_no").alias("file"), F.col("line").alias("value")).write.mode("error").partitionBy("file").text(folder)
+    # sorted by the very column the writer parts rows by, else it would sort them anew and lose the order of lines
+    ordered = placed.withColumn("file", F.format_string("%09d", "file_no")).repartition(files, "file").sortWithinPartitions("file", "n")
+    ordered.select("file", F.col("line").alias("value")).write.mode("error").partitionBy("file").text(folder)
     return digest_tree(placed)
 
 
 def digest_tree(lines: DataFrame, block_lines: int | None = None) -> DataFrame:
-    """file_no, rows, digest of every file of (file_no, n, line), and with a null file_no of the whole. Lines are digested, blocks of
+    """file_no, rows, digest, manifest_digest of every file of (file_no, n, line); the last is that of the whole. Lines are digested, blocks of
     consecutive lines of a file by their lines' digests, and so on upwards until a file has one; then files likewise. No step holds more
-    than a block, and a line that is changed, moved, lost or added shows in the whole's digest. No lines: the digest of nothing."""
+    than a block, and a line that is changed, moved, lost or added shows in the whole's digest. No lines, no files."""
     width = block_lines or BLOCK_LINES
     sizes = lines.groupBy("file_no").agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("rows"))
     leaves = lines.join(sizes.select("file_no", "first"), "file_no").select("file_no", (F.col("n") - F.col("first")).alias("i"), F.sha2("line", 256).alias("digest"))
@@ -128,22 +131,22 @@ def digest_tree(lines: DataFrame, block_lines: int | None = None) -> DataFrame:
     count = files.count()
     numbered = number_rows(files, [], ["file_no"], "nth").select(F.lit(0).alias("file_no"), (F.col("nth") - 1).alias("i"), "digest")
     whole = _risen(numbered, ["file_no"], count, width).select("digest")
-    total = files.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
-    both = total.withColumn("digest", F.lit(None).cast("string")).unionByName(whole.withColumn("rows", F.lit(0).cast("long")))
-    nothing = F.sha2(F.lit("").cast("binary"), 256)
-    whole = both.agg(F.sum("rows").alias("rows"), F.coalesce(F.max("digest"), nothing).alias("digest")).withColumn("file_no", F.lit(None).cast("long"))
-    return files.select("file_no", "rows", "digest").unionByName(whole.select("file_no", "rows", "digest"))
+    whole = whole.select(F.lit(1).alias("_one"), F.col("digest").alias("manifest_digest"))  # one row
+    return files.withColumn("_one", F.lit(1)).join(F.broadcast(whole), "_one").select("file_no", "rows", "digest", "manifest_digest")
 
 
 def _risen(nodes: DataFrame, group: list[str], most: int, width: int) -> DataFrame:
-    """(group, i, digest) combined `width` at a time, in order, until each group has one."""
-    level = nodes
-    while True:
-        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "digest"))), lambda x: x["digest"]), "")
-        level = level.groupBy(*group, F.floor(F.col("i") / width).alias("i_")).agg(F.sha2(joined, 256).alias("digest")).withColumnRenamed("i_", "i")
-        most = -(-most // width)
-        if most <= 1:
-            return level.drop("i")
+    """(group, i, digest) combined `width` at a time, in order, at least once and until each group has one; `most` is the largest group's
+    nodes. A group that has one already keeps it, so its digest depends on nothing else."""
+    counts = nodes.groupBy(*group).agg(F.count(F.lit(1)).alias("left"))
+    level, first = nodes.join(counts, group), True
+    while first or most > 1:
+        joined = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "digest"))), lambda x: x["digest"]), ""), 256)
+        digest = joined if first else F.when(F.first("left") == 1, F.first("digest")).otherwise(joined)
+        level = level.groupBy(*group, F.floor(F.col("i") / width).alias("i_"), F.ceil(F.col("left") / width).alias("left_")).agg(digest.alias("digest"))
+        level = level.withColumnsRenamed({"i_": "i", "left_": "left"})
+        most, first = -(-most // width), False
+    return level.drop("i", "left")
 
 
 def exported_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -155,7 +158,7 @@ def exported_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def export_differences(manifest: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
-    """The files, and the whole (file_no null), whose lines in the folder are not those of the manifest."""
+    """The files whose lines in the folder are not those of the manifest, or that only one side has."""
     found = digest_tree(exported_lines(spark, folder))
     same = F.col("m.file_no").eqNullSafe(F.col("f.file_no"))
     both = manifest.alias("m").join(found.alias("f"), same, "full")

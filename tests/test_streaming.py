@@ -43,9 +43,9 @@ def test_lapses_equal_brute_force_and_ended_jobs_are_forgotten(spark, tmp_path):
     renewals = [r for p in parts for r in p]
     got, _ = run_parts(spark, str(tmp_path / "long"), parts, 10**9)
     assert got == brute(renewals, 30_000 - 1000)
-    quiet = [[(j, 100 * j) for j in range(20)], [(99, 50_000)], [(99, 50_500)], [(99, 51_000)]]
+    quiet = [[(j, 100 * j + 100) for j in range(20)], [(99, 50_000)], [(99, 50_500)], [(99, 51_000)]]
     got, rows = run_parts(spark, str(tmp_path / "short"), quiet, 2000)
-    assert got == [(j, 1, 100 * j + LEASE, "requeued") for j in range(20)]
+    assert got == [(j, 1, 100 * j + 100 + LEASE, "requeued") for j in range(20)]
     assert rows == 1  # the one lease that is open
 
 
