@@ -67,6 +67,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_kept: dict = {}
+
+
+def kept(name, make):
+    """What the operator of this name remembers in a Python worker from one task to the next. A worker holds one operator's memory only: what
+    another one left behind goes first, so the stages of a pipeline do not add up."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 class WordNumbers:
     """64-bit hashes of words, remembered within a task. The memory is emptied at a bound, which changes no result."""
 
@@ -87,6 +99,25 @@ class WordNumbers:
         return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
 
 
+class Aging(dict):
+    """Values learnt in bulk: at least the `limit` keys used last are remembered, and at most twice as many besides those in use."""
+
+    def __init__(self, limit: int) -> None:
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def missing(self, keys: set) -> set:
+        """Those of the keys that have to be learnt; the others are here."""
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        unknown = keys.difference(self)
+        again = unknown.intersection(self.old)
+        old = self.old
+        self.update((k, old[k]) for k in again)
+        return unknown - again
+
+
 class Recent(dict):
     """Values made on demand and remembered within a task: at least the `limit` keys used last, at most twice as many."""
 
@@ -121,6 +152,19 @@ def rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
         yield from zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
 
 
+def bounded(pairs: Iterator[tuple], chars: int) -> Iterator[list[tuple]]:
+    """Runs of (id, text) of a bounded number of characters; a single longer text is its own run."""
+    held, size = [], 0
+    for pair in pairs:
+        if held and size + len(pair[1]) > chars:
+            yield held
+            held, size = [], 0
+        held.append(pair)
+        size += len(pair[1])
+    if held:
+        yield held
+
+
 class Out:
     """Collects rows of a mapInArrow function and hands them out in batches of a bounded number of rows and bytes."""
 

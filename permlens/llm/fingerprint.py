@@ -13,6 +13,7 @@ waits for its neighbour, which starts the next task's range.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,98 +23,121 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from permlens.llm.common import LAST_ID, Out, mix, order_id, rows, text_of, words_of
+from permlens.llm.common import LAST_ID, Out, bounded, mix, order_id, rows, text_of
 from permlens.session import written
 
 SAMPLES = 64
-CACHE_TERMS = 150_000
-BLOCK_TERMS = 20_000
-CHUNK_CHARS = 4 << 20
+CACHE_WORDS = 100_000
+BLOCK_PAIRS = 20_000
+STEP_WORDS = 256  # whose arrays stay in a core's cache
+CHUNK_CHARS = 2 << 20
+PIECE = 1 << 20
+FOLD, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)  # odd factors
+BELOW_ONE = np.float32(1 - 2.0**-24)
+NO_KEY = np.iinfo(np.int64).max
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _ordered(claims: np.ndarray) -> np.ndarray:
+    """Whole numbers of 32 bits in the order of the claims."""
+    bits = claims.astype(np.float32).view(np.int32)
+    return (bits ^ ((bits >> 31) & np.int32(0x7FFFFFFF))).astype(np.int64) + (1 << 31)
 
 
 class Sampler:
-    """Claims and values of weighted words, remembered within a task up to a bound that changes no result."""
+    """Fingerprints of texts in blocks of (word, count) pairs. What depends on a word alone is drawn once per word and remembered within a
+    task, up to a bound that changes no result.
+
+    A pair's claim and its value are one whole number, the claim in front: the smallest number of a text wins the sample and brings its value,
+    and of equal claims the smaller value wins, so neither the order of words nor the blocks matter."""
 
     def __init__(self, samples: int = SAMPLES) -> None:
         import xxhash
 
         self.hash, self.samples = xxhash.xxh3_64_intdigest, samples
-        self.seeds = [mix(np.arange(samples, dtype=np.uint64) * np.uint64(8) + np.uint64(i + 1)) for i in range(5)]
-        self._reset()
-
-    def _reset(self) -> None:
-        self.place: dict[tuple[bytes, int], int] = {}
-        self.n = 0
-        self.claims = np.empty((CACHE_TERMS + BLOCK_TERMS, self.samples), np.float32)
-        self.values = np.empty((CACHE_TERMS + BLOCK_TERMS, self.samples), np.uint16)
-
-    def _learn(self, items: list[tuple[bytes, int]]) -> None:
-        words = np.array([self.hash(w) for w, _ in items], np.uint64)[:, None]
-        weight = np.log(np.array([n for _, n in items], np.float64))[:, None]
-        u = [((mix(words ^ s) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53 for s in self.seeds]  # in (0, 1)
-        r, log_c, b = -np.log(u[0] * u[1]), np.log(-np.log(u[2] * u[3])), u[4]
-        t = np.floor(weight / r + b)
-        at = slice(self.n, self.n + len(items))
-        self.claims[at] = log_c - r * (t - b) - r
-        self.values[at] = (mix(mix(words ^ self.seeds[0]) + t.astype(np.int64).astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
-        self.place.update(zip(items, range(self.n, self.n + len(items)), strict=True))
-        self.n += len(items)
+        self.seeds = [mix(np.arange(samples, dtype=np.uint64) * np.uint64(8) + np.uint64(i + 1)) for i in range(2)]
+        self.place: dict[bytes, int] = {}
+        rows = CACHE_WORDS + BLOCK_PAIRS
+        self.keys = np.empty((rows, samples), np.int64)  # at weight 1
+        self.words = np.empty(rows, np.uint64)
+
+    def _learn(self, words: list[bytes]) -> None:
+        first = len(self.place)
+        at = slice(first, first + len(words))
+        self.words[at] = [*map(self.hash, words)]
+        self.place.update(zip(words, range(first, at.stop), strict=True))
+        for i in range(first, at.stop, STEP_WORDS):
+            step = slice(i, min(i + STEP_WORDS, at.stop))
+            self.keys[step] = self._keys(self.words[step])
+
+    def _keys(self, words: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+        """The keys of hashed words with their counts (1 where none are given)."""
+        x, y = (mix(words[:, None] ^ seed) for seed in self.seeds)
+        u, v = ((h.view(np.uint32).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-32) for h in (x, y))  # two draws of 32 bits each
+        r = -np.log(np.minimum(u[:, 0::2] * u[:, 1::2], BELOW_ONE))
+        log_c = np.log(-np.log(np.minimum(v[:, 0::2] * v[:, 1::2], BELOW_ONE)))
+        b = ((x * FOLD) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
+        if counts is None:
+            value, claim = x, log_c + r * b - r
+        else:
+            t = np.floor(np.log(counts.astype(np.float32))[:, None] / r + b)
+            value, claim = x + t.astype(np.uint64), log_c - r * (t - b) - r
+        return (_ordered(claim) << 16) | ((value * SPREAD) >> np.uint64(48)).astype(np.int64)
 
     def prints(self, texts: list[str]) -> list[np.ndarray | None]:
         """One array of sample values per text; None for a text without words."""
-        counts = [list(Counter(words_of(t)).items()) for t in texts]
-        out: list[np.ndarray | None] = []
-        start = 0
-        while start < len(counts):
-            end, new = start, {}
-            while end < len(counts) and len(new) < BLOCK_TERMS // 2 and len(counts[end]) <= BLOCK_TERMS // 2:
-                new |= dict.fromkeys(i for i in counts[end] if i not in self.place)
-                end += 1
-            if end > start:  # several texts whose new words fit one block
-                if self.n + len(new) > CACHE_TERMS + BLOCK_TERMS:
-                    self._reset()
-                    new = dict.fromkeys(i for c in counts[start:end] for i in c)
-                    if len(new) > CACHE_TERMS:
-                        end = start + 1
-                        new = dict.fromkeys(counts[start])
-                for block in _blocks(list(new)):
-                    self._learn(block)
-                out += [self._one(c) for c in counts[start:end]]
-            else:
-                out.append(self._long(counts[start]))
-                end = start + 1
-            start = end
-        return out
-
-    def _one(self, items: list[tuple[bytes, int]]) -> np.ndarray | None:
-        return self._least(items)[1] if items else None
-
-    def _least(self, items: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.fromiter(map(self.place.__getitem__, items), np.int64, len(items))
-        claims = self.claims[at]
-        won = claims.argmin(0)
-        each = np.arange(self.samples)
-        return claims[won, each], self.values[at[won], each]
-
-    def _long(self, items: list[tuple[bytes, int]]) -> np.ndarray:
-        """A text with many words, block by block; the earlier of equal claims wins, as in one block."""
-        best = np.full(self.samples, np.inf, np.float32)
-        value = np.zeros(self.samples, np.uint16)
-        for block in _blocks(items):
-            new = [i for i in block if i not in self.place]
-            if self.n + len(new) > CACHE_TERMS + BLOCK_TERMS:
-                self._reset()
-                new = block
-            self._learn(new)
-            claim, own = self._least(block)
-            value = np.where(claim < best, own, value)
-            best = np.minimum(claim, best)
-        return value
-
-
-def _blocks(items: list) -> Iterator[list]:
-    for i in range(0, len(items), BLOCK_TERMS):
-        yield items[i : i + BLOCK_TERMS]
+        best = np.full((len(texts), self.samples), NO_KEY)
+        words: list[bytes] = []
+        counts: list[np.ndarray] = []
+        owner: list[tuple[int, int]] = []
+        for i, text in enumerate(texts):
+            data = text.encode()
+            found = Counter(data.split()) if len(data) <= PIECE else Counter()
+            for piece in _pieces(data) if len(data) > PIECE else ():
+                found.update(piece.split())
+            words += found
+            counts.append(np.fromiter(found.values(), np.int64, len(found)))
+            owner.append((i, len(found)))
+            if len(words) >= BLOCK_PAIRS or i == len(texts) - 1:
+                times = np.concatenate(counts)
+                of = np.repeat([o for o, _ in owner], [n for _, n in owner])
+                for at in range(0, len(words), BLOCK_PAIRS):
+                    part = slice(at, at + BLOCK_PAIRS)
+                    self._meet(best, words[part], times[part], of[part])
+                words, counts, owner = [], [], []
+        values = (best & 0xFFFF).astype(np.uint16)
+        return [v if k[0] != NO_KEY else None for k, v in zip(best, values, strict=True)]
+
+    def _meet(self, best: np.ndarray, words: list[bytes], times: np.ndarray, owner: np.ndarray) -> None:
+        """Lowers the best keys of the texts by those of some of their pairs."""
+        new = set(words).difference(self.place)
+        if len(self.place) + len(new) > CACHE_WORDS + BLOCK_PAIRS:
+            self.place.clear()
+            new = set(words)
+        if new:
+            self._learn(list(new))
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        keys = self.keys[at]
+        often = np.flatnonzero(times > 1)
+        if len(often):
+            pairs, back = np.unique(np.stack([at[often], times[often]]), axis=1, return_inverse=True)
+            found = np.empty((pairs.shape[1], self.samples), np.int64)
+            for i in range(0, len(found), STEP_WORDS):
+                found[i : i + STEP_WORDS] = self._keys(self.words[pairs[0, i : i + STEP_WORDS]], pairs[1, i : i + STEP_WORDS])
+            keys[often] = found[back.ravel()]
+        starts = np.flatnonzero(np.diff(owner, prepend=-1))
+        docs = owner[starts]
+        best[docs] = np.minimum(best[docs], np.minimum.reduceat(keys, starts, axis=0))
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """Runs of whole words of a bounded size."""
+    start = 0
+    while start < len(data):
+        gap = SPACE.search(data, start + PIECE)
+        end = gap.start() if gap else len(data)
+        yield data[start:end]
+        start = end
 
 
 def as_text(sample: np.ndarray | None) -> str:
@@ -131,7 +155,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler()
-        for group in _groups(rows(batches, "doc_id", "text")):
+        for group in bounded(rows(batches, "doc_id", "text"), CHUNK_CHARS):
             found = sampler.prints([t for _, t in group])
             data = [{"doc_id": i, "n_chars": len(t), "fingerprint": as_text(f)} for (i, t), f in zip(group, found, strict=True)]
             yield pa.RecordBatch.from_pylist(data, schema=PRINTS)
@@ -143,19 +167,6 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 PRINTS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("fingerprint", pa.string())])
 
 
-def _groups(pairs: Iterator[tuple]) -> Iterator[list[tuple]]:
-    """Runs of (id, text) of a bounded number of characters."""
-    held, size = [], 0
-    for pair in pairs:
-        if held and size + len(pair[1]) > CHUNK_CHARS:
-            yield held
-            held, size = [], 0
-        held.append(pair)
-        size += len(pair[1])
-    if held:
-        yield held
-
-
 def edited_text(text: str, following: str) -> str:
     """The text with its last half replaced by as much of the beginning of the next one."""
     half = len(text) // 2
@@ -177,7 +188,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, part, last = Sampler(), TaskContext.get().partitionId(), None
-        for group in _groups(rows(batches, "doc_id", "text")):
+        for group in bounded(rows(batches, "doc_id", "text"), CHUNK_CHARS):
             own = sampler.prints([t for _, t in group])
             chain = [*([last] if last else []), *((i, t, f) for (i, t), f in zip(group, own, strict=True))]
             edited = [edited_text(a[1], b[1]) for a, b in zip(chain, chain[1:])]
