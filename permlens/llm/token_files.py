@@ -16,7 +16,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 
 from permlens.llm import files
 from permlens.llm.bpe import byte_symbols
-from permlens.llm.common import LAST_ID, Out, Recent, order_id, rows, text_of
+from permlens.llm.common import LAST_ID, Aging, Out, bounded, kept, order_id, rows, text_of
 from permlens.session import written
 
 MAGIC = b"PLTOKEN1"
@@ -35,10 +34,14 @@ TRAILER = struct.Struct("<QQQQII8s")  # footer place, blocks, documents, ids, bi
 BLOCK_IDS = 1 << 15
 CACHE_WORDS = 300_000
 CACHE_PARTS = 200_000
+BATCH_WORDS = 50_000
+RUN_CHARS = 2 << 20
+NO_ID = 0xFFFFFFFF
+MARK = struct.pack("<I", NO_ID)
 # Fixed value: the word pattern of the files whose texts may be encoded word by word; below it, the same for lower-case ASCII.
 KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LATIN_PARTS = regex.compile(KNOWN_PATTERN)
-LAST_LATIN = "\u024f"  # beyond it the library parts a word itself
+LAST_LEAD = 0xC8  # the first byte of U+0200 to U+023F in UTF-8; in words with a higher byte the library finds the parts itself
 SYMBOLS = dict(enumerate(byte_symbols()))
 ASCII_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 READ_IDS = 1 << 20
@@ -46,8 +49,9 @@ READ_IDS = 1 << 20
 
 class LibraryEncoder:
     """The tokenizers library over the distinct words of a task. Where the file's pattern parts texts at white space, a text's ids are its
-    words' ids in order; a Latin word's ids are those of its normalized parts by that pattern. Each part is encoded by the library's model,
-    once while it is remembered; other words go through the library whole."""
+    words' ids in order; a Latin word's ids are those of its normalized parts by that pattern. The new words of a run of texts are
+    normalized and parted together; each part is encoded by the library's model, once while it is remembered; other words go through the
+    library whole."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread per task
@@ -63,43 +67,55 @@ class LibraryEncoder:
         self.library.no_padding()
         self.size = self.library.get_vocab_size()
         self.model, self.normalizer = self.library.model, self.library.normalizer
-        self.parts = Recent(CACHE_PARTS, self._part)
-        self.words = Recent(CACHE_WORDS, self._word)
+        self.parts, self.words = Aging(CACHE_PARTS), Aging(CACHE_WORDS)
 
     def _library(self, data: bytes) -> bytes:
         ids = self.library.encode(data.decode(), add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _part(self, part: bytes) -> bytes:
-        """One word of the pattern, lower-cased, in the stand-ins of its bytes, as the library's model takes it."""
-        ids = [t.id for t in self.model.tokenize(part.decode("latin-1").translate(SYMBOLS))]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _word(self, word: bytes) -> bytes:
-        if b"<" in word:  # a special token may begin so
-            return self._library(word)
-        if not word.isascii():
-            text = word.decode()
-            if max(text) > LAST_LATIN:
-                return self._library(word)
-            return b"".join([self.parts[p.encode()] for p in LATIN_PARTS.findall(self.normalizer.normalize_str(text))])
-        plain = word.lower()
-        if plain.isalpha():
-            return self.parts[plain]
-        if plain[:-1].isalpha():  # letters and one other sign, the most frequent case
-            return self.parts[plain[:-1]] + self.parts[plain[-1:]]
-        return b"".join([self.parts[p] for p in ASCII_PARTS.findall(plain)])
+    def _learn(self, words: set[bytes]) -> None:
+        plain, latin = [], []
+        for w in words:
+            if b"<" in w or b"\x01" in w:  # a special token may begin so; the sign between words
+                self.words[w] = self._library(w)
+            elif w.isascii():
+                plain.append(w)
+            elif max(w) <= LAST_LEAD:
+                latin.append(w)
+            else:
+                self.words[w] = self._library(w)
+        for at in range(0, len(plain), BATCH_WORDS):
+            some = plain[at : at + BATCH_WORDS]
+            self._join(some, ASCII_PARTS.findall(b" \x01 ".join(some).lower()))
+        for at in range(0, len(latin), BATCH_WORDS):
+            some = latin[at : at + BATCH_WORDS]
+            text = self.normalizer.normalize_str(b" \x01 ".join(some).decode())
+            self._join(some, [p.encode() for p in LATIN_PARTS.findall(text)])
+
+    def _join(self, words: list[bytes], parts: list[bytes]) -> None:
+        """Parts of several words, with a mark between words, to ids by word. A part is in the stand-ins of its bytes, as the model takes it."""
+        tokenize, known = self.model.tokenize, self.parts
+        known[b"\x01"] = MARK
+        for p in known.missing(set(parts)):
+            ids = [t.id for t in tokenize(p.decode("latin-1").translate(SYMBOLS))]
+            known[p] = struct.pack(f"<{len(ids)}I", *ids)
+        data = b"".join(map(known.__getitem__, parts))
+        ends = (np.flatnonzero(np.frombuffer(data, "<u4") == NO_ID) * 4).tolist()
+        self.words.update(zip(words, [data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(data)], strict=True)], strict=True))
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_word:
+            return [np.frombuffer(self._library(t.encode()), "<u4") for t in texts]
+        words = [t.encode().split() for t in texts]
+        self._learn(self.words.missing(set().union(*words)))
+        return [np.frombuffer(b"".join(map(self.words.__getitem__, w)), "<u4") for w in words]
 
     def encode(self, text: str) -> np.ndarray:
-        data = text.encode()
-        if not self.by_word:
-            return np.frombuffer(self._library(data), "<u4")
-        return np.frombuffer(b"".join(map(self.words.__getitem__, data.split())), "<u4")
+        return self.encode_all([text])[0]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> LibraryEncoder:
-    return LibraryEncoder(path)
+    return kept(("token files", path), lambda: LibraryEncoder(path))
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
@@ -200,12 +216,12 @@ def write(docs: DataFrame, path: str, end_id: int | None = 2, folder: str | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, uri, words = None, "", encoder(path)
         part = TaskContext.get().partitionId()
-        for doc_id, text in rows(batches, "doc_id", "text"):
+        for some in bounded(rows(batches, "doc_id", "text"), RUN_CHARS):
             if writer is None:
                 uri, sink = files.create(folder, f"part-{part:06d}", "tok")
                 writer = Writer(sink, max(words.size, (end_id or 0) + 1))
-            ids = words.encode(text)
-            writer.add(None if doc_id == LAST_ID else doc_id, ids if end_id is None else np.append(ids, np.uint32(end_id)))
+            for (doc_id, _), ids in zip(some, words.encode_all([t for _, t in some]), strict=True):
+                writer.add(None if doc_id == LAST_ID else doc_id, ids if end_id is None else np.append(ids, np.uint32(end_id)))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pylist([{"part": part, "path": uri, "n_docs": len(writer.docs), "n_ids": writer.n}], schema=FILES)
