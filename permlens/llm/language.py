@@ -18,10 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from permlens.llm.common import Out, rows, sequence_hashes
+from permlens.llm.common import Out, kept, rows, sequence_hashes
 from permlens.session import written
 
 TRAIN_DOCS = 20_000
@@ -31,8 +32,8 @@ SMOOTHING = 0.5
 SWITCH = 15.0  # nats a change of language costs
 SCRIPT_SHARE = 0.01  # of a language's letters
 OTHER_SCRIPT = -40.0  # score of a word for a language that does not use its script
-CACHE_WORDS = 300_000
-CHUNK_CHARS = 12 << 20
+CACHE_WORDS = 120_000
+CHUNK_BYTES = 3 << 20
 UNKNOWN = "und"
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -230,35 +231,36 @@ class Labeller:
 
 
 def chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str | None]]]:
-    """Runs of rows of a batch whose texts together have a bounded number of characters (a single longer text is its own run)."""
-    held, start, size = [], 0, 0
-    for i, text in enumerate(batch.column(column).to_pylist()):
-        if held and size + len(text or "") > CHUNK_CHARS:
-            yield start, held
-            held, start, size = [], i, 0
-        held.append(text)
-        size += len(text or "")
-    if held:
-        yield start, held
+    """Runs of rows of a batch whose texts together have a bounded number of bytes (a single longer text is its own run). Only one run's
+    texts are Python objects at a time."""
+    texts = batch.column(column)
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+    start = 0
+    while start < len(texts):
+        before = size[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(size, before + CHUNK_BYTES, "right")))
+        yield start, texts.slice(start, end - start).to_pylist()
+        start = end
 
 
 def identify(docs: DataFrame, model: Model, text_column: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """Every row and column as it was, with lang_pred (a learned language, or `und` where the text is null or has no letter) and score (0 to
     1: the language's share of the letters). Columns of these names are replaced, so a table that has them passes other names; repeated rows
     are judged alike; no rows give no rows."""
-    kept = docs.drop(lang_out, score_out)
-    names = kept.columns
+    passed = docs.drop(lang_out, score_out)
+    names = passed.columns
     at = names.index(text_column)
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2**BUCKET_BITS numbers per language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(held.value)
+        kept("language", object)  # the words of other operators go
         for batch in batches:
             for start, texts in chunks(batch, at):
                 lang, score = zip(*labeller.judge(texts), strict=True)
                 yield pa.RecordBatch.from_arrays([*batch.slice(start, len(texts)).columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, lang_out, score_out])
 
-    return kept.mapInArrow(run, _with(kept, f"`{lang_out}` string, `{score_out}` double"))
+    return passed.mapInArrow(run, _with(passed, f"`{lang_out}` string, `{score_out}` double"))
 
 
 def lettered(docs: DataFrame, text_column: str = "text") -> DataFrame:
