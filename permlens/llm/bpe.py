@@ -1,9 +1,11 @@
 """Operator 7: byte-pair encoding as a streaming transducer with bounded lookahead, and decoding as a byte-to-text state machine.
 
-Encoding reads symbols from left to right and holds a short window. Merging the window gives the right tokens except near its open end:
-what is still to come can change a boundary only through a chain of merges in which each later-ranked merge loses its right part to the
-one before it. The longest such chain, in symbols, follows from the merge list alone (`lookahead`). A token that ends at least that far
-before the window's open end is final and is emitted; the rest stays. Memory per word is therefore constant, however long the word.
+Every word's symbols are read from left to right by one transducer that holds a short window. Two rules make tokens final. A token is stable
+once no merge can still take its right edge: where the next symbol stands beside the last one in no token at all, everything before it is
+emitted. And merging the window gives the right tokens except near its open end: what is still to come can change a boundary only through
+a chain of merges in which each later-ranked merge loses its right part to the one before it. The longest such chain, in symbols, follows
+from the merge list alone (`lookahead`). A token that ends at least that far before the window's open end is final and is emitted; the
+rest stays. Memory per word is therefore constant, however long the word. Words met often are remembered with the tokens they gave.
 
 Why the chain bounds it: compare the merges of two continuations in rank order. The leftmost place where they differ moves left only when
 some merge (A, B) happens in one of them and B touches the difference, and then by A's length. The next such merge (A', B') has a later
@@ -20,16 +22,18 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from permlens.llm.common import Out, rows
+from permlens.llm.common import Out, kept, rows
 
-CACHE_WORDS = 400_000
-PIECE_WORDS = 4096
+CACHE_WORDS = 200_000
+REMEMBERED_BYTES = 64  # longer words are not kept
+PIECE_BYTES = 1 << 15
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 WHITE = regex.compile(r"\s+")
 
 
@@ -53,6 +57,10 @@ class Merges:
         self.size = dict(size)
         for a, b, c in pairs:
             self.size[c] = self.size[a] + self.size[b]
+        first, last = {s: s for s in size}, {s: s for s in size}  # outer symbols of every token
+        for a, b, c in pairs:
+            first[c], last[c] = first[a], last[b]
+        self.beside = {(last[a], first[b]) for a, b, _ in pairs}  # symbols that stand beside each other in some token
         self.lookahead = self._lookahead(pairs)
 
     def _lookahead(self, pairs: list[tuple[int, int, int]]) -> int:
@@ -90,20 +98,27 @@ class Transducer:
         self.merges, self.open = merges, []
         self.window = 2 * merges.lookahead
 
-    def feed(self, symbols: Iterable[int]) -> Iterator[int]:
+    def feed(self, symbols: Iterable[int]) -> list[int]:
+        """The tokens that became stable with these symbols."""
+        out, beside, held, window = [], self.merges.beside, self.open, self.window
         for s in symbols:
-            self.open.append(s)
-            if len(self.open) >= self.window:
-                yield from self._stable()
-
-    def _stable(self) -> Iterator[int]:
-        end, limit, size = 0, len(self.open) - self.merges.lookahead, self.merges.size
+            if held and (held[-1], s) not in beside:
+                out += self.merges.apply(held)
+                self.open = held = []
+            held.append(s)
+            if len(held) >= window:
+                out += self._stable()
+        return out
+
+    def _stable(self) -> list[int]:
+        end, limit, size, out = 0, len(self.open) - self.merges.lookahead, self.merges.size, []
         for token in self.merges.apply(list(self.open)):
             if end + size[token] > limit:
                 break
             end += size[token]
-            yield token
+            out.append(token)
         del self.open[:end]
+        return out
 
     def finish(self) -> list[int]:
         done, self.open = self.merges.apply(self.open), []
@@ -143,18 +158,18 @@ class Tokenizer:
             found = self.plain.findall(word.lower())
         else:
             return self._remember(word, [i for part in self._parts(word.decode()) for i in part])
-        if len(found) == 1 and len(found[0]) <= 32:
-            return self._remember(word, self._pretokens.get(found[0]) or self._short(found[0]))
+        if len(found) == 1:
+            return self._remember(word, self._pretoken(found[0]))
         return self._remember(word, [i for f in found for i in self._pretoken(f)])
 
     def _remember(self, word: bytes, ids: list[int]) -> list[int]:
-        if len(word) <= 64:
+        if len(word) <= REMEMBERED_BYTES:
             if len(self._known) >= CACHE_WORDS:
                 self._known.clear()
             self._known[word] = ids
         return ids
 
-    def _parts(self, text: str) -> Iterator[Iterable[int]]:
+    def _parts(self, text: str) -> Iterator[list[int]]:
         for part in self.special.split(text) if self.special and "<" in text else [text]:
             if part in self.added:
                 yield [self.added[part]]
@@ -166,32 +181,35 @@ class Tokenizer:
             for found in self.pattern.finditer(part):
                 yield self._pretoken(found.group().encode())
 
-    def _pretoken(self, data: bytes) -> Iterable[int]:
-        return self._pretokens.get(data) or (self._short(data) if len(data) <= 32 else self._long(data))
-
-    def _short(self, data: bytes) -> list[int]:
-        ids = [*map(self.inner.__getitem__, data)]
-        ids[-1] = self.last[data[-1]]
-        self.merges.apply(ids)
-        if len(self._pretokens) >= CACHE_WORDS:
-            self._pretokens.clear()
-        self._pretokens[data] = ids
+    def _pretoken(self, data: bytes) -> list[int]:
+        ids = self._pretokens.get(data)
+        if ids is None:
+            run = Transducer(self.merges)
+            ids = run.feed(map(self.inner.__getitem__, memoryview(data)[:-1]))
+            ids += run.feed((self.last[data[-1]],))
+            ids += run.finish()
+            if len(data) <= REMEMBERED_BYTES:
+                if len(self._pretokens) >= CACHE_WORDS:
+                    self._pretokens.clear()
+                self._pretokens[data] = ids
         return ids
 
-    def _long(self, data: bytes) -> Iterator[int]:
-        run = Transducer(self.merges)
-        yield from run.feed(map(self.inner.__getitem__, memoryview(data)[:-1]))
-        yield from run.feed([self.last[data[-1]]])
-        yield from run.finish()
-
     def pieces(self, text: str | None) -> Iterator[list[int]]:
         """The ids of a text, some thousand words at a time. Null is the empty text."""
-        words = text.encode().split() if text else []
-        for i in range(0, len(words), PIECE_WORDS):
+        data, start = (text or "").encode(), 0
+        while start < len(data):
+            gap = SPACE.search(data, start + PIECE_BYTES)
+            end = gap.start() if gap else len(data)
             ids: list[int] = []
-            for w in words[i : i + PIECE_WORDS]:
+            for w in data[start:end].split():
                 ids += self._known.get(w) or self.word(w)
             yield ids
+            start = end
+
+    @cached_property
+    def bytes_of(self) -> tuple[dict[int, bytes], bytes]:
+        """Every token's bytes, and those between two tokens."""
+        return _token_bytes(self)
 
     def encode(self, text: str | None) -> list[int]:
         return [i for piece in self.pieces(text) for i in piece]
@@ -203,7 +221,7 @@ class Decoder:
 
     def __init__(self, tokenizer: Tokenizer) -> None:
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
-        self.table, self.between = _token_bytes(tokenizer)
+        self.table, self.between = tokenizer.bytes_of
         self.started = False
 
     def feed(self, ids: list[int]) -> str:
@@ -217,7 +235,6 @@ class Decoder:
         return self.state.decode(b"", True)
 
 
-@lru_cache(maxsize=4)
 def _token_bytes(tokenizer: Tokenizer) -> tuple[dict[int, bytes], bytes]:
     if tokenizer.decoder is None:
         return {i: t.encode() for i, t in tokenizer.token.items()}, b" "
@@ -233,10 +250,9 @@ def _token_bytes(tokenizer: Tokenizer) -> tuple[dict[int, bytes], bytes]:
     return {i: plain(i, t) for i, t in tokenizer.token.items()}, b""
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> Tokenizer:
-    """One tokenizer per process and file."""
-    return Tokenizer(path)
+    """One tokenizer per process, until another operator runs there."""
+    return kept(("bpe", path), lambda: Tokenizer(path))
 
 
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

@@ -48,6 +48,28 @@ def test_the_transducer_holds_a_bounded_window():
         assert out + run.finish() == merges.apply(word[:]) and held <= run.window
 
 
+def test_every_word_goes_through_the_transducer_and_holds_little(library, monkeypatch):
+    tokenizer = bpe.Tokenizer(tokenizer_path())
+    fed, most = [], [0]
+    whole = bpe.Transducer.feed
+
+    def feed(self, symbols):
+        symbols = list(symbols)
+        fed.append(len(symbols))
+        out = whole(self, symbols)
+        most[0] = max(most[0], len(self.open))
+        return out
+
+    monkeypatch.setattr(bpe.Transducer, "feed", feed)
+    words = ["a", "international", "don't", "x" * 70, "".join(random.Random(5).choice("abcdefghij") for _ in range(20_000)), "=-" * 4000]
+    for w in words:
+        before = len(fed)
+        assert tokenizer.encode(w) == library.encode(w, add_special_tokens=False).ids
+        assert len(fed) > before
+    assert most[0] < 2 * tokenizer.merges.lookahead
+    assert not {(a, b) for a, b in zip(tokenizer.inner, tokenizer.inner[1:])} <= tokenizer.merges.beside  # some boundaries are certain at once
+
+
 def test_decoding_in_any_pieces(library):
     tokenizer = bpe.load(tokenizer_path())
     for text in texts(200, 30):
