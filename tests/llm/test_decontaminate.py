@@ -62,7 +62,9 @@ def test_blocks_of_items_and_empty_tables(spark, given, none, odd, monkeypatch):
     whole = rows_of(dc.leaks(docs, benchmark), "doc_id", "item_id", "score", "start_word", "end_word")
     quoted = {(d.doc_id, b.item_id) for b in benchmark.collect() for d in docs.collect() if b.text in d.text}
     assert quoted and quoted <= {r[:2] for r in whole}
-    monkeypatch.setattr(dc, "BLOCK_WORDS", 400)
+    monkeypatch.setattr(dc, "FILTER_BITS", 6)  # hardly a sequence is dropped
+    monkeypatch.setattr(dc, "WIDE_ROWS", 1)
+    monkeypatch.setattr(dc, "broadcast_if_small", lambda df, *a: df)
     assert rows_of(dc.leaks(docs, benchmark), "doc_id", "item_id", "score", "start_word", "end_word") == whole
     assert dc.leaks(none, benchmark).count() == 0 and dc.clean(none, benchmark).count() == 0
     assert dc.leaks(docs, benchmark.limit(0)).count() == 0 and dc.clean(odd, benchmark.limit(0)).count() == odd.count()
@@ -88,6 +90,16 @@ def test_a_lone_edited_copy_is_found_wherever_its_edits_are(spark):
     assert rows_of(dc.leaks(df, spark.createDataFrame(items, "item_id long, text string")), "doc_id", "item_id") == sorted(want)
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(1, "two words"), (2, "Yes."), (3, "東京特許許可局の庭"), (4, "ภาษาไทยไม่มีช่องว่าง"), (5, "中")]
+    docs = [(1, "Two words!"), (2, "two words more"), (3, "yes"), (4, "yes yes"), (5, "今日は東京特許許可局の庭に行く"), (6, "東京都の庭"), (7, "ไทย ภาษาไทยไม่มีช่องว่าง"), (8, "中"), (9, "中国"), (None, "two words"), (10, None), (11, "東京特許許可所の庭")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = [(1, 1), (3, 2), (5, 3), (7, 4), (8, 5), (11, 3), (None, 1)]
+    assert rows_of(dc.leaks(df, benchmark), "doc_id", "item_id") == want
+    assert rows_of(dc.clean(df, benchmark), "doc_id") == [(i,) for i in (2, 4, 6, 9, 10)]
+
+
 def test_seeds_of_a_text_are_counted_in_slices(monkeypatch):
     monkeypatch.setattr(dc, "EXPAND", 5)
     numbers = dc.Words()
