@@ -7,6 +7,10 @@ A document is the set of its SHINGLE-word sequences; two documents link where 10
    The second are parts of a set: sets of one class that link differ in at most k tokens, so of k + 1 + SPARE parts of the token space at
    least 1 + SPARE hold the same tokens in both. Sets that share no part are never brought together; what shares parts, directly or over
    others, forms a class of candidates. Only two numbers per set and part are shuffled.
+   Where a part would hold too few tokens (`rare` candidates, for lower similarities) the second level are tokens instead: by any one order
+   of all tokens, sets that link share s of the first n - ceil(PERCENT * n / 100) + s tokens of each, for any s. The order is rarest first,
+   by the tokens' documents in a bounded sample, so passages that many documents quote come last; it decides the work and never the
+   result. A set that shares fewer than s of them with sets near its size links with none and forms no class.
 3. In a class the sets form a tree by size whose nodes hold the OR of the token bitmaps, the range of sizes and the largest number of
    tokens that share bits. A traversal of node pairs leaves out a pair whose sizes are too far apart, whose largest possible overlap
    (common bits plus shared ones) is too small, or whose sets are already connected. Pairs of sets that remain are compared token by token.
@@ -28,9 +32,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from permlens.llm import bloom
-from permlens.llm.common import Out, WordNumbers, hidden, mix, rows, sequence_hashes, text_of, words_of
+from permlens.llm.common import Out, WordNumbers, hidden, mix, packed_table, rows, sequence_hashes, text_of, words_of
 from permlens.llm.components import components
-from permlens.session import written
+from permlens.session import broadcast_if_small, written
 
 SHINGLE = 3
 PERCENT = 90
@@ -38,6 +42,9 @@ SPARE = 2
 BLOCK_TOKENS = 1_000_000
 LEAF, FAN = 32, 8
 CHUNK_CHARS = 8 << 20
+ORDER_DOCS = 4_000  # documents of the sample that the order of tokens is taken from, about
+SHARED_PERCENT = 15  # of a set's size: tokens that linked sets are held to share, beyond one
+ORDER_BITS = 24  # of a token's hash, by which they are counted
 NODE = "decimal(20,0)"  # wider than an id
 NODES = pa.decimal128(20, 0)
 NULL_IDS = Decimal(2**63)  # beyond every id: nodes from here on are rows without one, by their text
@@ -309,6 +316,100 @@ def candidate_pairs(nodes: DataFrame, percent: int = PERCENT, n: int = SHINGLE)
     return parts.mapInArrow(star, "a long, b long").distinct()
 
 
+def token_order(nodes: DataFrame, n: int = SHINGLE, docs: int = ORDER_DOCS) -> tuple[np.ndarray, np.ndarray]:
+    """Leading bits of the tokens that more than one document of a sample of about `docs` has, and how often, as powers of two."""
+    total, part = nodes.count(), 1 << 30
+    share = part if total <= docs else int(part * docs / total)
+    drawn = nodes.where(F.pmod(F.xxhash64("node", F.lit("order")), F.lit(part)) < share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = WordNumbers()
+        for chunk in _chunks(batches):
+            for _, text in chunk:
+                at = np.unique(shingles(text, numbers, n) >> np.uint64(64 - ORDER_BITS))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32))], ["at"])
+
+    counted = drawn.select("node", "text").mapInArrow(run, "at int").groupBy("at").agg(F.count("*").alias("n")).where("n > 1")
+    found = counted.select("at", F.floor(F.log2("n")).cast("int").alias("often")).toArrow()  # of a bounded sample
+    return found.column("at").to_numpy(), found.column("often").to_numpy().astype(np.uint8)
+
+
+def shared_least(n: int) -> int:
+    """How many of their rarest tokens two linked sets share at least, the smaller of which has n."""
+    return 1 + n * SHARED_PERCENT // 100
+
+
+def rare_pairs(nodes: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
+    """a, b: of the sets (by the first half of their digests) that share one of their rarest tokens and whose sizes follow each other closely
+    enough, each with the smallest one. Sets that link are connected. A set that shares fewer of its rarest tokens with sets near its
+    size than two linked ones share with each other links with none and is left out, so it connects no others either."""
+    held = nodes.sparkSession.sparkContext.broadcast(token_order(nodes, n))
+    least_of = lambda size: -(-percent * size // 100)  # noqa: E731  of a partner, and of the tokens it shares with one
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, often = WordNumbers(), np.zeros(1 << ORDER_BITS, np.uint8)
+        often[held.value[0]] = held.value[1]
+        for chunk in _chunks(batches):
+            seen, keys, sizes, first = set(), [], [], []
+            for _, text in chunk:
+                tokens = shingles(text, numbers, n)
+                key = set_key(tokens)[0]
+                if len(tokens) and key not in seen:  # copies within a chunk
+                    seen.add(key)
+                    size = len(tokens)
+                    rarest = np.argsort(often[tokens >> np.uint64(64 - ORDER_BITS)], kind="stable")
+                    first.append(tokens[rarest[: size - least_of(size) + shared_least(size)]])
+                    keys.append(key)
+                    sizes.append(size)
+            if keys:
+                count = [len(f) for f in first]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), pa.array(np.repeat(sizes, count)), pa.array(np.repeat(np.array(keys, np.int64), count))], ["token", "n", "key"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows beside which, in order of size, one of the same token and a size near enough stands. Copies in other chunks are one row."""
+        held_row, held_met = None, False
+        for batch in batches:
+            rows_ = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            if held_row is not None:
+                rows_ = np.concatenate([held_row, rows_], axis=1)
+            if not rows_.shape[1]:
+                continue
+            rows_ = rows_[:, np.concatenate([[True], (rows_[:, 1:] != rows_[:, :-1]).any(0)])]
+            token, size, _ = rows_
+            near = (token[1:] == token[:-1]) & (100 * size[:-1] >= percent * size[1:])
+            before = np.concatenate([[held_met], near])
+            met = before[:-1] | near
+            held_row, held_met = rows_[:, -1:], bool(before[-1])
+            if met.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[:-1][met])) for c in rows_], ["token", "n", "key"])
+        if held_row is not None and held_met:
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in held_row], ["token", "n", "key"])
+
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, size, first = None, 0, 0  # the token that is being read, its largest set so far, and the set that its run began with
+        for batch in batches:
+            token, count, key = (batch.column(i).to_numpy() for i in range(3))
+            if not len(token):
+                continue
+            before, smaller = np.append(token[:1] - 1 if last is None else last, token[:-1]), np.append(size, count[:-1])
+            new = np.flatnonzero((token != before) | (100 * smaller < percent * count))
+            group = np.searchsorted(new, np.arange(len(token)), "right") - 1  # -1: goes on from the batch before
+            leader = np.where(group < 0, first, key[new[group]] if len(new) else 0)
+            last, size, first = token[-1], int(count[-1]), int(leader[-1])
+            pairs = np.unique(np.stack([leader, key], 1)[leader != key], axis=0)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+    row = "token long, n long, key long"
+    emitted = nodes.select("node", "text").mapInArrow(emit, row).repartition("token").sortWithinPartitions("token", "n", "key")
+    met = packed_table(emitted.mapInArrow(shared, row), "tokens-shared")
+    partner = F.ceil(F.col("n") * percent / 100)
+    linking = met.groupBy("key").agg(F.count("*").alias("shared"), F.max("n").alias("n")).where(F.col("shared") >= 1 + F.floor(partner * SHARED_PERCENT / 100)).select("key")
+    found = met.join(broadcast_if_small(linking), "key", "left_semi").select("token", "n", "key").repartition("token").sortWithinPartitions("token", "n", "key")
+    return found.mapInArrow(star, "a long, b long").distinct()
+
+
 def _tasks(members: DataFrame, level: Column, block_tokens: int) -> DataFrame:
     """task, side for every node: one task for a class that fits, else one for each pair of its blocks that may hold links."""
     sized = members.withColumn("level", level)
@@ -332,11 +433,11 @@ def _tasks(members: DataFrame, level: Column, block_tokens: int) -> DataFrame:
 LINKS = pa.schema([("a", NODES), ("b", NODES)])
 
 
-def set_links(nodes: DataFrame, sets: DataFrame, percent: int = PERCENT, n: int = SHINGLE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def set_links(nodes: DataFrame, sets: DataFrame, percent: int = PERCENT, n: int = SHINGLE, block_tokens: int = BLOCK_TOKENS, rare: bool = False) -> DataFrame:
     """a, b: links between different sets, by their smallest nodes, that connect all sets that link."""
     sizes = Sizes(percent)
     first = sets.where("n > 0").groupBy("key1", "key2").agg(F.min("node").alias("node"), F.first("n").alias("n"))
-    classes = components(candidate_pairs(nodes, percent, n), "candidates")
+    classes = components((rare_pairs if rare else candidate_pairs)(nodes, percent, n), "candidates")
     grouped = classes.unionByName(classes.select(F.col("root").alias("node"), "root").distinct())
     members = written(first.join(grouped.select(F.col("node").alias("key1"), F.col("root").alias("class")), "key1").select("node", "key1", "key2", "class", "n"), "members")
     bounds = sizes.bounds[sizes.bounds <= 2**40].tolist()
@@ -357,7 +458,7 @@ def set_links(nodes: DataFrame, sets: DataFrame, percent: int = PERCENT, n: int
     return wanted.mapInArrow(run, f"a {NODE}, b {NODE}")
 
 
-def linked(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def linked(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text", block_tokens: int = BLOCK_TOKENS, rare: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, its own included).
 
     Null and empty texts have an empty set and link with nothing. Rows of one doc_id are one document: what is linked with one of them is
@@ -369,7 +470,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE, id_column:
     set_key_of = F.struct("key1", "key2")
     several = sets.groupBy("node").agg(F.min(set_key_of).alias("least"), F.max(set_key_of).alias("most")).where("least <> most").select("node")
     one_document = sets.join(several, "node").join(first, ["key1", "key2"]).select(F.col("node").alias("a"), F.col("first").alias("b"))
-    roots = components(set_links(nodes, sets, percent, n, block_tokens).unionByName(one_document), "links")
+    roots = components(set_links(nodes, sets, percent, n, block_tokens, rare).unionByName(one_document), "links")
     named = first.join(roots.select(F.col("node").alias("first"), "root"), "first", "left").select("key1", "key2", F.coalesce("root", "first").alias("root"))
     with_words = sets.where("n > 0").join(named, ["key1", "key2"]).select("node", "n", "root")
     empty = sets.where("n = 0").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
@@ -378,10 +479,10 @@ def linked(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE, id_column:
     return found.select(known("node").alias("doc_id"), F.col("n").alias("n_shingles"), known("root").alias("component_id"), F.col("node").alias("_node"), F.col("root").alias("_root"))
 
 
-def representatives(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def representatives(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text", rare: bool = True) -> DataFrame:
     """The documents of which none with a smaller id is linked with them, directly or over others: one of each group, with all columns as they
     were. Of rows that repeat an id and a text one stays; documents with an empty set all stay."""
-    found = linked(docs, percent, n, id_column, text_column)
+    found = linked(docs, percent, n, id_column, text_column, rare=rare)
     node, empty, text = hidden("node"), hidden("empty"), hidden("text")
     stay = found.where("_node = _root").select(F.col("_node").alias(node)).distinct()
     no_words = F.trim(F.translate(text_of(text_column), "\t\n\x0b\x0c\r", "     ")) == ""

@@ -61,6 +61,24 @@ def test_groups_of_near_copies_equal_brute_force_in_one_task_and_in_blocks(spark
         assert rows_of(nj.linked(docs, percent, n, block_tokens=block), "doc_id", "n_shingles", "component_id") == brute(rows, percent, n)
 
 
+def test_rare_tokens_bring_all_links_together(spark, monkeypatch):
+    """Also where most of a text is quoted from passages that many others quote, sets of few words, and a coarse order of tokens."""
+    rng = random.Random(8)
+    quoted = [passage(700 + i, 60) for i in range(3)]
+    texts = [" ".join([passage(800 + i, rng.randint(0, 30)), *rng.sample(quoted, rng.randint(1, 3))]) for i in range(40)]
+    texts += [near(rng, texts[rng.randrange(40)].split(), rng.randint(0, 6)) for _ in range(60)] + [passage(600 + i % 5, rng.randint(1, 6)) for i in range(25)]
+    texts += [near(rng, passage(900, 200).split(), rng.randint(0, 8)) for _ in range(30)] + ["", None, "one", "one"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute(rows, 80, 5)
+    for bits, sample, block in ((24, 4000, nj.BLOCK_TOKENS), (8, 20, 1500)):
+        monkeypatch.setattr(nj, "ORDER_BITS", bits)
+        monkeypatch.setattr(nj, "ORDER_DOCS", sample)
+        assert rows_of(nj.linked(docs, 80, 5, block_tokens=block, rare=True), "doc_id", "n_shingles", "component_id") == want
+    assert rows_of(nj.linked(docs, rare=True), "doc_id", "n_shingles", "component_id") == brute(rows)
+    assert len({r[2] for r in want}) < len(want) - 50
+
+
 def test_sets_that_link_share_a_part():
     rng = random.Random(1)
     numbers = WordNumbers()
