@@ -6,7 +6,7 @@ key of the universe the answer is then exact, and it is an expression over a few
 
 Building reads the universe once to count it and once per odd level; only keys that pass the levels so far are made distinct, so the
 universe itself is never shuffled. The bit strings are proportional to the listed keys. Their size is checked: a level beyond
-MAX_LEVEL_BYTES is not put into the plan, and `contains` then uses a shuffled join instead (same answers).
+MAX_LEVEL_BYTES is not put into the plan, and `mark` and `judge` use a shuffled join instead (same answers).
 """
 
 from __future__ import annotations
@@ -94,6 +94,17 @@ def candidate_keys(host: Column, path: Column, path_lengths: list[int]) -> Colum
     return F.transform(F.array_sort(pairs), lambda p: p["key"])
 
 
+def _judged_by_join(judged: DataFrame, keys: Column, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """The same answers where the rules are too many for a constant: every URL's keys meet the rules by a shuffled join."""
+    spark, row = judged.sparkSession, hidden("row")
+    numbered = written(judged.withColumn(KEYS, keys).withColumn(row, F.monotonically_increasing_id()), "urls")
+    listed = spark.createDataFrame([(host + path, v == "block") for v, host, path in rules], "key string, blocked boolean").groupBy("key").agg(F.max("blocked").alias("blocked"))
+    asked = numbered.select(row, F.posexplode(KEYS).alias("at", "key"))
+    first = asked.join(listed, "key").groupBy(row).agg(F.min(F.struct("at", "key", "blocked")).alias(FIRST))
+    verdict = F.when(F.col(f"{FIRST}.blocked"), "block").otherwise("allow")
+    return numbered.join(first, row, "left").withColumns({"rule": F.col(f"{FIRST}.key"), "verdict": verdict}).drop(KEYS, FIRST, row)
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url") -> DataFrame:
     """Adds host, path, rule and verdict to the rows. rules: (allow or block, host, path); a rule fits its host and all subdomains if the
     path starts with the rule's path; the longest wins. A key under both verdicts is blocked. Where no rule fits, the cascades list none
@@ -111,6 +122,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url")
         listed = spark.createDataFrame(own or [("",)], "key string").where(F.lit(bool(own)))
         cascades[verdict] = build_cascade(listed, universe)
     blocked, allowed = cascades["block"], cascades["allow"]
+    if blocked.too_large is not None or allowed.too_large is not None:
+        return _judged_by_join(judged, keys, rules)
     listed = F.transform(KEYS, lambda k: F.struct(k.alias("key"), blocked.contains(k).alias("blocked"), allowed.contains(k).alias("allowed")))
     judged = judged.withColumn(KEYS, keys).withColumn(FIRST, F.get(F.filter(listed, lambda k: k["blocked"] | k["allowed"]), F.lit(0)))
     verdict = F.when(F.col(f"{FIRST}.blocked"), "block").otherwise("allow")
