@@ -11,23 +11,28 @@ from permlens.plans.corpus import Corpus
 from permlens.session import build_session
 
 # Tables that several queries share, each built on its own line before the queries that read it are timed.
-SHARED = ["candidates", "postings", "scoped", "sparse", "dense", "bm25", "results", "records"]
+SHARED = ["candidates", "postings", "posting_blocks", "scoped", "sparse", "dense", "bm25", "results", "records"]
 HEADLINE = [
     "a3_authorize_all_principals",
     "a7_list_authorized_chunks",
     "a8_document_read_decision",
+    "a13_policy_differential",
     "n10_fit_token_budget",
     "v2_assign_version_numbers",
     "x3_sparse_topk",
     "x4_bm25_topk",
     "d1_dense_exact_topk",
+    "d4_dense_sparse_dot_topk",
+    "d5_ann_candidates",
     "f1_rrf_fuse",
     "f8_search_all_strategies",
     "e10_case_records",
+    "e15_validate_dataset",
     "e18_latency_p50_p95",
     "b1_bootstrap_ci",
     "b6_compare_strategies",
     "l4_load_summary",
+    "l3_summarize_answers",
     "l10_stage_percentiles",
     "o6_audit_purge",
     "t1_stream_requests_per_minute",
