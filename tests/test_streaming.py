@@ -60,10 +60,10 @@ def test_a_batch_writes_what_it_touches_and_can_be_run_again(spark, tmp_path):
     rng = random.Random(11)
     stored = {f"d{i}": dict(sha="s1", format="text", metadata="m0", status="deleted" if i % 5 == 0 else "active", last=4, owner=3) for i in range(200)}
     initial = spark.createDataFrame([("t", k, s["format"], s["sha"], s["metadata"], s["status"], s["owner"], s["last"], s["owner"]) for k, s in stored.items()], STATE)
-    submissions = [("t", f"d{rng.randrange(30)}", f"j{b}", i, f"s{rng.randint(0, 2)}", "text", f"m{rng.randint(0, 1)}") for b in range(3) for i in range(12)]
+    submissions = [("t", f"d{rng.randrange(30)}", f"j{b}", i, f"s{rng.randint(0, 2)}", "text", f"m{rng.randint(0, 1)}") for b in range(2) for i in range(12)]
     folder, each = str(tmp_path / "ingest"), None
     each = ingest.ingest_versions(spark, folder, initial)
-    for b in range(3):
+    for b in range(2):
         batch = spark.createDataFrame([s for s in submissions if s[2] == f"j{b}"], SUBMISSION)
         each(batch, b)
         first = sorted(map(str, spark.read.parquet(f"{folder}/states/batch={b}").collect()))
@@ -73,5 +73,5 @@ def test_a_batch_writes_what_it_touches_and_can_be_run_again(spark, tmp_path):
     planned = spark.read.parquet(f"{folder}/planned")
     got = {(r.key, r.job_id, r.ordinal): (r.outcome, r.version_no, r.content_version_no) for r in planned.collect()}
     assert got == brute_plan(submissions, stored)
-    final = ingest.newest_states(ingest.state_before(spark, folder, initial, 3))
+    final = ingest.newest_states(ingest.state_before(spark, folder, initial, 2))
     assert final.count() == 200 and final.where(F.col("last_version_no") > 4).count() == len({k for (k, _, _), (o, _, _) in got.items() if o != "unchanged"})
