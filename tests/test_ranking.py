@@ -92,6 +92,26 @@ def test_no_plan_holds_pairs_texts_or_one_task(spark):
         assert not re.search("NestedLoop|Cartesian|SinglePartition", plan) and "WindowGroupLimit" in plan and plan.index("WindowGroupLimit") < plan.index("MapInArrow")
 
 
+def test_every_step_of_a_search_is_a_short_plan(spark, monkeypatch):
+    """No written step holds the steps before it: the driver plans and compiles them one at a time, and none runs twice."""
+    joins, steps, write = {}, [], keyword.written
+
+    def noted(df, name):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        joins[name] = max(joins.get(name, 0), len(re.findall(r"\bJoin \w+", plan)))
+        steps.append((name, plan))
+        return write(df, name)
+
+    monkeypatch.setattr(keyword, "written", noted)
+    monkeypatch.setattr(dense, "written", noted)
+    chunks, asked = corpus(spark), requests(spark, "gate launch", "window")
+    keyword.bm25_topk(asked, *index(chunks), chunks, 3)
+    assert max(joins.values()) <= 6 and joins["asked-terms"] <= 1
+    steps.clear()
+    dense.sparse_vector_topk(asked, chunks, 3)
+    assert all("Generate" not in plan for name, plan in steps if name == "asked-vectors")  # words are split in a step of their own
+
+
 def timed(spark, seed=4, n_chunks=70, n_requests=40):
     """Chunks with a window each, requests with a time each (some without), several labels and regions."""
     rng = random.Random(seed)
