@@ -1,3 +1,4 @@
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from permlens.functions import text as T
@@ -63,6 +64,17 @@ def test_chunking_shuffles_nothing(spark):
         assert "Exchange" not in made(documents(spark, "a"))._jdf.queryExecution().executedPlan().toString()
 
 
+def test_rows_leave_in_bounded_batches_within_a_document(spark, monkeypatch):
+    passes = []
+    monkeypatch.setattr(C, "_typed", lambda run, schema: passes.append(run) or run)
+    C.lines(documents(spark, "a"))
+    texts = ["\n".join(["x"] * 50_000), None, *["y"] * 1000]
+    batch = pa.RecordBatch.from_pydict({"tenant_id": ["t"] * 1002, "key": [str(i) for i in range(1002)], "version_no": [1] * 1002, "format": ["text"] * 1002, "text": texts})
+    made = list(passes[0](iter([batch])))
+    assert max(b.num_rows for b in made) <= 4_000
+    assert sum(b.num_rows for b in made) == 51_000 and [b.column("key")[0].as_py() for b in made][:2] == ["0", "0"] and made[-1].column("key")[-1].as_py() == "1001"
+
+
 def test_a_noncharacter_shifts_no_offset(spark):
     text = "One \ufdd0 two. Three four.\n- five \ufdd0"
     rows = C.chunk_documents(documents(spark, text), max_words=3).collect()
