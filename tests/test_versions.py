@@ -116,3 +116,25 @@ def test_metadata_compares_labels_as_sets(spark):
         {EMPTY} as applies_to_regions, cast(null as timestamp) as valid_from, cast(null as timestamp) as valid_to""").select(V.metadata().alias("m")).first().m
     assert make("'b','a','b'", "' '") == make("'a','b'", "null")
     assert make("'b'", "'u'") != make("'b'", "null")
+
+
+def test_tables_of_many_contents_are_not_broadcast(spark):
+    def hinted(df):
+        return "strategy=broadcast" in df._jdf.queryExecution().optimizedPlan().toString()
+
+    def tables(n):
+        sha = F.sha2(F.col("id").cast("string"), 256).alias("sha")
+        counts = spark.range(n).select(sha, F.lit("text").alias("format"), F.lit(2).cast("bigint").alias("chunks"))
+        planned = spark.range(n).select(sha, F.lit("text").alias("format"), (F.col("id") % 3).cast("string").alias("job_id"), F.lit("created").alias("outcome"))
+        contents = spark.range(n).select(
+            F.lit("t").alias("tenant_id"), F.col("id").cast("string").alias("key"), F.lit(1).alias("version_no"), sha, F.lit("text").alias("format"), F.lit("one two").alias("content")
+        )
+        return planned, counts, contents
+
+    planned, counts, contents = tables(100_500)
+    got = V.job_counters(planned, counts)
+    assert not hinted(got) and not hinted(V.content_chunks(contents))
+    assert sum(r.chunks for r in got.collect()) == 2 * 100_500
+    planned, counts, contents = tables(30)
+    assert hinted(V.job_counters(planned, counts)) and hinted(V.content_chunks(contents))
+    assert V.content_chunks(contents).count() == 30
