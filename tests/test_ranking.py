@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,6 +233,18 @@ def test_request_blocks_give_the_same(spark, monkeypatch):
     assert ranked(dense.exact_topk(asked, stored, 5)) == expected
 
 
+def test_the_best_of_a_task_keep_no_batch_alive():
+    held = pa.total_allocated_bytes()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100_000)), pa.array(["x" * 1000] * 1000 + [None] * 99_000)], names=["request_no", "payload"])
+    best = blocks.Best(2, batch.column("request_no").to_numpy(zero_copy_only=False))
+    del batch
+    assert pa.total_allocated_bytes() <= held
+    best.trim()  # nothing was added yet
+    best.add(np.array([5]), np.array([7, 8, 9]), np.array([[1.0, 3.0, 2.0]]))
+    best.trim()
+    assert [b.to_pydict() for b in best.result()] == [{"request_no": [5, 5], "chunk_no": [8, 9], "score": [3.0, 2.0]}]
+
+
 def test_other_profiles_never_meet(spark):
     asked, stored, _ = exact_inputs(spark)
     other = asked.withColumn("profile_id", F.lit("q"))
