@@ -133,3 +133,14 @@ def test_reads_are_judged_without_a_table_of_what_everyone_may_read(spark):
     reads = spark.createDataFrame([(1, "ann", "both")], "n int, subject string, key string")
     plan = access.read_decisions(reads, principals, versions.withColumn("title", F.lit("T")))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
+
+
+def test_only_documents_with_several_rows_are_ranked(spark):
+    rows = [("t1", "one", 1, "a"), ("t1", "two", 1, "b"), ("t1", "two", 2, "c"), ("t2", "two", 1, "d"), ("t1", "same", 3, "e"), ("t1", "same", 3, "e")]
+    rows += [("t1", None, 1, "f"), ("t1", None, 2, "g"), (None, "one", 1, "h"), (None, None, 1, "i")]
+    latest = access.latest_versions(spark.createDataFrame(rows, "tenant_id string, key string, version_no int, content string"))
+    want = [("t1", "one", 1, "a"), ("t1", "two", 2, "c"), ("t2", "two", 1, "d"), ("t1", "same", 3, "e"), ("t1", None, 2, "g"), (None, "one", 1, "h"), (None, None, 1, "i")]
+    assert sorted(map(str, latest.collect())) == sorted(map(str, (latest.sparkSession.createDataFrame(want, latest.schema).collect())))
+    plan = latest._jdf.queryExecution().optimizedPlan().toString()
+    ranked, rest = plan.partition("Window")[2], plan.partition("Window")[0]
+    assert "LeftSemi" in ranked and "LeftAnti" in rest  # what is ranked was picked by its keys before
