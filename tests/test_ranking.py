@@ -309,3 +309,11 @@ def test_model_hooks_load_once_per_task_and_keep_rows_together(spark):
 
     pairs = rows.withColumn("query", F.lit("ab"))
     assert {r.id: r.rerank_score for r in models.score_pairs(pairs, ["id"], load_score).collect()} == {i: float(i + 2) for i in range(150)}
+
+
+def test_terms_are_counted_after_chunks_are_parted(spark):
+    rows = [("t", f"d{i}", 1, 0, "", text, 0, len(text), 0, [], [], [], None, None) for i, text in enumerate(TEXTS)]
+    numbered = keyword.number_chunks(spark.createDataFrame(rows, CHUNKS))
+    after, _, before = numbered._jdf.queryExecution().optimizedPlan().toString().partition("RepartitionByExpression")
+    assert "n_terms" in after and before and "n_terms" not in before  # the search for the parts' bounds runs what stands before
+    assert [r["n_terms"] for r in written(spark, numbered).orderBy("chunk_no").collect()] == [len(t.split()) for t in TEXTS]
