@@ -317,3 +317,16 @@ def test_terms_are_counted_after_chunks_are_parted(spark):
     after, _, before = numbered._jdf.queryExecution().optimizedPlan().toString().partition("RepartitionByExpression")
     assert "n_terms" in after and before and "n_terms" not in before  # the search for the parts' bounds runs what stands before
     assert [r["n_terms"] for r in written(spark, numbered).orderBy("chunk_no").collect()] == [len(t.split()) for t in TEXTS]
+
+
+def test_wide_rows_in_small_files_are_not_broadcast(spark):
+    """Blocks of hashed vectors take a few kilobytes as Parquet and megabytes as rows: beyond the counted bound no plan may broadcast them."""
+    nodes = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    few = written(spark, spark.range(40).select(F.lit("t").alias("tenant_id"), F.array_repeat(F.lit(0.0), 100_000).alias("vector")))
+    many = written(spark, spark.range(50).select(F.lit("t").alias("tenant_id"), "id"))
+    met = spread.spread_join(few, many, ["tenant_id"], ["id"], max_rows=32)
+    assert "BroadcastExchange" not in nodes(met) and "SortMergeJoin" in nodes(met)
+    texts = written(spark, spark.createDataFrame([("r0", "gate launch"), ("r1", ""), ("r2", "gate")], "request_id string, query string"))
+    asked = dense.with_vectors(texts, F.col("query"), ["request_id"])
+    assert "BroadcastExchange" not in nodes(asked)
+    assert {r.request_id: sum(r.vector) for r in asked.collect()} == {"r0": 2.0, "r2": 1.0}
