@@ -330,3 +330,65 @@ def test_wide_rows_in_small_files_are_not_broadcast(spark):
     asked = dense.with_vectors(texts, F.col("query"), ["request_id"])
     assert "BroadcastExchange" not in nodes(asked)
     assert {r.request_id: sum(r.vector) for r in asked.collect()} == {"r0": 2.0, "r2": 1.0}
+
+
+def cell_of(rows, vectors, queries, labels, granted, windows, times):
+    """One block of stored vectors before one block of requests, all of one right."""
+    ints = lambda values: np.asarray(values, "<i8").tobytes()
+    requests = [{"request_no": i, "rights_no": 7, "as_of": t, "vector": [float(x) for x in q]} for i, (q, t) in enumerate(zip(queries, times))]
+    kind = pa.list_(pa.struct([("request_no", pa.int64()), ("rights_no", pa.int64()), ("as_of", pa.int64()), ("vector", pa.list_(pa.float32()))]))
+    columns = {
+        "rows": pa.array([ints(rows)]), "labels": pa.array([ints(labels)]), "opens": pa.array([ints([w[0] for w in windows])]), "closes": pa.array([ints([w[1] for w in windows])]),
+        "vectors": pa.array([np.asarray(vectors, "<f4").tobytes()]), "requests": pa.array([requests], kind), "rights": pa.array([[{"rights_no": 7, "granted": granted}]]),
+    }
+    return blocks.Cell(pa.RecordBatch.from_pydict(columns), 0)
+
+
+def test_only_pairs_that_can_be_among_the_best_are_scored():
+    """After the first block few pairs are computed, and the best are those of brute force: equal scores, rows out of sight and vectors of no or
+    no finite length included."""
+    rng = np.random.default_rng(3)
+    queries, n = rng.integers(-2, 3, (12, 6)).astype(np.float32), 5
+    queries[0] = 0
+    best, scored, everything = blocks.Best(n, np.arange(12)), [], []
+    for k in range(8):
+        vectors = rng.integers(-2, 3, (300, 6)).astype(np.float32)
+        vectors[7], vectors[8, 0], vectors[9, 1] = 0, np.inf, np.nan
+        labels, opens = rng.integers(0, 3, 300), rng.integers(0, 20, 300)
+        times = [None if i % 3 else 10 for i in range(12)]
+        cell = cell_of(np.arange(300) * 2 + 600 * (7 - k), vectors, queries, labels, [0, 2], [(o, o + 8) for o in opens], times)
+        fresh, count = not best.size, 0
+        for of, at, scores in dense._cosine(cell, best):
+            seen = cell.sees(of, at)
+            best.add(of[seen], cell.rows[at[seen]], scores[seen])
+            count += len(of)
+        if fresh:
+            best.trim()
+        scored.append(count)
+        for i in range(12):
+            for j in range(300):
+                a, b = queries[i].astype(float), vectors[j].astype(float)
+                if labels[j] != 1 and (times[i] is None or opens[j] <= 10 < opens[j] + 8) and a.any() and b.any() and np.isfinite(b).all():
+                    everything.append((i, -(round(float(a @ b / np.sqrt((a * a).sum() * (b * b).sum())), 9) + 0.0), int(cell.rows[j])))
+    best.trim()
+    got = [(r, -s, c) for batch in best.result() for r, s, c in zip(*(batch.column(x).to_pylist() for x in ("request_no", "score", "chunk_no")))]
+    wanted = [x for i in range(12) for x in sorted(e for e in everything if e[0] == i)[:n]]
+    assert [(i, c) for i, _, c in got] == [(i, c) for i, _, c in wanted]
+    assert max(scored[2:]) < 12 * 300 / 4
+
+
+def test_a_request_of_an_inverted_file_is_one_row_whatever_it_probes(spark, monkeypatch):
+    asked, stored, expected = exact_inputs(spark)
+    blocks_of, write = [], dense.written
+
+    def noted(df, name):
+        out = write(df, name)
+        if name == "asked-blocks":
+            blocks_of.append(out.agg(F.sum(F.size("requests"))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(dense, "written", noted)
+    quantiser = dense.fit_quantiser(stored, "chunk_no", 10)
+    assert ranked(dense.near_topk(asked, stored, quantiser, 10, 5)) == expected
+    dense.near_topk(asked, stored, quantiser, 9, 5)
+    assert blocks_of[0] == 7 and max(blocks_of) <= 7
