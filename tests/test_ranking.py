@@ -392,3 +392,19 @@ def test_a_request_of_an_inverted_file_is_one_row_whatever_it_probes(spark, monk
     assert ranked(dense.near_topk(asked, stored, quantiser, 10, 5)) == expected
     dense.near_topk(asked, stored, quantiser, 9, 5)
     assert blocks_of[0] == 7 and max(blocks_of) <= 7
+
+
+def test_postings_are_made_within_chunks_and_shuffled_once(spark):
+    chunks = corpus(spark)
+    made = keyword.postings(chunks)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Aggregate" not in plan
+    wanted = []
+    for r in chunks.collect():
+        terms = [t.replace("stones", "stone") for t in r["content"].split()]
+        for term in set(terms):
+            at = [i for i, t in enumerate(terms) if t == term]
+            wanted.append((term, r["chunk_no"], r["label_no"], r["tenant_id"], len(terms), len(at), at))
+    got = [(r["term"], r["chunk_no"], r["label_no"], r["tenant_id"], r["n_terms"], r["tf"], list(r["positions"])) for r in made.collect()]
+    assert got == sorted(wanted)
+    assert keyword.postings(chunks.limit(0)).collect() == []
