@@ -75,3 +75,12 @@ def test_a_batch_writes_what_it_touches_and_can_be_run_again(spark, tmp_path):
     assert got == brute_plan(submissions, stored)
     final = ingest.newest_states(ingest.state_before(spark, folder, initial, 2))
     assert final.count() == 200 and final.where(F.col("last_version_no") > 4).count() == len({k for (k, _, _), (o, _, _) in got.items() if o != "unchanged"})
+
+
+def test_a_batch_broadcasts_few_keys_only(spark, tmp_path, monkeypatch):
+    """The keys a batch touches are strings, of which the driver holds several copies: they are bounded as other keys are."""
+    bounds, small = [], ingest.broadcast_if_small
+    monkeypatch.setattr(ingest, "broadcast_if_small", lambda df, *most: bounds.append(most) or small(df, *most))
+    each = ingest.ingest_versions(spark, str(tmp_path), spark.createDataFrame([], STATE))
+    each(spark.createDataFrame([], SUBMISSION), 0)
+    assert bounds == [(ingest.V.BROADCAST_CONTENTS,)] and ingest.V.BROADCAST_CONTENTS <= 100_000
