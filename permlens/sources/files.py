@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,26 +29,85 @@ class RefusedInput(ValueError):
     """The input breaks its contract, so nothing is computed from it."""
 
 
+READ_FILES = 1000  # in a task
+READ_BYTES = 16 << 20  # in a batch
+FOLDER_FILES = 2000  # where a writer chooses
+LISTED = "path string, folder boolean, size long"
+QUOTED = re.compile(r'[\x00-\x20"#%<>?\[\\\]^`{|}\x7f]')  # in the name of a file as a URI
+
+
+def _uri(folder: str) -> str:
+    return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+
+
+def listed_files(spark: SparkSession, folder: str) -> DataFrame:
+    """path, size of every file below a folder, however deep, but for hidden and empty ones. Tasks list folders, one level after the other, and
+    the driver holds neither the files nor the folders."""
+    uri = _uri(folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for place in batch.column(0).to_pylist():
+                found = system.get_file_info(fs.FileSelector(f"{root}/{place}" if place else root))
+                for at in range(0, len(found), 10_000):
+                    seen = [x for x in found[at : at + 10_000] if not (x.base_name.startswith(".") or x.base_name.startswith("_") and "=" not in x.base_name)]
+                    paths = [f"{place}/{x.base_name}" if place else x.base_name for x in seen]
+                    yield pa.RecordBatch.from_pydict({"path": paths, "folder": [x.type == fs.FileType.Directory for x in seen], "size": pa.array([x.size for x in seen], pa.int64())})
+
+    level, all_files, open_folders = spark.createDataFrame([("",)], "path string"), None, 1
+    while open_folders:
+        found = written(level.repartition(min(open_folders, 1000)).mapInArrow(run, LISTED), "listed")
+        some = found.where("not folder and size > 0").select("path", "size")
+        all_files = some if all_files is None else all_files.unionByName(some)
+        level = found.where("folder").select("path")
+        open_folders = level.count()
+    return all_files
+
+
 def corpus_files(spark: SparkSession, folder: str, levels: int = 1) -> DataFrame:
-    """Whole files as documents, named by the last `levels` parts of their path; the format follows the suffix."""
-    path = F.input_file_name()
-    return spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(
-        F.substring_index(path, "/", -levels).alias("file"), format_of(path).alias("format"), F.col("value").alias("content")
-    )
+    """Whole files as documents, named by the last `levels` parts of their path; the format follows the suffix. Files are found and read in tasks."""
+    uri = _uri(folder)
+    paths = listed_files(spark, folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(uri)
+        whole = [*root.strip("/").split("/")]
+        held, size = ([], []), 0
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with system.open_input_stream(f"{root}/{path}") as file:
+                    content = file.read()
+                name = "/".join([*whole, *path.split("/")][-levels:])
+                held[0].append(QUOTED.sub(lambda m: f"%{ord(m[0]):02X}", name))
+                held[1].append(content)
+                size += len(content)
+                if size >= READ_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(held[0], pa.string()), pa.array(held[1], pa.binary())], names=["file", "value"])
+                    held, size = ([], []), 0
+        if held[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(held[0], pa.string()), pa.array(held[1], pa.binary())], names=["file", "value"])
+
+    tasks = max(1, -(-paths.count() // READ_FILES))
+    read = paths.select("path").repartition(tasks).mapInArrow(run, "file string, value binary")
+    return read.select("file", format_of(F.col("file")).alias("format"), F.col("value").cast("string").alias("content"))
 
 
 def write_texts(texts: DataFrame, folder: str) -> int:
     """One file per (file, content) row below a folder every executor reaches; a task that is run again writes the same. Returns the number
     of files."""
-    uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    uri = _uri(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(uri)
-        n = 0
+        n, made = 0, set()
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 path = f"{root}/{name}"
-                system.create_dir(path.rpartition("/")[0], recursive=True)
+                place = path.rpartition("/")[0]
+                if place not in made:
+                    system.create_dir(place, recursive=True)
+                    made.add(place)
                 with system.open_output_stream(path) as out:
                     out.write(content.encode())
                 n += 1

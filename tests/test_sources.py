@@ -54,3 +54,16 @@ def test_redaction_keeps_allowed_keys(spark):
     spans = spark.sql("select map('retrieval.k', '5', 'query', 'secret') as attributes, 'e' as events, 's' as status_text")
     row = audit.redact(spans).first()
     assert row.asDict() == {"attributes": {"retrieval.k": "5"}}
+
+
+def test_corpus_files_are_listed_and_read_in_tasks(spark, tmp_path):
+    """Any depth, odd names and bytes; hidden and empty files are left out, and the plan holds no list of the files on the driver."""
+    texts = {"a/b/x y.md": "# A\n﻿b", "a/é#1.txt": "t\r\nu", "z.md": "z", "a/b/c/[d]%.txt": "d", "a/=_p/_q=1.txt": "q"}
+    for name, text in {**texts, "a/_hidden.txt": "h", ".git/x.md": "h", "a/empty.txt": ""}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(text.encode())
+    found = files.corpus_files(spark, str(tmp_path))
+    assert "FileScan text" not in found._jdf.queryExecution().executedPlan().toString()
+    before = spark.read.text(str(tmp_path), wholetext=True, recursiveFileLookup=True).select(F.substring_index(F.input_file_name(), "/", -1).alias("file"), "value")
+    got = {(r.file, r.content) for r in found.collect()}
+    assert got == {tuple(r) for r in before.collect()} and {c for _, c in got} == set(texts.values())
